@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import exact_dedup, simhash
 
 
 def queries() -> dict:
-    return {"op9_simhash": simhash.op9_simhash}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
+    }
