@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op7_mixing": mixing.op7_mixing,
         "op9_simhash": simhash.op9_simhash,
     }
 
