@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, simhash
+from . import bpe, exact_dedup, mixing, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_quality": quality.op3_quality,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_mixing": mixing.op7_mixing,
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
