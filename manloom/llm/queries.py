@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality, simhash, toxicity
+from . import bpe, exact_dedup, mixing, quality, simhash, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_topk": topk.op2_topk,
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_mixing": mixing.op7_mixing,
@@ -19,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op2_topk": topk.OP2_SQL,
     }
