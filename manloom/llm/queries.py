@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_main, mixing, quality, simhash, topk, toxicity
+from . import bpe, exact_dedup, html_main, mixing, quality, secret_scan, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_html": html_main.op5_html,
+        "op6_secrets": secret_scan.op6_secrets,
         "op7_mixing": mixing.op7_mixing,
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
