@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_main, mixing, quality, secret_scan, simhash, topk, toxicity
+from . import bpe, exact_dedup, html_main, line_dedup, mixing, quality, secret_scan, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_mixing": mixing.op7_mixing,
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
