@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SCAN_LIMIT = 64
 _NONE = 1 << 60
 #: White space of the tokenizer's patterns; the four separators 0x1C-0x1F are not among it.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_vocabulary() -> str:

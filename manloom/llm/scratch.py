@@ -1,34 +1,5 @@
-"""Scratch tables in the folder that all executors share.
+"""Scratch tables, for the operators of this subpackage."""
 
-Operators that read an intermediate result more than once write it as Parquet under
-``spark.checkpoint.dir``.  That cuts the lineage, survives lost executors, and gives the
-planner real sizes.  The setting is read from the session; a folder of our own is made only
-where it is unset, as in local tests.
-"""
+from ..scratch import keep, shared_folder
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a new local one only if the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="manloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.  Removed when the driver's JVM ends."""
-    spark = df.sparkSession
-    where = f"{shared_folder(spark)}/manloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+__all__ = ["keep", "shared_folder"]
