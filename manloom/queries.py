@@ -1,11 +1,472 @@
-"""Bindings of the operators to tables, with the DuckDB SQL each is held against."""
+"""Bindings of the operators to the test tables, with the DuckDB SQL each is held against.
+
+The tables hold no manuals, so every binding is an analogue: lines of documents, paths of pages,
+names of parts and rows of orders stand in for commands, contexts and configuration lines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import catalog as C
+from .operators import config as G
+from .operators import contexts as X
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- relations that several bindings share ------------------------------------------------------
+
+_LINES = r"""
+lines AS (
+  SELECT doc_id, source, lang, i - 1 AS line_no, trim(regexp_replace(l, '\s+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+)"""
+
+_PATHS = r"""
+pages_at AS (
+  SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme,
+         rtrim(regexp_replace(regexp_extract(url, '^[a-z]+://(.*)$', 1), '[?#].*$', ''), '/') AS path
+  FROM pages
+)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
+    return docs.select("doc_id", "source", "lang", "line_no", F.trim(F.regexp_replace("l", r"\s+", " ")).alias("line"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://(.*)$", 1), r"[?#].*$", "")
+    return _table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^([a-z]+)://", 1).alias("scheme"), F.rtrim(rest, F.lit("/")).alias("path"))
+
+
+def _number(source: Column) -> Column:
+    return F.regexp_extract(source, r"(\d+)", 1).cast("int")
+
+
+def _line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as catalog entries: even sources are the device, odd ones manuals."""
+    lines = _lines(spark, sf_dir).where("line <> ''")
+    source = F.when(_number(F.col("source")) % 2 == 0, "cli").otherwise(F.concat(F.lit("documentation:"), F.col("source")))
+    return lines.select(F.col("line").alias("command"), F.lit("").alias("description"), F.lit(False).alias("executable"), source.alias("source"), F.col("doc_id").alias("rank"))
+
+
+# -- reconciliation -----------------------------------------------------------------------------
+
+_STATUS = f"""
+WITH {_LINES}, cat AS (
+  SELECT line, bool_or(CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0) AS dev, bool_or(CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 1) AS man
+  FROM lines WHERE line <> '' GROUP BY line
+), st AS (SELECT CASE WHEN dev AND man THEN 'matched' WHEN dev THEN 'undocumented' ELSE 'missing_on_device' END AS status FROM cat)
+"""
+
+
+@_query(_STATUS + "SELECT s.status, count(st.status) AS n FROM (VALUES ('matched'), ('undocumented'), ('missing_on_device'), ('not_observed')) s(status) LEFT JOIN st USING (status) GROUP BY s.status")
+def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented against observed, a row for every status."""
+    return C.status_counts(C.reconciled(C.source_union(_line_sources(spark, sf_dir)), complete=True))
+
+
+@_query(_STATUS.replace("'missing_on_device'", "'not_observed'") + "SELECT s.status, count(st.status) AS n FROM (VALUES ('matched'), ('undocumented'), ('missing_on_device'), ('not_observed')) s(status) LEFT JOIN st USING (status) GROUP BY s.status")
+def reconcile_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where the scan was cut short: nothing is proved missing."""
+    return C.status_counts(C.reconciled(C.source_union(_line_sources(spark, sf_dir)), complete=False))
+
+
+@_query(
+    f"WITH {_LINES} SELECT line AS command, string_agg(DISTINCT CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE 'documentation:' || source END, ',' ORDER BY CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE 'documentation:' || source END) AS sources, "
+    "count(DISTINCT CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE source END) AS n FROM lines WHERE line <> '' GROUP BY line HAVING count(*) > 1"
+)
+def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of every line that occurs more than once."""
+    entries = _line_sources(spark, sf_dir)
+    often = entries.groupBy("command").agg(F.count("*").alias("k")).where("k > 1").select("command")
+    union = C.source_union(entries.join(often, "command", "left_semi"))
+    return union.select("command", F.array_join("sources", ",").alias("sources"), F.size("sources").cast("long").alias("n"))
+
+
+_ABSENT = f"""
+WITH {_PATHS}, cmd AS (
+  SELECT replace(path, '/', ' ') AS command, bool_or(scheme = 'https') AS dev FROM pages_at WHERE path <> '' GROUP BY 1
+), step AS (
+  SELECT command, i AS n, array_to_string(string_split(command, ' ')[1:i], ' ') AS child, array_to_string(string_split(command, ' ')[1:i-1], ' ') AS parent
+  FROM cmd, LATERAL (SELECT unnest(generate_series(1, len(string_split(command, ' ')))) AS i)
+), dev AS (
+  SELECT DISTINCT child FROM step JOIN cmd USING (command) WHERE dev
+), asked AS (SELECT '' AS parent UNION SELECT child FROM dev WHERE child NOT LIKE '% % %'), stop AS (
+  SELECT command, min(n) AS n FROM step WHERE parent NOT IN (SELECT parent FROM asked) OR child NOT IN (SELECT child FROM dev) GROUP BY command
+)
+SELECT step.command FROM step JOIN stop USING (command, n) WHERE parent IN (SELECT parent FROM asked) AND child NOT IN (SELECT child FROM dev)
+"""
+
+
+def _path_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Page paths as commands, https ones with all that leads to them on the device; and the nodes
+    of up to two words as enumerated."""
+    pages = _paths(spark, sf_dir).where("path <> ''").select(F.regexp_replace("path", "/", " ").alias("command"), (F.col("scheme") == "https").alias("dev"))
+    up = pages.where("dev").select(F.explode(C.prefixes(T.words(F.col("command")))).alias("p")).select(F.col("p.prefix").alias("command")).distinct()
+    entries = pages.select("command", F.lit("documentation:web").alias("source")).union(up.select("command", F.lit("cli")))
+    cat = C.source_union(entries.withColumn("description", F.lit("")).withColumn("executable", F.lit(False)).withColumn("rank", F.lit(0)))
+    listed = up.where(F.size(T.words(F.col("command"))) <= 2).select(F.col("command").alias("prefix")).union(spark.createDataFrame([("",)], "prefix string"))
+    return cat, listed
+
+
+@_query(_ABSENT)
+def provably_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented paths that the device, asked, did not offer."""
+    cat, listed = _path_catalog(spark, sf_dir)
+    return C.provably_absent(cat, listed).where("absent").select("command")
+
+
+@_query(
+    f"WITH {_LINES} SELECT line AS command, arg_min(source, (CASE WHEN lang = 'de' THEN 0 ELSE 1 END, doc_id, line_no)) AS description, arg_min(lang, (CASE WHEN lang = 'de' THEN 0 ELSE 1 END, doc_id, line_no)) AS language FROM lines WHERE line <> '' GROUP BY line HAVING count(*) > 1"
+)
+def description_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text a command keeps: the preferred language first, then reading order."""
+    lines = _lines(spark, sf_dir).where("line <> ''")
+    often = lines.groupBy("line").agg(F.count("*").alias("k")).where("k > 1").select("line")
+    entries = lines.join(often, "line", "left_semi").select(F.col("line").alias("command"), F.col("source").alias("description"), F.col("lang").alias("language"), F.struct("doc_id", "line_no").alias("place"))
+    return C.described(entries, "de")
+
+
+# -- trees and prefixes -------------------------------------------------------------------------
+
+
+@_query(f"WITH {_PATHS}, u AS (SELECT path, unnest(generate_series(1, len(string_split(path, '/')))) AS i FROM pages_at) SELECT array_to_string(string_split(path, '/')[1:i], '/') AS name, count(*) AS contexts, CAST(sum(i) AS BIGINT) AS depths FROM u GROUP BY 1")
+def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages below every path prefix."""
+    up = _paths(spark, sf_dir).select(F.posexplode(X.ancestors(F.col("path"))).alias("i", "name"))
+    return up.groupBy("name").agg(F.count("*").alias("contexts"), F.sum(F.col("i") + 1).cast("long").alias("depths"))
+
+
+@_query(
+    f"""WITH {_PATHS}, p AS (SELECT DISTINCT path AS name FROM pages_at WHERE page_id % 3 <> 0 OR len(string_split(path, '/')) = 1),
+u AS (SELECT name, unnest(generate_series(1, len(string_split(name, '/')) - 1)) AS i FROM p), c AS (SELECT name, i, array_to_string(string_split(name, '/')[1:i], '/') AS up FROM u),
+h AS (SELECT DISTINCT string_split(name, '/')[1] AS name FROM p), a AS (SELECT name FROM p UNION SELECT name FROM h)
+SELECT p.name, coalesce((SELECT arg_max(c.up, c.i) FROM c WHERE c.name = p.name AND c.up IN (SELECT name FROM a)), (SELECT arg_min(name, (len(string_split(name, '/')), name)) FROM a)) AS parent
+FROM a p WHERE p.name <> (SELECT arg_min(name, (len(string_split(name, '/')), name)) FROM a)"""
+)
+def nearest_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest present ancestor of paths, some of which are missing."""
+    pages = _paths(spark, sf_dir).where((F.col("page_id") % 3 != 0) | (F.size(F.split("path", "/")) == 1)).select(F.col("path").alias("name"))
+    hosts = pages.select(F.split("name", "/")[0].alias("name"))
+    return X.parents(pages.union(hosts).distinct()).where("parent IS NOT NULL").select("name", "parent")
+
+
+@_query("WITH t AS (SELECT DISTINCT p_type || ' ' || p_name AS c FROM part), u AS (SELECT c, unnest(generate_series(1, len(string_split(c, ' ')))) AS i FROM t) SELECT i AS depth, count(DISTINCT array_to_string(string_split(c, ' ')[1:i], ' ')) AS nodes FROM u GROUP BY i")
+def token_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the word tree of part types and names, by depth."""
+    commands = _table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_name").alias("command"))
+    return C.token_tree(commands).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("nodes"))
+
+
+@_query(f"WITH {_PATHS} SELECT DISTINCT path AS command FROM pages_at WHERE scheme = 'https' AND path LIKE 'blog.%' AND path LIKE '%/en/%' AND split_part(path, '/', 2) = 'en'")
+def prefix_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device commands below entry paths."""
+    pages = _paths(spark, sf_dir)
+    entry = pages.select(F.split("path", "/")[0].alias("host")).where("host LIKE 'blog.%'").distinct().select(F.concat("host", F.lit("/en")).alias("lead"))
+    up = pages.where("scheme = 'https'").select(F.col("path").alias("command"), F.explode(X.ancestors(F.col("path"))).alias("lead")).where("lead <> command")
+    return up.join(entry, "lead", "left_semi").select("command").distinct()
+
+
+@_query(
+    """SELECT r.r_name || ' ' || n.n_name || ' ' || c.k AS command FROM nation n JOIN region r ON n_regionkey = r_regionkey
+CROSS JOIN (SELECT DISTINCT c_mktsegment AS k FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)) c"""
+)
+def replicate_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtree of one nation copied to all nations that look like it."""
+    from .operators.crawl import Limits, replicate
+
+    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.regexp_replace(F.concat_ws("\x01", "r_name", "n_name"), " ", "\x02").alias("node"), "n_name")
+    n = n.withColumn("node", F.regexp_replace("node", "\x01", " "))
+    first = n.agg(F.min_by(F.struct("n_nationkey", "node"), "n_name").alias("f")).select("f.*")
+    held = _table(spark, sf_dir, "customer").join(F.broadcast(first), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws(" ", "node", "c_mktsegment").alias("command")).distinct()
+    commands = held.withColumn("description", F.lit("")).withColumn("executable", F.lit(True))
+    alike = n.join(F.broadcast(first.select(F.col("node").alias("canonical")))).where("node <> canonical").select(F.col("node").alias("prefix"), "canonical")
+    done, _, _ = replicate(commands, alike, Limits(max_depth=64))
+    return done.select(F.regexp_replace("command", "\x02", " ").alias("command"))
+
+
+# -- text ---------------------------------------------------------------------------------------
+
+
+@_query(
+    r"""WITH w AS (SELECT unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS t FROM part) SELECT kind, count(*) AS n, count(DISTINCT t) AS tokens FROM (
+SELECT t, CASE WHEN lower(t) IN ('<cr>', '<return>', '<enter>', '<[enter]>', '[enter]') THEN 'cr' WHEN (t LIKE '<%' AND t LIKE '%>') OR (upper(t) = t AND lower(t) <> t) OR regexp_matches(t, '[\[\]{}|]') THEN 'parameter' ELSE 'keyword' END AS kind FROM w) GROUP BY kind"""
+)
+def token_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of the words of parts."""
+    tokens = _table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("t"))
+    return tokens.groupBy(T.option_kind(F.col("t")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("t").alias("tokens"))
+
+
+@_query(
+    r"""WITH k AS (SELECT doc_id, i - 1 AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, translate(text, '=:', '  ') AS text FROM documents))),
+v AS (SELECT doc_id, line_no, l, list_filter(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM k WHERE regexp_matches(l, '(?i)(password|secret|community|pre-shared|psk|key|certificate|cipher)')),
+p AS (SELECT *, list_filter(generate_series(1, len(w)), lambda i: i < len(w) AND list_contains(['password','secret','community','pre-shared','psk','key','key-string','authentication-key','shared-key','private-key','certificate','cipher'], lower(w[i])))[1] AS cut FROM v)
+SELECT doc_id, line_no, array_to_string(w[1:cut], ' ') || ' <redacted>' AS line FROM p WHERE cut IS NOT NULL"""
+)
+def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a secret word and what is left of them."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "=:", "  "), "\n")).alias("line_no", "l"))
+    told = lines.where(F.col("l").rlike("(?i)(password|secret|community|pre-shared|psk|key|certificate|cipher)")).withColumn("line", T.secrets_blanked(F.trim("l")))
+    return told.where(F.endswith("line", F.lit(" <redacted>"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@_query(
+    rf"""WITH {_LINES}, c AS (SELECT trim(regexp_replace(line, '^`+|`+$', '', 'g')) AS c FROM lines)
+SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN c = '' THEN 'empty' WHEN strlen(c) > 512 THEN 'too long' WHEN NOT regexp_full_match(c, '[\x20-\x7e]*') THEN 'not printable ascii' WHEN contains(c, '?') THEN 'question'
+WHEN regexp_matches(c, '[.,:;]$') THEN 'sentence' WHEN regexp_matches(c, '^(sudo|ssh|telnet) ') THEN 'host tool' WHEN NOT regexp_full_match(c, '[a-z][a-z0-9-]*( [^ ]+)*') THEN 'not a command' WHEN regexp_matches(c, '->|=>') THEN 'arrow'
+WHEN len(string_split(c, ' ')) > 32 THEN 'too many words' ELSE 'ok' END AS verdict FROM c) GROUP BY verdict"""
+)
+def command_normalize_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines would pass for commands, and why the others don't."""
+    return _lines(spark, sf_dir).groupBy(T.command_verdict(F.col("line")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_FOLDED = rf"""WITH {_LINES}, f AS (SELECT array_to_string(list_transform(list_filter(string_split(line, ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') OR length(w) > 24 THEN '<value>' ELSE w END), ' ') AS command FROM lines WHERE regexp_matches(line, '[0-9]'))"""
+
+
+@_query(_FOLDED + " SELECT command, count(*) AS occurrences FROM f GROUP BY command")
+def skeleton_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with digits, their values folded."""
+    lines = _lines(spark, sf_dir).where(F.col("line").rlike("[0-9]"))
+    return lines.groupBy(T.skeleton(F.col("line")).alias("command")).agg(F.count("*").alias("occurrences"))
+
+
+@_query(_FOLDED + " SELECT command, count(*) AS occurrences FROM f GROUP BY command ORDER BY occurrences DESC, command LIMIT 20")
+def gap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty folded lines that occur most."""
+    return skeleton_fold(spark, sf_dir).orderBy(F.desc("occurrences"), "command").limit(20)
+
+
+@_query(
+    rf"""WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(regexp_replace(line, '(?i)^.*(?:password|passwd|secret|community|private[ -]?key|token).*$', '<secret line removed>', 'g'), '(?i)\b(?:[0-9a-f]{{2}}(?:[:-][0-9a-f]{{2}}){{5}}|[0-9a-f]{{4}}(?:[.-][0-9a-f]{{4}}){{2}})\b', '<mac>', 'g') AS line
+FROM lines WHERE regexp_matches(line, '(?i)password|secret|token|[0-9a-f]{{2}}:[0-9a-f]{{2}}:')"""
+)
+def identity_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that may tell who or what, redacted for a report."""
+    lines = _lines(spark, sf_dir).where(F.col("line").rlike("(?i)password|secret|token|[0-9a-f]{2}:[0-9a-f]{2}:"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.identity_redacted(F.col("line")).alias("line"))
+
+
+@_query(rf"WITH {_PATHS} SELECT regexp_replace(path, '[0-9]+', '*', 'g') AS shape, count(*) AS n, min(page_id) AS first_page FROM pages_at GROUP BY 1")
+def fingerprint_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by digit-folded path."""
+    return _paths(spark, sf_dir).groupBy(T.folded(F.col("path")).alias("shape")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@_query(rf"WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, part FROM (SELECT doc_id, line_no, unnest(list_filter(list_transform(string_split(line, '|'), lambda p: trim(p)), lambda p: p <> '')) AS part FROM lines WHERE contains(line, '|'))")
+def alternatives_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut at vertical bars."""
+    lines = _lines(spark, sf_dir).where(F.col("line").contains("|"))
+    parts = F.filter(F.transform(F.split("line", r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(parts).alias("part"))
+
+
+@_query(
+    """SELECT p_partkey, pos, command FROM (SELECT p_partkey, 0 AS pos, lower(p_name) AS command FROM part UNION ALL SELECT p_partkey, 1, lower(p_name) || ' size ' || p_size FROM part UNION ALL SELECT p_partkey, 2, lower(p_name) || ' all' FROM part)
+WHERE regexp_full_match(command, '[a-z][a-z0-9-]*( [^ ]+)*')"""
+)
+def grammar_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concrete forms of a grammar written from each part."""
+    from .functions.grammar import expand_syntax
+
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lower("p_name"), F.lit(" [size "), F.col("p_size").cast("string"), F.lit(" | all]")).alias("syntax"))
+    return expand_syntax(rows, F.col("syntax")).select("p_partkey", F.col("pos").cast("int").alias("pos"), "command")
+
+
+# -- windows, top-k, sampling, merging ----------------------------------------------------------
+
+
+@_query(rf"WITH {_PATHS}, r AS (SELECT page_id, path, row_number() OVER (PARTITION BY regexp_replace(path, '[0-9]+', '*', 'g') ORDER BY page_id) AS k FROM pages_at) SELECT page_id, path FROM r WHERE k <= 2")
+def shape_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two pages of each shape."""
+    pages = _paths(spark, sf_dir).withColumn("shape", T.folded(F.col("path")))
+    return C.first_per_group(pages, ["shape"], ["page_id"], 2).select("page_id", "path")
+
+
+@_query(
+    "WITH s AS (SELECT l_orderkey AS o, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS signature FROM lineitem GROUP BY 1) SELECT signature, min(o) AS canonical, count(*) - 1 AS derived FROM s GROUP BY signature"
+)
+def signature_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the same set of line kinds: one is walked, the others derived."""
+    sets = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("signature"))
+    return sets.groupBy("signature").agg(F.min("l_orderkey").alias("canonical"), (F.count("*") - 1).alias("derived"))
+
+
+@_query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS c FROM orders) SELECT o_orderkey FROM r WHERE n % greatest(1, c // 25) = 0 AND n < 25 * greatest(1, c // 25)")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-five orders spread over all."""
+    return C.systematic_sample(_table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 25)
+
+
+@_query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
+def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heading that a line stands under, as the last user turn carried on."""
+    over = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(over).alias("section"))
+
+
+@_query(rf"WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents) SELECT doc_id, count(*) AS options, CAST(sum(first_pos) AS BIGINT) AS places FROM (SELECT doc_id, t, min(pos) AS first_pos FROM w GROUP BY doc_id, t) GROUP BY doc_id")
+def option_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First places of the different words of each document."""
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "t"))
+    return words.groupBy("doc_id", "t").agg(F.min("pos").alias("pos")).groupBy("doc_id").agg(F.count("*").alias("options"), F.sum("pos").cast("long").alias("places"))
+
+
+@_query("WITH n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id), o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events WHERE event_type <> 'purchase' GROUP BY user_id) SELECT user_id, coalesce(o.event_type, n.event_type) AS event_type, CAST(epoch_us(coalesce(o.ts, n.ts)) AS BIGINT) AS ts_us FROM n LEFT JOIN o USING (user_id)")
+def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest event of each user, replaced where a newer scan has one of its own."""
+    events = _table(spark, sf_dir, "events")
+    newest = lambda e: e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+    merged = C.merged_by_key(newest(events), newest(events.where("event_type <> 'purchase'")), "user_id")
+    return merged.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@_query("SELECT user_id, count(*) AS contexts, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS queries, bool_and(value > 5) AS complete FROM events GROUP BY user_id")
+def fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan is complete only if all of its parts are."""
+    events = _table(spark, sf_dir, "events")
+    return events.groupBy("user_id").agg(F.count("*").alias("contexts"), F.sum(F.bround("value").cast("long")).alias("queries"), F.bool_and(F.col("value") > 5).alias("complete"))
+
+
+@_query("WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS commands, bool_and(value > 5) AS complete FROM events GROUP BY user_id) SELECT user_id, commands, CASE WHEN complete THEN 'parsed' WHEN commands > 0 THEN 'topped' ELSE 'unknown' END AS state FROM e")
+def node_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each context is known."""
+    nodes = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("commands"), F.bool_and(F.col("value") > 5).alias("complete"))
+    return nodes.select("user_id", "commands", X.node_state(F.col("commands"), F.col("complete")).alias("state"))
+
+
+@_query("SELECT event_type, CASE WHEN after IS NULL THEN 'reset' WHEN value < 0 THEN 'rejected' WHEN after <> before THEN 'entered' ELSE 'executed' END AS outcome, count(*) AS n FROM (SELECT event_type, value, user_id % 3 AS before, nullif(user_id % 7, 6) AS after FROM events) GROUP BY ALL")
+def probe_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as probes: what came of each."""
+    probes = _table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") < 0, "% error").otherwise("fine").alias("answer"), (F.col("user_id") % 3).alias("before"), F.expr("nullif(user_id % 7, 6)").alias("after"))
+    return X.probe_outcomes(probes).groupBy("event_type", "outcome").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "WITH n AS (SELECT DISTINCT p_name AS command FROM part), k AS (SELECT command, CASE split_part(command, ' ', 1) WHEN 'green' THEN 0 WHEN 'red' THEN 1 ELSE 2 END AS hint FROM n) SELECT command, CAST(row_number() OVER (ORDER BY hint, len(string_split(command, ' ')), command) AS INTEGER) AS place FROM k"
+)
+def probe_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names in the order they would be tried."""
+    return C.probe_order(_table(spark, sf_dir, "part").select(F.col("p_name").alias("command")).distinct(), ["green", "red"]).select("command", F.col("place").cast("int").alias("place"))
+
+
+@_query("SELECT lang, CASE WHEN lang IN ('de', 'fr') THEN 'absent' ELSE 'unknown' END AS state, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY ALL")
+def missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents no label shows, absent where their language was refused."""
+    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    refused = X.rejected_verbs(spark.createDataFrame([("de x", "rejected"), ("fr", "rejected"), ("en", "entered")], "command string, outcome string"))
+    state = F.when(F.col("refused"), "absent").otherwise("unknown")
+    return docs.join(F.broadcast(refused.select(F.col("verb").alias("lang")).withColumn("refused", F.lit(True))), "lang", "left").groupBy("lang", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    """WITH RECURSIVE e AS (SELECT '' AS a, 'r' || r_regionkey AS b FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+w AS (SELECT '' AS node, 0 AS depth UNION ALL SELECT e.b, depth + 1 FROM w JOIN e ON e.a = w.node WHERE depth < 4) SELECT depth, count(*) AS nodes FROM w GROUP BY depth"""
+)
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by depth of a walk over region, nation, customer and order."""
+    t = lambda n: _table(spark, sf_dir, n)
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = (
+        t("region").select(F.lit("").alias("a"), key("r", "r_regionkey").alias("b")).union(t("nation").select(key("r", "n_regionkey"), key("n", "n_nationkey")))
+        .union(t("customer").select(key("n", "c_nationkey"), key("c", "c_custkey"))).union(t("orders").select(key("c", "o_custkey"), key("o", "o_orderkey")))
+    )
+    level = spark.createDataFrame([("",)], "node string")
+    counts = []
+    for depth in range(5):  # the depth bound of the walk; a tree needs no visited set
+        counts.append(level.agg(F.count("*").alias("nodes")).select(F.lit(depth).alias("depth"), "nodes"))
+        level = level.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+# -- manuals ------------------------------------------------------------------------------------
+
+
+@_query(
+    r"""WITH w AS (SELECT t, count(*) AS seen FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents) GROUP BY t), c AS (SELECT t, seen, unnest(generate_series(3, length(t) - 3)) AS cut FROM w WHERE length(t) >= 6)
+SELECT t AS token, c.seen, min(cut) AS cut FROM c JOIN w h ON h.t = left(c.t, cut) AND h.seen >= 3 * c.seen JOIN w l ON l.t = substr(c.t, cut + 1) AND l.seen >= 3 * c.seen GROUP BY c.t, c.seen""".replace("SELECT t AS token", "SELECT c.t AS token")
+)
+def weld_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are two welded ones, judged by how often the halves stand alone."""
+    from .operators.manuals import weld_repairs
+
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("token"))
+    return weld_repairs(words.groupBy("token").agg(F.count("*").alias("seen"))).select("token", "seen", F.col("cut").cast("long").alias("cut"))
+
+
+@_query("WITH g AS (SELECT source, count(*) AS cards, count(l.doc_id) AS structured FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source) SELECT source, cards, structured, cards >= 20 AND structured * 10 >= cards * 4 AS qualifies FROM g")
+def card_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources regular enough to be read card by card."""
+    from .operators.manuals import card_gate as gate
+
+    cards = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("structured")), "doc_id", "left").select("source", F.coalesce("structured", F.lit(False)).alias("structured"))
+    return gate(cards, ["source"], min_cards=20, min_share=0.4).select("source", "cards", "structured", "qualifies")
+
+
+@_query("WITH g AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 5) SELECT lang, min(source) AS profile, max(n) AS most FROM g GROUP BY lang")
+def profile_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first qualifying profile of each language."""
+    counts = _table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).where("n >= 5")
+    return counts.groupBy("lang").agg(F.min("source").alias("profile"), F.max("n").alias("most"))
+
+
+# -- matching configurations --------------------------------------------------------------------
+
+_PATTERNS = ["goldenrod <word>", "<first> <second>", "blue <word>", "almond antique"]
+
+
+def _matched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.split("p_name", " ").alias("tokens"))
+    patterns = spark.createDataFrame(list(enumerate(_PATTERNS)), "place int, command string")
+    return G.match_commands(asked, patterns)
+
+
+_MATCHED = "SELECT p_partkey, CASE WHEN len(w) <> 2 THEN NULL WHEN w[1] = 'goldenrod' THEN 'goldenrod <word>' WHEN w[1] = 'blue' THEN 'blue <word>' WHEN w[1] = 'almond' AND w[2] = 'antique' THEN 'almond antique' ELSE '<first> <second>' END AS command FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)"
+
+
+@_query(f"SELECT * FROM ({_MATCHED}) WHERE command IS NOT NULL")
+def trie_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command each part name is an instance of."""
+    return _matched_parts(spark, sf_dir).select(F.col("key").alias("p_partkey"), "command")
+
+
+@_query(f"SELECT count(*) AS lines, count(*) FILTER (command <> '<first> <second>') AS matched, count(*) FILTER (command = '<first> <second>') AS matched_elsewhere, count(*) FILTER (command IS NULL) AS unmatched, round(count(command) / count(*), 4) AS coverage FROM ({_MATCHED})")
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many part names the patterns explain."""
+    told = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).join(_matched_parts(spark, sf_dir), "key", "left")
+    status = F.when(F.col("command").isNull(), "unmatched").when(F.col("command") == "<first> <second>", "matched_elsewhere").otherwise("matched")
+    return G.coverage(told.select(F.lit("d").alias("device"), status.alias("status"))).drop("device", "free_text")
