@@ -72,7 +72,7 @@ def test_later_documents_lose_shared_blocks(spark):
 def test_first_holder_keeps_every_line(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(line(rng.randint(0, 40)) if rng.random() < 0.7 else line(1000 + 50 * i + j) for j in range(rng.randint(1, 9)))) for i in range(120)]
-    rows += [(200 + i, "\n".join([line(5), line(3000 + i), line(5)])) for i in range(60)]
+    rows += [(200 + i, "\n".join([line(5), line(90_000 + i), line(5)])) for i in range(60)]
     got = run(spark, rows)
     texts = dict(rows)
     held = {x for t in texts.values() for x in t.split("\n")}
