@@ -64,10 +64,12 @@ def contents_commands(lines: DataFrame) -> DataFrame:
 
 
 def joined_wraps(lines: DataFrame, group: list[str]) -> DataFrame:
-    """Lines after one that ends in a dash, a bar or a backslash belong to it: one row per whole
-    line, with the number of its first."""
+    """Lines after one that ends in a dash, a bar or a backslash, or that leaves a bracket open,
+    belong to it: one row per whole line, with the number of its first."""
     over = Window.partitionBy(*group).orderBy("n")
-    goes_on = F.coalesce(F.lag("line").over(over).rlike(r"[-|\\]\s*$"), F.lit(False))
+    balance = F.length(F.regexp_replace("line", r"[^\[{]", "")) - F.length(F.regexp_replace("line", r"[^\]}]", ""))
+    still_open = F.coalesce(F.sum(balance).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+    goes_on = F.coalesce(F.lag("line").over(over).rlike(r"[-|\\]\s*$"), F.lit(False)) | still_open
     islands = lines.withColumn("starts", (~goes_on).cast("int")).withColumn("island", F.sum("starts").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: F.trim(x["line"]))
     whole = F.aggregate(parts, F.lit(""), lambda acc, p: F.when((acc == "") | acc.rlike(r"\w-$"), F.concat(acc, p)).otherwise(F.concat(F.regexp_replace(acc, r"\s*\\$", ""), F.lit(" "), p)))

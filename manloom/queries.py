@@ -229,14 +229,14 @@ def token_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    r"""WITH k AS (SELECT doc_id, i - 1 AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, translate(text, '=:', '  ') AS text FROM documents))),
+    r"""WITH k AS (SELECT doc_id, i - 1 AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, translate(replace(text, 'token', 'secret'), '=:_', '   ') AS text FROM documents))),
 v AS (SELECT doc_id, line_no, l, list_filter(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM k WHERE regexp_matches(l, '(?i)(password|secret|community|pre-shared|psk|key|certificate|cipher)')),
 p AS (SELECT *, list_filter(generate_series(1, len(w)), lambda i: i < len(w) AND list_contains(['password','secret','community','pre-shared','psk','key','key-string','authentication-key','shared-key','private-key','certificate','cipher'], lower(w[i])))[1] AS cut FROM v)
 SELECT doc_id, line_no, array_to_string(w[1:cut], ' ') || ' <redacted>' AS line FROM p WHERE cut IS NOT NULL"""
 )
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a secret word and what is left of them."""
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "=:", "  "), "\n")).alias("line_no", "l"))
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.translate(F.replace("text", F.lit("token"), F.lit("secret")), "=:_", "   "), "\n")).alias("line_no", "l"))
     told = lines.where(F.col("l").rlike("(?i)(password|secret|community|pre-shared|psk|key|certificate|cipher)")).withColumn("line", T.secrets_blanked(F.trim("l")))
     return told.where(F.endswith("line", F.lit(" <redacted>"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
