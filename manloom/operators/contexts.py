@@ -82,3 +82,14 @@ def block_listing(commands: DataFrame, contexts: DataFrame, most: int = 200) ->
     numbered = ups.join(lead, "lead").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("command")))
     listed = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("command"))))
     return numbered.groupBy("name").agg(listed.alias("listed"), F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+
+
+def map_rows(contexts: DataFrame, expanded: list[str] | None = None) -> DataFrame:
+    """The map drawn depth first: ``(name, depth, label, state, badge)`` in order of path; with
+    ``expanded`` only rows all of whose ancestors are among it."""
+    told = contexts.select("name", "commands", "complete").join(rollups(contexts).select("name", "badge"), "name")
+    if expanded is not None:
+        ups = F.filter(ancestors(F.col("name")), lambda a: a != F.col("name"))
+        told = told.where(F.forall(ups, lambda a: a.isin(expanded)) if expanded else F.size(ups) == 0)
+    rows = told.select("name", (F.size(F.split("name", "/")) - 1).alias("depth"), T.block_label(F.col("name")).alias("label"), node_state(F.col("commands"), F.col("complete")).alias("state"), "badge")
+    return rows.orderBy(F.split("name", "/"))

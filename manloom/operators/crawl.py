@@ -203,3 +203,55 @@ def verify_copies(copies_of: DataFrame, shapes: DataFrame, limits: Limits) -> tu
     held = spread.join(shapes.select(F.col("prefix").alias("query_prefix"), F.col("signature").alias("now")), "query_prefix", "left")
     r = held.agg(F.count("*").alias("n"), F.count_if(~F.col("now").eqNullSafe(F.col("signature"))).alias("bad")).first()
     return r["n"], r["bad"]
+
+
+def reachable(contexts: DataFrame, probes: DataFrame, *, root: str = "root", max_contexts: int = 1000, max_depth: int = 16) -> DataFrame:
+    """``(name, depth)``: contexts that probes lead to from the root, nearest first, up to a number.
+
+    ``probes(context, command, outcome, child)``; only entered ones lead on."""
+    edges = keep(probes.where("outcome = 'entered'").select(F.col("context").alias("name"), "child").distinct(), "context-edges")
+    level = contexts.where(F.col("name") == root).select("name")
+    found = keep(level.withColumn("depth", F.lit(0)), "contexts-found")
+    for depth in range(1, max_depth):
+        level = level.join(edges, "name").select(F.col("child").alias("name")).distinct().join(contexts.select("name"), "name", "left_semi").join(found.select("name"), "name", "left_anti")
+        level = keep(level, "contexts-level")
+        if level.isEmpty():
+            break
+        found = keep(found.unionByName(level.withColumn("depth", F.lit(depth))), "contexts-found")
+    return found.orderBy("depth", "name").limit(max_contexts)
+
+
+def walk_contexts(help_rows: DataFrame, contexts: DataFrame, probes: DataFrame, limits: Limits = Limits(), *, root: str = "root", max_contexts: int = 1000, skim: bool = False) -> tuple[Walk, DataFrame]:
+    """Walks the help of every reachable context at once: ``help_rows(context, prefix, output)``.
+
+    Returns the walk, its commands led by their context's entry path, and ``(name, commands,
+    complete)`` per context.  ``skim`` looks at the first two levels only.
+    """
+    names = reachable(contexts, probes, root=root, max_contexts=max_contexts)
+    marked = keep(placed(names.join(contexts.select("name", F.array_join("entry_path", " ").alias("lead")), "name"), [F.col("depth"), F.col("name")]).withColumn("mark", F.concat(F.lit("@"), F.col("place").cast("string"))), "contexts-marked")
+    rows = help_rows.join(marked.select(F.col("name").alias("context"), "mark"), "context").select(F.trim(F.concat_ws(" ", "mark", "prefix")).alias("prefix"), "output")
+    seeds = [r["mark"] for r in marked.select("mark").collect()]  # at most max_contexts
+    depth = 3 if skim else limits.max_depth + 1  # the mark is one word
+    done = walk(rows, seeds, limits=Limits(**{**limits.__dict__, "max_depth": depth}), include_root=False)
+
+    def led(df: DataFrame, column: str) -> DataFrame:
+        told = df.withColumn("mark", F.regexp_extract(column, r"^(@\d+)", 1)).join(marked.select("mark", "name", "lead"), "mark")
+        return told.withColumn(column, F.trim(F.concat_ws(" ", "lead", F.regexp_replace(column, r"^@\d+ ?", "")))).drop("mark", "lead")
+
+    commands = led(done.commands.where(F.col("command").contains(" ")), "command")
+    per = marked.select("name").join(commands.groupBy("name").agg(F.count("*").alias("commands")), "name", "left")
+    per = per.select("name", F.coalesce("commands", F.lit(0)).alias("commands"), F.lit(bool(done.totals["complete"]) and not skim).alias("complete"))
+    merged = commands.groupBy("command").agg(F.max("description").alias("description"), F.bool_or("executable").alias("executable"), F.first("sources").alias("sources"))
+    return Walk(merged, led(done.children, "command"), led(done.enumerated, "prefix").select("prefix").distinct(), done.derived, done.totals), per
+
+
+def with_harvest(candidates: DataFrame, harvested: DataFrame, denied: list[str]) -> DataFrame:
+    """``(head, command)`` to try: those of the help surface, and configured lines under heads that
+    the surface has, if allowed and not there already.  Bare placeholders that a line now covers
+    are left out."""
+    lines = harvested.select("head", F.explode("entries").alias("command")).where(T.is_probe_allowed(F.col("command"), denied))
+    heads = candidates.select("head").distinct()
+    more = lines.join(heads, "head", "left_semi").join(candidates.select("command"), "command", "left_anti").distinct()
+    open_ended = T.option_kind(F.element_at(T.words(F.col("command")), -1)) == "parameter"
+    covered = candidates.where(open_ended).join(more.select("head").distinct(), "head", "left_semi")
+    return candidates.join(covered.select("command"), "command", "left_anti").select("head", "command").unionByName(more.select("head", "command"))

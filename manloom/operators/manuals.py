@@ -195,3 +195,53 @@ def measurement(card_rows: DataFrame, marked: DataFrame) -> DataFrame:
     whole = marked.agg(F.count("*").alias("all"))
     reasons = marked.groupBy("reason").agg(F.count("*").alias("n")).join(F.broadcast(whole)).select(F.concat(F.lit("reason "), F.col("reason")).alias("measure"), "n", F.round(100 * F.col("n") / F.col("all"), 1).alias("percent"))
     return told.unionByName(reasons)
+
+
+_FORMAT_HEAD = r"(?i)^\s*(?:command\s+format|command\s+form|command\s+syntax|syntax|формат\s+команды|синтаксис)\s*:?\s*$"
+_END_HEAD = r"^\s*(?=\p{Lu})(?i:parameters?|command\s+function|command\s+view|default(?:\s+value)?|usage\s+example|command\s+guidance|description|note|параметр(?:ы|ов)?|описание|функция|режим|значение|пример|примечание)\b"
+_SECTION = r"^\s*\d+(?:\.\d+)+\s+([a-z][^\r\n.]*?)\s*$"
+_BULLET = "^\\s*(?:[•●▪◦∙·‣▫○▸➢]\\s*|[-*]\\s+)"
+_NOISE = r"(?i)^(?:chapter\b|table\s+of\b|содержание\b|руководство\b)"
+
+
+def syntax_root(form: Column) -> Column:
+    """First word of a form in lower case, after a negation the second."""
+    tokens = T.words(F.lower(form))
+    return F.coalesce(F.when(F.coalesce(F.get(tokens, F.lit(0)).isin(*T.NEGATIONS), F.lit(False)), F.get(tokens, F.lit(1))).otherwise(F.get(tokens, F.lit(0))), F.lit(""))
+
+
+def looks_like_syntax(line: Column) -> Column:
+    bare = F.trim(line)
+    return bare.rlike(r"^[a-z][\x20-\x7e]*$") & ~bare.contains("#") & ~bare.rlike(_NOISE) & ~bare.rlike(r"[.,:;]$")
+
+
+def structured_syntax(lines: DataFrame) -> DataFrame:
+    """``(doc, n, line)`` -> ``(doc, n, syntax)`` of manuals that print a heading over each format.
+
+    A format block runs from its heading to the next one or to the heading of another part.  Its
+    wrapped lines are joined, and a form counts if it begins like the command of its numbered
+    section, where there is one.
+    """
+    line = F.col("line")
+    over = Window.partitionBy("doc").orderBy("n")
+    bare = F.trim(F.regexp_replace(line, _BULLET, ""))
+    told = lines.withColumn("bare", bare).where("bare <> ''").withColumn("opens", line.rlike(_FORMAT_HEAD))
+    titled = F.coalesce(F.lag("line").over(over).rlike(r"^\s*\d+(?:\.\d+)+\s*$"), F.lit(False))
+    title = F.when(line.rlike(_SECTION), F.regexp_extract(line, _SECTION, 1)).when(titled & looks_like_syntax(F.regexp_replace("bare", r"(?i)\s+(?:command|команда)\s*$", "")), F.regexp_replace("bare", r"(?i)\s+(?:command|команда)\s*$", ""))
+    told = told.withColumn("title", title).withColumn("root", F.coalesce(F.last(F.when(F.col("title").isNotNull(), syntax_root(F.col("title"))), ignorenulls=True).over(_up_to()), F.lit("")))
+    state = F.when(F.col("opens"), True).when(line.rlike(_END_HEAD), False)
+    told = told.withColumn("inside", F.coalesce(F.last(state, ignorenulls=True).over(_up_to()), F.lit(False))).withColumn("block", F.sum(F.col("opens").cast("int")).over(_up_to()))
+    body = told.where(F.col("inside") & ~F.col("opens") & F.col("title").isNull() & ~F.col("bare").rlike(_NOISE))
+    forms = joined_wraps(body.select("doc", "block", "root", "n", F.col("bare").alias("line")), ["doc", "block", "root"])
+    kept = forms.where(looks_like_syntax(F.col("line")) & ((F.col("root") == "") | (syntax_root(F.col("line")) == F.col("root"))))
+    return kept.select("doc", "n", F.col("line").alias("syntax"))
+
+
+def pick_profile(lines: DataFrame, headings: dict[str, str], sections: dict[str, list[str]], *, min_cards: int = 20, min_share: float = 0.9) -> DataFrame:
+    """``(doc, profile)``: the first of the named heading patterns whose cards make the document
+    regular enough; documents that suit none are left out."""
+    parts = []
+    for place, (name, heading) in enumerate(headings.items()):
+        each = cards(lines, heading, sections).groupBy("doc", "card").agg(F.bool_or(F.col("part") == "syntax").alias("structured"))
+        parts.append(card_gate(each, ["doc"], min_cards=min_cards, min_share=min_share).where("qualifies").select("doc", F.struct(F.lit(place).alias("place"), F.lit(name).alias("name")).alias("p")))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.min("p")["name"].alias("profile"))

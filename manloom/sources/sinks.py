@@ -53,3 +53,14 @@ def config_tree(matched: DataFrame) -> DataFrame:
     same = Window.partitionBy("device", "path").orderBy("seq")
     label = F.when(F.row_number().over(same) > 1, F.concat("text", F.lit(" (line "), F.col("number").cast("string"), F.lit(")"))).otherwise(F.col("text"))
     return matched.select("device", "seq", (F.size("path") - 1).alias("depth"), label.alias("label"), "status")
+
+
+def read_catalog(spark, path: str, form: str = "json") -> DataFrame | None:
+    """A written catalog, or None where there is none that can be read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        held = spark.read.format(form).load(path)
+    except AnalysisException:
+        return None
+    return held if {"command", "description"} <= set(held.columns) else None

@@ -107,3 +107,33 @@ def test_streamed_transcripts_replay_idempotently(spark, tmp_path):
     run()
     run()
     assert rows(S.latest_options(spark, str(tmp_path / "out")), "prefix", "token") == [("show", "mac")]
+
+
+def test_structured_manual(spark):
+    text = "1.2 vlan\nCommand format\n• vlan <id> {a|\nb}\nundo vlan\nport x\nParameters\nvlan no\n1.3\nmirror command\nSyntax:\nmirror [ x\ny ]\n"
+    lines = M.doc_lines(spark.createDataFrame([("d", text)], "doc string, text string"))
+    assert [r[0] for r in rows(M.structured_syntax(lines), "syntax")] == ["mirror [ x y ]", "undo vlan", "vlan <id> {a| b}"]
+    cards = M.doc_lines(spark.createDataFrame([("d", "".join(CARD.format(i=i, w=w) for i, w in enumerate(WORDS)))], "doc string, text string"))
+    picked = M.pick_profile(cards, {"chapter": r"^Chapter (.+)$", "numbered": runs.CardProfile().heading}, {"syntax": ["command syntax"], "parameters": ["parameters"]}, min_cards=3)
+    assert rows(picked, "doc", "profile") == [("d", "numbered")]
+
+
+def test_contexts_are_walked_together(spark):
+    h = [("root", "", "  show   s\n  vlan   v\n"), ("root", "show", "  <cr>\n"), ("root", "vlan", "  <cr>\n"), ("root/vlan", "", "  name   n\n"), ("root/vlan", "name", "  <cr>\n"), ("root/far", "", "  x   x\n")]
+    contexts = spark.createDataFrame([("root", []), ("root/vlan", ["vlan 1"]), ("root/far", ["far"])], "name string, entry_path array<string>")
+    probes = spark.createDataFrame([("root", "vlan 1", "entered", "root/vlan"), ("root", "far", "rejected", "root/far")], "context string, command string, outcome string, child string")
+    done, per = W.walk_contexts(spark.createDataFrame(h, "context string, prefix string, output string"), contexts, probes)
+    assert rows(done.commands, "command") == [("show",), ("vlan",), ("vlan 1 name",)]
+    assert rows(per, "name", "commands", "complete") == [("root", 2, True), ("root/vlan", 1, True)]
+    surface = spark.createDataFrame([("vlan", "vlan <1-9>"), ("show", "show arp")], "head string, command string")
+    lines = spark.createDataFrame([("vlan", ["vlan 7"]), ("other", ["other 1"]), ("show", ["show arp"])], "head string, entries array<string>")
+    assert rows(W.with_harvest(surface, lines, []), "command") == [("show arp",), ("vlan 7",)]
+
+
+def test_map_rows_and_reload(spark, tmp_path):
+    from manloom.operators import contexts as X
+
+    ctx = spark.createDataFrame([("root", 5, 10, True), ("root/b", 2, 20, False), ("root/b/c", 0, 0, False), ("root/a", 0, 1, True)], "name string, commands int, queries int, complete boolean")
+    assert [(r.label, r.depth, r.state) for r in X.map_rows(ctx).collect()] == [("root", 0, "parsed"), ("a", 1, "parsed"), ("b", 1, "topped"), ("c", 2, "unknown")]
+    assert [r.label for r in X.map_rows(ctx, ["root"]).collect()] == ["root", "a", "b"]
+    assert sinks.read_catalog(spark, str(tmp_path / "none")) is None
