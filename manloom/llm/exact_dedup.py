@@ -133,7 +133,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pending, settled = found.select("doc_id", "digest", "n_bytes", "fp"), []
     while True:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
-        groups = pending.groupBy("fp", "n_bytes").agg(first.alias("keeper"), F.count("*").alias("k")).where("k > 1")
+        # written apart, so that both sides of the join are plain shuffles and a huge group can be split
+        groups = keep(pending.groupBy("fp", "n_bytes").agg(first.alias("keeper"), F.count("*").alias("k")).where("k > 1"), "exact-groups")
         members = pending.join(groups, ["fp", "n_bytes"]).select("doc_id", "digest", "n_bytes", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.digest").alias("keep_digest"), "k")
         checked = keep(_compared(rows, members, chunk, slice_rows), "exact-checked")
         settled.append(checked.where("same").drop("same"))
@@ -149,12 +150,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("s.keep_digest").isNull(), F.col("f.doc_id")).otherwise(F.col("s.keep_id")).alias("keep_id"),
         F.coalesce("s.keep_digest", "f.digest").alias("keep_digest"),
     )
-    sizes = by_row.groupBy("keep_id", "keep_digest").agg(F.sum("copies").alias("group_size"))
+    by_row = keep(by_row, "exact-rows")
+    sizes = keep(by_row.groupBy("keep_id", "keep_digest").agg(F.sum("copies").alias("n")).where("n > 1"), "exact-sizes")
     same_group = F.col("r.keep_id").eqNullSafe(F.col("z.keep_id")) & (F.col("r.keep_digest") == F.col("z.keep_digest"))
     return (
         by_row.alias("r")
-        .join(sizes.alias("z"), same_group)
-        .select("r.doc_id", "r.keep_id", "z.group_size", "r.digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.copies"))).alias("copy"))
+        .join(sizes.alias("z"), same_group, "left")
+        .select("r.doc_id", "r.keep_id", F.coalesce("z.n", F.lit(1)).alias("group_size"), "r.digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.copies"))).alias("copy"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
     )
 
