@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 LINE_BREAK = r"[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: What a line of an answer may be.
 _ERROR = r"(?i)^(?:%|\^|error\b|invalid\b|unrecognized\b|unknown\b|ambiguous\b|incomplete\b|syntax\s+error\b|bad\s+command\b|command\s+not\s+found\b)"
 _HEADER = r"(?i)^(?:possible\s+completions|available\s+(?:commands|options)|commands|options)\s*:\s*$"
 _PAGER = r"(?i)--+\s*more\s*--+|press\s+(?:any\s+key|space)|\(\s*q\s*\)\s*uit"

@@ -15,6 +15,7 @@ from ..functions import text as T
 
 #: Fence languages that hold no command line.
 CODE_LANGUAGES = "python py python3 ruby perl go rust c cpp java js javascript ts typescript yaml yml json toml ini xml html css diff patch sql make makefile dockerfile".split()
+#: Marks of tables, prompts, labels and columns in manuals.
 _FENCE = r"^\s*(?:```|~~~)"
 _TABLE_HEAD = r"(?i)^\s*\|\s*`?\s*(?:command|syntax|cli|команда|синтаксис)\b"
 _TABLE_ROW = r"^\s*\|\s*`?([a-zA-Z][^|`]+)`?\s*\|\s*([^|]+)"
@@ -197,6 +198,7 @@ def measurement(card_rows: DataFrame, marked: DataFrame) -> DataFrame:
     return told.unionByName(reasons)
 
 
+#: Headings, bullets and running titles of structured manuals.
 _FORMAT_HEAD = r"(?i)^\s*(?:command\s+format|command\s+form|command\s+syntax|syntax|формат\s+команды|синтаксис)\s*:?\s*$"
 _END_HEAD = r"^\s*(?=\p{Lu})(?i:parameters?|command\s+function|command\s+view|default(?:\s+value)?|usage\s+example|command\s+guidance|description|note|параметр(?:ы|ов)?|описание|функция|режим|значение|пример|примечание)\b"
 _SECTION = r"^\s*\d+(?:\.\d+)+\s+([a-z][^\r\n.]*?)\s*$"

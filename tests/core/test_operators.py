@@ -21,7 +21,7 @@ def test_scalars(spark):
     assert of(spark, [" show  version ", "`vlan 1`", "Show", "a b.", "what ?", "ping a -> b", "ssh host", "", None, "a" * 600, " ".join("a" * 33), "é x"], T.command_verdict) == [
         "ok", "ok", "not a command", "sentence", "question", "arrow", "host tool", "empty", "empty", "too long", "too many words", "not printable ascii"]
     assert of(spark, ["Range 1 to 4094.", "1-4 or 1-4", "1-4 or 2-9", "10/100/1000", "none", "from 5-7"], T.numeric_domain) == ["1-4094", "1-4", None, None, None, "5-7"]
-    assert of(spark, ["sw1(config-if-10)#", "host>", "text", "[~HUAWEI-vlan10]"], T.fingerprint)[:3] == ["(config-if-*)#", ">", None]
+    assert of(spark, ["sw1(config-if-10)#", "host>", "text", "[~sw-vlan10]"], T.fingerprint)[:3] == ["(config-if-*)#", ">", None]
     assert of(spark, ["My Block/1!", "--", "vlan"], T.safe_name) == ["my-block-1", "block", "vlan"]
     assert of(spark, ["a\x1b[1mb\r\nxy\b\bz\b", "\b\bq"], T.terminal_cleaned) == ["ab\n", "q"]
     assert of(spark, ["<1-9>", "NAME", "name", "X"], lambda c: T.parameter_sample(c, {"NAME": "n1"})) == ["1", "n1", "n1", None]
