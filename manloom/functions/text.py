@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Fixed values.
 ENTER_MARKS = ("<cr>", "<return>", "<enter>", "<[enter]>", "[enter]")
@@ -172,21 +170,13 @@ def duration_badge(seconds: Column) -> Column:
     return F.when(seconds < 1, "<1s").otherwise(text)
 
 
-@F.pandas_udf(StringType())
-def _without_backspaces(text: pd.Series) -> pd.Series:
-    def typed(value: str) -> str:
-        kept: list[str] = []
-        for c in value:
-            if c != "\b":
-                kept.append(c)
-            elif kept and kept[-1] != "\n":
-                kept.pop()
-        return "".join(kept)
-
-    return text.map(typed)
+def _without_backspaces(line: Column) -> Column:
+    """A line as typed: each backspace takes the character before it."""
+    typed = F.aggregate(F.split(line, ""), F.lit(""), lambda kept, c: F.when(c == "\b", F.left(kept, F.length(kept) - 1)).otherwise(F.concat(kept, c)))
+    return F.when(line.contains("\b"), typed).otherwise(line)
 
 
 def terminal_cleaned(output: Column) -> Column:
     """Without escape sequences, carriage returns and what backspaces took away."""
     plain = F.regexp_replace(F.regexp_replace(F.coalesce(output, F.lit("")), _ANSI, ""), "\r", "")
-    return F.when(plain.contains("\b"), _without_backspaces(plain)).otherwise(plain)
+    return F.when(plain.contains("\b"), F.array_join(F.transform(F.split(plain, "\n"), _without_backspaces), "\n")).otherwise(plain)

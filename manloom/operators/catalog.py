@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import placed
 
 STATUSES = ("matched", "undocumented", "missing_on_device", "not_observed")
 
@@ -89,7 +90,7 @@ def probe_order(commands: DataFrame, hints: list[str]) -> DataFrame:
     """Adds ``place`` (from 1): hinted head words first in their order, then shorter, then by text."""
     rank = reduce(lambda acc, ih: F.when(T.head_word(F.col("command")) == ih[1], ih[0]).otherwise(acc), reversed(list(enumerate(hints))), F.lit(len(hints)))
     keys = commands.withColumn("hint", rank).withColumn("n_words", F.size(T.words(F.col("command"))))
-    return keys.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("hint", "n_words", "command"))).drop("hint", "n_words")
+    return placed(keys, [F.col("hint"), F.col("n_words"), F.col("command")]).drop("hint", "n_words")
 
 
 def merged_by_key(held: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
@@ -134,8 +135,8 @@ def systematic_sample(rows: DataFrame, order: list[str], limit: int) -> DataFram
     """Every ``step``-th row in order, ``limit`` of them, with ``step = max(1, n // limit)``."""
     n = rows.count()
     step = max(1, n // limit)
-    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(*order)) - 1)
-    return placed.where((F.col("_n") % step == 0) & (F.col("_n") < step * limit)).drop("_n")
+    numbered = placed(rows, [F.col(c) for c in order], "_n")
+    return numbered.where(((F.col("_n") - 1) % step == 0) & (F.col("_n") <= step * limit)).drop("_n")
 
 
 def first_per_group(rows: DataFrame, group: list[str], order: list[Column | str], most: int) -> DataFrame:
