@@ -171,7 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or on an empty table, nothing is removed.  Other columns are ignored whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    lines = keep(_line_table(rows.where("doc_id IS NOT NULL")), "line-hashes").dropDuplicates(["doc_id", "mark"])
+    lines = keep(_line_table(rows.where("doc_id IS NOT NULL")).dropDuplicates(["doc_id", "mark"]), "line-hashes")
     pairs = keep(shared_line_pairs(lines, line_words), "line-pairs")
     aligned = _aligned(pairs, lines, block_words)
     gone = aligned.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"), F.array_sort(F.collect_set("from_id")).alias("from_ids"))
