@@ -13,9 +13,10 @@ pairs; a bucket larger than ``block`` is compared as pairs of blocks in separate
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -43,16 +44,19 @@ def fingerprint(raw: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """One row ``(doc_id, fp)`` per input row, ``fp`` as a signed long.  Null text counts as empty."""
+def fingerprint_of(text: Column, width: int = 4) -> Column:
+    """Fingerprint of each text as a signed long.  Null text counts as empty."""
 
-    def each(batches):
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+    @F.pandas_udf("long")
+    def each(raws: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(r or b"", width) for r in raws], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return each(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """One row ``(doc_id, fp)`` per input row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(F.col(text_col), width).alias("fp"))
 
 
 def covering_masks(radius: int) -> list[int]:
