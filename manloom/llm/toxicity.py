@@ -203,8 +203,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     held = {r["at"]: r["n"] for r in vectors.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}
     n_docs = vectors.count()
     idf = np.array([np.log((1 + n_docs) / (1 + held.get(i, 0))) + 1 for i in range(len(terms))])
-    known = vectors.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id")).select("doc_id", "at", "tf", "label").toPandas()  # at most max_examples ids
-    known = known.drop_duplicates("doc_id").sort_values("doc_id")
+    known = vectors.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id")).groupBy("doc_id").agg(F.min(F.struct("at", "tf", "label")).alias("v"))
+    known = known.select("doc_id", "v.*").toPandas().sort_values("doc_id")  # at most max_examples rows
     empty = known["at"].map(len) == 0
     base = float((known.loc[empty, "label"].sum() + 0.5) / (empty.sum() + 5))
     model = ToxicityModel(terms, idf, None, base, k)
