@@ -29,9 +29,14 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near-duplicates."""
+    """The document with the smallest id of each component of near-duplicates.
+
+    Documents with a null id stay only where no document of their component has one, once per
+    fingerprint."""
     kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(docs.columns)
+    found = docs.withColumn("near_fp", simhash.fingerprint_of(F.col("text")))
+    found = found.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("near_fp") == F.col("kept_fp")))
+    return found.dropDuplicates(["doc_id", "near_fp"]).select(docs.columns)
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
