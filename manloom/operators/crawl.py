@@ -7,7 +7,7 @@ afterwards, and a sample of the copies is held against the recorded answers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,24 @@ class Limits:
     undescribed: bool = False
     error_words: bool = False
 
+    @classmethod
+    def checked(cls, given: dict) -> Limits:
+        """Limits from a mapping such as a parsed settings file.  Unknown names, wrong types, bounds
+        below 1 (samples and copies: 0) and samples that can't be typed are refused."""
+        known = {f.name: f for f in fields(cls)}
+        if unknown := sorted(set(given) - set(known)):
+            raise ValueError(f"unknown limits: {', '.join(unknown)}")
+        out = cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+        for name in known:
+            value, kind = getattr(out, name), type(getattr(cls(), name))
+            if type(value) is not kind:
+                raise ValueError(f"{name} must be of type {kind.__name__}")
+            if kind is int and value < (0 if name in ("verify_samples", "max_copies") else 1):
+                raise ValueError(f"{name} is too small: {value}")
+        if bad := sorted(k for k, v in out.samples.items() if not (isinstance(v, str) and v.isascii() and v.isprintable() and v.strip() and "?" not in v)):
+            raise ValueError(f"samples that can't be typed: {', '.join(bad)}")
+        return out
+
 
 @dataclass
 class Walk:

@@ -139,3 +139,12 @@ def test_walk_copies_like_subtrees(spark):
     assert cut.totals["queries"] == 3 and not cut.totals["complete"] and cut.totals["pending"] > 0
     shallow = crawl.walk(df, limits=crawl.Limits(max_depth=2))
     assert shallow.totals["skipped_depth"] > 0 and "show arp" in {r.command for r in shallow.commands.collect()}
+
+
+def test_limits_are_checked():
+    import pytest
+
+    assert crawl.Limits.checked({"max_depth": 3, "denied": ["reset"], "samples": {"NAME": "x"}}) == crawl.Limits(max_depth=3, denied=("reset",), samples={"NAME": "x"})
+    for bad in ({"depth": 1}, {"max_depth": 0}, {"max_depth": "3"}, {"samples": {"A": "a?"}}, {"deduplicate": 1}):
+        with pytest.raises(ValueError):
+            crawl.Limits.checked(bad)
