@@ -470,3 +470,216 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).join(_matched_parts(spark, sf_dir), "key", "left")
     status = F.when(F.col("command").isNull(), "unmatched").when(F.col("command") == "<first> <second>", "matched_elsewhere").otherwise("matched")
     return G.coverage(told.select(F.lit("d").alias("device"), status.alias("status"))).drop("device", "free_text")
+
+
+# -- summaries and text functions ---------------------------------------------------------------
+
+
+@_query("SELECT s.status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY s.status")
+def summary_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by state, with a row for a state that none has."""
+    return C.status_counts(_table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")), ("F", "O", "P", "X"))
+
+
+@_query("SELECT count(*) AS contexts, CAST(sum(p_size) AS BIGINT) AS commands, CAST(sum(2 * p_size) AS BIGINT) AS queries, bool_and(p_size < 50) AS complete FROM part")
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over parts as contexts; complete only if all are."""
+    size = F.col("p_size")
+    return C.scan_totals(_table(spark, sf_dir, "part").select(size.alias("commands"), (2 * size).alias("queries"), (size < 50).alias("complete")))
+
+
+@_query(
+    rf"""WITH {_LINES}, b AS (SELECT line AS command, min(lang) AS was FROM lines WHERE line <> '' AND CAST(regexp_extract(source, '(\d+)', 1) AS INTEGER) % 2 = 0 GROUP BY 1),
+a AS (SELECT line AS command, min(lang) AS now FROM lines WHERE line <> '' AND CAST(regexp_extract(source, '(\d+)', 1) AS INTEGER) % 2 = 1 GROUP BY 1)
+SELECT command, CASE WHEN now IS NULL THEN 'gone' WHEN was IS NULL THEN 'new' ELSE 'described differently' END AS change FROM b FULL JOIN a USING (command) WHERE was IS DISTINCT FROM now"""
+)
+def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even sources against those of odd ones, told by their language."""
+    lines = _lines(spark, sf_dir).where("line <> ''").withColumn("odd", _number(F.col("source")) % 2)
+    of = lambda odd: lines.where(F.col("odd") == odd).groupBy(F.col("line").alias("command")).agg(F.min("lang").alias("description"))
+    return C.catalog_diff(of(0), of(1))
+
+
+@_query(
+    "SELECT command, bool_or(x) AS executable, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM (SELECT lower(p_type) AS command, false AS x, 'documentation:types' AS src FROM part "
+    "UNION ALL SELECT 'configure ' || p_name, p_size > 25, 'cli' FROM part) GROUP BY command"
+)
+def merge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names below an entry path, put together with a catalog of part types."""
+    part = _table(spark, sf_dir, "part").withColumn("description", F.lit(""))
+    held = part.select(F.lower("p_type").alias("command"), "description", F.lit(False).alias("executable"), F.array(F.lit("documentation:types")).alias("sources"))
+    scanned = part.select(F.col("p_name").alias("command"), "description", (F.col("p_size") > 25).alias("executable"), F.array(F.lit("cli")).alias("sources"))
+    return C.merged_context(held, scanned, ["configure"]).select("command", "executable", F.array_join("sources", ",").alias("sources"))
+
+
+@_query(
+    """WITH s AS (SELECT o_orderkey, (o_orderkey % 1000) / 4.0 AS seconds FROM orders), r AS (SELECT *, CAST(round_even(seconds, 0) AS BIGINT) AS t FROM s)
+SELECT o_orderkey, CASE WHEN seconds < 1 THEN '<1s' WHEN t < 60 THEN '~' || t || 's' WHEN t % 60 = 0 THEN '~' || t // 60 || 'm' ELSE '~' || t // 60 || 'm' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || 's' END AS badge FROM r"""
+)
+def duration_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters of seconds as badges."""
+    return _table(spark, sf_dir, "orders").select("o_orderkey", T.duration_badge((F.col("o_orderkey") % 1000) / F.lit(4.0)).alias("badge"))
+
+
+@_query("SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(url), '[^a-z0-9_-]', '-', 'g'), '-'), ''), 'block') AS name FROM pages")
+def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names from addresses."""
+    return _table(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
+
+
+@_query("SELECT regexp_replace(w, '[0-9]+$', '') AS stem, count(*) AS n FROM (SELECT unnest(string_split(c_name || ' ' || 'seg' || c_custkey, ' ')) AS w FROM customer) GROUP BY 1")
+def token_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens without the number at their end."""
+    tokens = _table(spark, sf_dir, "customer").select(F.explode(F.split(F.concat("c_name", F.lit(" seg"), "c_custkey"), " ")).alias("w"))
+    return tokens.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT p_partkey, p_partkey % 5 <> 0 AND NOT list_has_any(string_split(lower(p_name), ' '), ['blue', 'antique']) AS allowed FROM part")
+def probe_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands without denied words; each fifth is a negation."""
+    command = F.concat(F.when(F.col("p_partkey") % 5 == 0, "no ").otherwise(""), F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", T.is_probe_allowed(command, ["blue", "antique"]).alias("allowed"))
+
+
+@_query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '<' || p_size || '-' || (p_size + 9) || '>' WHEN 1 THEN '<' || p_size || '-' || (p_size + 9) || '>' ELSE '<level>' END AS written,
+CASE WHEN p_partkey % 4 < 2 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 4 = 2 THEN '7' END AS typed FROM part"""
+)
+def range_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a placeholder is written as, by the range its description names, and what is typed for it."""
+    lo, hi, turn = F.col("p_size").cast("string"), (F.col("p_size") + 9).cast("string"), F.col("p_partkey") % 4
+    told = (
+        F.when(turn == 0, F.concat(F.lit("Level, range "), lo, F.lit("-"), hi, F.lit(".")))
+        .when(turn == 1, F.concat(F.lit("from "), lo, F.lit(" to "), hi))
+        .when(turn == 2, F.concat(lo, F.lit("-"), hi, F.lit(" or 100-200")))
+        .otherwise(F.concat(F.lit("address in "), lo, F.lit("-"), hi))
+    )
+    written = T.placeholder(F.lit("level"), told)
+    # what names two ranges is typed from a sample, an address from none
+    return _table(spark, sf_dir, "part").select("p_partkey", written.alias("written"), T.parameter_sample(F.when(turn == 3, "<address>").otherwise(written), {"<LEVEL>": "7"}).alias("typed"))
+
+
+@_query("SELECT p_partkey, p_name AS cleaned FROM part")
+def terminal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as a terminal coloured, mistyped and ended them."""
+    shown = F.concat(F.lit("\x1b[31m"), F.col("p_name"), F.lit("xy\b\b\x1b[0m\r"))
+    return _table(spark, sf_dir, "part").select("p_partkey", T.terminal_cleaned(shown).alias("cleaned"))
+
+
+# -- recorded answers and configurations --------------------------------------------------------
+
+
+@_query(
+    """SELECT 'c' || o_custkey AS prefix, 'o' || o_orderkey AS token, 'keyword' AS kind, o_orderpriority AS description FROM orders
+UNION ALL SELECT DISTINCT 'c' || o_custkey, '<cr>', 'cr', '' FROM orders UNION ALL SELECT DISTINCT 'c' || o_custkey, 'WORD', 'parameter', 'any name' FROM orders"""
+)
+def help_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that list a customer's orders, between a header, an error, a pager and a prompt."""
+    from .operators.help import parse_help
+
+    line = F.concat(F.lit("  o"), "o_orderkey", F.lit("  "), "o_orderpriority")
+    answers = _table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), "o_custkey").alias("prefix")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    output = F.concat(F.lit("sw# "), "prefix", F.lit(" ?\nPossible completions:\n"), "body", F.lit("\n  WORD\tany name\n  WORD  again\n  <cr>\n --More-- \n% Incomplete command\nsw#"))
+    return parse_help(answers.select("prefix", output.alias("output"))).select("prefix", "token", "kind", "description")
+
+
+_DUMPED = """c AS (SELECT n_name AS device, c_custkey, c_mktsegment, 3 * row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 2 AS i FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's customers as an indented configuration."""
+    rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    block = F.struct("c_custkey", F.concat(F.lit("#\ninterface "), "c_custkey", F.lit("\n segment "), "c_mktsegment").alias("block"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]), "\n")
+    return rows.groupBy(F.col("n_name").alias("device")).agg(F.concat(F.lit("sw# show run\n"), body, F.lit("\nend\nsw#")).alias("output")).withColumn("source_command", F.lit("show run"))
+
+
+@_query(f"WITH {_DUMPED} SELECT device, i AS number, 'interface ' || c_custkey AS path FROM c UNION ALL SELECT device, i + 1, 'interface ' || c_custkey || ' / segment ' || c_mktsegment FROM c")
+def config_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view path of every configured line; a bare mark at the top counts as a prompt, not a line."""
+    return G.config_lines(_dumps(spark, sf_dir)).select("device", F.col("number").cast("long").alias("number"), F.array_join("path", " / ").alias("path"))
+
+
+@_query(f"WITH {_DUMPED} SELECT device, 'interface' AS head, string_agg('interface ' || c_custkey, ',' ORDER BY i) AS entries FROM c WHERE i < 7 GROUP BY device")
+def harvest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two configured entries of each shape to try."""
+    return G.harvest(G.config_lines(_dumps(spark, sf_dir))).select("device", "head", F.array_join("entries", ",").alias("entries"))
+
+
+@_query(
+    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'free-text' WHEN c_custkey % 3 = 0 THEN 'unmatched' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'matched' ELSE 'matched_elsewhere' END AS status,
+CASE WHEN c_acctbal < 0 OR c_custkey % 3 = 0 THEN NULL WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN lower(c_mktsegment) || ' client <id>' ELSE 'client <id>' END AS command FROM customer"""
+)
+def correlate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured customers matched with their view, without it, or not at all."""
+    own = F.concat(F.when(F.col("c_custkey") % 3 == 0, "other ").otherwise("client "), F.col("c_custkey"))
+    lines = _table(spark, sf_dir, "customer").select(
+        F.lit("d").alias("device"), F.col("c_custkey").alias("seq"), own.alias("text"), F.array(F.lower("c_mktsegment"), own).alias("path"), (F.col("c_acctbal") < 0).alias("verbatim")
+    )
+    commands = spark.createDataFrame([(0, "building client <id>"), (1, "machinery client <id>"), (2, "client <id>")], "place int, command string")
+    prefixes = spark.createDataFrame([(0, []), (1, ["configure"])], "place int, tokens array<string>")
+    return G.correlate(lines, commands, prefixes).select(F.col("seq").alias("c_custkey"), "status", "command")
+
+
+@_query("SELECT lower(c_mktsegment) AS name, least(count(*), 200) AS listed, min(lower(c_mktsegment) || ' ' || c_name) AS first, greatest(count(*) - 200, 0) AS more FROM customer GROUP BY 1")
+def block_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 200 commands of each block, and how many follow."""
+    customer = _table(spark, sf_dir, "customer").withColumn("name", F.lower("c_mktsegment"))
+    commands = customer.select(F.concat_ws(" ", "name", "c_name").alias("command"), F.array(F.lit("cli")).alias("sources"))
+    told = X.block_listing(commands, customer.select("name", F.array("name").alias("entry_path")).distinct())
+    return told.select("name", F.size("listed").cast("long").alias("listed"), F.col("listed")[0].alias("first"), F.col("more").cast("long").alias("more"))
+
+
+# -- printed manuals ----------------------------------------------------------------------------
+
+
+@_query("SELECT p_partkey AS doc, p_name AS command FROM part WHERE p_partkey % 2 = 0")
+def contents_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of a table of contents; each second line is no entry."""
+    from .operators.manuals import contents_commands as read
+
+    number = F.concat(F.lit("1."), F.col("p_partkey"))
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat(number, F.lit(" "), "p_name", F.lit(" (all models) ........ "), "p_size")).otherwise(F.concat(number, F.lit(" "), "p_name"))
+    return read(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.lit(0).alias("n"), line.alias("line"))).select("doc", "command")
+
+
+def _manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a size as the cards of one manual."""
+    from .operators.manuals import cards, doc_lines
+
+    name = F.col("p_name")
+    text = F.concat(
+        F.lit("### set "), name, F.lit("\n**Syntax**\n```\nset "), name, F.lit(" <level>\n```\n**Parameters**\n```\nlevel     Step "), F.col("p_partkey").cast("string"),
+        F.lit("\n          of the scale\n```\n**Purpose**\nset "), name, F.lit(" - "), F.col("p_type"), F.lit("\n**Notes**\nnothing"),
+    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda x: x["text"]), "\n")
+    docs = _table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("doc")).agg(joined.alias("text"))
+    return cards(doc_lines(docs), r"^### (.+)$", {"syntax": ["Syntax"], "parameters": ["Parameters"], "purpose": ["Purpose"]})
+
+
+_CARDS = "c AS (SELECT CAST(p_size AS BIGINT) AS doc, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS card, * FROM part)"
+
+
+@_query(
+    f"WITH {_CARDS} SELECT doc, card, 'set ' || p_name AS command, 'syntax' AS part, 'set ' || p_name || ' <level>' AS line FROM c UNION ALL SELECT doc, card, 'set ' || p_name, 'parameters', 'level     Step ' || p_partkey FROM c "
+    "UNION ALL SELECT doc, card, 'set ' || p_name, 'parameters', '          of the scale' FROM c UNION ALL SELECT doc, card, 'set ' || p_name, 'purpose', 'set ' || p_name || ' - ' || p_type FROM c"
+)
+def card_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each card's parts."""
+    return _manuals(spark, sf_dir).select("doc", F.col("card").cast("long").alias("card"), "command", "part", "line")
+
+
+@_query(f"WITH {_CARDS} SELECT doc, card, 'level' AS name, 'Step ' || p_partkey || ' of the scale' AS description FROM c")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters with their descriptions, put together over lines."""
+    from .operators.manuals import parameter_rows
+
+    return parameter_rows(_manuals(spark, sf_dir)).select("doc", F.col("card").cast("long").alias("card"), "name", "description")
+
+
+@_query(f"WITH {_CARDS} SELECT doc, card, p_type AS description FROM c")
+def purpose_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each card's command is for, its own words taken off."""
+    from .operators.manuals import purposes
+
+    return purposes(_manuals(spark, sf_dir)).select("doc", F.col("card").cast("long").alias("card"), "description")
