@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment of documents that share lines.
 
-A line that several documents hold pairs each of them with its first holder only, so a line that
-a third of all documents share gives one pair per document, not one per pair of them; a document
-meets the partners of all its lines.  Each pair is aligned by patience diff over line hashes:
-lines unique on both sides, in longest increasing order, widened while neighbours agree, and again
-within every gap.  Blocks that moved or repeat are then aligned by themselves.  Aligned blocks of enough words are deleted from the later document; the first
-holder of a line never loses it.
+Anchors are runs of whole lines that just reach so many words: from every line that is not blank
+onward, and back from it; a long line is an anchor by itself, short ones are together with their
+neighbours.  An anchor that several documents hold pairs each of them with its first holder only, so
+a line that a third of all documents share gives one pair per document, not one per pair of them; a
+document meets the partners of all its anchors.  Each pair is aligned by patience diff over line
+hashes: lines unique on both sides, in longest increasing order, widened while neighbours agree, and
+again within every gap.  Blocks that moved or repeat are then found by their runs.  Aligned blocks of
+enough words are deleted from the later document; the first holder of a block never loses it.
 """
 
 from __future__ import annotations
@@ -30,6 +32,33 @@ def hashed_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.array([len(w) for w in words], np.int32)
 
 
+_ODD = 0x9E3779B97F4A7C17  # 3 modulo 4, so that neighbours that change places change the hash
+_BACK = pow(_ODD, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, hash)`` of the runs of lines that just reach ``least`` words: onward from every
+    line that is not blank, and back from it.  A line of ``least`` words gives itself.
+
+    Blocks of at least ``least`` words that two texts share hold the same runs, and these cover all
+    of their lines but blank ones at the edges."""
+    n, least = len(words), max(1, least)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    told = np.flatnonzero(np.asarray(words) > 0)
+    onward = np.searchsorted(total, total[told] + least)  # the first end with enough words
+    back = np.searchsorted(total, total[told + 1] - least, "right") - 1  # the last start with enough
+    fits = onward <= n
+    start, end = np.concatenate([told[fits], back[back >= 0]]), np.concatenate([onward[fits], told[back >= 0] + 1])
+    pairs = np.unique(np.stack([start, end]), axis=1)
+    sums = np.concatenate([np.zeros(1, np.uint64), (np.asarray(hashes, np.int64).view(np.uint64) * _powers(_ODD, n)[:n]).cumsum(dtype=np.uint64)])
+    found = (sums[pairs[1]] - sums[pairs[0]]) * _powers(_BACK, n)[pairs[0]]
+    return pairs[0], pairs[1], found.view(np.int64)
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest run of pairs, sorted by their first part, whose second parts increase."""
     tops: list[int] = []
@@ -96,49 +125,36 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def aligned_lines(a: list[int], b: list[int], words: np.ndarray, block_words: int) -> list[int]:
+def aligned_lines(a: np.ndarray, b: np.ndarray, a_words: np.ndarray, b_words: np.ndarray, block_words: int) -> list[int]:
     """Lines of ``b`` in blocks of at least ``block_words`` words that align with ``a``: first by
-    patience; then blocks of ``b`` that it left, moved or repeated, each aligned on its own."""
-    free = np.ones(len(b), bool)
-    gone: list[int] = []
-
-    def take(j: int, n: int) -> None:
-        if int(words[j : j + n].sum()) >= block_words:
-            gone.extend(range(j, j + n))
-            free[j : j + n] = False
-
-    for _, j, n in patience(a, b):
-        take(j, n)
-    first = {}
-    for i, x in enumerate(a):
-        first.setdefault(x, i)
-    j = 0
-    while j < len(b):
-        n, i = 0, first.get(b[j], len(a))
-        while i + n < len(a) and j + n < len(b) and free[j + n] and a[i + n] == b[j + n]:
-            n += 1
-        if n:
-            take(j, n)
-        j += n or 1
-    return sorted(gone)
-
-
-def _line_table(rows: DataFrame) -> DataFrame:
+    patience; then those in blocks that moved or repeat, wherever ``a`` holds them."""
+    gone = np.zeros(len(b), bool)
+    for _, j, n in patience(a.tolist(), b.tolist()):
+        if int(b_words[j : j + n].sum()) >= block_words:
+            gone[j : j + n] = True
+    if not gone.all():
+        start, end, found = runs(b, b_words, block_words)
+        shared = np.isin(found, runs(a, a_words, block_words)[2])
+        edges = np.bincount(start[shared], minlength=len(b) + 1) - np.bincount(end[shared], minlength=len(b) + 1)
+        gone |= edges.cumsum()[:-1] > 0
+    return np.flatnonzero(gone).tolist()
+
+
+def _line_table(rows: DataFrame, line_words: int) -> DataFrame:
     def each(batches):
         for batch in batches:
             found = [hashed_lines(t.as_py()) for t in batch.column(2)]
             lists = [pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "mark", "hashes", "words"])
+            anchors = pa.array([np.unique(runs(h, w, line_words)[2]) for h, w in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, anchors], ["doc_id", "mark", "hashes", "words", "anchors"])
 
-    return rows.select("doc_id", "mark", "text").mapInArrow(each, "doc_id long, mark long, hashes array<long>, words array<int>")
+    return rows.select("doc_id", "mark", "text").mapInArrow(each, "doc_id long, mark long, hashes array<long>, words array<int>, anchors array<long>")
 
 
-def shared_line_pairs(lines: DataFrame, line_words: int) -> DataFrame:
-    """``(first, later, line_docs)``: each document with the first holder of each line of at least
-    ``line_words`` words that it shares; ``line_docs`` counts the holders of their rarest one."""
-    zipped = F.arrays_zip("hashes", "words")
-    anchors = F.array_distinct(F.transform(F.filter(zipped, lambda x: x["words"] >= line_words), lambda x: x["hashes"]))
-    held = lines.select(F.struct("doc_id", "mark").alias("doc"), F.explode(anchors).alias("line"))
+def shared_line_pairs(lines: DataFrame) -> DataFrame:
+    """``(first, later, line_docs)``: each document with the first holder of each anchor that it
+    shares; ``line_docs`` counts the holders of their rarest one."""
+    held = lines.select(F.struct("doc_id", "mark").alias("doc"), F.explode("anchors").alias("line"))
     holders = keep(held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "line-holders")
     return held.join(holders, "line").where("first <> doc").groupBy("first", F.col("doc").alias("later")).agg(F.min("n").alias("line_docs"))
 
@@ -146,24 +162,27 @@ def shared_line_pairs(lines: DataFrame, line_words: int) -> DataFrame:
 def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
     """``(doc_id, mark, from_id, gone array<int>)``: the lines of each later document to delete."""
     side = lambda name: lines.select(F.struct("doc_id", "mark").alias(name), F.col("hashes").alias(f"{name}_lines"), F.col("words").alias(f"{name}_words"))
-    both = pairs.join(side("later"), "later").join(side("first").drop("first_words"), "first")
+    both = pairs.join(side("later"), "later").join(side("first"), "first")
 
     def each(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                gone = aligned_lines(r.first_lines.tolist(), r.later_lines.tolist(), r.later_words, block_words)
+                gone = aligned_lines(r.first_lines, r.later_lines, r.first_words, r.later_words, block_words)
                 if gone:
                     out.append((r.doc_id, r.mark, r.from_id, gone))
             yield pd.DataFrame(out, columns=["doc_id", "mark", "from_id", "gone"])
 
-    rows = both.select("later.doc_id", "later.mark", F.col("first.doc_id").alias("from_id"), "first_lines", "later_lines", "later_words")
+    rows = both.select("later.doc_id", "later.mark", F.col("first.doc_id").alias("from_id"), "first_lines", "later_lines", "first_words", "later_words")
     return rows.mapInPandas(each, "doc_id long, mark long, from_id long, gone array<int>")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, line_words: int = 8, block_words: int = 8) -> DataFrame:
     """One row per input row: ``(doc_id, n_lines, removed array<int>, from_ids array<long>, text)``.
 
+    With ``block_words`` equal to ``line_words``, every line with words goes that lies in a block of
+    so many words which an earlier document holds too, long or short as its lines may be.
+
     ``removed`` are the line numbers (from 0) deleted, ``from_ids`` the earlier documents that
     hold them, ``text`` what stays.  Null text counts as empty, which is one empty line.  Rows with
     a null id keep their text and lend no lines; rows that repeat an id are ordered by text hash;
@@ -171,8 +190,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or on an empty table, nothing is removed.  Other columns are ignored whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    lines = keep(_line_table(rows.where("doc_id IS NOT NULL")).dropDuplicates(["doc_id", "mark"]), "line-hashes")
-    pairs = keep(shared_line_pairs(lines, line_words), "line-pairs")
+    lines = keep(_line_table(rows.where("doc_id IS NOT NULL"), line_words).dropDuplicates(["doc_id", "mark"]), "line-hashes")
+    pairs = keep(shared_line_pairs(lines), "line-pairs")
     aligned = _aligned(pairs, lines, block_words)
     gone = aligned.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"), F.array_sort(F.collect_set("from_id")).alias("from_ids"))
     gone = keep(gone, "lines-gone")

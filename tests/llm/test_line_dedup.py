@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from manloom.llm import line_dedup as L
@@ -87,3 +88,48 @@ def test_first_holder_keeps_every_line(spark):
     assert held == set(left) - {""}
     assert all(min(left[x]) == min(i for i, t in rows if x in t.split("\n")) for x in held)
     assert sum(len(r.removed) for r in got if r.doc_id >= 200) == 120
+
+
+def test_runs_are_the_least_that_reach_so_many_words():
+    rng = random.Random(4)
+    lines = [rng.randrange(-(2**63), 2**63) for _ in range(9)]
+    for _ in range(300):
+        words = np.array([rng.choice([0, 1, 2, 3, 7, 9]) for _ in range(rng.randint(0, 12))], np.int32)
+        hashes = np.array([rng.choice(lines) for _ in words], np.int64)
+        want = set()
+        for i in np.flatnonzero(words):
+            want |= {(i, min(e for e in range(len(words) + 1) if words[i:e].sum() >= 8)) for _ in "x" if words[i:].sum() >= 8}
+            want |= {(max(k for k in range(i + 1) if words[k : i + 1].sum() >= 8), i + 1) for _ in "x" if words[: i + 1].sum() >= 8}
+        start, end, found = L.runs(hashes, words, 8)
+        assert set(zip(start.tolist(), end.tolist(), strict=True)) == want
+        by = {}
+        for i, e, h in zip(start, end, found, strict=True):
+            assert by.setdefault(tuple(hashes[i:e]), h) == h
+        assert len(set(by.values())) == len(by)
+
+
+def test_equal_texts_of_short_lines(spark):
+    verse = [line(i, 7) for i in range(1000)]
+    got = run(spark, [(1, "\n".join(verse)), (2, "\n".join(verse)), (3, "\n".join([line(5000, 7), *verse[10:12], line(5001, 3)])), (4, "\n".join([verse[20], "x", verse[21]]))])
+    assert [len(r.removed) for r in got] == [0, 1000, 2, 0] and got[2].removed == [1, 2]
+
+
+def test_short_lines_against_all_shared_blocks(spark):
+    rng = random.Random(5)
+    pool = [line(i, rng.choice([1, 2, 3, 5, 7, 9])) for i in range(25)]
+    texts = []
+    for _ in range(80):
+        lines = [rng.choice(pool) if rng.random() < 0.6 else line(rng.randint(100, 9999), 4) for _ in range(rng.randint(1, 12))]
+        if texts and rng.random() < 0.6:
+            other = rng.choice(texts)
+            at = rng.randint(0, len(other) - 1)
+            lines[rng.randint(0, len(lines)) :] = other[at : at + rng.randint(1, 5)]
+        texts.append(lines or ["."])
+    got = run(spark, [(i, "\n".join(t)) for i, t in enumerate(texts)])
+    for r, mine in zip(got, texts, strict=True):
+        want = set()
+        for i in range(len(mine)):
+            for e in range(i + 1, len(mine) + 1):
+                if sum(len(x.split()) for x in mine[i:e]) >= 8 and any(mine[i:e] == other[k : k + e - i] for other in texts[: r.doc_id] for k in range(len(other))):
+                    want |= set(range(i, e))
+        assert set(r.removed) == want
