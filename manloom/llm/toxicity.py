@@ -24,6 +24,7 @@ from .scratch import keep
 
 _WORD = re.compile(r"\w+")
 _BLOCK = 64
+_LEAST = 4  # toxic examples that hold a term
 
 
 def terms_of(word: str) -> list[str]:
@@ -61,15 +62,15 @@ def _term_counts(examples: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _telling_terms(counts: DataFrame, n_toxic: int, n_clean: int, max_terms: int) -> list[str]:
-    """The ``max_terms`` terms most tied to the toxic label: held by at least 1 % of toxic examples
-    (and by four), with a log odds ratio of at least 2 and a likelihood ratio of at least 15."""
+def _telling_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """All terms tied to the toxic label: held by at least four toxic examples, however many there
+    are, with a log odds ratio of at least 2 and a likelihood ratio of at least 15."""
     a, b = F.col("toxic"), F.col("clean")
     odds = F.log((a + 0.5) / (n_toxic + 1.0)) - F.log((b + 0.5) / (n_clean + 1.0))
     expected = (a + b) * (n_toxic / max(1, n_toxic + n_clean))
     evidence = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
-    told = counts.where(a >= max(4, n_toxic // 100)).withColumn("odds", odds).withColumn("evidence", evidence).where("odds >= 2 AND evidence >= 15")
-    return sorted(r["term"] for r in told.orderBy(F.desc("evidence"), "term").limit(max_terms).collect())
+    told = counts.where(a >= _LEAST).withColumn("odds", odds).withColumn("evidence", evidence).where("odds >= 2 AND evidence >= 15")
+    return sorted(r["term"] for r in told.select("term").collect())
 
 
 def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -106,8 +107,7 @@ class BlockMaxIndex:
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
         n_blocks = -(-len(order) // _BLOCK)
-        self.most = np.zeros((n_terms, n_blocks))
-        self.blocks = []
+        self.blocks, tops = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for b in range(n_blocks):
             dims, rows, weights = [], [], []
             for row, i in enumerate(order[b * _BLOCK : (b + 1) * _BLOCK]):
@@ -115,15 +115,22 @@ class BlockMaxIndex:
                 dims.append(at)
                 weights.append(w)
                 rows.append(np.full(len(at), row))
-                np.maximum.at(self.most[:, b], at, w)
             dims, rows, weights = map(np.concatenate, (dims, rows, weights))
             by_dim = np.argsort(dims, kind="stable")  # the postings of the block, term after term
             self.blocks.append((dims[by_dim], rows[by_dim], weights[by_dim], min(_BLOCK, len(order) - b * _BLOCK)))
+            held, first = np.unique(dims[by_dim], return_index=True)
+            tops.append((held, np.full(len(held), b), np.maximum.reduceat(weights[by_dim], first)))
+        dims, blocks, most = map(np.concatenate, zip(*tops, strict=True))
+        by_dim = np.argsort(dims, kind="stable")  # only the blocks that hold a term, term after term
+        self.of_term, self.held_in, self.most = np.searchsorted(dims[by_dim], np.arange(n_terms + 1)), blocks[by_dim], most[by_dim]
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the exact ``k`` nearest examples with a cosine above 0, ties to
         the smaller id; ``without`` leaves out one id."""
-        bounds = weights @ self.most[at]
+        bounds = np.zeros(len(self.blocks))
+        for d, w in zip(at, weights, strict=True):
+            lo, hi = self.of_term[d], self.of_term[d + 1]
+            bounds[self.held_in[lo:hi]] += w * self.most[lo:hi]
         places, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or bounds[b] < least - 1e-9:
@@ -187,18 +194,18 @@ def _fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(t[0]), float(max(t[1], 0.0))
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 20_000, max_terms: int = 4_096, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
+def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 20_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
     """The model, and the term vectors of all documents.
 
-    ``max_examples`` bounds the labelled rows learned from, ``max_terms`` the terms; both bound
-    what reaches the driver and the workers.  Document frequencies cover all documents.
+    ``max_examples`` bounds the labelled rows learned from, and by them the terms and what reaches
+    the driver and the workers.  Document frequencies cover all documents.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chosen = keep(_chosen_labels(labels, id_col, label_col, max_examples), "toxicity-labels")
     examples = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id"))
     counts = keep(_term_counts(examples.select("text", "label")), "toxicity-terms")
     of_label = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    terms = _telling_terms(counts, of_label.get(1, 0), of_label.get(0, 0), max_terms)
+    terms = _telling_terms(counts, of_label.get(1, 0), of_label.get(0, 0))
     vectors = keep(term_vectors(rows, terms), "toxicity-vectors")
     held = {r["at"]: r["n"] for r in vectors.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}
     n_docs = vectors.count()

@@ -81,6 +81,24 @@ def test_toxicity(spark):
     assert len({r.score for r in X.score_toxicity(d, lab.limit(0)).collect()}) == 1 and X.score_toxicity(d.limit(0), lab).count() == 0
 
 
+def rare_words(n_words=150, each=10, n_clean=9_000, seed=5):
+    """Toxic documents with one word each, which few others hold."""
+    rng = random.Random(seed)
+    filler = [f"common{i}" for i in range(300)]
+    rare = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(n_words)]
+    texts = [(w, 1) for w in rare for _ in range(each)] + [(rng.choice(filler), 0) for _ in range(n_clean)]
+    rng.shuffle(texts)
+    docs = [(i, " ".join([*rng.sample(filler, 9), w])) for i, (w, _) in enumerate(texts)]
+    return docs, [(i, label) for i, (_, label) in enumerate(texts)]
+
+
+def test_toxicity_by_rare_words(spark):
+    docs, labels = rare_words()
+    got = X.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    truth = dict(labels)
+    assert np.mean([r.predicted for r in got if truth[r.doc_id]]) > 0.9 and np.mean([r.predicted for r in got if not truth[r.doc_id]]) < 0.01
+
+
 def test_nearest_are_exact():
     rng = np.random.default_rng(3)
     vectors = []
