@@ -2,9 +2,9 @@
 
 Anchors are runs of whole lines that just reach so many words: from every line that is not blank
 onward, and back from it; a long line is an anchor by itself, short ones are together with their
-neighbours.  An anchor that several documents hold pairs each of them with its first holder only, so
-a line that a third of all documents share gives one pair per document, not one per pair of them; a
-document meets the partners of all its anchors.  Each pair is aligned by patience diff over line
+neighbours.  The holders of a rare anchor meet each other; those of a frequent one meet its first
+holder only, so a line that a third of all documents share gives one pair per document, not one per
+pair of them; a document meets the partners of all its anchors.  Each pair is aligned by patience diff over line
 hashes: lines unique on both sides, in longest increasing order, widened while neighbours agree, and
 again within every gap.  Blocks that moved or repeat are then found by their runs.  Aligned blocks of
 enough words are deleted from the later document; the first holder of a block never loses it.
@@ -151,18 +151,30 @@ def _line_table(rows: DataFrame, line_words: int) -> DataFrame:
     return rows.select("doc_id", "mark", "text").mapInArrow(each, "doc_id long, mark long, hashes array<long>, words array<int>, anchors array<long>")
 
 
-def shared_line_pairs(lines: DataFrame) -> DataFrame:
-    """``(first, later, line_docs)``: each document with the first holder of each anchor that it
-    shares; ``line_docs`` counts the holders of their rarest one."""
-    held = lines.select(F.struct("doc_id", "mark").alias("doc"), F.explode("anchors").alias("line"))
+def shared_line_pairs(lines: DataFrame, rare: int = 4) -> DataFrame:
+    """``(first, later, line_docs)``: documents that share an anchor; ``line_docs`` counts the holders
+    of their rarest one.
+
+    The holders of a rare anchor, one that at most ``rare`` documents hold, meet each other.  Those
+    of a more frequent one meet its first holder only: that reaches every block, as the first holder
+    of a run never loses it, and gives one pair a holder, however many there are."""
+    held = keep(lines.select(F.struct("doc_id", "mark").alias("doc"), F.explode("anchors").alias("line")), "line-anchors")
     holders = keep(held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "line-holders")
-    return held.join(holders, "line").where("first <> doc").groupBy("first", F.col("doc").alias("later")).agg(F.min("n").alias("line_docs"))
+    often = held.join(holders.where(F.col("n") > rare), "line").where("first <> doc").select("first", F.col("doc").alias("later"), "n")
+    few = held.join(holders.where(F.col("n") <= rare).select("line", "n"), "line").groupBy("line", "n").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    few = few.select("n", "docs", F.posexplode("docs").alias("place", "later")).select("n", "later", F.explode(F.expr("slice(docs, 1, place)")).alias("first"))
+    return often.unionByName(few).groupBy("first", "later").agg(F.min("n").alias("line_docs"))
+
 
+def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int, slice_pairs: int = 2048) -> DataFrame:
+    """``(doc_id, mark, from_id, gone array<int>)``: the lines of each later document to delete.
 
-def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
-    """``(doc_id, mark, from_id, gone array<int>)``: the lines of each later document to delete."""
+    A document that very many others meet is written into slices of about ``slice_pairs`` of them."""
     side = lambda name: lines.select(F.struct("doc_id", "mark").alias(name), F.col("hashes").alias(f"{name}_lines"), F.col("words").alias(f"{name}_words"))
-    both = pairs.join(side("later"), "later").join(side("first"), "first")
+    hot = keep(pairs.groupBy("first").agg(F.ceil(F.count("*") / slice_pairs).alias("slices")).where("slices > 1"), "line-hot")
+    dealt = pairs.join(hot, "first", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("later"), F.col("slices")), F.lit(0).cast("long"))).drop("slices")
+    firsts = side("first").join(hot, "first", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1).cast("long")) - 1))).drop("slices")
+    both = dealt.join(side("later"), "later").join(firsts, ["first", "slice"])
 
     def each(batches):
         for pdf in batches:
@@ -177,21 +189,21 @@ def _aligned(pairs: DataFrame, lines: DataFrame, block_words: int) -> DataFrame:
     return rows.mapInPandas(each, "doc_id long, mark long, from_id long, gone array<int>")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, line_words: int = 8, block_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, line_words: int = 8, block_words: int = 8, rare: int = 4) -> DataFrame:
     """One row per input row: ``(doc_id, n_lines, removed array<int>, from_ids array<long>, text)``.
 
     With ``block_words`` equal to ``line_words``, every line with words goes that lies in a block of
     so many words which an earlier document holds too, long or short as its lines may be.
 
-    ``removed`` are the line numbers (from 0) deleted, ``from_ids`` the earlier documents that
-    hold them, ``text`` what stays.  Null text counts as empty, which is one empty line.  Rows with
+    ``removed`` are the line numbers (from 0) deleted, ``from_ids`` earlier documents that hold
+    them (all that share a rare run, the first holder of a frequent one), ``text`` what stays.  Null text counts as empty, which is one empty line.  Rows with
     a null id keep their text and lend no lines; rows that repeat an id are ordered by text hash;
     rows that repeat id and text are one document and lose the same lines.  Without shared lines,
     or on an empty table, nothing is removed.  Other columns are ignored whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     lines = keep(_line_table(rows.where("doc_id IS NOT NULL"), line_words).dropDuplicates(["doc_id", "mark"]), "line-hashes")
-    pairs = keep(shared_line_pairs(lines), "line-pairs")
+    pairs = keep(shared_line_pairs(lines, rare), "line-pairs")
     aligned = _aligned(pairs, lines, block_words)
     gone = aligned.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"), F.array_sort(F.collect_set("from_id")).alias("from_ids"))
     gone = keep(gone, "lines-gone")

@@ -133,3 +133,34 @@ def test_short_lines_against_all_shared_blocks(spark):
                 if sum(len(x.split()) for x in mine[i:e]) >= 8 and any(mine[i:e] == other[k : k + e - i] for other in texts[: r.doc_id] for k in range(len(other))):
                     want |= set(range(i, e))
         assert set(r.removed) == want
+
+
+def test_blocks_whose_first_holders_differ_and_hot_lines(spark):
+    """Every lost line against all pairs, with short lines, a line that all share and a hot holder."""
+    rng = random.Random(6)
+    block = [line(i, 3) for i in range(40)]
+    long = line(777)
+    rows = [(0, "\n".join([long, "own one two"])), (1, "\n".join([long, *block])), (2, "\n".join([*block, long])), (3, "\n".join(["x", *block])), (4, "\n".join([*block[:5], "y", *block[5:]]))]
+    rows += [(10 + i, "\n".join([long, line(10_000 + i), *rng.sample(block, 3)])) for i in range(60)]
+    texts = {i: t.split("\n") for i, t in rows}
+    got = run(spark, rows)
+    for r in got:
+        mine, want = texts[r.doc_id], set()
+        for i in range(len(mine)):
+            for e in range(i + 1, len(mine) + 1):
+                if sum(len(x.split()) for x in mine[i:e]) >= 8 and any(mine[i:e] == o[k : k + e - i] for d, o in texts.items() if d < r.doc_id for k in range(len(o))):
+                    want |= set(range(i, e))
+        assert set(r.removed) == want
+    by = {r.doc_id: r for r in got}
+    assert len(by[3].removed) == 40 and by[3].from_ids == [1, 2] and len(by[4].removed) == 40
+    lines = L._line_table(spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(0).cast("long")), 8)
+    pairs = L.shared_line_pairs(lines)
+    assert pairs.count() < 3 * len(rows)  # the shared line gives one pair a document
+    one = sorted(map(str, L._aligned(pairs, lines, 8).collect()))
+    assert one == sorted(map(str, L._aligned(pairs, lines, 8, slice_pairs=3).collect()))  # a hot holder in slices
+
+
+def test_very_long_text(spark):
+    many = [f"w{i} x{i} y{i}" for i in range(200_000)]
+    got = run(spark, [(1, "\n".join(many)), (2, "\n".join([*many[:100_000], "z", *many[100_000:]])), (3, "a " * 500_000)])
+    assert [len(r.removed) for r in got] == [0, 200_000, 0]
