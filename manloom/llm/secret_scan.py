@@ -16,6 +16,7 @@ import re
 import string
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -27,22 +28,27 @@ from .bpe import default_vocabulary
 from .scratch import keep
 
 _NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "private_key")
-_ASSIGNED = re.compile(r"""(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)[a-z0-9_]*["']?\s{0,4}(?:=>|[:=])\s{0,4}["']?([^\s"'`,;<>]{6,})""")
+_NAMED = re.compile(r"(?i)password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key")
+_SEPARATOR = re.compile(r"=>|[:=]")
+_ASSIGNED = re.compile(r"""\s*["']?([^\s"'`,;<>]{6,})""")
+_NAME_LETTERS = frozenset(string.ascii_letters + string.digits + "_-")
+_KEY_EDGE = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,\-]*")
 _SHAPES = {
     "aws_id": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     "forge_token": re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_\-]{20,})"),
     "chat_token": re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9\-]{10,}"),
     "pay_key": re.compile(r"(?<![A-Za-z0-9])[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     "cloud_key": re.compile(r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_\-]{35}"),
-    "signed_token": re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
-    "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\n:,\-]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    "signed_token": re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
 }
-_HINTS = {"aws_id": ("AKIA", "ASIA"), "forge_token": ("gh", "glpat-"), "chat_token": ("xox",), "pay_key": ("k_live_", "k_test_"), "cloud_key": ("AIza",), "signed_token": ("eyJ",), "private_key": ("PRIVATE KEY-----",)}
+_HINTS = {"aws_id": ("AKIA", "ASIA"), "forge_token": ("gh", "glpat-"), "chat_token": ("xox",), "pay_key": ("k_live_", "k_test_"), "cloud_key": ("AIza",), "signed_token": ("eyJ",)}
 _MIXED = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
+_LOWER_WORD = re.compile(r"[a-z0-9]+")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _MASKING = frozenset("example sample dummy test tests testing placeholder your fake changeme xxx mock demo redacted todo none null commit sha md5 sha1 sha256 checksum hash digest uuid version id ref".split())
 _PATHS = frozenset("test tests testing example examples sample samples doc docs fixture fixtures mock mocks demo spec readme".split())
-KINDS = ("assigned", "mixed", *_SHAPES)
+KINDS = ("assigned", "mixed", *_SHAPES, "private_key")
 FEATURES = (
     "length", "entropy", "switches", "transition", "coverage", "digits", "upper", "symbols", "distinct", "longest_run", "hex_only", "uuid_shape", "name_before", "masking_near", "masking_inside", "word_neighbours", "path_masking", "path_depth",
     *(f"is_{k}" for k in KINDS),
@@ -50,8 +56,9 @@ FEATURES = (
 
 
 @lru_cache(maxsize=2)
-def _dictionary(path: str) -> tuple[frozenset[str], dict[str, float]]:
-    """Whole words of a vocabulary, of four letters or more, and log frequencies of letter pairs."""
+def _dictionary(path: str) -> tuple[frozenset[str], dict[str, float], ahocorasick.Automaton]:
+    """Whole words of a vocabulary, of four letters or more, log frequencies of letter pairs, and
+    what finds the words of up to 16 letters in a text."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = frozenset(w for t in vocab if (w := t.removesuffix("</w>")) != t and len(w) >= 4 and w.isascii() and w.isalpha())
@@ -60,17 +67,17 @@ def _dictionary(path: str) -> tuple[frozenset[str], dict[str, float]]:
         for a, b in zip(w, w[1:], strict=False):
             pairs[a + b] = pairs.get(a + b, 0) + 1
     total = sum(pairs.values())
-    return words, {p: math.log(n / total) for p, n in pairs.items()}
+    finder = ahocorasick.Automaton()
+    for w in words:
+        if len(w) <= 16:
+            finder.add_word(w, len(w))
+    finder.make_automaton()
+    return words, {p: math.log(n / total) for p, n in pairs.items()}, finder
 
 
-def _coverage(low: str, words: frozenset[str]) -> float:
-    """Share of characters under dictionary words, longest first at each place."""
-    at = covered = 0
-    while at < len(low):
-        size = next((n for n in range(min(16, len(low) - at), 3, -1) if low[at : at + n] in words), 0)
-        covered += size
-        at += size or 1
-    return covered / len(low)
+def _coverage(low: str, finder: ahocorasick.Automaton) -> float:
+    """Share of characters under dictionary words, the longest of the leftmost each time."""
+    return sum(size for _, size in finder.iter_long(low)) / len(low)
 
 
 def _class(c: str) -> int:
@@ -79,7 +86,7 @@ def _class(c: str) -> int:
 
 def features(value: str, before: str, after: str, path: str, kind: str, vocabulary: str) -> list[float]:
     """Numbers in the order of ``FEATURES`` for one candidate and its surroundings."""
-    words, pairs = _dictionary(vocabulary)
+    words, pairs, finder = _dictionary(vocabulary)
     low, n = value.lower(), max(1, len(value))
     counts = [value.count(c) for c in set(value)]
     classes = [_class(c) for c in value]
@@ -94,7 +101,7 @@ def features(value: str, before: str, after: str, path: str, kind: str, vocabula
     inside = set(re.findall(r"[a-z]+", low))
     return [
         math.log(n), -sum(c / n * math.log2(c / n) for c in counts), sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n,
-        sum(steps) / len(steps) if steps else -9.0, _coverage(low, words) if value else 0.0, classes.count(2) / n, classes.count(1) / n, classes.count(3) / n,
+        sum(steps) / len(steps) if steps else -9.0, _coverage(low, finder) if value else 0.0, classes.count(2) / n, classes.count(1) / n, classes.count(3) / n,
         len(counts) / n, best / n, float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
         float(any(name in " ".join(around_before[-3:]).replace(" ", "_") for name in _NAMES)), float(len(near & _MASKING)),
         float(bool(inside & _MASKING) or any(m in low for m in ("example", "changeme", "placeholder", "${", "{{", "xxxx", "your")) or value[:1] in "$<{%"),
@@ -103,20 +110,54 @@ def features(value: str, before: str, after: str, path: str, kind: str, vocabula
     ]
 
 
+def _assigned(text: str) -> list[tuple[int, int, str]]:
+    """Values after ``=``, ``:`` or ``=>`` with a secret-like name before it.  Separators are found
+    first and looked back from; each character is looked at a fixed number of times."""
+    found, at = [], 0
+    for m in _SEPARATOR.finditer(text):
+        if m.start() < at:
+            continue  # within the last value
+        end = m.start()
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        if end > 0 and text[end - 1] in "\"'":
+            end -= 1
+        start = end
+        while start > 0 and text[start - 1] in _NAME_LETTERS:
+            start -= 1
+        if start < end and _NAMED.search(text, start, end) and (value := _ASSIGNED.match(text, m.end())):
+            found.append((value.start(1), value.end(1), "assigned"))
+            at = value.end()
+    return found
+
+
+def _key_blocks(text: str) -> list[tuple[int, int, str]]:
+    """Private keys from a header to the next end, with nothing but what keys hold between."""
+    found, opened = [], None
+    for m in _KEY_EDGE.finditer(text):
+        if m[1] == "END" and opened is not None and _KEY_BODY.fullmatch(text, opened.end(), m.start()):
+            found.append((opened.start(), m.end(), "private_key"))
+        opened = m if m[1] == "BEGIN" else None
+    return found
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of every candidate in a whole text, in order, none overlapping an
-    earlier kind: known shapes, then assigned values, then long tokens of letters and digits."""
+    earlier kind: known shapes, then assigned values, then long tokens of letters and digits.  The
+    time is in proportion to the text, whatever stands in it."""
     found: list[tuple[int, int, str]] = []
     for kind, hints in _HINTS.items():
         if any(h in text for h in hints):
             found += [(m.start(), m.end(), kind) for m in _SHAPES[kind].finditer(text)]
+    if "PRIVATE KEY-----" in text:
+        found += _key_blocks(text)
     low = text.lower()
     if any(name in low for name in ("passw", "pwd", "secret", "token", "key", "auth", "credential")):
-        found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
+        found += _assigned(text)
     if any(len(w) >= 16 and _DIGIT.search(w) for w in text.split()):
         found += [(m.start(), m.end(), "mixed") for m in _MIXED.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
     taken: list[tuple[int, int, str]] = []
-    order = {k: i for i, k in enumerate((*_SHAPES, "assigned", "mixed"))}
+    order = {k: i for i, k in enumerate((*_SHAPES, "private_key", "assigned", "mixed"))}
     ends: list[int] = []
     for start, end, kind in sorted(found, key=lambda f: (f[0], order[f[2]], -f[1])):
         if not ends or start >= ends[-1]:
@@ -127,6 +168,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return taken
 
 
+def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """Text before and after a candidate that holds at least the four words before it and the three
+    after it, where there are so many, however far off they stand."""
+    size = 80
+    while len(_LOWER_WORD.findall(before := text[max(0, start - size) : start].lower())) <= 4 and size < start:
+        size *= 4
+    size = 60
+    while len(_LOWER_WORD.findall(after := text[end : end + size].lower())) <= 3 and end + size < len(text):
+        size *= 4
+    return before, after
+
+
 def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> DataFrame:
     """A generated table of findings ``(value, before, after, path, kind, label)``: credentials of
     many makes, and what scans take for them (checksums, identifiers, placeholders, names)."""
@@ -194,7 +247,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
             for doc, text, where in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 whole = text.as_py() or ""
                 for start, end, kind in candidates(whole):
-                    x = features(whole[start:end], whole[max(0, start - 80) : start], whole[end : end + 60], where or "", kind, path)
+                    x = features(whole[start:end], *surroundings(whole, start, end), where or "", kind, path)
                     out.append((doc, start, end - start, kind, whole[start:end], x))
             if out:
                 names = ["doc_id", "start", "n_chars", "kind", "value", "x"]
