@@ -3,8 +3,9 @@
 A word is encoded over contiguous arrays: the boundaries of its parts, the id of each part, and
 the rank of joining each part with the next.  The least rank is found by a scan, its boundary is
 deleted and the two ranks beside it are looked up again.  Words over ``SCAN_LIMIT`` parts use a
-heap over the same ranks, which makes the same merges in the same order.  Encoded words are kept
-in a bounded table of each Python worker.
+heap over the same ranks, which makes the same merges in the same order.  Encoded pieces of up to
+``KEPT_CHARS`` characters are kept in a table of each Python worker, which is bounded in bytes by
+that and by its number of entries; longer pieces are encoded each time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCAN_LIMIT = 64
+KEPT_CHARS = 64
 _NONE = 1 << 60
 #: White space of the tokenizer's patterns; the four separators 0x1C-0x1F are not among it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -81,10 +84,14 @@ class WordBpe(dict):
         self.max_kept = max_kept
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.max_kept:
-            self.clear()
-        packed = np.array([i for word in self.words.findall(self._normal(piece)) for i in self.word(word.encode())], "<u4").tobytes()
-        self[piece] = packed
+        ids = array("I")
+        for m in self.words.finditer(self._normal(piece)):
+            ids.extend(self.word(m[0].encode()))
+        packed = np.frombuffer(ids, np.uintc).astype("<u4").tobytes()
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= self.max_kept:
+                self.clear()
+            self[piece] = packed
         return packed
 
     @staticmethod
@@ -112,24 +119,25 @@ class WordBpe(dict):
         return ids
 
     def _long_word(self, ids: list[int]) -> list[int]:
+        """The same merges by a heap of (rank, place); an entry holds while the pair at its place has
+        its rank, which no other pair has."""
         n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(self._rank(ids[i], ids[i + 1]), i, ids[i], ids[i + 1]) for i in range(n - 1)]
-        queue = [q for q in queue if q[0] != _NONE]
+        parts, before, after = array("q", ids), array("q", range(-1, n - 1)), array("q", [*range(1, n), -1])
+        queue = [rank << 40 | i for i in range(n - 1) if (rank := self._rank(parts[i], parts[i + 1])) != _NONE]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
+            rank, i = divmod(heapq.heappop(queue), 1 << 40)
+            j = after[i] if parts[i] >= 0 else -1
+            if j < 0 or self._rank(parts[i], parts[j]) != rank:
                 continue  # a part of this pair has been merged since
-            ids[i], ids[j] = self.merges[a, b][1], -1
+            parts[i], parts[j] = self.merges[parts[i], parts[j]][1], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) >= 0 and (rank := self._rank(ids[left], ids[right])) != _NONE:
-                    heapq.heappush(queue, (rank, left, ids[left], ids[right]))
-        return [i for i in ids if i >= 0]
+                if left >= 0 and (right := after[left]) >= 0 and (found := self._rank(parts[left], parts[right])) != _NONE:
+                    heapq.heappush(queue, found << 40 | left)
+        return [p for p in parts if p >= 0]
 
     def _plain(self, text: str) -> bytes:
         if any(sep in text for sep in "\x1c\x1d\x1e\x1f"):  # str.split() would take these for white space

@@ -59,3 +59,19 @@ def test_rows(spark):
     full = {(r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode(docs).collect()}
     assert full == {(1, tuple(LIBRARY.encode("A b", add_special_tokens=False).ids), "a</w> b</w>"), (None, (), ""), (3, (), "")}
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_table_is_bounded_in_bytes():
+    """Long blank-free pieces are encoded each time and leave nothing behind."""
+    own = bpe.WordBpe(bpe.default_vocabulary())
+    rng = random.Random(4)
+    for _ in range(20):
+        own.encode("".join(rng.choice("abcdefgh123.") for _ in range(40_000)))
+    assert len(own) == 0
+    own.encode("a" * bpe.KEPT_CHARS + " " + "b" * (bpe.KEPT_CHARS + 1))
+    assert list(own) == ["a" * bpe.KEPT_CHARS]
+
+
+def test_very_long_word_like_the_library():
+    rng = random.Random(5)
+    same("".join(rng.choice("etaoinshrdlu") for _ in range(300_000)))
