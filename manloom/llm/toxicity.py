@@ -1,11 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings that labelled examples tie to toxicity.  Inverse document
-frequencies are counted over all documents.  The examples that hold any term form an inverted
-index of blocks with the largest weight of each term per block; a query takes blocks by falling
-upper bound and stops once no block can reach its k-th best cosine, so the neighbours are exact.
-Neighbours vote with weights that fall with distance, and a logistic curve fitted on the
-examples' own left-one-out votes turns votes into probabilities.
+Terms are words and word beginnings; every term of the labelled examples counts.  Inverse document
+frequencies are counted over all documents and multiplied by a relevance that is small for terms
+that are spread evenly over the labels and grows with the evidence that a term is not: over plain
+frequencies the neighbours of long texts share filler.  No term is dropped, and every document is
+held against the examples.
+
+The examples form an inverted index.  A term that few of them hold has a list of postings, which is
+read whole; terms that many hold are stored in blocks of examples with the largest weight of each
+term in each block.  A query takes blocks by falling upper bound and leaves out those that provably
+can't reach its k-th best cosine, so the neighbours are exact.  Neighbours vote with weights that
+fall with distance, and a logistic curve fitted on the examples' own left-one-out votes turns votes
+into probabilities.
 """
 
 from __future__ import annotations
@@ -14,8 +20,8 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +29,10 @@ from .quality import learning_row
 from .scratch import keep
 
 _WORD = re.compile(r"\w+")
-_BLOCK = 64
-_LEAST = 4  # toxic examples that hold a term
+_BLOCK = 128
+_BATCH = 128
+_FLOOR = 0.02  # relevance of a term that says nothing about the label
+_ENOUGH = 15.0  # likelihood ratio at which a term counts half of its log odds
 
 
 def terms_of(word: str) -> list[str]:
@@ -32,6 +40,18 @@ def terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in (4, 5) if len(word) > k)]
 
 
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Weight of terms held by so many toxic and clean examples: a floor, and the log odds ratio
+    toward the toxic label as far as the likelihood ratio supports it."""
+    a, b = toxic.astype(float), clean.astype(float)
+    odds = np.log((a + 0.5) / (n_toxic + 1.0)) - np.log((b + 0.5) / (n_clean + 1.0))
+    expected = np.maximum((a + b) * (n_toxic / max(1, n_toxic + n_clean)), 1e-12)
+    others = np.maximum(a + b - expected, 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(a > 0, a * np.log(a / expected), 0.0) + np.where(b > 0, b * np.log(b / others), 0.0))
+    return _FLOOR + np.maximum(odds, 0.0) / (1 + np.exp(-np.clip((ratio - _ENOUGH) / 2, -50, 50)))
+
+
 def _chosen_labels(labels: DataFrame, id_col: str, label_col: str, max_examples: int) -> DataFrame:
     """At most ``max_examples`` learning rows, spread by hash: small enough to broadcast."""
     known = labels.select(F.col(id_col).cast("long").alias("ex_id"), F.col(label_col).cast("int").alias("label")).where("ex_id IS NOT NULL AND label IN (0, 1)")
@@ -62,113 +82,143 @@ def _term_counts(examples: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _telling_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """All terms tied to the toxic label: held by at least four toxic examples, however many there
-    are, with a log odds ratio of at least 2 and a likelihood ratio of at least 15."""
-    a, b = F.col("toxic"), F.col("clean")
-    odds = F.log((a + 0.5) / (n_toxic + 1.0)) - F.log((b + 0.5) / (n_clean + 1.0))
-    expected = (a + b) * (n_toxic / max(1, n_toxic + n_clean))
-    evidence = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
-    told = counts.where(a >= _LEAST).withColumn("odds", odds).withColumn("evidence", evidence).where("odds >= 2 AND evidence >= 15")
-    return sorted(r["term"] for r in told.select("term").collect())
+class Vocabulary:
+    """Places of the examples' terms."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms, self.place, self.known = terms, {t: i for i, t in enumerate(terms)}, {}
+
+    def __getstate__(self):
+        return self.terms
 
+    def __setstate__(self, terms):
+        self.__init__(terms)
 
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``(doc_id, at array<int>, tf array<int>)``: the counts of ``terms`` in each whole text."""
-    place = {t: i for i, t in enumerate(terms)}
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of the known terms of a whole text."""
+        hits: list[int] = []
+        for word in _WORD.findall(text.lower()):
+            found = self.known.get(word)
+            if found is None:
+                found = [i for t in terms_of(word) if (i := self.place.get(t)) is not None]
+                if len(word) <= 64:
+                    if len(self.known) > 400_000:
+                        self.known.clear()
+                    self.known[word] = found
+            hits += found
+        return np.unique(np.array(hits, np.int64), return_counts=True)
 
-    class Known(dict):
-        def __missing__(self, word: str) -> list[int]:
-            if len(self) > 400_000:
-                self.clear()
-            self[word] = found = [place[t] for t in terms_of(word) if t in place]
-            return found
+
+def _held_by(docs: DataFrame, vocabulary) -> DataFrame:
+    """``(at, n)``: how many of all documents hold each term of the vocabulary."""
 
     def each(batches):
-        known = Known()
+        words = vocabulary.value
+        held = np.zeros(len(words.terms), np.int64)
         for batch in batches:
-            ats, tfs = [], []
-            for text in batch.column(1):
-                hits = [i for found in map(known.__getitem__, _WORD.findall((text.as_py() or "").lower())) if found for i in found]
-                at, tf = np.unique(np.array(hits, np.int32), return_counts=True)
-                ats.append(at)
-                tfs.append(tf.astype(np.int32))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ats, kind), pa.array(tfs, kind)], ["doc_id", "at", "tf"])
+            for text in batch.column(0):
+                held[words.counted(text.as_py())[0]] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, at array<int>, tf array<int>")
+    return docs.select("text").mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors in blocks, with the largest weight of every term in every block."""
+    """Examples as unit vectors: postings of rare terms, blocks with largest weights for the others."""
 
     def __init__(self, ids, vectors, labels, n_terms: int) -> None:
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))  # alike examples side by side
+        heaviest = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))  # alike examples side by side
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
-        n_blocks = -(-len(order) // _BLOCK)
-        self.blocks, tops = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for b in range(n_blocks):
-            dims, rows, weights = [], [], []
-            for row, i in enumerate(order[b * _BLOCK : (b + 1) * _BLOCK]):
-                at, w = vectors[i]
-                dims.append(at)
-                weights.append(w)
-                rows.append(np.full(len(at), row))
-            dims, rows, weights = map(np.concatenate, (dims, rows, weights))
-            by_dim = np.argsort(dims, kind="stable")  # the postings of the block, term after term
-            self.blocks.append((dims[by_dim], rows[by_dim], weights[by_dim], min(_BLOCK, len(order) - b * _BLOCK)))
-            held, first = np.unique(dims[by_dim], return_index=True)
-            tops.append((held, np.full(len(held), b), np.maximum.reduceat(weights[by_dim], first)))
-        dims, blocks, most = map(np.concatenate, zip(*tops, strict=True))
-        by_dim = np.argsort(dims, kind="stable")  # only the blocks that hold a term, term after term
-        self.of_term, self.held_in, self.most = np.searchsorted(dims[by_dim], np.arange(n_terms + 1)), blocks[by_dim], most[by_dim]
-
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the exact ``k`` nearest examples with a cosine above 0, ties to
-        the smaller id; ``without`` leaves out one id."""
-        bounds = np.zeros(len(self.blocks))
-        for d, w in zip(at, weights, strict=True):
-            lo, hi = self.of_term[d], self.of_term[d + 1]
-            bounds[self.held_in[lo:hi]] += w * self.most[lo:hi]
-        places, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-9:
-                break
-            dims, rows, values, n = self.blocks[b]
-            found = np.zeros(n)
-            for d, w in zip(at, weights, strict=True):
-                lo, hi = np.searchsorted(dims, [d, d + 1])
-                found[rows[lo:hi]] += w * values[lo:hi]
-            hit = np.flatnonzero(found > 0) + b * _BLOCK
-            if without is not None:
-                hit = hit[self.ids[hit] != without]
-            places, scores = np.concatenate([places, hit]), np.concatenate([scores, found[hit - b * _BLOCK]])
-            best = np.lexsort((self.ids[places], -np.round(scores, 9)))[:k]
-            places, scores = places[best], scores[best]
-            least = scores[-1] if len(best) == k else 0.0
-        return places, scores
+        n = len(order)
+        sizes = [len(vectors[i][0]) for i in order]
+        dims = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        values = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        rows = np.repeat(np.arange(n), sizes)
+        held = np.bincount(dims, minlength=n_terms)
+        often = np.flatnonzero(held > max(8, n // 32))
+        self.column = np.full(n_terms, -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[dims] >= 0
+        self.table = np.zeros((n, len(often)))
+        self.table[rows[dense], self.column[dims[dense]]] = values[dense]
+        by_term = np.argsort(dims[~dense], kind="stable")
+        self.rows, self.values = rows[~dense][by_term], values[~dense][by_term]
+        self.starts = np.searchsorted(dims[~dense][by_term], np.arange(n_terms + 1))
+        self.cuts = np.arange(0, n, _BLOCK)
+        self.tops = np.maximum.reduceat(self.table, self.cuts, axis=0) if n else np.zeros((0, len(often)))
+        self.scored = 0  # pairs of query and block, for measuring
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms and weights) the positions and cosines of the exact ``k`` nearest
+        examples with a cosine above 0, ties to the smaller id; ``without`` leaves out one id."""
+        n, m = len(self.ids), len(queries)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        q = np.repeat(np.arange(m), [len(at) for at, _ in queries])
+        at, w = np.concatenate([a for a, _ in queries]), np.concatenate([v for _, v in queries])
+        column = self.column[at]
+        dense = np.zeros((m, self.table.shape[1]))
+        dense[q[column >= 0], column[column >= 0]] = w[column >= 0]
+        q, at, w = q[column < 0], at[column < 0], w[column < 0]
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
+        scores = np.bincount(np.repeat(q, sizes) * n + self.rows[each], weights=np.repeat(w, sizes) * self.values[each], minlength=m * n).reshape(m, n)
+        bounds = np.maximum.reduceat(scores, self.cuts, axis=1) + dense @ self.tops.T
+        own = {}
+        for i, one in enumerate(without):
+            if one is not None:
+                own[i] = np.flatnonzero(self.ids == one)
+        best, done = np.zeros((m, k)), np.zeros((m, len(self.cuts)), bool)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
+            rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, 0] - 1e-9))  # the k-th best so far
+            if not len(rows):
+                continue
+            lo, hi = self.cuts[b], min(n, self.cuts[b] + _BLOCK)
+            part = scores[rows, lo:hi] + dense[rows] @ self.table[lo:hi].T
+            for i, places in own.items():
+                if (at_row := np.searchsorted(rows, i)) < len(rows) and rows[at_row] == i:
+                    part[at_row, places[(places >= lo) & (places < hi)] - lo] = 0.0
+            scores[rows, lo:hi] = part
+            done[rows, b] = True
+            self.scored += len(rows)
+            both = np.concatenate([best[rows], part], axis=1)
+            best[rows] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+        out = []
+        for i in range(m):
+            seen = np.repeat(done[i], _BLOCK)[:n]
+            places = np.flatnonzero(seen & (scores[i] > 0) & (scores[i] >= best[i, 0] - 1e-8))
+            found = scores[i, places]
+            order = np.lexsort((self.ids[places], -np.round(found, 9)))[:k]
+            out.append((places[order], found[order]))
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    terms: list[str]
-    idf: np.ndarray
+    words: Vocabulary
+    weight: np.ndarray  # inverse document frequency times relevance, by term
     index: BlockMaxIndex
-    base: float  # share of toxic examples among those without any term
+    base: float  # smoothed share of toxic examples
     k: int
     curve: tuple[float, float] = (0.0, 1.0)
 
-    def unit(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[at]
-        return w / np.sqrt((w * w).sum())
+    def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.weight[at]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def vote(self, at, tf, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(at):
-            return self.base, np.zeros(0, np.int64), np.zeros(0)
-        places, cosines = self.index.nearest(at, self.unit(at, tf), self.k, without)
-        weights = np.exp(-4 * (1 - cosines))
-        return float(((weights * self.index.labels[places]).sum() + 0.5 * self.base) / (weights.sum() + 0.5)), places, cosines
+    def votes(self, texts: list[str], without: list[int | None]) -> list[tuple[float, np.ndarray, np.ndarray, list[str]]]:
+        """Vote, neighbours, cosines and the heaviest terms of each text."""
+        queries = [self.unit(*self.words.counted(t)) for t in texts]
+        out = []
+        for (places, cosines), (at, w) in zip(self.index.nearest(queries, self.k, without), queries, strict=True):
+            weights = np.exp(-4 * (1 - cosines))
+            vote = float(((weights * self.index.labels[places]).sum() + 0.5 * self.base) / (weights.sum() + 0.5))
+            out.append((vote, places, cosines, [self.words.terms[i] for i in at[np.argsort(-w, kind="stable")[:5]]]))
+        return out
 
     def calibrated(self, vote: float) -> float:
         a, b = self.curve
@@ -194,65 +244,86 @@ def _fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(t[0]), float(max(t[1], 0.0))
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 20_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and the term vectors of all documents.
+_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+
+
+def _voted(rows: DataFrame, shared) -> DataFrame:
+    """``(doc_id, text)`` -> ``(doc_id, vote, evidence, terms)``; an example is no neighbour of itself."""
+
+    def each(batches):
+        model: ToxicityModel = shared.value
+        own, done = set(model.index.ids.tolist()), {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(at, _BATCH)
+                docs = part.column(0).to_pylist()
+                texts = part.column(1).to_pylist()
+                without = [d if d in own else None for d in docs]
+                keys = [(xxhash.xxh3_128_digest(t), d) for t, d in zip(texts, without, strict=True)]  # copies vote alike
+                if len(done) > 20_000:
+                    done.clear()
+                fresh = {key: i for i, key in enumerate(keys) if key not in done}
+                told = model.votes([texts[i] for i in fresh.values()], [without[i] for i in fresh.values()]) if fresh else []
+                for key, (vote, places, cosines, terms) in zip(fresh, told, strict=True):
+                    near = [{"doc_id": int(model.index.ids[p]), "cosine": float(c), "label": int(model.index.labels[p])} for p, c in zip(places[:3], cosines[:3], strict=True)]
+                    done[key] = vote, near, terms
+                votes, evidence, terms = zip(*map(done.__getitem__, keys), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes, pa.float64()), pa.array(evidence, _EVIDENCE), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "vote", "evidence", "terms"])
+
+    return rows.select("doc_id", "text").mapInArrow(each, "doc_id long, vote double, evidence array<struct<doc_id: long, cosine: double, label: int>>, terms array<string>")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 10_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and ``(doc_id, text)`` of all documents.
 
     ``max_examples`` bounds the labelled rows learned from, and by them the terms and what reaches
     the driver and the workers.  Document frequencies cover all documents.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chosen = keep(_chosen_labels(labels, id_col, label_col, max_examples), "toxicity-labels")
-    examples = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id"))
-    counts = keep(_term_counts(examples.select("text", "label")), "toxicity-terms")
-    of_label = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    terms = _telling_terms(counts, of_label.get(1, 0), of_label.get(0, 0))
-    vectors = keep(term_vectors(rows, terms), "toxicity-vectors")
-    held = {r["at"]: r["n"] for r in vectors.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()}
-    n_docs = vectors.count()
-    idf = np.array([np.log((1 + n_docs) / (1 + held.get(i, 0))) + 1 for i in range(len(terms))])
-    known = vectors.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id")).groupBy("doc_id").agg(F.min(F.struct("at", "tf", "label")).alias("v"))
-    known = known.select("doc_id", "v.*").toPandas().sort_values("doc_id")  # at most max_examples rows
-    empty = known["at"].map(len) == 0
-    base = float((known.loc[empty, "label"].sum() + 0.5) / (empty.sum() + 5))
-    model = ToxicityModel(terms, idf, None, base, k)
-    told = known[~empty]
-    pairs = [(np.asarray(a, np.int64), np.asarray(t, np.int64)) for a, t in zip(told["at"], told["tf"], strict=True)]
-    model.index = BlockMaxIndex(told["doc_id"].tolist(), [(a, model.unit(a, t)) for a, t in pairs], told["label"].tolist(), len(terms))
-    votes = [model.vote(a, t, i)[0] for (a, t), i in zip(pairs, told["doc_id"], strict=True)] + [base] * int(empty.sum())
-    model.curve = _fitted_curve(np.array(votes), np.concatenate([told["label"].to_numpy(float), known.loc[empty, "label"].to_numpy(float)]))
-    return model, vectors
+    examples = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id")).groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("v"))
+    examples = keep(examples.select("doc_id", "v.*"), "toxicity-examples")  # at most max_examples rows, one an id
+    counts = _term_counts(examples.select("text", "label")).toArrow().sort_by("term")
+    of_label = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = of_label.get(1, 0), of_label.get(0, 0)
+    words = Vocabulary(counts["term"].to_pylist())
+    vocabulary = spark.sparkContext.broadcast(words)
+    held = _held_by(rows, vocabulary).toPandas()
+    idf = np.log(1 + rows.count()) + 1 - np.log1p(np.bincount(held["at"], weights=held["n"], minlength=len(words.terms)))
+    weight = idf * relevance(counts["toxic"].to_numpy(), counts["clean"].to_numpy(), n_toxic, n_clean)
+
+    def each(batches):
+        for batch in batches:
+            found = [vocabulary.value.counted(t.as_py()) for t in batch.column(1)]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a for a, _ in found], kind), pa.array([t for _, t in found], kind)], ["doc_id", "label", "at", "tf"])
+
+    known = examples.select("doc_id", "text", "label").mapInArrow(each, "doc_id long, label int, at array<long>, tf array<long>").toPandas().sort_values("doc_id")
+    model = ToxicityModel(words, weight, None, (n_toxic + 0.5) / (n_toxic + n_clean + 5), k)
+    vectors = [model.unit(np.asarray(a, np.int64), np.asarray(t, np.int64)) for a, t in zip(known["at"], known["tf"], strict=True)]
+    model.index = BlockMaxIndex(known["doc_id"].tolist(), vectors, known["label"].tolist(), len(words.terms))
+    own = _voted(examples.repartition(32), spark.sparkContext.broadcast(model)).select("doc_id", "vote").join(examples.select("doc_id", "label"), "doc_id").toPandas()
+    model.curve = _fitted_curve(own["vote"].to_numpy(float), own["label"].to_numpy(float))
+    return model, rows
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence, terms)``, one row per input row.
 
-    ``evidence`` lists up to three nearest examples (id, cosine, label), ``terms`` the terms found.
-    A document is never its own neighbour.  Null and empty texts have no terms and score the base
-    rate; a null id is never held out; repeated rows repeat; without labels every score is the
-    base rate; an empty table gives no rows.  Other columns are ignored whatever their names.
+    ``evidence`` lists up to three nearest examples (id, cosine, label), ``terms`` the five terms of
+    the document that weigh most.  A document is never its own neighbour.  Null and empty texts
+    have no neighbours and score the base rate, calibrated; a null id is never held out; repeated
+    rows repeat; equal texts score alike unless one is an example itself; without labels every
+    score is the base rate; an empty table gives no rows.  Other columns are ignored whatever their
+    names.
     """
-    model, vectors = toxicity_model(docs, labels, **options)
-
-    def each(batches):
-        done: dict[tuple, tuple] = {}
-        for pdf in batches:
-            out = []
-            for doc, at, tf in zip(pdf["doc_id"], pdf["at"], pdf["tf"], strict=True):
-                at, tf = np.asarray(at, np.int64), np.asarray(tf, np.int64)
-                doc = None if pd.isna(doc) else int(doc)
-                key = (at.tobytes(), tf.tobytes(), doc if doc in own else None)
-                if key not in done:
-                    if len(done) > 50_000:
-                        done.clear()
-                    vote, places, cosines = model.vote(at, tf, doc)
-                    evidence = [(int(model.index.ids[p]), float(c), int(model.index.labels[p])) for p, c in zip(places[:3], cosines[:3], strict=True)]
-                    done[key] = model.calibrated(vote), evidence, [model.terms[i] for i in at]
-                out.append((doc, *done[key]))
-            yield pd.DataFrame(out, columns=["doc_id", "score", "evidence", "terms"]).astype({"doc_id": "Int64"})
-
-    own = set(model.index.ids.tolist())
-    kind = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>, terms array<string>"
-    scored = vectors.mapInPandas(each, kind)
+    model, rows = toxicity_model(docs, labels, **options)
+    voted = _voted(rows, docs.sparkSession.sparkContext.broadcast(model))
+    a, b = model.curve
+    p = F.greatest(F.least(F.col("vote"), F.lit(1 - 1e-4)), F.lit(1e-4))
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log(p / (1 - p)))))
+    scored = voted.withColumn("score", score)
     held = ~learning_row(F.col("doc_id"), 3, 1)
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence", "terms")
 

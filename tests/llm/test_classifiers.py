@@ -1,5 +1,7 @@
 import random
+import re
 from binascii import crc32
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -103,18 +105,48 @@ def test_nearest_are_exact():
     rng = np.random.default_rng(3)
     vectors = []
     for _ in range(500):
-        at = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.random(len(at)) + 0.1
+        at = np.sort(rng.choice(60, rng.integers(1, 9), replace=False, p=np.arange(60, 0, -1) / 1830))
+        w = rng.random(len(at)) * 20.0 ** -(at % 7) + 0.001
         vectors.append((at, w / np.sqrt((w * w).sum())))
     ids = rng.permutation(500).tolist()
-    index = X.BlockMaxIndex(ids, vectors, [0] * 500, 40)
-    dense = np.zeros((500, 40))
+    index = X.BlockMaxIndex(ids, vectors, [0] * 500, 60)
+    dense = np.zeros((500, 60))
     for i, (at, w) in zip(ids, vectors, strict=True):
         dense[i, at] = w
-    for at, w in vectors[:120]:
-        q = np.zeros(40)
+    queries = [*vectors[:120], (np.zeros(0, np.int64), np.zeros(0))]
+    got = index.nearest(queries, 15, [7] * 120 + [None])
+    for (at, w), (places, scores) in zip(queries, got, strict=True):
+        q = np.zeros(60)
         q[at] = w
         cosines = dense @ q
         order = sorted((i for i in range(500) if cosines[i] > 0 and i != 7), key=lambda i: (-round(cosines[i], 9), i))[:15]
-        places, scores = index.nearest(at, w, 15, without=7)
         assert index.ids[places].tolist() == order and np.allclose(scores, cosines[order])
+    assert index.scored < 120 * len(index.cuts)  # blocks were left out on proof
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Neighbours, cosines and scores of every document from vectors over all terms, by plain sums."""
+    docs, labels = corpus(300, seed=9)
+    docs += [(8000, docs[5][1]), (8001, ""), (8002, " ".join(t for _, t in docs[:120])), (8003, docs[5][1])]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in X.score_toxicity(d, lab).collect()}
+    bag = {i: Counter(t for w in re.findall(r"\w+", text.lower()) for t in X.terms_of(w)) for i, text in docs}
+    known = {i: t for i, _, t in labels if not held(i, 3, 1)}
+    df = Counter(t for b in bag.values() for t in b)
+    of = [Counter(t for i, y in known.items() if y == k for t in bag[i]) for k in (0, 1)]
+    n = [sum(y == k for y in known.values()) for k in (0, 1)]
+    names = sorted(of[0] | of[1])
+    rel = dict(zip(names, X.relevance(np.array([of[1][t] for t in names]), np.array([of[0][t] for t in names]), n[1], n[0]), strict=True))
+
+    def vector(i):
+        v = {t: (1 + np.log(c)) * (np.log((1 + len(docs)) / (1 + df[t])) + 1) * rel[t] for t, c in bag[i].items() if t in rel}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in bag}
+    for i, r in got.items():
+        cosines = {j: sum(x * vectors[j].get(t, 0.0) for t, x in vectors[i].items()) for j in known if j != i}
+        order = sorted((j for j, c in cosines.items() if c > 0), key=lambda j: (-round(cosines[j], 9), j))[:15]
+        assert [e.doc_id for e in r.evidence] == order[:3] and np.allclose([e.cosine for e in r.evidence], [cosines[j] for j in order[:3]])
+        assert [e.label for e in r.evidence] == [known[j] for j in order[:3]]
+    assert got[8000].score == got[8003].score and got[8001].evidence == [] and len(got[8002].evidence) == 3
