@@ -160,8 +160,10 @@ def shared_line_pairs(lines: DataFrame, rare: int = 4) -> DataFrame:
     of a run never loses it, and gives one pair a holder, however many there are."""
     held = keep(lines.select(F.struct("doc_id", "mark").alias("doc"), F.explode("anchors").alias("line")), "line-anchors")
     holders = keep(held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "line-holders")
-    often = held.join(holders.where(F.col("n") > rare), "line").where("first <> doc").select("first", F.col("doc").alias("later"), "n")
-    few = held.join(holders.where(F.col("n") <= rare).select("line", "n"), "line").groupBy("line", "n").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    # written apart: the planner may cut this join where a line is hot, as nothing is grouped by line after it
+    met = keep(held.join(holders, "line").where((F.col("n") <= rare) | (F.col("first") != F.col("doc"))), "line-met")
+    often = met.where(F.col("n") > rare).select("first", F.col("doc").alias("later"), "n")
+    few = met.where(F.col("n") <= rare).groupBy("line", "n").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
     few = few.select("n", "docs", F.posexplode("docs").alias("place", "later")).select("n", "later", F.explode(F.expr("slice(docs, 1, place)")).alias("first"))
     return often.unionByName(few).groupBy("first", "later").agg(F.min("n").alias("line_docs"))
 
