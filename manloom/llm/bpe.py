@@ -5,7 +5,8 @@ the rank of joining each part with the next.  The least rank is found by a scan,
 deleted and the two ranks beside it are looked up again.  Words over ``SCAN_LIMIT`` parts use a
 heap over the same ranks, which makes the same merges in the same order.  Encoded pieces of up to
 ``KEPT_CHARS`` characters are kept in a table of each Python worker, which is bounded in bytes by
-that and by its number of entries; longer pieces are encoded each time.
+that and by its number of entries: a full table steps back, and what is asked for again moves over
+from it into the next.  Longer pieces are encoded each time.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _byte_letters() -> list[str]:
 class WordBpe(dict):
     """Maps a blank-separated piece of raw text to its ids, packed as little-endian uint32."""
 
-    def __init__(self, path: str, max_kept: int = 300_000) -> None:
+    def __init__(self, path: str, max_kept: int = 250_000) -> None:
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -72,7 +73,8 @@ class WordBpe(dict):
         vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.joined = [vocab[a + b] for a, b in merges]  # by rank
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         letters = _byte_letters()
@@ -81,15 +83,20 @@ class WordBpe(dict):
         letter, number = _char_class("L"), _char_class("N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+")
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        self.max_kept = max_kept
+        self.max_kept, self.older = max_kept, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I")
-        for m in self.words.finditer(self._normal(piece)):
-            ids.extend(self.word(m[0].encode()))
-        packed = np.frombuffer(ids, np.uintc).astype("<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = array("I")
+            for m in self.words.finditer(self._normal(piece)):
+                ids.extend(self.word(m[0].encode()))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            packed = ids.tobytes()
         if len(piece) <= KEPT_CHARS:
-            if len(self) >= self.max_kept:
+            if len(self) >= self.max_kept:  # what is asked for again moves over, the rest is let go
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -99,43 +106,40 @@ class WordBpe(dict):
         """NFC, then each character's own lower case (a final sigma is not told apart)."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _rank(self, a: int, b: int) -> int:
-        found = self.merges.get((a, b))
-        return found[0] if found else _NONE
-
     def word(self, raw: bytes) -> list[int]:
         ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         if len(ids) > SCAN_LIMIT:
             return self._long_word(ids)
-        ranks = [self._rank(a, b) for a, b in zip(ids, ids[1:], strict=False)]
+        rank = self.ranks.get
+        ranks = [rank(pair, _NONE) for pair in zip(ids, ids[1:], strict=False)]
         while ranks and (least := min(ranks)) != _NONE:
             at = ranks.index(least)
-            ids[at] = self.merges[ids[at], ids[at + 1]][1]
+            ids[at] = self.joined[least]
             del ids[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = self._rank(ids[at - 1], ids[at])
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), _NONE)
             if at < len(ranks):
-                ranks[at] = self._rank(ids[at], ids[at + 1])
+                ranks[at] = rank((ids[at], ids[at + 1]), _NONE)
         return ids
 
     def _long_word(self, ids: list[int]) -> list[int]:
         """The same merges by a heap of (rank, place); an entry holds while the pair at its place has
         its rank, which no other pair has."""
-        n = len(ids)
+        n, rank_of = len(ids), self.ranks.get
         parts, before, after = array("q", ids), array("q", range(-1, n - 1)), array("q", [*range(1, n), -1])
-        queue = [rank << 40 | i for i in range(n - 1) if (rank := self._rank(parts[i], parts[i + 1])) != _NONE]
+        queue = [rank << 40 | i for i in range(n - 1) if (rank := rank_of((parts[i], parts[i + 1]), _NONE)) != _NONE]
         heapq.heapify(queue)
         while queue:
             rank, i = divmod(heapq.heappop(queue), 1 << 40)
             j = after[i] if parts[i] >= 0 else -1
-            if j < 0 or self._rank(parts[i], parts[j]) != rank:
+            if j < 0 or rank_of((parts[i], parts[j]), _NONE) != rank:
                 continue  # a part of this pair has been merged since
-            parts[i], parts[j] = self.merges[parts[i], parts[j]][1], -1
+            parts[i], parts[j] = self.joined[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) >= 0 and (found := self._rank(parts[left], parts[right])) != _NONE:
+                if left >= 0 and (right := after[left]) >= 0 and (found := rank_of((parts[left], parts[right]), _NONE)) != _NONE:
                     heapq.heappush(queue, found << 40 | left)
         return [p for p in parts if p >= 0]
 
