@@ -52,11 +52,14 @@ def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return _FLOOR + np.maximum(odds, 0.0) / (1 + np.exp(-np.clip((ratio - _ENOUGH) / 2, -50, 50)))
 
 
-def _chosen_labels(labels: DataFrame, id_col: str, label_col: str, max_examples: int) -> DataFrame:
-    """At most ``max_examples`` learning rows, spread by hash: small enough to broadcast."""
+def _chosen_labels(labels: DataFrame, id_col: str, label_col: str, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
+    """``(ex_id, label)`` of at most ``max_examples`` learning rows, half of either label at most and
+    spread by hash: small enough to broadcast; and how many there are of each label."""
     known = labels.select(F.col(id_col).cast("long").alias("ex_id"), F.col(label_col).cast("int").alias("label")).where("ex_id IS NOT NULL AND label IN (0, 1)")
-    known = known.where(learning_row(F.col("ex_id"), 3, 1)).groupBy("ex_id").agg(F.max("label").alias("label"))
-    return known.orderBy(F.xxhash64("ex_id"), "ex_id").limit(max_examples)
+    known = keep(known.where(learning_row(F.col("ex_id"), 3, 1)).groupBy("ex_id").agg(F.max("label").alias("label")), "toxicity-known")
+    of_label = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    halves = [known.where(F.col("label") == y).orderBy(F.xxhash64("ex_id"), "ex_id").limit(max(1, max_examples // 2)) for y in (0, 1)]
+    return halves[0].unionByName(halves[1]), of_label
 
 
 def _term_counts(examples: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ class Vocabulary:
             if found is None:
                 found = [i for t in terms_of(word) if (i := self.place.get(t)) is not None]
                 if len(word) <= 64:
-                    if len(self.known) > 400_000:
+                    if len(self.known) > 200_000:
                         self.known.clear()
                     self.known[word] = found
             hits += found
@@ -131,12 +134,12 @@ class BlockMaxIndex:
         heaviest = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in vectors]
         order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))  # alike examples side by side
         self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.float64)
+        self.labels = np.array([labels[i] for i in order], np.int64)
         n = len(order)
         sizes = [len(vectors[i][0]) for i in order]
-        dims = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        dims = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0] for i in order)]).astype(np.int32)
         values = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
-        rows = np.repeat(np.arange(n), sizes)
+        rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
         held = np.bincount(dims, minlength=n_terms)
         often = np.flatnonzero(held > max(8, n // 32))
         self.column = np.full(n_terms, -1, np.int64)
@@ -144,9 +147,10 @@ class BlockMaxIndex:
         dense = self.column[dims] >= 0
         self.table = np.zeros((n, len(often)))
         self.table[rows[dense], self.column[dims[dense]]] = values[dense]
-        by_term = np.argsort(dims[~dense], kind="stable")
-        self.rows, self.values = rows[~dense][by_term], values[~dense][by_term]
-        self.starts = np.searchsorted(dims[~dense][by_term], np.arange(n_terms + 1))
+        dims, rows, values = dims[~dense], rows[~dense], values[~dense]
+        by_term = np.argsort(dims, kind="stable")
+        self.rows, self.values = rows[by_term], values[by_term]
+        self.starts = np.searchsorted(dims[by_term], np.arange(n_terms + 1))
         self.cuts = np.arange(0, n, _BLOCK)
         self.tops = np.maximum.reduceat(self.table, self.cuts, axis=0) if n else np.zeros((0, len(often)))
         self.scored = 0  # pairs of query and block, for measuring
@@ -202,7 +206,8 @@ class ToxicityModel:
     words: Vocabulary
     weight: np.ndarray  # inverse document frequency times relevance, by term
     index: BlockMaxIndex
-    base: float  # smoothed share of toxic examples
+    base: float  # smoothed share of the toxic among all learning rows
+    stands_for: np.ndarray  # how many learning rows an example of each label stands for
     k: int
     curve: tuple[float, float] = (0.0, 1.0)
 
@@ -215,7 +220,7 @@ class ToxicityModel:
         queries = [self.unit(*self.words.counted(t)) for t in texts]
         out = []
         for (places, cosines), (at, w) in zip(self.index.nearest(queries, self.k, without), queries, strict=True):
-            weights = np.exp(-4 * (1 - cosines))
+            weights = np.exp(-4 * (1 - cosines)) * self.stands_for[self.index.labels[places]]
             vote = float(((weights * self.index.labels[places]).sum() + 0.5 * self.base) / (weights.sum() + 0.5))
             out.append((vote, places, cosines, [self.words.terms[i] for i in at[np.argsort(-w, kind="stable")[:5]]]))
         return out
@@ -230,15 +235,15 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def _fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def _fitted_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """A logistic curve over the logits of votes, by damped Newton steps with a small ridge."""
     if not len(votes) or labels.min() == labels.max():
         return 0.0, 1.0
-    x, t = np.stack([np.ones(len(votes)), _logit(votes)], axis=1), np.array([0.0, 1.0])
+    x, t, weights = np.stack([np.ones(len(votes)), _logit(votes)], axis=1), np.array([0.0, 1.0]), weights / weights.mean()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        grad = x.T @ (labels - p) - 0.1 * (t - [0.0, 1.0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        grad = x.T @ (weights * (labels - p)) - 0.1 * (t - [0.0, 1.0])
+        hess = (x * (weights * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         t = t + step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
     return float(t[0]), float(max(t[1], 0.0))
@@ -273,15 +278,17 @@ def _voted(rows: DataFrame, shared) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(each, "doc_id long, vote double, evidence array<struct<doc_id: long, cosine: double, label: int>>, terms array<string>")
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 10_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
+def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
     """The model, and ``(doc_id, text)`` of all documents.
 
-    ``max_examples`` bounds the labelled rows learned from, and by them the terms and what reaches
-    the driver and the workers.  Document frequencies cover all documents.
+    ``max_examples`` bounds the labelled rows learned from, half of either label at most, and by
+    them the terms and what reaches the driver and the workers.  Votes and the curve weigh each
+    label by the learning rows that its examples stand for.  Document frequencies cover all documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chosen = keep(_chosen_labels(labels, id_col, label_col, max_examples), "toxicity-labels")
+    chosen, of_all = _chosen_labels(labels, id_col, label_col, max_examples)
+    chosen = keep(chosen, "toxicity-labels")
     examples = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("ex_id")).groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("v"))
     examples = keep(examples.select("doc_id", "v.*"), "toxicity-examples")  # at most max_examples rows, one an id
     counts = _term_counts(examples.select("text", "label")).toArrow().sort_by("term")
@@ -296,15 +303,18 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     def each(batches):
         for batch in batches:
             found = [vocabulary.value.counted(t.as_py()) for t in batch.column(1)]
-            kind = pa.list_(pa.int64())
+            kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a for a, _ in found], kind), pa.array([t for _, t in found], kind)], ["doc_id", "label", "at", "tf"])
 
-    known = examples.select("doc_id", "text", "label").mapInArrow(each, "doc_id long, label int, at array<long>, tf array<long>").toPandas().sort_values("doc_id")
-    model = ToxicityModel(words, weight, None, (n_toxic + 0.5) / (n_toxic + n_clean + 5), k)
-    vectors = [model.unit(np.asarray(a, np.int64), np.asarray(t, np.int64)) for a, t in zip(known["at"], known["tf"], strict=True)]
+    known = examples.select("doc_id", "text", "label").mapInArrow(each, "doc_id long, label int, at array<int>, tf array<int>").toPandas().sort_values("doc_id")
+    all_toxic, everything = of_all.get(1, 0), sum(of_all.values())
+    shares = np.array([of_all.get(0, 0) / max(1, n_clean), all_toxic / max(1, n_toxic)]) * (n_clean + n_toxic) / max(1, everything)
+    model = ToxicityModel(words, weight, None, (all_toxic + 0.5) / (everything + 5), shares, k)
+    vectors = [model.unit(a, t) for a, t in zip(known["at"], known["tf"], strict=True)]
     model.index = BlockMaxIndex(known["doc_id"].tolist(), vectors, known["label"].tolist(), len(words.terms))
     own = _voted(examples.repartition(32), spark.sparkContext.broadcast(model)).select("doc_id", "vote").join(examples.select("doc_id", "label"), "doc_id").toPandas()
-    model.curve = _fitted_curve(own["vote"].to_numpy(float), own["label"].to_numpy(float))
+    labels_of = own["label"].to_numpy(int)
+    model.curve = _fitted_curve(own["vote"].to_numpy(float), labels_of, model.stands_for[labels_of])
     return model, rows
 
 

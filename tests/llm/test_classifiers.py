@@ -80,6 +80,8 @@ def test_toxicity(spark):
     by = {r.doc_id: r for r in got}
     assert by[9000].predicted == 0 and by[9001].evidence == [] and by[None].predicted == 1 and not by[None].held_out and by[9003].predicted == 1
     assert all(e.doc_id != r.doc_id and not held(e.doc_id, 3, 1) and 0 < e.cosine <= 1 + 1e-9 for r in got for e in r.evidence)
+    few = [r.predicted == truth[r.doc_id] for r in X.score_toxicity(d, lab, max_examples=120).collect() if r.held_out and r.doc_id in truth]  # sixty of either label
+    assert np.mean(few) > 0.9
     assert len({r.score for r in X.score_toxicity(d, lab.limit(0)).collect()}) == 1 and X.score_toxicity(d.limit(0), lab).count() == 0
 
 
