@@ -1,8 +1,10 @@
 """Main text of web pages by the consensus of each host's pages.
 
 Each page scores its containers by the running text that they hold and names its best one by a
-generalised path of tags and classes.  Spark counts these votes per host.  Every page is then
-read again with the winning paths of its host; a page that has none of them falls back on its own
+generalised path of tags and classes.  Spark counts these votes per host.  A block whose name only
+hints at a side (``related-x9``, but ``search-history`` too) is judged by its host as well: it is
+one if it is mostly links or says the same on most pages.  Every page is then read again with the
+winning paths and the sides of its host; a page that has none of the paths falls back on its own
 best container.
 """
 
@@ -21,7 +23,7 @@ from .scratch import keep
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|iframe|svg|math|canvas|object|select|textarea|button|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|noscript|iframe|svg|canvas|object|select|textarea|button|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
@@ -33,18 +35,25 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = frozenset("article main section div td body center".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+_MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics annotation".split())
 #: What a start tag ends when it stands open above it.
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+_GROUP = {"p": "p", "li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+_SCOPE = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt",), "table": ("tr", "td"), "tr": ("td",), "select": ("option",), **{t: ("p",) for t in _CONTAINERS - {"td"}}, "td": ("p",), "th": ("p",)}
 _SIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
+#: Words that name a side, and words that say nothing about what a block holds.
 _SIDE_WORDS = frozenset(
-    "nav navbar navigation menu sidebar aside footer ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices alert "
-    "comment comments disqus respond reply replies form newsletter subscribe signup login search share sharing social related recommended breadcrumb breadcrumbs popup modal overlay widget pagination pager skip toc".split()
+    "nav navbar navigation menu sidebar aside footer ad ads advert adverts advertisement advertising banner sponsor sponsors sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts "
+    "comment comments disqus respond reply replies form forms newsletter subscribe subscription signup login search share sharing social related recommended breadcrumb breadcrumbs popup modal overlay pagination pager skip toc masthead widget widgets".split()
 )
-_DEPTH = 512
+_PLAIN_WORDS = frozenset("wrapper wrap container layout page box block area section item items list inner outer left right top bottom side bar column col row group panel holder slot unit text body site global primary secondary main the and for to of us links link posts post articles stories btn button icon icons".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_WRAPPER_WORDS = frozenset("has with no without wrapper wrap container layout page main content".split())
+_FRAME_WORDS = frozenset("has with no without main content".split())
+_RUN = 16  # equal segments in a row that a path tells apart
+
+
+def _words(name: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
 
 
 def _segment(tag: str, classes: list[str]) -> str:
@@ -52,34 +61,48 @@ def _segment(tag: str, classes: list[str]) -> str:
     return ".".join([tag, *sorted({c for c in (re.sub(r"[\d>]+", "", x).strip("-_") for x in classes) if c})]).replace(">", "")
 
 
-def _is_side(tag: str, words: set[str], role: str, hidden: bool, in_article: bool) -> bool:
+def _side(tag: str, names: list[str], role: str, hidden: bool, in_article: bool) -> bool | None:
+    """Whether an element is a side by itself; None if its name hints at one but says more, too."""
     if tag in ("html", "body", "main"):
         return False
     if hidden or tag in _SIDE_TAGS or role in _ROLES:
         return True
-    if not in_article and tag != "article" and (tag == "header" or ("header" in words and not words & _WRAPPER_WORDS)):
+    told = [_words(n) for n in names]
+    words = {w for ws in told for w in ws}
+    framed = bool(words & _FRAME_WORDS)
+    if not in_article and tag != "article" and (tag == "header" or (any(ws and set(ws) <= {"header", *_PLAIN_WORDS} and "header" in ws for ws in told) and not framed)):
         return True
-    found = words & _SIDE_WORDS
-    if tag == "article":
-        return bool(found & {"comment", "comments", "reply", "related", "recommended", "sponsored", "ad", "promo"})
-    return bool(found) and not words & _WRAPPER_WORDS
+    for ws in told:
+        if any(w in _SIDE_WORDS for w in ws) and all(w in _SIDE_WORDS or w in _PLAIN_WORDS for w in ws) and not set(ws) & _FRAME_WORDS:
+            return True
+    return None if words & _SIDE_WORDS else False
 
 
 class _Element:
-    __slots__ = ("in_article", "key", "link", "node", "parent", "places", "score", "segment", "side", "tag")
+    __slots__ = ("doubt", "in_article", "key", "link", "node", "opened", "parent", "places", "run", "score", "segment", "side", "tag")
 
-    def __init__(self, tag, segment, parent, side, in_article, link):
+    def __init__(self, tag, segment, parent, side, in_article, link, doubt):
         self.tag, self.segment, self.parent, self.side, self.in_article, self.link = tag, segment, parent, side, in_article, link
-        self.key = xxhash.xxh64_intdigest(segment, parent.key if parent else 0)  # of the whole path
+        self.run = parent.run + 1 if parent and parent.segment == segment else 1
+        self.key = parent.key if self.run > _RUN else xxhash.xxh64_intdigest(segment, parent.key if parent else 0)  # of the whole path
+        self.doubt = self if doubt else parent.doubt if parent else None  # nearest element that may be a side
         self.score = 0.0
-        self.places: tuple[int, ...] | None = None
+        self.places: tuple[tuple[int, _Element], ...] | None = None
         self.node = self if tag in _CONTAINERS or parent is None else parent.node  # nearest container
+        self.opened: dict[str, int] = {}  # where an element stands open that a start tag may end
+
 
+def _walk(page: str, sides: frozenset[int] = frozenset()):
+    """Yields ``(element, text)`` for text and ``(element, None)`` where a block or line ends.  Elements
+    whose path is among ``sides`` are sides.  The time is in proportion to the page, however deep."""
+    stack = [_Element("", "", None, False, False, False, False)]
+    standing: Counter = Counter()  # open elements by tag
+
+    def cut(at: int) -> None:
+        for e in stack[at:]:
+            standing[e.tag] -= 1
+        del stack[at:]
 
-def _walk(page: str):
-    """Yields ``(element, text)`` for text and ``(element, None)`` where a block or line ends."""
-    stack = [_Element("", "", None, False, False, False)]
-    too_deep = 0  # open tags below the deepest level told apart
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -89,68 +112,80 @@ def _walk(page: str):
         if tag is None:
             continue
         tag = tag.lower()
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in _MATH:
             yield stack[-1], None
         if m["end"] or m["end2"]:
-            if too_deep:
-                too_deep -= 1
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if standing[tag] > 0:
+                at = len(stack) - 1
+                while stack[at].tag != tag:
+                    at -= 1
+                cut(at)
             continue
         if tag in _VOID:
             continue
-        if len(stack) > _DEPTH:
-            too_deep += 1
-            continue
-        if tag in _PARAGRAPH_ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _CONTAINERS:
-                    break
-        elif tag in _ENDS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _SCOPES.get(tag, ()):
-                    break
-                if stack[i].tag in _ENDS[tag]:
-                    del stack[i:]
-                    break
-        attrs, classes, words, role, hidden = m["attrs"] or m["attrs2"], [], set(), "", False
+        opened = stack[-1].opened
+        ends = [opened[g] for g in (("p",) if tag in _PARAGRAPH_ENDS else ()) + ((_GROUP[tag],) if tag in _GROUP else ()) if g in opened]
+        if ends:
+            cut(min(ends))
+        attrs, classes, names, role, hidden = m["attrs"] or m["attrs2"], [], [], "", False
         if attrs:
             for name, value in _ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), html.unescape(value.strip("\"'"))
                 if name == "class":
                     classes = value.split()
                 if name in ("class", "id"):
-                    words |= set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+                    names += value.split()
                 role, hidden = value.lower() if name == "role" else role, hidden or name == "hidden"
         up = stack[-1]
-        side = up.side or _is_side(tag, words, role, hidden, up.in_article)
-        stack.append(_Element(tag, _segment(tag, classes), up, side, up.in_article or tag == "article", up.link or tag == "a"))
-
-
-def best_path(page: str) -> str | None:
-    """The generalised path of the container with the most running text, lifted to the article or
-    main element around it; None if no text stands outside of the sides."""
+        own = _side(tag, names, role, hidden, up.in_article)
+        one = _Element(tag, _segment(tag, classes), up, up.side or bool(own), up.in_article or tag == "article", up.link or tag == "a", own is None)
+        one.side = one.side or one.key in sides
+        one.opened = up.opened
+        if tag in _SCOPE or tag in _GROUP:
+            one.opened = {g: i for g, i in up.opened.items() if g not in _SCOPE.get(tag, ())}
+            if tag in _GROUP:
+                one.opened[_GROUP[tag]] = len(stack)
+        stack.append(one)
+        standing[tag] += 1
+
+
+def _path(element: _Element) -> str:
+    segments = []
+    while element.parent is not None:
+        if element.run <= _RUN:
+            segments.append(element.segment)
+        element = element.parent
+    return ">".join(reversed(segments))
+
+
+def surveyed(page: str, sides: frozenset[int] = frozenset()) -> tuple[str | None, list[tuple[str, int, int, int]]]:
+    """The page's best path, and ``(path, hash, characters, of them in links)`` of the text of each
+    block that may be a side.
+
+    The best is the container with the most running text, lifted to the article or main element
+    around it; None if no text stands outside of the sides."""
     seen: dict[int, _Element] = {}
-    for element, text in _walk(page):
+    doubts: dict[int, list] = {}
+    for element, text in _walk(page, sides):
         if text is None or element.side or not (size := len(text.strip())):
             continue
-        node = element.node
         worth = -size / 2 if element.link else size
+        if (doubt := element.doubt) is not None:
+            told = doubts.setdefault(id(doubt), [doubt, xxhash.xxh64(), 0, 0])
+            told[1].update(text.strip().encode("utf-8", "surrogatepass"))
+            told[2] += size
+            told[3] += size if element.link else 0
+        node = element.node
         node.score += worth
         seen[id(node)] = node
         if node.parent is not None:
             above = node.parent.node
             above.score += worth / 2
             seen[id(above)] = above
+    found = [(_path(d), h.intdigest() - (1 << 63), n, links) for d, h, n, links in doubts.values()]
     best = max(seen.values(), key=lambda e: e.score, default=None)
     if best is None:
-        return None
+        return None, found
     for wanted in ("article", "main"):
         at = best
         while at is not None and at.tag != wanted:
@@ -158,11 +193,7 @@ def best_path(page: str) -> str | None:
         if at is not None:
             best = at
             break
-    path = []
-    while best.parent is not None:
-        path.append(best.segment)
-        best = best.parent
-    return ">".join(reversed(path))
+    return _path(best), found
 
 
 def path_key(path: str) -> int:
@@ -172,44 +203,49 @@ def path_key(path: str) -> int:
     return key
 
 
-def _places(element: _Element, wanted: dict[int, int]) -> tuple[int, ...]:
-    """Which wanted paths the element stands at or below, each once."""
+def _places(element: _Element, wanted: dict[int, int]) -> tuple[tuple[int, _Element], ...]:
+    """Which wanted paths the element stands at or below, each once, and at which element."""
     above = element.parent.places if element.parent is not None else ()
     own = wanted.get(element.key)
-    return above if own is None or own in above else (*above, own)
+    return above if own is None or any(p == own for p, _ in above) else (*above, (own, element))
 
 
-def text_at(page: str, paths: list[str]) -> str | None:
-    """The text of the elements at the first of ``paths`` that the page has text at."""
+def text_at(page: str, paths: list[str], sides: frozenset[int] = frozenset()) -> str | None:
+    """The text at the first of ``paths`` that the page has text at: of all elements there, but of
+    several articles only that with the most running text, as the others lead elsewhere."""
     wanted = {path_key(p): i for i, p in reversed(list(enumerate(paths)))}
-    found: dict[int, list[str]] = {}
-    for element, text in _walk(page):
+    found: dict[int, dict[int, list]] = {}
+    for element, text in _walk(page, sides):
         if element.side:
             continue
         if element.places is None:
-            up = element.parent
-            if up is not None and up.places is None:
-                chain = []
-                while up is not None and up.places is None:
-                    chain.append(up)
-                    up = up.parent
-                for x in reversed(chain):
-                    x.places = _places(x, wanted)
-            element.places = _places(element, wanted)
-        for place in element.places:
-            found.setdefault(place, []).append(" " if text is None else html.unescape(text))
+            chain = []
+            while element is not None and element.places is None:
+                chain.append(element)
+                element = element.parent
+            for x in reversed(chain):
+                x.places = _places(x, wanted)
+            element = chain[0]
+        for place, root in element.places:
+            told = found.setdefault(place, {}).setdefault(id(root), [root, 0, []])
+            told[2].append(" " if text is None else html.unescape(text))
+            if text is not None:
+                told[1] += len(text.strip()) * (-1 if element.link else 2)
     for place in sorted(found):
-        if text := " ".join("".join(found[place]).split()):
+        parts = list(found[place].values())
+        if parts[0][0].tag in ("article", "main"):
+            parts = [max(parts, key=lambda p: p[1])]
+        if text := " ".join(" ".join("".join(p[2]) for p in parts).split()):
             return text
     return None
 
 
-def main_text(page: str, paths: list[str]) -> str:
+def main_text(page: str, paths: list[str], sides: frozenset[int] = frozenset()) -> str:
     """Text at the winning paths, else at the page's own best path, else empty."""
-    text = text_at(page, paths) if paths else None
+    text = text_at(page, paths, sides) if paths else None
     if text is None:
-        own = best_path(page)
-        text = text_at(page, [own]) if own is not None else None
+        own, _ = surveyed(page, sides)
+        text = text_at(page, [own], sides) if own is not None else None
     return text or ""
 
 
@@ -218,30 +254,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::\d*)?(?:[/?#]|$)", 1))
 
 
-def host_paths(pages: DataFrame, most: int = 3) -> DataFrame:
-    """``(host, html)`` -> ``(host, paths)``: the ``most`` paths with the most votes, best first."""
+def host_paths(pages: DataFrame, least_share: float = 0.05, repeats: int = 3) -> DataFrame:
+    """``(host, html)`` -> ``(host, paths, sides)``: the paths with at least ``least_share`` of the
+    host's votes, best first, and the paths of doubtful blocks that are sides on this host: half of
+    their text in links, or the same text on half of the pages that have one and on ``repeats``."""
 
     def each(batches):
-        votes: Counter = Counter()
+        told: dict[tuple, list[int]] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if (path := best_path(page.as_py())) is not None:
-                    votes[host, path] += 1
-            if len(votes) > 100_000:
-                yield flushed(votes)
-        yield flushed(votes)
-
-    def flushed(votes):
-        hosts, paths = [h for h, _ in votes], [p for _, p in votes]
-        batch = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
-        votes.clear()
-        return batch
-
-    votes = pages.select("host", "html").mapInArrow(each, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    place = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    best = votes.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
-    ranked = F.array_sort(F.collect_list(F.struct("place", "path")))
-    return best.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
+                best, doubts = surveyed(page.as_py())
+                rows = [(best, 0, 0, 0, False)] if best is not None else []
+                for path, text, size, links, doubtful in [*rows, *((*d, True) for d in doubts)]:
+                    sums = told.setdefault((host, path, text, doubtful), [0, 0, 0])
+                    sums[0], sums[1], sums[2] = sums[0] + 1, sums[1] + size, sums[2] + links
+            if len(told) > 100_000:
+                yield flushed(told)
+        yield flushed(told)
+
+    def flushed(told):
+        columns = [list(c) for c in zip(*told, strict=True)] or [[], [], [], []]
+        sums = [list(c) for c in zip(*told.values(), strict=True)] or [[], [], []]
+        told.clear()
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, *sums], kinds, strict=True)], ["host", "path", "text", "doubtful", "n", "size", "links"])
+
+    told = pages.select("host", "html").mapInArrow(each, "host string, path string, text long, doubtful boolean, n long, size long, links long")
+    told = keep(told.groupBy("host", "path", "text", "doubtful").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("links").alias("links")), "host-votes")
+    votes = told.where("NOT doubtful").select("host", "path", F.col("n").alias("votes"))
+    share = F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path")))
+    winners = votes.withColumn("share", share).where(F.col("share") >= least_share).groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
+    blocks = told.where("doubtful").groupBy("host", "path").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("size").alias("size"), F.sum("links").alias("links"))
+    is_side = (F.col("links") * 2 >= F.col("size")) | ((F.col("same") * 2 >= F.col("n")) & (F.col("same") >= repeats))
+    sides = blocks.where(is_side).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("sides"))
+    return winners.join(sides, "host", "full")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, slices: int = 32) -> DataFrame:
@@ -261,14 +308,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def each(batches):
         for batch in batches:
-            paths = batch.column(3).to_pylist()
-            texts = [main_text(page.as_py(), ways or []) for page, ways in zip(batch.column(2), paths, strict=True)]
+            paths, sides = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts = [main_text(page.as_py(), ways or [], frozenset(map(path_key, out or ()))) for page, ways, out in zip(batch.column(2), paths, sides, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(paths, pa.list_(pa.string()))],
                 ["page_id", "url", "text", "n_chars", "paths"],
             )
 
-    return dealt.select("page_id", "url", "html", "paths").mapInArrow(each, "page_id long, url string, text string, n_chars long, paths array<string>")
+    return dealt.select("page_id", "url", "html", "paths", "sides").mapInArrow(each, "page_id long, url string, text string, n_chars long, paths array<string>")
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:

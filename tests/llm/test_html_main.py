@@ -1,3 +1,4 @@
+import random
 import time
 
 from manloom.llm import html_main as H
@@ -14,7 +15,7 @@ TEXT = "The Title & more First <line second line Third! © One Two a b"
 
 def test_page_alone():
     page = PAGE.replace("@@", "Nice read! " * 50)
-    assert H.best_path(page) == "html>body.has-sidebar>article.post"
+    assert H.surveyed(page)[0] == "html>body.has-sidebar>article.post"
     assert H.main_text(page, []) == TEXT
     assert H.main_text(page, ["html>body>main", "html>body.has-sidebar>article.post"]) == TEXT
 
@@ -31,6 +32,9 @@ def test_long_and_deep_pages_take_linear_time():
     assert len(H.main_text("<div>" * 3000 + "<p>word</p>" * 100_000, [])) > 400_000
     H.main_text("<a \"" * 50_000, [])
     H.main_text("<script>" * 50_000 + "<!--" * 50_000, [])
+    H.main_text("<b>" * 200_000 + "</i>" * 200_000 + "<ul>" * 100_000, [])
+    assert H.main_text("<p>" + "<ul><b>" * 50_000 + "x" + "</ul>" * 50_000, []) == "x"
+    H.main_text("<div><p>" * 100_000 + "</p></div>" * 100_000, [])
     assert time.time() - start < 30
 
 
@@ -47,3 +51,59 @@ def test_host_consensus(spark):
     assert texts[10] == "a rail that is much longer" and texts[11] == "" and texts[None] == ""
     assert all(r.n_chars == len(r.text) for r in got)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_names_alone_drop_no_article_text():
+    long = "word " * 60
+    page = f'<body><article><p>{long}</p><section class="search-history"><p>the history of searching</p></section><div class="form-of-life"><p>a form of life</p></div><p>sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end</p></article></body>'
+    assert H.main_text(page, []) == f"{long}the history of searching a form of life sum x=2 end"
+
+
+def test_sides_at_any_depth():
+    page = "<div>" * 2000 + "<p>words of the article itself</p><nav><ul><li>menu</li></ul></nav><div class=ad><p>buy</p></div><p>more</p>" + "</div>" * 2000
+    assert H.main_text(page, []) == "words of the article itself more"
+
+
+def test_one_article_of_several():
+    page = "<body><article><p>the article with all of its text</p></article><article><p>a teaser</p></article></body>"
+    assert H.main_text(page, ["body>article"]) == "the article with all of its text"
+    both = "<body><div class=part><p>one part of it</p></div><div class=part><p>another part</p></div></body>"
+    assert H.main_text(both, ["body>div.part"]) == "one part of it another part"
+
+
+def test_hosts_judge_doubtful_blocks(spark):
+    page = lambda i, block: f'<body><article><p>{"text %d " % i * 20}</p>{block}</article></body>'
+    links = '<div class="related-x"><a href=1>See this</a> <a href=2>and that</a></div>'
+    rows = [(i, "http://a.example", page(i, '<div class="promo-strip"><p>Buy two, get three.</p></div>')) for i in range(6)]
+    rows += [(10 + i, "http://b.example", page(10 + i, f'<div class="promo-strip"><p>Own words {i}.</p></div>')) for i in range(6)]
+    rows += [(20, "http://c.example", page(20, links))]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, _ in rows:
+        own = f" Own words {i - 10}." if 10 <= i < 20 else ""
+        assert got[i] == ("text %d " % i * 20).strip() + own
+
+
+def test_pages_made_around_known_articles(spark):
+    """Articles put into layouts of many hosts; the text must come back as it went in."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    sides = [
+        lambda: f"<nav><ul><li><a href=/>{said(1)}</a></li></ul></nav>", lambda: f"<header><h2>{said(3)}</h2></header>", lambda: f'<div class="sidebar left"><p>{said(30)}</p></div>', lambda: f"<footer><p>{said(9)}</p></footer>",
+        lambda: f'<div id="cookie-notice"><p>{said(12)}</p></div>', lambda: f'<div class="ad-box"><p>{said(6)}</p></div>', lambda: f"<form><label>{said(2)}</label><input value='{said(1)}'></form>", lambda: f"<script>var x='<p>{said(5)}';</script><style>p{{}}</style>",
+        lambda: f'<section class="comments"><div class="comment-body"><p>{said(40)}</p></div></section>', lambda: f"<aside><p>{said(20)}</p></aside>", lambda: "<!-- <p>no</p> -->",
+    ]
+    rows, truth = [], {}
+    for host in range(12):
+        open_, close = rng.choice([("<article>", "</article>"), ('<main><div class="story">', "</div></main>"), ('<div class="page-wrapper"><div class="entry">', "</div></div>"), ('<article class="post">', "</article>")])
+        around = rng.sample(sides, 6)
+        for k in range(8):
+            blocks = [said(rng.randint(8, 40)) for _ in range(rng.randint(2, 6))]
+            inside = [f"<h1>{blocks[0]}</h1>", *(rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<ul><li>{}</ul>", "<blockquote><p>{}</p></blockquote>"]).format(b) for b in blocks[1:])]
+            inside.insert(rng.randint(1, len(inside)), rng.choice(sides[4:])())
+            page = "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(f() for f in around[:3]) + open_ + "".join(inside) + close + "".join(f() for f in around[3:]) + rng.choice(["</body></html>", ""])
+            i = host * 100 + k
+            rows.append((i, f"https://h{host}.example/{k}", page))
+            truth[i] = " ".join(blocks)
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == truth
