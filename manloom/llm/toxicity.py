@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ class BlockMaxIndex:
         values = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
         rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
         held = np.bincount(dims, minlength=n_terms)
-        often = np.flatnonzero(held > max(8, n // 32))
+        often = np.flatnonzero(held > max(8, n // 16))
         self.column = np.full(n_terms, -1, np.int64)
         self.column[often] = np.arange(len(often))
         dense = self.column[dims] >= 0
@@ -203,14 +204,30 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
+    """What is shared with the workers: the examples as term counts, from which each worker builds
+    the index once."""
+
     words: Vocabulary
     weight: np.ndarray  # inverse document frequency times relevance, by term
-    index: BlockMaxIndex
+    ids: np.ndarray
+    labels: np.ndarray
+    sizes: np.ndarray  # terms of each example
+    at: np.ndarray  # their places and counts, example after example
+    tf: np.ndarray
     base: float  # smoothed share of the toxic among all learning rows
     stands_for: np.ndarray  # how many learning rows an example of each label stands for
     k: int
     curve: tuple[float, float] = (0.0, 1.0)
 
+    def __getstate__(self):
+        return {name: value for name, value in self.__dict__.items() if name != "index"}
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        cuts = np.cumsum(self.sizes)[:-1]
+        vectors = [self.unit(a, t) for a, t in zip(np.split(self.at, cuts), np.split(self.tf, cuts), strict=True)] if len(self.ids) else []
+        return BlockMaxIndex(self.ids, vectors, self.labels, len(self.words.terms))
+
     def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.weight[at]
         return at, w / np.sqrt((w * w).sum()) if len(w) else w
@@ -279,7 +296,7 @@ def _voted(rows: DataFrame, shared) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and ``(doc_id, text)`` of all documents.
+    """The model, and ``(doc_id, vote, evidence, terms)`` of all documents.
 
     ``max_examples`` bounds the labelled rows learned from, half of either label at most, and by
     them the terms and what reaches the driver and the workers.  Votes and the curve weigh each
@@ -309,13 +326,15 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     known = examples.select("doc_id", "text", "label").mapInArrow(each, "doc_id long, label int, at array<int>, tf array<int>").toPandas().sort_values("doc_id")
     all_toxic, everything = of_all.get(1, 0), sum(of_all.values())
     shares = np.array([of_all.get(0, 0) / max(1, n_clean), all_toxic / max(1, n_toxic)]) * (n_clean + n_toxic) / max(1, everything)
-    model = ToxicityModel(words, weight, None, (all_toxic + 0.5) / (everything + 5), shares, k)
-    vectors = [model.unit(a, t) for a, t in zip(known["at"], known["tf"], strict=True)]
-    model.index = BlockMaxIndex(known["doc_id"].tolist(), vectors, known["label"].tolist(), len(words.terms))
-    own = _voted(examples.repartition(32), spark.sparkContext.broadcast(model)).select("doc_id", "vote").join(examples.select("doc_id", "label"), "doc_id").toPandas()
+    joined = lambda column: np.concatenate([np.zeros(0, np.int32), *known[column]])
+    model = ToxicityModel(
+        words, weight, known["doc_id"].to_numpy(np.int64), known["label"].to_numpy(np.int8), known["at"].map(len).to_numpy(np.int32), joined("at"), joined("tf"), (all_toxic + 0.5) / (everything + 5), shares, k
+    )
+    shared = spark.sparkContext.broadcast(model)
+    own = _voted(examples.repartition(32), shared).select("doc_id", "vote").join(examples.select("doc_id", "label"), "doc_id").toPandas()
     labels_of = own["label"].to_numpy(int)
     model.curve = _fitted_curve(own["vote"].to_numpy(float), labels_of, model.stands_for[labels_of])
-    return model, rows
+    return model, _voted(rows, shared)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -328,8 +347,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     score is the base rate; an empty table gives no rows.  Other columns are ignored whatever their
     names.
     """
-    model, rows = toxicity_model(docs, labels, **options)
-    voted = _voted(rows, docs.sparkSession.sparkContext.broadcast(model))
+    model, voted = toxicity_model(docs, labels, **options)
     a, b = model.curve
     p = F.greatest(F.least(F.col("vote"), F.lit(1 - 1e-4)), F.lit(1e-4))
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log(p / (1 - p)))))
