@@ -1,10 +1,13 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Vectors lie in shards.  Within a shard the postings of all dimensions are cut into segments by the
-quantised size of their value.  A block of queries takes the segments by falling impact; what the
-rest can still add or take is bounded by the impact of the next segment times the query weights of
-the dimensions not yet seen.  A query leaves as soon as that proves all but a few vectors unable
-to enter its best ``k``; those few are scored again exactly, from the integers.
+Vectors lie in shards.  The index of a shard is its postings, one for each component that isn't
+zero, cut into segments by quantised impact (the size of the value) and, within an impact, by
+dimension; with them stands how long each vector still is below each impact.  It is written once
+and read by the queries.  A block of queries takes the segments by falling impact and adds up what
+they hold.  What is left of a vector can't add more than its remaining length times the query's
+own, so a query leaves as soon as that proves all but a few vectors unable to enter its best ``k``;
+those few are scored again exactly, from the integers.  Segments below the last impact that a query
+of the block needs are never touched.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .scratch import keep
 
-_LEVELS = 8
+_LEVELS = 16
 _PACKED = "part long, n int, dims int, ids binary, vectors binary"
+_INDEXED = f"{_PACKED}, width long, rows binary, vals binary, starts binary, rests binary"
 
 
 def scaled(embedding: Column, scale: float) -> Column:
@@ -62,41 +66,55 @@ def packed(vectors: DataFrame, most: int) -> DataFrame:
 class ImpactIndex:
     """The segments of one shard."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        size = np.abs(vectors)
-        self.largest = int(size.max(initial=0))
-        self.width = self.largest // _LEVELS + 1
-        self.level = size // self.width
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, width: int, rows: np.ndarray, values: np.ndarray, starts: np.ndarray, rests: np.ndarray) -> None:
+        self.ids, self.vectors, self.width, self.rows, self.values = ids, vectors, width, rows, values
+        self.starts = starts  # of the segments, falling impact by falling impact, dimension by dimension
+        self.rests = rests  # length of each vector that is left after each impact, a row an impact
+        self.touched = 0  # postings times the queries that took them
+
+    @classmethod
+    def built(cls, ids: np.ndarray, vectors: np.ndarray) -> ImpactIndex:
+        n, dims = vectors.shape
+        width = int(np.abs(vectors).max(initial=0)) // _LEVELS + 1
+        falling = _LEVELS - 1 - np.abs(vectors) // width  # 0 for the largest impact
+        row, dim = np.nonzero(vectors)
+        segment = falling[row, dim] * dims + dim
+        order = np.argsort(segment, kind="stable")
+        squares = np.stack([np.where(falling > level, vectors, 0).astype(float) for level in range(_LEVELS)]) if n else np.zeros((_LEVELS, 0, dims))
+        rests = np.sqrt((squares * squares).sum(axis=2))
+        return cls(ids, vectors, width, row[order].astype("<i4"), vectors[row, dim][order], np.searchsorted(segment[order], np.arange(_LEVELS * dims + 1)).astype("<i8"), rests)
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and scores of its ``k`` best vectors, its own id left out."""
-        most = max(self.largest, int(np.abs(queries).max(initial=0)), 1)
-        kind = np.float32 if most * most * max(1, queries.shape[1]) < 1 << 23 else np.float64  # sums stay exact
-        own = query_ids[:, None] == self.ids[None, :]
-        q, q_size = queries.astype(kind), np.abs(queries).astype(kind)
-        vectors = self.vectors.astype(kind)
-        seen = np.zeros((len(q), len(self.ids)), kind)
+        n, dims = self.vectors.shape
+        own = self.ids[:, None] == query_ids[None, :]
+        q = queries.astype(float)
+        lengths = np.sqrt((q * q).sum(axis=1))
+        whole = np.sqrt((self.vectors.astype(float) ** 2).sum(axis=1))
+        rounding = 4 * (dims + 8) * np.finfo(float).eps  # of sums whose parts add up to no more than both lengths
+        seen = np.zeros((n, len(q)))  # a vector a row, so that a posting adds to all queries at once
         possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         active = np.arange(len(q))
-        for level in range(_LEVELS - 1, -1, -1):
-            here = self.level == level
-            if here.any():
-                seen[active] += q[active] @ np.where(here, vectors, 0).T
-            rest = self.level < level
-            if level and rest.mean() > 0.75:
+        for level in range(_LEVELS):
+            first, last = self.starts[level * dims], self.starts[(level + 1) * dims]
+            for d in range(dims) if last > first else ():
+                lo, hi = self.starts[level * dims + d], self.starts[level * dims + d + 1]
+                if hi > lo:
+                    seen[self.rows[lo:hi]] += self.values[lo:hi, None] * q[active, d]
+                    self.touched += int(hi - lo) * len(active)
+            left = self.rests[level]
+            if level + 1 < _LEVELS and (last == first or np.median(left) > 0.6 * np.median(whole)):
                 continue  # too little seen for a proof
-            reach = (q_size[active] @ rest.T.astype(kind)) * (level * self.width - 1) if level else np.zeros((1, 1), kind)
-            low = np.where(own[active], -np.inf, seen[active] - reach)
-            bar = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(active), -np.inf)
-            slack = 1e-9 * np.abs(bar, where=np.isfinite(bar), out=np.zeros_like(bar)) if kind == np.float64 else 0
-            can = (seen[active] + reach >= (bar - slack)[:, None]) & ~own[active]
-            proven = can.sum(axis=1) <= max(8 * k, len(self.ids) // 64)
-            if not level:
+            reach = (left + rounding * whole)[:, None] * lengths[active]
+            low = np.where(own[:, active], -np.inf, seen - reach)
+            bar = np.partition(low, -k, axis=0)[-k] if n > k else np.full(len(active), -np.inf)
+            can = (seen + reach >= bar) & ~own[:, active]
+            proven = can.sum(axis=0) <= max(8 * k, n // 16)
+            if level + 1 == _LEVELS:
                 proven[:] = True
-            for row in np.flatnonzero(proven):
-                possible[active[row]] = np.flatnonzero(can[row])
-            active = active[~proven]
+            for column in np.flatnonzero(proven):
+                possible[active[column]] = np.flatnonzero(can[:, column])
+            active, seen = active[~proven], seen[:, ~proven]
             if not len(active):
                 break
         out = []
@@ -107,39 +125,46 @@ class ImpactIndex:
         return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", *, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 256) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: each query row's ``k`` best vectors by integer inner
-    product, ties to the smaller id, all of them if fewer.
+def _usable(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).where("id IS NOT NULL").where(is_usable(F.col("e")))
+    return rows.select("id", scaled(F.col("e"), scale).alias("v"))
 
-    A query's own id is not among its candidates.  Vectors that are null or hold null, NaN or
-    infinite components and rows with a null id take no part; shorter vectors count as ending in
-    zeros; repeated candidates each take a rank and repeated queries are answered each; empty
-    tables give no rows.  Other columns are ignored whatever their names.  Scores are exact while
-    they fit a long and components stay below 2**53.
-    """
 
-    def usable(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).where("id IS NOT NULL").where(is_usable(F.col("e")))
-        return rows.select("id", scaled(F.col("e"), scale).alias("v"))
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, scale: float = 256.0, shard_rows: int = 8192) -> DataFrame:
+    """One row per shard of up to ``shard_rows`` vectors with its segments, to be written and searched."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                one = ImpactIndex.built(np.frombuffer(r.ids, "<i8"), np.frombuffer(r.vectors, "<i8").reshape(r.n, r.dims))
+                told = {"width": one.width, "rows": one.rows.tobytes(), "vals": one.values.astype("<i8").tobytes(), "starts": one.starts.tobytes(), "rests": one.rests.astype("<f8").tobytes()}
+                yield pd.DataFrame([{"part": r.part, "n": r.n, "dims": r.dims, "ids": r.ids, "vectors": r.vectors, **told}])
+
+    return packed(_usable(vectors, id_col, vector_col, scale), shard_rows).mapInPandas(each, _INDEXED)
 
-    shards = keep(packed(usable(vectors), shard_rows), "topk-shards")
-    blocks = packed(usable(queries), block_rows)
-    cells = max(1, shards.count())
-    shards = shards.select([F.col(c).alias(f"s_{c}") for c in shards.columns]).withColumn("cell", F.pmod(F.xxhash64("s_part"), F.lit(cells)))
+
+def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", *, scale: float = 256.0, block_rows: int = 256) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` from a written ``build_index`` of the same scale."""
+    blocks = packed(_usable(queries, id_col, vector_col, scale), block_rows)
+    cells = max(1, index.count())
+    shards = index.select([F.col(c).alias(f"s_{c}") for c in index.columns]).withColumn("cell", F.pmod(F.xxhash64("s_part"), F.lit(cells)))
     blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     met = blocks.join(shards, "cell")  # every query block meets every shard once
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, index = None, None
+        held, shard = None, None
         for pdf in batches:
             for r in pdf.itertuples():
                 if held != r.s_part:
                     held = r.s_part
-                    index = ImpactIndex(np.frombuffer(r.s_ids, "<i8"), np.frombuffer(r.s_vectors, "<i8").reshape(r.s_n, r.s_dims))
+                    shard = ImpactIndex(
+                        np.frombuffer(r.s_ids, "<i8"), np.frombuffer(r.s_vectors, "<i8").reshape(r.s_n, r.s_dims), r.s_width, np.frombuffer(r.s_rows, "<i4"), np.frombuffer(r.s_vals, "<i8"),
+                        np.frombuffer(r.s_starts, "<i8"), np.frombuffer(r.s_rests, "<f8").reshape(_LEVELS, r.s_n),
+                    )
                 ids, table = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.vectors, "<i8").reshape(r.n, r.dims)
                 if r.dims < r.s_dims:
                     table = np.pad(table, ((0, 0), (0, r.s_dims - r.dims)))
-                found = index.best(ids, table[:, : r.s_dims], k)
+                found = shard.best(ids, table[:, : r.s_dims], k)
                 sizes = [len(f[0]) for f in found]
                 yield pd.DataFrame(
                     {
@@ -153,6 +178,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", *, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 256) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: each query row's ``k`` best vectors by integer inner
+    product, ties to the smaller id, all of them if fewer.
+
+    A query's own id is not among its candidates.  Vectors that are null or hold null, NaN or
+    infinite components and rows with a null id take no part; shorter vectors count as ending in
+    zeros; repeated candidates each take a rank and repeated queries are answered each; empty
+    tables give no rows.  Other columns are ignored whatever their names.  Scores are exact while
+    they fit a long and components stay below 2**53.
+    """
+    index = keep(build_index(vectors, id_col, vector_col, scale=scale, shard_rows=shard_rows), "topk-index")
+    return search(index, queries, k, id_col, vector_col, scale=scale, block_rows=block_rows)
+
+
 def op2_topk(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)

@@ -47,9 +47,34 @@ def test_one_shard_stops_early_and_is_exact():
     centers = rng.normal(size=(40, 32))
     v = np.floor(60 * (centers[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 32)))).astype(np.int64)
     ids = rng.permutation(3000)
-    index = K.ImpactIndex(ids, v)
+    index = K.ImpactIndex.built(ids, v)
     found = index.best(ids[:50], v[:50], 5)
     for (got, scores), q, own in zip(found, v[:50], ids[:50], strict=True):
         s = v @ q
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != own][:5]
         assert got.tolist() == ids[order].tolist() and scores.tolist() == s[order].tolist()
+    assert index.touched < 0.5 * 50 * np.count_nonzero(v)  # brute force takes every posting for every query
+
+
+def test_large_values_keep_the_proof_exact():
+    """Scores near 2**60, where sums of doubles round."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(2**27), 2**27, (600, 24))
+    v[300:] = v[:300] + rng.integers(0, 2, (300, 24))
+    ids = np.arange(600)
+    found = K.ImpactIndex.built(ids, v).best(ids[:40], v[:40], 5)
+    for (got, scores), q, own in zip(found, v[:40], ids[:40], strict=True):
+        s = v @ q
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != own][:5]
+        assert got.tolist() == ids[order].tolist() and scores.tolist() == s[order].tolist()
+
+
+def test_written_index_is_searched(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    K.build_index(df, shard_rows=64).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    held = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = K.search(index, df.where("vec_id < 9"), 3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(held, [r for r in held if r[0] < 9], 3)
