@@ -89,3 +89,41 @@ def test_documents(spark):
     assert all(r.component_id == (near[r.doc_id] if r.doc_id is not None else 3) for r in got)
     assert near[9] == 3 and near[8] == 7
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_left_out_parts_keep_near_pairs_together():
+    masks = S.covering_masks(4)
+    rng = random.Random(5)
+    for mask, parts in zip(masks, S._left_out(masks, 5), strict=True):
+        told = [p & (1 << 64) - 1 for p in parts]
+        out = ~mask & (1 << 64) - 1
+        assert sum(told) == out and all(not a & b for a, b in combinations(told, 2))
+        places = [i for i in range(64) if out >> i & 1]
+        for _ in range(100):
+            diff = sum(1 << b for b in rng.sample(places, 4))
+            assert any(not p & diff for p in told)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.randint(0, 99_999)}"
+    return words
+
+
+def test_near_copies_of_a_shingle_similarity(spark):
+    """Pairs of 0.8 or more over five-word shingles are found, unrelated texts are not."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    shares = [1 / (i + 3) for i in range(400)]
+    texts = []
+    for _ in range(150):
+        words = rng.choices(vocabulary, shares, k=rng.randint(150, 500))
+        texts += [words, edited(rng, words, max(1, len(words) // 70))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (None, "a b"), (902, "one two"), (903, "one three")], "doc_id long, text string").withColumn("node", F.lit("clash"))
+    of = {r.doc_id: r.component_id for r in S.near_copies(docs, block=64).collect()}
+    pairs = [(i, i + 1) for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8]
+    assert len(pairs) > 100 and sum(of[a] == of[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(of[i] >= i - i % 2 for i in range(300))  # with no other pair
+    assert of[900] == of[901] == 900 and of[902] != of[903] and of[None] is None and S.near_copies(docs.limit(0)).count() == 0
