@@ -92,17 +92,18 @@ def _played(buckets: DataFrame, seed: int) -> DataFrame:
     return buckets.withColumn("s", F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), start, step)).select("source", "bucket", "s.out", "s.left")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, fan: int = 64, reserve: int = 512, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, size_col: str | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, fan: int = 64, reserve: int = 512, seed: int = 7) -> DataFrame:
     """One row per input row: ``(doc_id, source, copy, size, source_size, target, copies, taken)``.
 
     ``size`` counts the words of the whole text (null: 0).  ``taken`` is ``copies * size``, at most
     ``most`` times the size; a source's ``taken`` adds up to its target within one small document.
+    ``size_col`` names a column of words already counted, to be used instead of a text.
     Rows that repeat doc_id, source and size are told apart by ``copy`` (from 1).  Documents
     without words are taken 0 words.  Null sources form one source, placed last; null ids are
     ordinary ids.  Draws depend on seed, source, doc_id, size and copy only, so reruns agree
     whatever the partitions.  An empty table gives no rows; other columns are ignored.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col).cast("long"), F.lit(0))).alias("size"))
     rows = keep(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "mix-sizes")
     per_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("m")).otherwise(0)).alias("n"))
     goals = targets(per_source.select("source", "source_size"), weights, share, most)

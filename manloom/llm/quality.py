@@ -79,6 +79,14 @@ def statistics_of(text: Column) -> Column:
     return each(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
+def _below(lower: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a lower triangular system, row by row."""
+    out = np.empty_like(right)
+    for i, row in enumerate(lower):
+        out[i] = (right[i] - row[:i] @ out[:i]) / row[i]
+    return out
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Class priors, means and shrunk covariances; index 1 is the class scored high."""
@@ -98,7 +106,7 @@ class Discriminant:
             return np.full(len(x), self.priors[1])
         logs = []
         for prior, mean, (lower, log_det) in zip(self.priors, self.means, self.factors, strict=True):
-            z = np.linalg.solve(lower, (x - mean).T)
+            z = _below(lower, (x - mean).T)
             logs.append(np.log(prior) - log_det - 0.5 * (z * z).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
@@ -151,6 +159,15 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return fit(stats.join(known, "doc_id").select("x", "label"), shrinkage), stats
 
 
+def sampled_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = 0.2, max_examples: int = 50_000) -> Discriminant:
+    """The model fitted on at most ``max_examples`` learning rows, spread by hash, so that statistics
+    are taken of their texts only; for where every text is read once more anyway."""
+    known = labels.select(F.col(id_col).cast("long").alias("ex_id"), F.col(label_col).cast("int").alias("label")).where("ex_id IS NOT NULL AND label IN (0, 1)").where(learning_row(F.col("ex_id"), 4, 2))
+    known = keep(known.orderBy(F.xxhash64("ex_id"), "ex_id", "label").limit(max_examples), "quality-labels")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("ex_id"))
+    return fit(rows.select(statistics_of(F.col("text")).alias("x"), "label"), shrinkage)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per input row.
 

@@ -38,3 +38,22 @@ def test_stages(spark, tmp_path):
         want[r.doc_id, len(ids), sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in tokens) == want
     assert sorted(map(str, P.run(spark, str(tmp_path)).collect())) == sorted(map(str, tokens))
+
+
+def test_other_columns_of_any_name(spark, tmp_path):
+    """Columns named like the stages' own pass through with their values; empty tables pass, too."""
+    texts, labels = corpus(80, seed=4)
+    names = ["kept_id", "copies", "digest", "near_fp", "nth", "mark", "own", "id", "row", "component_id", "size", "copy", "label", "x"]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), *[f"{n}{i}" for n in names], {"k": i}) for i, t in texts]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *[f"{n} string" for n in names], "extra map<string, int>"]))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (docs, docs.limit(0)):
+        now = table
+        for k, (_, stage) in enumerate(P.STAGES):
+            where = str(tmp_path / f"{k}-{table is docs}")
+            stage(spark, now, str(tmp_path)).write.parquet(where)
+            before, now = now, spark.read.parquet(where)
+            if k < 4:
+                assert now.columns == docs.columns
+                assert all(r[n] == f"{n}{r.doc_id}" for r in now.collect() for n in names)
+        assert (now.count() > 20) == (table is docs)
