@@ -1,7 +1,11 @@
 """A corpus pipeline over ``documents``: what is fit to train on, once, in the mix wanted, as tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs.  All but the last return the columns of ``documents``.
+again as the next stage's docs.  All but the last return the columns of ``documents``, whatever
+others there are and whatever they are called: a row's own columns travel as one struct.
+
+Each text is read for one thing once: decisions are kept as ``(doc_id, mark)`` with ``mark`` the hash
+of the raw text, and texts meet them by that.
 """
 
 from __future__ import annotations
@@ -13,46 +17,58 @@ from manloom.llm import bpe, exact_dedup, mixing, quality, simhash
 from manloom.llm.scratch import keep
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``(own, id, mark)``: each row's columns as one, its id, and the hash of its text."""
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+
+
+def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and mark are among ``kept(doc_id, mark)``; of rows that repeat
+    both, the first by source and language."""
+    same = F.col("d.id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.mark") == F.col("k.mark"))
+    found = _marked(docs).alias("d").join(kept.hint("shuffle_hash").alias("k"), same).select("d.*")
+    return found.groupBy("id", "mark").agg(F.min_by("own", F.struct("own.source", "own.lang", "own.n_chars")).alias("own")).select("own.*")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.7 or more)."""
-    model, _ = quality.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.sampled_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(model.score_of(quality.statistics_of(F.col("text"))) >= 0.7)
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each text."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_sha"))
-    found = docs.withColumn("digest", digest).join(kept.hint("shuffle_hash"), same)
-    return found.dropDuplicates(["doc_id", "digest"]).select(docs.columns)
+    return _kept(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "mark"))
 
 
 def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near-duplicates.
+    """The document with the smallest id of each component of near copies (five-word shingles).
 
-    Documents with a null id stay only where no document of their component has one, once per
-    fingerprint."""
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
-    found = docs.withColumn("near_fp", simhash.fingerprint_of(F.col("text")))
-    found = found.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("near_fp") == F.col("kept_fp")))
-    return found.dropDuplicates(["doc_id", "near_fp"]).select(docs.columns)
+    Documents with a null id stay only where no document of their component has one, once per text."""
+    return _kept(docs, simhash.near_copies(docs).where("doc_id <=> component_id").select("doc_id", "mark").distinct())
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copy", "copies")
-    sized = docs.withColumn("mix_words", mixing.word_count(F.col("text")))
-    group = [F.col("doc_id"), F.col("source"), F.col("mix_words")]
-    repeated = keep(sized.groupBy(*group).agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("rep_id"), F.col("source").alias("rep_source"), F.col("mix_words").alias("rep_words")), "mix-repeated")
-    is_repeated = F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("source").eqNullSafe(F.col("rep_source")) & (F.col("mix_words") == F.col("rep_words"))
-    once = sized.join(repeated, is_repeated, "left_anti").withColumn("row_copy", F.lit(1).cast("long"))
-    if not repeated.isEmpty():  # rows alike in id, source and size are told apart by their place
-        several = sized.join(repeated, is_repeated, "left_semi")
-        once = once.unionByName(several.withColumn("row_copy", F.row_number().over(Window.partitionBy(*group).orderBy("text")).cast("long")))
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_words") == F.col("mix_size")) & (F.col("row_copy") == F.col("copy"))
-    mixed = once.join(taken.where("copies > 0").hint("shuffle_hash"), same)
-    return mixed.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    key = ["id", "source", "mark"]
+    sized = keep(_marked(docs).select("id", F.col("own.source").cast("string").alias("source"), "mark", mixing.word_count(F.col("own.text")).alias("size")), "mix-words")
+    taken = mixing.mix(sized, id_col="id", size_col="size").where("copies > 0").select("doc_id", "source", "size", "copy", "copies")
+    # rows alike in id, source and size are numbered as the mix numbers them
+    numbered = sized.withColumn("copy", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("mark")).cast("long"))
+    same = F.col("n.id").eqNullSafe(F.col("t.doc_id")) & F.col("n.source").eqNullSafe(F.col("t.source")) & (F.col("n.size") == F.col("t.size")) & (F.col("n.copy") == F.col("t.copy"))
+    counts = numbered.alias("n").join(taken.alias("t"), same).select("n.id", "n.source", "n.mark", "t.copies")
+    counts = keep(counts.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))).cast("long")), "mix-copies")
+    several = keep(sized.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "mix-repeated")
+    texts = _marked(docs).withColumn("source", F.col("own.source").cast("string")).withColumn("nth", F.lit(1).cast("long"))
+    if not several.isEmpty():  # rows alike in id, source and text are told apart by their place
+        alike = F.col("x.id").eqNullSafe(F.col("s.id")) & F.col("x.source").eqNullSafe(F.col("s.source")) & (F.col("x.mark") == F.col("s.mark"))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("own.lang", "own.n_chars")).cast("long")
+        alone = texts.alias("x").join(several.alias("s"), alike, "left_anti")
+        texts = alone.unionByName(texts.alias("x").join(several.alias("s"), alike, "left_semi").withColumn("nth", place))
+    same = F.col("x.id").eqNullSafe(F.col("c.id")) & F.col("x.source").eqNullSafe(F.col("c.source")) & (F.col("x.mark") == F.col("c.mark")) & (F.col("x.nth") == F.col("c.nth"))
+    mixed = texts.alias("x").join(counts.hint("shuffle_hash").alias("c"), same).select("x.own", "c.copies")
+    return mixed.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
