@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -48,9 +49,28 @@ def forms(value: str, cap: int = 512) -> list[tuple[str, ...]]:
     return [sum(way, ()) for way in product(*choices)]
 
 
-@F.udf(ArrayType(StringType()), useArrow=True)
-def _expanded(value: str) -> list[str]:
-    return [" ".join(form) for form in forms(" ".join((value or "").split()))]
+@F.pandas_udf(ArrayType(StringType()))
+def _expanded(values: pd.Series) -> pd.Series:
+    """Forms of each syntax line; lines that repeat within a batch are expanded once."""
+    lines = values.fillna("").map(lambda v: " ".join(v.split()))
+    found = {v: [" ".join(form) for form in forms(v)] for v in lines.unique()}
+    return lines.map(found)
+
+
+def alternatives(value: Column) -> Column:
+    """``pieces`` at bars, in built-in functions: the trimmed parts between bars outside of balanced
+    groups, empty ones dropped.  Lines without a bracket are split at once."""
+    mark = "\x00"
+
+    def step(state: Column, c: Column) -> Column:
+        top, opened = F.right(state["open"], F.lit(1)), F.length(state["open"]) > 0
+        closes = ((c == "}") & (top == "{")) | ((c == "]") & (top == "["))
+        now = F.when(c.isin("{", "["), F.concat(state["open"], c)).when(opened & closes, F.left(state["open"], F.length(state["open"]) - 1)).otherwise(state["open"])
+        return F.struct(now.alias("open"), F.concat(state["text"], F.when((c == "|") & ~opened, mark).otherwise(c)).alias("text"))
+
+    told = F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("open"), F.lit("").alias("text")), step)["text"]
+    parts = F.when(value.rlike(r"[\[{]"), F.split(told, mark)).otherwise(F.split(value, r"\|"))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def expand_syntax(rows: DataFrame, syntax: Column) -> DataFrame:

@@ -10,6 +10,7 @@ ENTER_MARKS = ("<cr>", "<return>", "<enter>", "<[enter]>", "[enter]")
 SECRET_WORDS = ("password", "secret", "community", "pre-shared", "psk", "key", "key-string", "authentication-key", "shared-key", "private-key", "certificate", "cipher")
 NEGATIONS = ("no", "undo", "default")
 
+#: Escape sequences of terminals.
 _ANSI = r"\x1b(?:[@-_][0-?]*[ -/]*[@-~]|\][^\x07]*(?:\x07|\x1b\\))"
 
 
@@ -57,6 +58,20 @@ def secrets_blanked(line: Column) -> Column:
     return F.when(first.isNotNull(), kept).otherwise(line)
 
 
+def edges_trimmed(output: Column, command: Column) -> Column:
+    """An answer without the blank lines and echoes of the command before it, and without the blank
+    lines and prompts after it.  An echo is the command alone or after a prompt."""
+    lines = F.split(output, r"\r\n|\r|\n")
+    lead = lambda x: F.rtrim(F.left(x, F.length(x) - F.length(command)))
+    echo = lambda x: (F.trim(x) == command) | ((command != "") & F.endswith(F.trim(x), command) & lead(F.trim(x)).rlike(r"[#>$]$"))
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    first = F.array_min(F.filter(places, lambda i: ~((F.trim(F.get(lines, i)) == "") | echo(F.get(lines, i)))))
+    last = F.array_max(F.filter(places, lambda i: ~((F.trim(F.get(lines, i)) == "") | F.trim(F.get(lines, i)).rlike(r"^\S*[>#$]\s*$"))))
+    kept = F.when(first.isNull() | last.isNull() | (last < first), "").otherwise(F.array_join(F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(0))), "\n"))
+    return kept
+
+
+#: What names a secret, a labelled identity or a hardware address.
 def identity_redacted(text: Column) -> Column:
     """Lines naming secrets, labelled identities and hardware addresses replaced by marks."""
     text = F.regexp_replace(text, r"(?im)^.*(?:password|passwd|secret|community|private[ -]?key|token).*$", "<secret line removed>")

@@ -110,9 +110,10 @@ def merged_context(catalog: DataFrame, scanned: DataFrame, entry_path: list[str]
     return source_union(both.withColumn("source", F.explode("sources")).drop("sources"))
 
 
-def scan_totals(contexts: DataFrame) -> DataFrame:
-    """One row: contexts, commands, queries, and complete only if there is one and all are."""
-    return contexts.agg(
+def scan_totals(contexts: DataFrame, *by: str) -> DataFrame:
+    """Contexts, commands, queries, and complete only if there is one and all are: one row, or one
+    for each value of ``by``."""
+    return contexts.groupBy(*by).agg(
         F.count("*").alias("contexts"), F.coalesce(F.sum("commands"), F.lit(0)).cast("long").alias("commands"), F.coalesce(F.sum("queries"), F.lit(0)).cast("long").alias("queries"),
         F.coalesce(F.bool_and("complete"), F.lit(False)).alias("complete"),
     )
@@ -124,6 +125,35 @@ def commands_in(catalog: DataFrame, entry_path: list[str]) -> DataFrame:
     return found.where(F.col("command").startswith(" ".join(entry_path) + " ")) if entry_path else found
 
 
+def commands_below(catalog: DataFrame, leads: DataFrame) -> DataFrame:
+    """Device commands below any of the entry paths ``leads(lead)``; they meet on equal prefixes."""
+    found = catalog.where(on_device(F.col("sources")))
+    steps = found.select("*", F.explode(prefixes(T.words(F.col("command")))).alias("_s")).withColumn("lead", F.col("_s.prefix")).where("lead <> command")
+    return steps.join(leads.select("lead"), "lead", "left_semi").select(*catalog.columns).dropDuplicates(["command"])
+
+
+def scoped_merge(held: DataFrame, scanned: DataFrame, held_contexts: DataFrame, scanned_contexts: DataFrame, *, unexplained: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commands, contexts and one row of totals after a scan of some contexts only.
+
+    Commands and contexts of the new scan replace those of the same name, all others stay.  Totals
+    are counted anew; the whole is complete only if every context is, there is one, and no
+    configuration was left unexplained."""
+    commands = merged_by_key(held, scanned, "command")
+    contexts = merged_by_key(held_contexts, scanned_contexts, "name")
+    device = commands.agg(F.count_if(on_device(F.col("sources"))).alias("device_commands"))
+    totals = scan_totals(contexts.withColumn("commands", F.coalesce("commands", F.lit(0))))
+    return commands, contexts, totals.join(F.broadcast(device)).withColumn("complete", F.col("complete") & F.lit(not unexplained))
+
+
+def probes_within(candidates: DataFrame, hints: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """``(context, command)`` -> the first ``most`` commands to try of each context, in probing order
+    (``place`` from 1), and ``(context, skipped)``: how many more there are."""
+    rank = reduce(lambda acc, ih: F.when(T.head_word(F.col("command")) == ih[1], ih[0]).otherwise(acc), reversed(list(enumerate(hints))), F.lit(len(hints)))
+    over = Window.partitionBy("context").orderBy(rank, F.size(T.words(F.col("command"))), "command")
+    placed_ = candidates.withColumn("place", F.row_number().over(over))
+    return placed_.where(F.col("place") <= most), placed_.groupBy("context").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("skipped"))
+
+
 def token_tree(catalog: DataFrame) -> DataFrame:
     """``(prefix, parent, token, depth)``: one row per node of the commands' word tree."""
     nodes = catalog.select(F.explode(prefixes(T.words(F.col("command")))).alias("s")).select("s.prefix", F.col("s.n").alias("depth")).distinct()

@@ -74,21 +74,29 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def seed_nodes(spark, seeds: list[str], verify: list[str], limits: Limits) -> tuple[DataFrame, DataFrame]:
+def seed_nodes(spark, seeds: DataFrame | list[str], verify: DataFrame | list[str], limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Frontier rows of commands to walk below, and to look at only; and the placeholders among
-    them that nothing can be typed for."""
-    rows = [(s, i, e) for e, part in ((True, seeds), (False, verify)) for i, s in enumerate(part)]
-    told = spark.createDataFrame(rows, "seed string, n int, expand boolean").withColumn("tokens", T.words(F.col("seed"))).where("size(tokens) > 0")
+    them that nothing can be typed for.  A table of commands, ``(command)``, is taken in their order
+    and stays a table."""
+
+    def numbered(part: DataFrame | list[str], expand: bool) -> DataFrame:
+        if isinstance(part, DataFrame):
+            told = placed(part.select(F.col("command").alias("seed")).distinct(), [F.col("seed")], "n").select("seed", F.col("n").cast("long").alias("n"))
+        else:
+            told = spark.createDataFrame([(s, i) for i, s in enumerate(part)], "seed string, n long")
+        return told.withColumn("expand", F.lit(expand))
+
+    told = numbered(seeds, True).unionByName(numbered(verify, False)).withColumn("tokens", T.words(F.col("seed"))).where("size(tokens) > 0")
     sample = lambda t: F.when(F.lit(limits.explore_parameters), T.parameter_sample(t, limits.samples))
     typed = F.transform("tokens", lambda t: F.when((T.option_kind(t) != "parameter") & T.parameter_sample(t, limits.samples).isNull(), t).otherwise(sample(t)))
     told = told.withColumn("typed", typed).withColumn("blocked", F.filter(F.zip_with("tokens", "typed", lambda t, q: F.when(q.isNull() | ~T.is_safe_fragment(q), t)), lambda x: x.isNotNull()))
-    order = F.concat(F.when(F.col("expand"), "1").otherwise("2"), F.lpad(F.col("n").cast("string"), 9, "0"))
+    order = F.concat(F.when(F.col("expand"), "1").otherwise("2"), F.lpad(F.col("n").cast("string"), 12, "0"))
     nodes = told.where("size(blocked) = 0").select(F.array_join("tokens", " ").alias("catalog_prefix"), F.array_join("typed", " ").alias("query_prefix"), "expand", order.alias("ord"))
     return nodes, told.where("size(blocked) > 0").select(F.col("blocked")[0].alias("token"))
 
 
-def walk(help_rows: DataFrame, seeds: list[str] = (), verify: list[str] = (), limits: Limits = Limits(), *, include_root: bool = True) -> Walk:
-    """``help_rows(prefix, output)``: the answer to each query prefix.
+def walk(help_rows: DataFrame, seeds: DataFrame | list[str] = (), verify: DataFrame | list[str] = (), limits: Limits = Limits(), *, include_root: bool = True) -> Walk:
+    """``help_rows(prefix, output)``: the answer to each query prefix; of several to one, the least.
 
     Ordinary branches go first, then seeds, then top-level negations.  A node at ``max_depth``
     words is not asked; denied words, option flags and placeholders without a sample are
@@ -96,15 +104,15 @@ def walk(help_rows: DataFrame, seeds: list[str] = (), verify: list[str] = (), li
     to differ.
     """
     spark = help_rows.sparkSession
-    answers = help_rows.select(T.one_spaced(F.col("prefix")).alias("prefix"), "output").dropDuplicates(["prefix"])
+    answers = help_rows.select(T.one_spaced(F.col("prefix")).alias("prefix"), "output").groupBy("prefix").agg(F.min("output").alias("output"))
     options = keep(parse_help(answers, undescribed=limits.undescribed, error_words=limits.error_words), "help-options")
     shapes = keep(signatures(options), "help-shapes")
-    planted, blocked = seed_nodes(spark, list(seeds), list(verify), limits)
+    planted, blocked = seed_nodes(spark, seeds, verify, limits)
     root = spark.createDataFrame([("", "", True, "0")] if include_root else [], _NODE)
     phases = [root, planted]
     none = keep(spark.createDataFrame([], _NODE), "none")
-    visited, late = none, none
-    canonical = keep(spark.createDataFrame([], "signature string, canonical string"), "canonical")
+    visited, late = [none], none  # a part a level, written once
+    canonical = [keep(spark.createDataFrame([], "signature string, canonical string"), "canonical")]
     seen, children, enumerated, derived, skipped = [], [], [], [], [blocked]
     queries = skipped_depth = skipped_denied = 0
     pending = 0
@@ -112,7 +120,7 @@ def walk(help_rows: DataFrame, seeds: list[str] = (), verify: list[str] = (), li
     frontier = phases[0]
     while True:
         keys = ["catalog_prefix", "query_prefix"]
-        fresh = frontier.groupBy(*keys).agg(F.min_by("expand", "ord").alias("expand"), F.min("ord").alias("ord")).join(visited.select(*keys), keys, "left_anti")
+        fresh = frontier.groupBy(*keys).agg(F.min_by("expand", "ord").alias("expand"), F.min("ord").alias("ord")).join(_all(visited).select(*keys), keys, "left_anti")
         fresh = keep(fresh.withColumn("depth", F.size(T.words(F.col("catalog_prefix")))), "frontier")
         deep = fresh.where(F.col("depth") >= limits.max_depth).count()
         skipped_depth += deep
@@ -138,10 +146,10 @@ def walk(help_rows: DataFrame, seeds: list[str] = (), verify: list[str] = (), li
         asked = todo.join(shapes.withColumnRenamed("prefix", "query_prefix"), "query_prefix", "left")
         can_copy = F.lit(limits.deduplicate) & F.col("expand") & F.coalesce("expandable", F.lit(False))
         first = F.first("catalog_prefix").over(Window.partitionBy("signature").orderBy("ord", "catalog_prefix"))
-        asked = asked.join(canonical, "signature", "left").withColumn("canonical", F.when(can_copy, F.coalesce("canonical", F.when(F.col("signature").isNotNull(), first))))
+        asked = asked.join(_all(canonical), "signature", "left").withColumn("canonical", F.when(can_copy, F.coalesce("canonical", F.when(F.col("signature").isNotNull(), first))))
         asked = keep(asked.withColumn("copied", F.coalesce(F.col("canonical") != F.col("catalog_prefix"), F.lit(False))), "asked")
-        own = asked.where("canonical = catalog_prefix").select("signature", "canonical")
-        canonical = keep(canonical.unionByName(own).dropDuplicates(["signature"]), "canonical")
+        own = asked.where("canonical = catalog_prefix").groupBy("signature").agg(F.min("canonical").alias("canonical"))
+        canonical.append(keep(own.join(_all(canonical).select("signature"), "signature", "left_anti"), "canonical"))
         derived.append(asked.where("copied").select(F.col("catalog_prefix").alias("prefix"), "canonical", "query_prefix", "signature"))
         told = keep(asked.join(options.withColumnRenamed("prefix", "query_prefix"), "query_prefix"), "told")
         below = F.trim(F.concat_ws(" ", "catalog_prefix", "token"))
@@ -164,7 +172,7 @@ def walk(help_rows: DataFrame, seeds: list[str] = (), verify: list[str] = (), li
         if phase == 0 and include_root:
             late = keep(late.unionByName(step.where(mirror)), "late")
             step = step.where(~mirror)
-        visited = keep(visited.unionByName(todo.select("catalog_prefix", "query_prefix", "expand", "ord")), "visited")
+        visited.append(keep(todo.select("catalog_prefix", "query_prefix", "expand", "ord"), "visited"))
         frontier = keep(step, "step")
         if pending:
             pending += frontier.count()
@@ -174,7 +182,7 @@ def walk(help_rows: DataFrame, seeds: list[str] = (), verify: list[str] = (), li
     text = F.when(F.coalesce(F.trim("description"), F.lit("")) != "", F.struct("ord", F.trim("description").alias("d")))
     commands = entries.groupBy("command").agg(F.coalesce(F.min(text)["d"], F.lit("")).alias("description"), F.bool_or("executable").alias("executable"))
     commands = keep(commands, "walked")
-    copies_of = keep(_all([spark.createDataFrame([], "prefix string, canonical string, query_prefix string, signature string"), *derived]).dropDuplicates(["prefix"]), "derived")
+    copies_of = keep(_all([spark.createDataFrame([], "prefix string, canonical string, query_prefix string, signature string"), *derived]).groupBy("prefix").agg(F.min(F.struct("canonical", "query_prefix", "signature")).alias("v")).select("prefix", "v.*"), "derived")
     commands, added, truncated = replicate(commands, copies_of, limits)
     verified, mismatched = verify_copies(copies_of, shapes, limits)
     skipped_tokens = sorted(r["token"] for r in _all(skipped).distinct().collect())  # distinct placeholders of a grammar
@@ -205,7 +213,7 @@ def replicate(commands: DataFrame, copies_of: DataFrame, limits: Limits) -> tupl
         if added + n >= limits.max_copies:
             new = placed(new, [F.col("command")]).where(F.col("place") <= limits.max_copies - added).drop("place")
             n, truncated = limits.max_copies - added, True
-        commands, added = keep(commands.unionByName(new), "walked"), added + n
+        commands, added = commands.unionByName(new), added + n  # parts that are written
         if n == 0 or truncated:
             break
     return commands, added, truncated
@@ -259,7 +267,7 @@ def walk_contexts(help_rows: DataFrame, contexts: DataFrame, probes: DataFrame,
     commands = led(done.commands.where(F.col("command").contains(" ")), "command")
     per = marked.select("name").join(commands.groupBy("name").agg(F.count("*").alias("commands")), "name", "left")
     per = per.select("name", F.coalesce("commands", F.lit(0)).alias("commands"), F.lit(bool(done.totals["complete"]) and not skim).alias("complete"))
-    merged = commands.groupBy("command").agg(F.max("description").alias("description"), F.bool_or("executable").alias("executable"), F.first("sources").alias("sources"))
+    merged = commands.groupBy("command").agg(F.max("description").alias("description"), F.bool_or("executable").alias("executable"), F.min("sources").alias("sources"))
     return Walk(merged, led(done.children, "command"), led(done.enumerated, "prefix").select("prefix").distinct(), done.derived, done.totals), per
 
 

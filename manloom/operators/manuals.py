@@ -33,6 +33,11 @@ def _up_to() -> Window:
     return Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
 
 
+def carried(value: Column, group: str = "doc", order: str = "n") -> Column:
+    """The last value that isn't null up to each line, such as the heading that it stands under."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def line_commands(lines: DataFrame) -> DataFrame:
     """``(doc, n, line, plain)`` -> ``(doc, n, command, description)`` of lines that are commands.
 
@@ -44,10 +49,10 @@ def line_commands(lines: DataFrame) -> DataFrame:
     fences = F.sum(F.when(line.rlike(_FENCE), 1).otherwise(0)).over(_up_to())
     told = lines.withColumn("fences", fences).withColumn("is_fence", line.rlike(_FENCE)).withColumn("inside", (F.col("fences") % 2 == 1) & ~F.col("is_fence"))
     language = F.lower(F.regexp_extract(line, r"^\s*(?:```|~~~)\s*(\w+)", 1))
-    told = told.withColumn("language", F.last(F.when(F.col("is_fence") & (F.col("fences") % 2 == 1), language), ignorenulls=True).over(_up_to()))
+    told = told.withColumn("language", carried(F.when(F.col("is_fence") & (F.col("fences") % 2 == 1), language)))
     told = told.where(~F.col("is_fence") & ~(F.col("inside") & F.coalesce(F.col("language").isin(CODE_LANGUAGES), F.lit(False))))
     table = F.when(line.rlike(_TABLE_HEAD), True).when(~F.trim(line).startswith("|"), False)
-    told = told.withColumn("in_table", F.coalesce(F.last(table, ignorenulls=True).over(_up_to()), F.lit(False)) & ~line.rlike(_TABLE_HEAD) & ~line.rlike(r"^\s*\|[\s:|-]+$"))
+    told = told.withColumn("in_table", F.coalesce(carried(table), F.lit(False)) & ~line.rlike(_TABLE_HEAD) & ~line.rlike(r"^\s*\|[\s:|-]+$"))
     got = lambda pattern, group=1: F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group))
     loose = F.col("inside") | F.col("plain")
     command = F.coalesce(F.when(F.col("in_table"), got(_TABLE_ROW)), got(_PROMPT_LINE), got(_LABELLED), F.when(loose, F.coalesce(got(_TWO_COLUMNS), line)))
@@ -132,6 +137,27 @@ def purposes(card_lines: DataFrame) -> DataFrame:
     return both.select("doc", "card", F.when(F.col("best.score") > 0, F.trim(F.regexp_replace(rest, "^[\\s:\u2013\u2014-]+", ""))).otherwise(F.col("joined")).alias("description"))
 
 
+def table_row_of(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(doc, card, token)`` -> adds ``key`` and ``description``: the table row of a syntax word, by the
+    first of its spellings that the table lists: as it stands, before a slash, without a final mark,
+    without its number, and without both."""
+    low = F.lower("token")
+    head = F.split(low, "/")[0]
+    spellings = F.array(low, head, F.regexp_replace(low, "[.,;:]+$", ""), T.stem(low), T.stem(head))
+    asked = words.select("doc", "card", "token").distinct().select("doc", "card", "token", F.posexplode(spellings).alias("turn", "key"))
+    listed = rows.groupBy("doc", "card", F.col("name").alias("key")).agg(F.min("description").alias("description"))
+    found = asked.join(listed, ["doc", "card", "key"]).groupBy("doc", "card", "token").agg(F.min_by(F.struct("key", "description"), "turn").alias("_row"))
+    return words.join(found, ["doc", "card", "token"], "left").select("*", "_row.*").drop("_row")
+
+
+def unmatched_rows(card_lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(doc, card, name, description)``: rows of a table that no word of the card's syntax stands for."""
+    token = F.regexp_replace("raw", r"[<>{}\[\]|]", "")
+    words = card_lines.where("part = 'syntax'").select("doc", "card", F.explode(T.words(F.regexp_replace("line", r"([{}\[\]|])", " $1 "))).alias("raw")).select("doc", "card", token.alias("token")).where("token <> ''")
+    used = table_row_of(words, rows).where("key IS NOT NULL").select("doc", "card", F.col("key").alias("name"))
+    return rows.join(used.distinct(), ["doc", "card", "name"], "left_anti").select("doc", "card", "name", "description")
+
+
 def marks(card_lines: DataFrame, rows: DataFrame) -> DataFrame:
     """``(doc, card, n, pos, token, kind, written, reason)`` for every word of the syntax lines.
 
@@ -144,8 +170,7 @@ def marks(card_lines: DataFrame, rows: DataFrame) -> DataFrame:
     words = card_lines.where("part = 'syntax'").select("doc", "card", "command", "n", F.posexplode(T.words(F.regexp_replace("line", r"([{}\[\]|])", " $1 "))).alias("pos", "raw"))
     over = Window.partitionBy("doc", "card", "n").orderBy("pos")
     words = words.withColumn("token", token).withColumn("beside", (F.lag("raw").over(over) == "|") | (F.lead("raw").over(over) == "|")).where("token <> ''").withColumn("previous", F.lag("token").over(over))
-    listed = rows.select("doc", "card", F.col("name").alias("key"), F.col("description"))
-    told = words.withColumn("key", F.lower("token")).join(listed, ["doc", "card", "key"], "left")
+    told = table_row_of(words, rows)
     own = F.array_contains(T.words(F.col("command")), F.col("token"))
     domain = T.numeric_domain(F.coalesce("description", F.lit("")))
     spelled = F.col("raw").rlike("^<") | T.is_shouted(F.col("token"))
@@ -165,19 +190,19 @@ def card_gate(rows: DataFrame, by: list[str], *, min_cards: int = 20, min_share:
     return told.withColumn("qualifies", (F.col("cards") >= min_cards) & (F.col("structured") >= F.lit(min_share) * F.col("cards")))
 
 
-def weld_repairs(counts: DataFrame, *, headings: DataFrame | None = None, margin: int = 3, piece: int = 3) -> DataFrame:
-    """``(token, seen)`` -> ``(token, seen, cut, repaired)`` of tokens whose two halves both stand
-    alone at least ``margin`` times as often; the first such cut.  Words of headings and tokens
-    with a dot or slash stay."""
+def weld_repairs(counts: DataFrame, *, headings: DataFrame | None = None, margin: int = 3, piece: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(by..., token, seen)`` -> ``(by..., token, seen, cut, repaired)`` of tokens whose two halves
+    both stand alone at least ``margin`` times as often; the first such cut.  Words of headings and
+    tokens with a dot or slash stay.  Each value of ``by`` is a dictionary of its own."""
     able = counts.where(~F.col("token").rlike("[./]") & (F.length("token") >= 2 * piece))
     if headings is not None:
-        able = able.join(headings, "token", "left_anti")
-    cuts = able.select("token", "seen", F.explode(F.sequence(F.lit(piece), F.length("token") - piece)).alias("cut"))
+        able = able.join(headings, [*by, "token"], "left_anti")
+    cuts = able.select(*by, "token", "seen", F.explode(F.sequence(F.lit(piece), F.length("token") - piece)).alias("cut"))
     cuts = cuts.withColumn("head", F.expr("left(token, cut)")).withColumn("tail", F.expr("substring(token, cut + 1)"))
     alone = counts.where(F.col("seen") >= margin)
-    heads, tails = alone.select(F.col("token").alias("head"), F.col("seen").alias("h")), alone.select(F.col("token").alias("tail"), F.col("seen").alias("t"))
-    found = cuts.join(heads, "head").where(F.col("h") >= margin * F.col("seen")).join(tails, "tail").where(F.col("t") >= margin * F.col("seen"))
-    return found.groupBy("token", "seen").agg(F.min("cut").alias("cut")).withColumn("repaired", F.expr("concat(left(token, cut), ' ', substring(token, cut + 1))"))
+    heads, tails = alone.select(*by, F.col("token").alias("head"), F.col("seen").alias("h")), alone.select(*by, F.col("token").alias("tail"), F.col("seen").alias("t"))
+    found = cuts.join(heads, [*by, "head"]).where(F.col("h") >= margin * F.col("seen")).join(tails, [*by, "tail"]).where(F.col("t") >= margin * F.col("seen"))
+    return found.groupBy(*by, "token", "seen").agg(F.min("cut").alias("cut")).withColumn("repaired", F.expr("concat(left(token, cut), ' ', substring(token, cut + 1))"))
 
 
 def says_no_parameters(text: Column) -> Column:
@@ -230,9 +255,9 @@ def structured_syntax(lines: DataFrame) -> DataFrame:
     told = lines.withColumn("bare", bare).where("bare <> ''").withColumn("opens", line.rlike(_FORMAT_HEAD))
     titled = F.coalesce(F.lag("line").over(over).rlike(r"^\s*\d+(?:\.\d+)+\s*$"), F.lit(False))
     title = F.when(line.rlike(_SECTION), F.regexp_extract(line, _SECTION, 1)).when(titled & looks_like_syntax(F.regexp_replace("bare", r"(?i)\s+(?:command|команда)\s*$", "")), F.regexp_replace("bare", r"(?i)\s+(?:command|команда)\s*$", ""))
-    told = told.withColumn("title", title).withColumn("root", F.coalesce(F.last(F.when(F.col("title").isNotNull(), syntax_root(F.col("title"))), ignorenulls=True).over(_up_to()), F.lit("")))
+    told = told.withColumn("title", title).withColumn("root", F.coalesce(carried(F.when(F.col("title").isNotNull(), syntax_root(F.col("title")))), F.lit("")))
     state = F.when(F.col("opens"), True).when(line.rlike(_END_HEAD), False)
-    told = told.withColumn("inside", F.coalesce(F.last(state, ignorenulls=True).over(_up_to()), F.lit(False))).withColumn("block", F.sum(F.col("opens").cast("int")).over(_up_to()))
+    told = told.withColumn("inside", F.coalesce(carried(state), F.lit(False))).withColumn("block", F.sum(F.col("opens").cast("int")).over(_up_to()))
     body = told.where(F.col("inside") & ~F.col("opens") & F.col("title").isNull() & ~F.col("bare").rlike(_NOISE))
     forms = joined_wraps(body.select("doc", "block", "root", "n", F.col("bare").alias("line")), ["doc", "block", "root"])
     kept = forms.where(looks_like_syntax(F.col("line")) & ((F.col("root") == "") | (syntax_root(F.col("line")) == F.col("root"))))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.grammar import expand_syntax
 from ..operators import catalog as C
 from ..operators import config as G
@@ -53,13 +54,16 @@ def read_manuals(spark: SparkSession, root: str, profile: CardProfile = CardProf
     regular = M.card_gate(each, ["doc"], min_cards=profile.min_cards, min_share=profile.min_share).where("qualifies").select("doc")
     read = parts.join(regular, "doc", "left_semi")
     forms = M.joined_wraps(read.where("part = 'syntax'").select("doc", "card", "n", "line"), ["doc", "card"])
-    repaired = _repaired(forms, read)
+    repaired = _written(_repaired(forms, read), read, rows)
     told = M.purposes(read)
     by_card = expand_syntax(repaired, F.col("line")).join(told, ["doc", "card"], "left").select("doc", (F.col("n") * 1000 + F.col("pos")).alias("n"), "command", F.coalesce("description", F.lit("")).alias("description"))
     loose = lines.join(regular, "doc", "left_anti").join(texts.select("doc", (F.col("suffix") == "txt").alias("plain")), "doc")
+    formats = M.structured_syntax(loose.where("plain"))
+    by_format = expand_syntax(formats, F.col("syntax")).select("doc", (F.col("n") * 1000 + F.col("pos")).cast("long").alias("n"), "command", F.lit("").alias("description"))
+    loose = loose.join(formats.select("doc").distinct(), "doc", "left_anti")  # read by its formats instead
     by_line = M.line_commands(loose).select("doc", F.col("n").cast("long").alias("n"), "command", "description")
     toc = M.contents_commands(loose).select("doc", F.col("n").cast("long").alias("n"), "command", F.lit("").alias("description"))
-    found = by_card.unionByName(by_line).unionByName(toc)
+    found = by_card.unionByName(by_format).unionByName(by_line).unionByName(toc)
     language = F.when(F.col("description").rlike("[Ѐ-ӿ]"), "ru").otherwise("en")
     spoken = C.described(found.select("command", "description", language.alias("language"), F.struct("doc", "n").alias("place")), preferred)
     entries = found.select("command", F.lit("").alias("description"), F.lit(True).alias("executable"), F.concat(F.lit("documentation:"), F.col("doc")).alias("source"), F.lit(0).alias("rank"))
@@ -72,14 +76,26 @@ def read_manuals(spark: SparkSession, root: str, profile: CardProfile = CardProf
 def _repaired(forms: DataFrame, parts: DataFrame) -> DataFrame:
     """Syntax lines with welded words split, each document its own dictionary."""
     words = forms.select("doc", F.posexplode(F.split("line", " ")).alias("i", "token"), "card", "n")
-    counts = words.where("token <> ''").groupBy("token").agg(F.count("*").alias("seen"))
-    heads = parts.select(F.explode(F.split("command", " ")).alias("token")).distinct()
-    fixes = M.weld_repairs(counts, headings=heads).select("token", "repaired")
-    done = words.join(fixes, "token", "left").withColumn("token", F.coalesce("repaired", "token"))
+    counts = words.where("token <> ''").groupBy("doc", "token").agg(F.count("*").alias("seen"))
+    heads = parts.select("doc", F.explode(F.split("command", " ")).alias("token")).distinct()
+    fixes = M.weld_repairs(counts, headings=heads, by=("doc",)).select("doc", "token", "repaired")
+    done = words.join(fixes, ["doc", "token"], "left").withColumn("token", F.coalesce("repaired", "token"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]), " ")
     return done.groupBy("doc", "card", "n").agg(line.alias("line"))
 
 
+def _written(forms: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Syntax lines with the words that stand for a value written as placeholders; those that are
+    printed as one stay."""
+    heads = parts.groupBy("doc", "card").agg(F.min("command").alias("command"))
+    lines = forms.join(heads, ["doc", "card"]).withColumn("part", F.lit("syntax"))
+    marked = M.marks(lines, rows).select("doc", "card", "n", "pos", "written", "kind")
+    raw = lines.select("doc", "card", "n", F.posexplode(T.words(F.regexp_replace("line", r"([{}\[\]|])", " $1 "))).alias("pos", "raw"))
+    told = raw.join(marked, ["doc", "card", "n", "pos"], "left").withColumn("word", F.when((F.col("kind") == "parameter") & ~F.col("raw").rlike("^<"), F.col("written")).otherwise(F.col("raw")))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    return told.groupBy("doc", "card", "n").agg(line.alias("line"))
+
+
 def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals: DataFrame | None = None, verify: int = 0, dumps: DataFrame | None = None, contexts: DataFrame | None = None) -> Run:
     """A device's recorded help as a catalog, against the manuals if they are given.
 
@@ -87,11 +103,10 @@ def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals:
     (0: all) are looked up by themselves.  Configuration that the catalog doesn't explain makes
     the run incomplete.
     """
-    seeds: list[str] = []
+    asked: DataFrame | list[str] = []
     if manuals is not None:
-        few = manuals.select("command").orderBy("command")
-        seeds = [r["command"] for r in (few.limit(verify) if verify else few).toLocalIterator()]  # commands of one device's manuals
-    walked = W.walk(help_rows, verify=seeds, limits=limits)
+        asked = manuals.select("command").orderBy("command").limit(verify) if verify else manuals.select("command")
+    walked = W.walk(help_rows, verify=asked, limits=limits)
     entries = walked.commands.select("command", "description", "executable", F.lit("cli").alias("source"), F.lit(1).alias("rank"))
     if manuals is not None:
         held = manuals.select("command", "description", F.lit(False).alias("executable"), F.explode("sources").alias("source"), F.lit(0).alias("rank"))
@@ -100,7 +115,7 @@ def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals:
     totals = dict(walked.totals)
     coverage = gaps = None
     if dumps is not None:
-        device = catalog.where(C.on_device(F.col("sources"))).select("command", F.monotonically_increasing_id().alias("place"))
+        device = catalog.where(C.on_device(F.col("sources"))).select("command", F.col("command").alias("place"))
         views = G.view_prefixes(contexts if contexts is not None else help_rows.sparkSession.createDataFrame([], "name string, entry_path array<string>"))
         matched = G.correlate(G.config_lines(dumps), device, views)
         coverage, gaps = G.coverage(matched), G.gaps(matched)

@@ -3,11 +3,13 @@
 Operators that read an intermediate result more than once write it as Parquet under
 ``spark.checkpoint.dir``.  That cuts the lineage, survives lost executors, and gives the
 planner real sizes.  The setting is read from the session; a folder of our own is made only
-where it is unset, as in local tests.
+where it is unset and all tasks run in the driver's process, as in local tests.  On a cluster an
+unset folder is an error: executors wouldn't see each other's files.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,16 +18,20 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a new local one only if the session names none."""
+    """The session's checkpoint folder; a new local one only if it names none and runs locally."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         named = "file://" + tempfile.mkdtemp(prefix="manloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.  Removed when the driver's JVM ends."""
+    """Write ``df`` to the shared folder and read it back.  Removed when the driver's JVM ends, or
+    by ``drop``."""
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/manloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
@@ -35,6 +41,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes the files of a table that ``keep`` wrote and that nothing will read again."""
+    spark, root = df.sparkSession, f"{shared_folder(df.sparkSession)}/manloom/".split(":", 1)[-1]
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.sub("/+", "/", root) in re.sub("/+", "/", folder):  # ours alone
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Adds the global row number (from 1) in ``order`` without one task for all rows: range
     partitions count by themselves and are shifted by the counts of those before them."""

@@ -118,8 +118,9 @@ def first_capture(answers: DataFrame, least: int = 4) -> DataFrame:
 
 
 def firmware(answers: DataFrame) -> DataFrame:
-    """Version answers with identities redacted."""
-    return answers.withColumn("output", T.identity_redacted(T.terminal_cleaned(F.col("output"))))
+    """Version answers without echo and prompt, identities redacted."""
+    command = F.trim(F.col("source_command")) if "source_command" in answers.columns else F.lit("")
+    return answers.withColumn("output", T.identity_redacted(T.edges_trimmed(T.terminal_cleaned(F.col("output")), F.coalesce(command, F.lit("")))))
 
 
 def verified_answers(help_rows: DataFrame, contexts: DataFrame) -> DataFrame:
