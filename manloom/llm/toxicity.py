@@ -17,8 +17,10 @@ into probabilities.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,7 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]) -> None:
         self.terms, self.place, self.known = terms, {t: i for i, t in enumerate(terms)}, {}
+        self.older: dict[str, list[int]] = {}
 
     def __getstate__(self):
         return self.terms
@@ -98,19 +101,36 @@ class Vocabulary:
     def __setstate__(self, terms):
         self.__init__(terms)
 
+    def places(self, word: str) -> list[int]:
+        """Places of the known terms of a word."""
+        found = self.known.get(word)
+        if found is None:
+            place = self.place.get
+            found = self.older.get(word)
+            if found is None:
+                found = [i for t in terms_of(word) if (i := place(t)) is not None]
+            if len(word) <= 64:
+                if len(self.known) > 200_000:  # what is asked for again moves over, the rest is let go
+                    self.older, self.known = self.known, {}
+                self.known[word] = found
+        return found
+
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places and counts of the known terms of a whole text."""
-        hits: list[int] = []
-        for word in _WORD.findall(text.lower()):
-            found = self.known.get(word)
-            if found is None:
-                found = [i for t in terms_of(word) if (i := self.place.get(t)) is not None]
-                if len(word) <= 64:
-                    if len(self.known) > 200_000:
-                        self.known.clear()
-                    self.known[word] = found
-            hits += found
-        return np.unique(np.array(hits, np.int64), return_counts=True)
+        words = Counter(_WORD.findall(text.lower()))
+        found = list(map(self.places, words))
+        hits = np.fromiter(chain.from_iterable(found), np.int64)
+        if not len(hits):
+            return hits, hits
+        counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
+        order = np.argsort(hits, kind="stable")
+        hits = hits[order]
+        first = np.flatnonzero(np.concatenate([[True], hits[1:] != hits[:-1]]))
+        return hits[first], np.add.reduceat(counts[order], first)
+
+    def held(self, text: str) -> set[int]:
+        """Places of the known terms of a whole text."""
+        return set().union(*map(self.places, set(_WORD.findall(text.lower()))))
 
 
 def _held_by(docs: DataFrame, vocabulary) -> DataFrame:
@@ -121,7 +141,8 @@ def _held_by(docs: DataFrame, vocabulary) -> DataFrame:
         held = np.zeros(len(words.terms), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                held[words.counted(text.as_py())[0]] += 1
+                at = words.held(text.as_py())
+                held[np.fromiter(at, np.int64, len(at))] += 1
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
 
@@ -167,29 +188,35 @@ class BlockMaxIndex:
         column = self.column[at]
         dense = np.zeros((m, self.table.shape[1]))
         dense[q[column >= 0], column[column >= 0]] = w[column >= 0]
-        q, at, w = q[column < 0], at[column < 0], w[column < 0]
-        sizes = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)
-        scores = np.bincount(np.repeat(q, sizes) * n + self.rows[each], weights=np.repeat(w, sizes) * self.values[each], minlength=m * n).reshape(m, n)
+        scores = np.zeros((m, n))
+        for i, (at, w) in enumerate(queries):
+            rare = self.column[at] < 0
+            starts = self.starts[at[rare]]
+            sizes = self.starts[at[rare] + 1] - starts
+            ends = np.cumsum(sizes)
+            if len(ends) and ends[-1]:
+                each = np.arange(ends[-1])
+                each += np.repeat(starts - (ends - sizes), sizes)
+                scores[i] = np.bincount(self.rows[each], weights=self.values[each] * np.repeat(w[rare], sizes), minlength=n)
         bounds = np.maximum.reduceat(scores, self.cuts, axis=1) + dense @ self.tops.T
         own = {}
         for i, one in enumerate(without):
             if one is not None:
                 own[i] = np.flatnonzero(self.ids == one)
         best, done = np.zeros((m, k)), np.zeros((m, len(self.cuts)), bool)
-        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
-            rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, 0] - 1e-9))  # the k-th best so far
+        order = np.argsort(-bounds.max(axis=0), kind="stable")
+        for group in [order[:1], order[1:4], *(order[g : g + 16] for g in range(4, len(order), 16))]:
+            rows = np.flatnonzero(((bounds[:, group] > 0) & (bounds[:, group] >= best[:, :1] - 1e-9)).any(axis=1))  # the k-th best so far
             if not len(rows):
                 continue
-            lo, hi = self.cuts[b], min(n, self.cuts[b] + _BLOCK)
-            part = scores[rows, lo:hi] + dense[rows] @ self.table[lo:hi].T
+            examples = np.concatenate([np.arange(self.cuts[b], min(n, self.cuts[b] + _BLOCK)) for b in group])
+            part = scores[np.ix_(rows, examples)] + dense[rows] @ self.table[examples].T
             for i, places in own.items():
                 if (at_row := np.searchsorted(rows, i)) < len(rows) and rows[at_row] == i:
-                    part[at_row, places[(places >= lo) & (places < hi)] - lo] = 0.0
-            scores[rows, lo:hi] = part
-            done[rows, b] = True
-            self.scored += len(rows)
+                    part[at_row, np.isin(examples, places)] = 0.0
+            scores[np.ix_(rows, examples)] = part
+            done[np.ix_(rows, group)] = True
+            self.scored += len(rows) * len(group)
             both = np.concatenate([best[rows], part], axis=1)
             best[rows] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
         out = []
@@ -295,7 +322,7 @@ def _voted(rows: DataFrame, shared) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(each, "doc_id long, vote double, evidence array<struct<doc_id: long, cosine: double, label: int>>, terms array<string>")
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 6_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
+def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4_000, k: int = 15) -> tuple[ToxicityModel, DataFrame]:
     """The model, and ``(doc_id, vote, evidence, terms)`` of all documents.
 
     ``max_examples`` bounds the labelled rows learned from, half of either label at most, and by
