@@ -103,7 +103,7 @@ class ImpactIndex:
                     seen[self.rows[lo:hi]] += self.values[lo:hi, None] * q[active, d]
                     self.touched += int(hi - lo) * len(active)
             left = self.rests[level]
-            if level + 1 < _LEVELS and (last == first or np.median(left) > 0.6 * np.median(whole)):
+            if level + 1 < _LEVELS and (last == first or np.median(left) > 0.35 * np.median(whole)):
                 continue  # too little seen for a proof
             reach = (left + rounding * whole)[:, None] * lengths[active]
             low = np.where(own[:, active], -np.inf, seen - reach)
