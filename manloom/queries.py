@@ -103,13 +103,11 @@ def reconcile_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"WITH {_LINES} SELECT line AS command, string_agg(DISTINCT CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE 'documentation:' || source END, ',' ORDER BY CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE 'documentation:' || source END) AS sources, "
-    "count(DISTINCT CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE source END) AS n FROM lines WHERE line <> '' GROUP BY line HAVING count(*) > 1"
+    "count(DISTINCT CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'cli' ELSE source END) AS n FROM lines WHERE line <> '' GROUP BY line"
 )
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of every line that occurs more than once."""
-    entries = _line_sources(spark, sf_dir)
-    often = entries.groupBy("command").agg(F.count("*").alias("k")).where("k > 1").select("command")
-    union = C.source_union(entries.join(often, "command", "left_semi"))
+    """Sources of every line."""
+    union = C.source_union(_line_sources(spark, sf_dir))
     return union.select("command", F.array_join("sources", ",").alias("sources"), F.size("sources").cast("long").alias("n"))
 
 
@@ -147,36 +145,39 @@ def provably_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"WITH {_LINES} SELECT line AS command, arg_min(source, (CASE WHEN lang = 'de' THEN 0 ELSE 1 END, doc_id, line_no)) AS description, arg_min(lang, (CASE WHEN lang = 'de' THEN 0 ELSE 1 END, doc_id, line_no)) AS language FROM lines WHERE line <> '' GROUP BY line HAVING count(*) > 1"
+    f"WITH {_LINES} SELECT line AS command, arg_min(source, (CASE WHEN lang = 'de' THEN 0 ELSE 1 END, doc_id, line_no)) AS description, arg_min(lang, (CASE WHEN lang = 'de' THEN 0 ELSE 1 END, doc_id, line_no)) AS language FROM lines WHERE line <> '' GROUP BY line"
 )
 def description_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which text a command keeps: the preferred language first, then reading order."""
-    lines = _lines(spark, sf_dir).where("line <> ''")
-    often = lines.groupBy("line").agg(F.count("*").alias("k")).where("k > 1").select("line")
-    entries = lines.join(often, "line", "left_semi").select(F.col("line").alias("command"), F.col("source").alias("description"), F.col("lang").alias("language"), F.struct("doc_id", "line_no").alias("place"))
+    entries = _lines(spark, sf_dir).where("line <> ''").select(F.col("line").alias("command"), F.col("source").alias("description"), F.col("lang").alias("language"), F.struct("doc_id", "line_no").alias("place"))
     return C.described(entries, "de")
 
 
 # -- trees and prefixes -------------------------------------------------------------------------
 
 
-@_query(f"WITH {_PATHS}, u AS (SELECT path, unnest(generate_series(1, len(string_split(path, '/')))) AS i FROM pages_at) SELECT array_to_string(string_split(path, '/')[1:i], '/') AS name, count(*) AS contexts, CAST(sum(i) AS BIGINT) AS depths FROM u GROUP BY 1")
+@_query(
+    f"""WITH {_PATHS}, u AS (SELECT path, length(url) AS n, unnest(generate_series(1, len(string_split(path, '/')))) AS i FROM pages_at), s AS (
+  SELECT array_to_string(string_split(path, '/')[1:i], '/') AS name, count(*) AS contexts, CAST(sum(i) AS BIGINT) AS commands, CAST(sum(n) AS BIGINT) AS queries FROM (SELECT u.*, len(string_split(path, '/')) AS depth FROM u) GROUP BY 1
+), t AS (SELECT name, contexts, queries, CAST(round_even(queries * CAST(0.15 AS DOUBLE), 0) AS BIGINT) AS t FROM s WHERE name IN (SELECT path FROM pages_at))
+SELECT name, contexts, queries, CASE WHEN queries * CAST(0.15 AS DOUBLE) < 1 THEN '<1s' WHEN t < 60 THEN '~' || t || 's' WHEN t % 60 = 0 THEN '~' || t // 60 || 'm' ELSE '~' || t // 60 || 'm' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || 's' END AS badge FROM t"""
+)
 def subtree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages below every path prefix."""
-    up = _paths(spark, sf_dir).select(F.posexplode(X.ancestors(F.col("path"))).alias("i", "name"))
-    return up.groupBy("name").agg(F.count("*").alias("contexts"), F.sum(F.col("i") + 1).cast("long").alias("depths"))
+    """Pages below every page path, and the time that their addresses as queries would take."""
+    nodes = _paths(spark, sf_dir).select(F.col("path").alias("name"), F.lit(1).alias("commands"), F.length("url").alias("queries"))
+    return X.rollups(nodes).select("name", "contexts", "queries", "badge")
 
 
 @_query(
-    f"""WITH {_PATHS}, p AS (SELECT DISTINCT path AS name FROM pages_at WHERE page_id % 3 <> 0 OR len(string_split(path, '/')) = 1),
+    f"""WITH {_PATHS}, p AS (SELECT DISTINCT path AS name FROM pages_at),
 u AS (SELECT name, unnest(generate_series(1, len(string_split(name, '/')) - 1)) AS i FROM p), c AS (SELECT name, i, array_to_string(string_split(name, '/')[1:i], '/') AS up FROM u),
-h AS (SELECT DISTINCT string_split(name, '/')[1] AS name FROM p), a AS (SELECT name FROM p UNION SELECT name FROM h)
-SELECT p.name, coalesce((SELECT arg_max(c.up, c.i) FROM c WHERE c.name = p.name AND c.up IN (SELECT name FROM a)), (SELECT arg_min(name, (len(string_split(name, '/')), name)) FROM a)) AS parent
-FROM a p WHERE p.name <> (SELECT arg_min(name, (len(string_split(name, '/')), name)) FROM a)"""
+h AS (SELECT DISTINCT string_split(name, '/')[1] AS name FROM p), a AS (SELECT name FROM p UNION SELECT name FROM h),
+f AS (SELECT c.name, arg_max(c.up, c.i) AS near FROM c JOIN a ON a.name = c.up GROUP BY 1), r AS (SELECT arg_min(name, (len(string_split(name, '/')), name)) AS root FROM a)
+SELECT a.name, coalesce(f.near, r.root) AS parent FROM a CROSS JOIN r LEFT JOIN f USING (name) WHERE a.name <> r.root"""
 )
 def nearest_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest present ancestor of paths, some of which are missing."""
-    pages = _paths(spark, sf_dir).where((F.col("page_id") % 3 != 0) | (F.size(F.split("path", "/")) == 1)).select(F.col("path").alias("name"))
+    """Nearest present ancestor of all page paths; few of their ancestors are pages themselves."""
+    pages = _paths(spark, sf_dir).select(F.col("path").alias("name"))
     hosts = pages.select(F.split("name", "/")[0].alias("name"))
     return X.parents(pages.union(hosts).distinct()).where("parent IS NOT NULL").select("name", "parent")
 
@@ -188,13 +189,13 @@ def token_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.token_tree(commands).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("nodes"))
 
 
-@_query(f"WITH {_PATHS} SELECT DISTINCT path AS command FROM pages_at WHERE scheme = 'https' AND path LIKE 'blog.%' AND path LIKE '%/en/%' AND split_part(path, '/', 2) = 'en'")
+@_query(f"WITH {_PATHS} SELECT DISTINCT replace(path, '/', ' ') AS command FROM pages_at WHERE scheme = 'https' AND split_part(path, '/', 2) = 'en' AND len(string_split(path, '/')) > 2")
 def prefix_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device commands below entry paths."""
+    """Device commands below entry paths: the English pages of every host."""
     pages = _paths(spark, sf_dir)
-    entry = pages.select(F.split("path", "/")[0].alias("host")).where("host LIKE 'blog.%'").distinct().select(F.concat("host", F.lit("/en")).alias("lead"))
-    up = pages.where("scheme = 'https'").select(F.col("path").alias("command"), F.explode(X.ancestors(F.col("path"))).alias("lead")).where("lead <> command")
-    return up.join(entry, "lead", "left_semi").select("command").distinct()
+    catalog = pages.select(F.replace("path", F.lit("/"), F.lit(" ")).alias("command"), F.array(F.when(F.col("scheme") == "https", "cli").otherwise("documentation:web")).alias("sources"))
+    leads = pages.select(F.concat(F.split("path", "/")[0], F.lit(" en")).alias("lead")).distinct()
+    return C.commands_below(catalog, leads).select("command")
 
 
 @_query(
@@ -229,16 +230,16 @@ def token_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    r"""WITH k AS (SELECT doc_id, i - 1 AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, translate(replace(text, 'token', 'secret'), '=:_', '   ') AS text FROM documents))),
-v AS (SELECT doc_id, line_no, l, list_filter(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM k WHERE regexp_matches(l, '(?i)(password|secret|community|pre-shared|psk|key|certificate|cipher)')),
+    r"""WITH k AS (SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(l, '\s+', ' ', 'g')) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, translate(replace(text, 'token', 'secret'), '=:_', '   ') AS text FROM documents))),
+v AS (SELECT doc_id, line_no, l, list_filter(string_split(l, ' '), lambda x: x <> '') AS w FROM k),
 p AS (SELECT *, list_filter(generate_series(1, len(w)), lambda i: i < len(w) AND list_contains(['password','secret','community','pre-shared','psk','key','key-string','authentication-key','shared-key','private-key','certificate','cipher'], lower(w[i])))[1] AS cut FROM v)
-SELECT doc_id, line_no, array_to_string(w[1:cut], ' ') || ' <redacted>' AS line FROM p WHERE cut IS NOT NULL"""
+SELECT doc_id, line_no, CASE WHEN cut IS NULL THEN l ELSE array_to_string(w[1:cut], ' ') || ' <redacted>' END AS line FROM p"""
 )
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with a secret word and what is left of them."""
-    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.translate(F.replace("text", F.lit("token"), F.lit("secret")), "=:_", "   "), "\n")).alias("line_no", "l"))
-    told = lines.where(F.col("l").rlike("(?i)(password|secret|community|pre-shared|psk|key|certificate|cipher)")).withColumn("line", T.secrets_blanked(F.trim("l")))
-    return told.where(F.endswith("line", F.lit(" <redacted>"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    """All lines, what follows a secret word blanked."""
+    docs = _table(spark, sf_dir, "documents").withColumn("text", F.translate(F.replace("text", F.lit("token"), F.lit("secret")), "=:_", "   "))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "l")).withColumn("line", F.trim(F.regexp_replace("l", r"\s+", " ")))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.secrets_blanked(F.col("line")).alias("line"))
 
 
 @_query(
@@ -252,44 +253,52 @@ def command_normalize_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).groupBy(T.command_verdict(F.col("line")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-_FOLDED = rf"""WITH {_LINES}, f AS (SELECT array_to_string(list_transform(list_filter(string_split(line, ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') OR length(w) > 24 THEN '<value>' ELSE w END), ' ') AS command FROM lines WHERE regexp_matches(line, '[0-9]'))"""
+_FOLDED = rf"""WITH {_LINES}, f AS (SELECT array_to_string(list_transform(list_filter(string_split(line, ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') OR length(w) > 24 THEN '<value>' ELSE w END), ' ') AS command FROM lines WHERE line <> '')"""
 
 
 @_query(_FOLDED + " SELECT command, count(*) AS occurrences FROM f GROUP BY command")
 def skeleton_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with digits, their values folded."""
-    lines = _lines(spark, sf_dir).where(F.col("line").rlike("[0-9]"))
-    return lines.groupBy(T.skeleton(F.col("line")).alias("command")).agg(F.count("*").alias("occurrences"))
+    """All lines, their values folded."""
+    return _lines(spark, sf_dir).where("line <> ''").groupBy(T.skeleton(F.col("line")).alias("command")).agg(F.count("*").alias("occurrences"))
 
 
-@_query(_FOLDED + " SELECT command, count(*) AS occurrences FROM f GROUP BY command ORDER BY occurrences DESC, command LIMIT 20")
+@_query(
+    rf"""WITH {_LINES}, v AS (SELECT list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines WHERE line <> ''),
+p AS (SELECT w, list_filter(generate_series(1, len(w)), lambda i: i < len(w) AND list_contains(['password','secret','community','pre-shared','psk','key','key-string','authentication-key','shared-key','private-key','certificate','cipher'], lower(w[i])))[1] AS cut FROM v),
+b AS (SELECT CASE WHEN cut IS NULL THEN w ELSE list_append(w[1:cut], '<redacted>') END AS w FROM p),
+f AS (SELECT array_to_string(list_transform(w, lambda w: CASE WHEN regexp_matches(w, '[0-9]') OR length(w) > 24 THEN '<value>' ELSE w END), ' ') AS command FROM b)
+SELECT command, count(*) AS occurrences FROM f GROUP BY command ORDER BY occurrences DESC, command LIMIT 20"""
+)
 def gap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty folded lines that occur most."""
-    return skeleton_fold(spark, sf_dir).orderBy(F.desc("occurrences"), "command").limit(20)
+    """The twenty gaps that occur most, all lines being unmatched."""
+    matched = _lines(spark, sf_dir).where("line <> ''").select(F.lit("d").alias("device"), F.array("line").alias("path"), F.lit("unmatched").alias("status"))
+    return G.gaps(matched).drop("device").orderBy(F.desc("occurrences"), "command").limit(20)
 
 
 @_query(
-    rf"""WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(regexp_replace(line, '(?i)^.*(?:password|passwd|secret|community|private[ -]?key|token).*$', '<secret line removed>', 'g'), '(?i)\b(?:[0-9a-f]{{2}}(?:[:-][0-9a-f]{{2}}){{5}}|[0-9a-f]{{4}}(?:[.-][0-9a-f]{{4}}){{2}})\b', '<mac>', 'g') AS line
-FROM lines WHERE regexp_matches(line, '(?i)password|secret|token|[0-9a-f]{{2}}:[0-9a-f]{{2}}:')"""
+    rf"""WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(regexp_replace(regexp_replace(line, '(?i)^.*(?:password|passwd|secret|community|private[ -]?key|token).*$', '<secret line removed>', 'g'), '(?i)^(\s*(?:serial(?: ?(?:number|no\.?))?|s/n|host ?name|sys ?name|esn|mac address|e-?mail)\s*[:=]\s*).+$', '\1<redacted>'), '(?i)\b(?:[0-9a-f]{{2}}(?:[:-][0-9a-f]{{2}}){{5}}|[0-9a-f]{{4}}(?:[.-][0-9a-f]{{4}}){{2}})\b', '<mac>', 'g') AS line
+FROM lines WHERE line <> ''"""
 )
 def identity_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that may tell who or what, redacted for a report."""
-    lines = _lines(spark, sf_dir).where(F.col("line").rlike("(?i)password|secret|token|[0-9a-f]{2}:[0-9a-f]{2}:"))
+    """All lines, what may tell who or what redacted for a report."""
+    lines = _lines(spark, sf_dir).where("line <> ''")
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.identity_redacted(F.col("line")).alias("line"))
 
 
-@_query(rf"WITH {_PATHS} SELECT regexp_replace(path, '[0-9]+', '*', 'g') AS shape, count(*) AS n, min(page_id) AS first_page FROM pages_at GROUP BY 1")
+@_query(rf"WITH {_PATHS} SELECT '(' || regexp_replace(path, '[0-9]+', '*', 'g') || ')#' AS shape, count(*) AS n, min(page_id) AS first_page FROM pages_at GROUP BY 1")
 def fingerprint_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by digit-folded path."""
-    return _paths(spark, sf_dir).groupBy(T.folded(F.col("path")).alias("shape")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+    """Pages by the fingerprint of a prompt that names their path, at the end of an answer."""
+    output = F.concat(F.lit("one line\nhost>\n\nsw("), "path", F.lit(")#"))
+    return _paths(spark, sf_dir).groupBy(T.fingerprint_of(output).alias("shape")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
-@_query(rf"WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, part FROM (SELECT doc_id, line_no, unnest(list_filter(list_transform(string_split(line, '|'), lambda p: trim(p)), lambda p: p <> '')) AS part FROM lines WHERE contains(line, '|'))")
+@_query(rf"WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, part FROM (SELECT doc_id, line_no, unnest(list_filter(list_transform(string_split(translate(line, '[]{{}}', '()()'), '|'), lambda p: trim(p)), lambda p: p <> '')) AS part FROM lines)")
 def alternatives_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines cut at vertical bars."""
-    lines = _lines(spark, sf_dir).where(F.col("line").contains("|"))
-    parts = F.filter(F.transform(F.split("line", r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(parts).alias("part"))
+    """Lines cut at vertical bars outside of groups."""
+    from .functions.grammar import alternatives
+
+    line = F.translate("line", "[]{}", "()()")
+    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(alternatives(line)).alias("part"))
 
 
 @_query(
@@ -315,12 +324,14 @@ def shape_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "WITH s AS (SELECT l_orderkey AS o, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS signature FROM lineitem GROUP BY 1) SELECT signature, min(o) AS canonical, count(*) - 1 AS derived FROM s GROUP BY signature"
+    "WITH s AS (SELECT l_orderkey AS o, sha256(string_agg(DISTINCT l_returnflag || l_linestatus || chr(9) || 'keyword', chr(10) ORDER BY l_returnflag || l_linestatus || chr(9) || 'keyword')) AS signature FROM lineitem GROUP BY 1) SELECT signature, min(o) AS canonical, count(*) - 1 AS derived FROM s GROUP BY signature"
 )
 def signature_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the same set of line kinds: one is walked, the others derived."""
-    sets = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("signature"))
-    return sets.groupBy("signature").agg(F.min("l_orderkey").alias("canonical"), (F.count("*") - 1).alias("derived"))
+    from .operators.help import signatures
+
+    options = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("prefix"), F.concat("l_returnflag", "l_linestatus").alias("token"), F.lit("keyword").alias("kind"))
+    return signatures(options).groupBy("signature").agg(F.min("prefix").alias("canonical"), (F.count("*") - 1).alias("derived"))
 
 
 @_query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS c FROM orders) SELECT o_orderkey FROM r WHERE n % greatest(1, c // 25) = 0 AND n < 25 * greatest(1, c // 25)")
@@ -332,15 +343,22 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
 def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading that a line stands under, as the last user turn carried on."""
-    over = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(over).alias("section"))
+    from .operators.manuals import carried
 
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", carried(F.when(F.col("role") == "user", F.col("turn")), "conv_id", "turn").alias("section"))
 
-@_query(rf"WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents) SELECT doc_id, count(*) AS options, CAST(sum(first_pos) AS BIGINT) AS places FROM (SELECT doc_id, t, min(pos) AS first_pos FROM w GROUP BY doc_id, t) GROUP BY doc_id")
+
+@_query(
+    r"""WITH w AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''))
+SELECT doc_id, count(*) AS options, CAST(sum(first_pos) AS BIGINT) AS places FROM (SELECT doc_id, t, min(pos) AS first_pos FROM w GROUP BY doc_id, t) GROUP BY doc_id"""
+)
 def option_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First places of the different words of each document."""
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "t"))
-    return words.groupBy("doc_id", "t").agg(F.min("pos").alias("pos")).groupBy("doc_id").agg(F.count("*").alias("options"), F.sum("pos").cast("long").alias("places"))
+    """Answers that list the words of each document: of a repeated word the first line counts."""
+    from .operators.help import parse_help
+
+    listed = F.array_join(F.transform(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: F.concat(F.lit("  w"), w, F.lit("  x"))), "\n")
+    options = parse_help(_table(spark, sf_dir, "documents").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(F.concat(F.lit("d"), "doc_id").alias("prefix"), listed.alias("output")), error_words=True)
+    return options.groupBy(F.expr("substring(prefix, 2)").cast("long").alias("doc_id")).agg(F.count("*").alias("options"), F.sum("pos").cast("long").alias("places"))
 
 
 @_query("WITH n AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id), o AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events WHERE event_type <> 'purchase' GROUP BY user_id) SELECT user_id, coalesce(o.event_type, n.event_type) AS event_type, CAST(epoch_us(coalesce(o.ts, n.ts)) AS BIGINT) AS ts_us FROM n LEFT JOIN o USING (user_id)")
@@ -355,8 +373,8 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT user_id, count(*) AS contexts, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS queries, bool_and(value > 5) AS complete FROM events GROUP BY user_id")
 def fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan is complete only if all of its parts are."""
-    events = _table(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.count("*").alias("contexts"), F.sum(F.bround("value").cast("long")).alias("queries"), F.bool_and(F.col("value") > 5).alias("complete"))
+    parts = _table(spark, sf_dir, "events").select("user_id", F.lit(1).alias("commands"), F.bround("value").cast("long").alias("queries"), (F.col("value") > 5).alias("complete"))
+    return C.scan_totals(parts, "user_id").drop("commands")
 
 
 @_query("WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS commands, bool_and(value > 5) AS complete FROM events GROUP BY user_id) SELECT user_id, commands, CASE WHEN complete THEN 'parsed' WHEN commands > 0 THEN 'topped' ELSE 'unknown' END AS state FROM e")
@@ -381,36 +399,39 @@ def probe_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.probe_order(_table(spark, sf_dir, "part").select(F.col("p_name").alias("command")).distinct(), ["green", "red"]).select("command", F.col("place").cast("int").alias("place"))
 
 
-@_query("SELECT lang, CASE WHEN lang IN ('de', 'fr') THEN 'absent' ELSE 'unknown' END AS state, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY ALL")
+@_query(
+    """WITH b(place, block, verb) AS (VALUES (0, 'standard', 'standard'), (1, 'colours', 'blue'), (1, 'colours', 'navy'), (2, 'metals', 'medium'), (3, 'never', 'never'), (4, 'tried', 'green'), (5, 'small', 'small')),
+shown AS (SELECT DISTINCT block FROM b JOIN part ON verb = lower(split_part(p_type, ' ', 1))), refused AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS verb FROM part WHERE p_size > 20)
+SELECT block, CASE WHEN bool_or(r.verb IS NOT NULL) THEN 'absent' ELSE 'unknown' END AS state FROM b LEFT JOIN refused r USING (verb) WHERE block NOT IN (SELECT block FROM shown) GROUP BY block"""
+)
 def missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents no label shows, absent where their language was refused."""
-    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    refused = X.rejected_verbs(spark.createDataFrame([("de x", "rejected"), ("fr", "rejected"), ("en", "entered")], "command string, outcome string"))
-    state = F.when(F.col("refused"), "absent").otherwise("unknown")
-    return docs.join(F.broadcast(refused.select(F.col("verb").alias("lang")).withColumn("refused", F.lit(True))), "lang", "left").groupBy("lang", state.alias("state")).agg(F.count("*").alias("n"))
+    """Expected blocks that no part type shows: absent where a part name that would open one was refused."""
+    part = _table(spark, sf_dir, "part")
+    blocks = {"standard": ("standard",), "colours": ("blue", "navy"), "metals": ("medium",), "never": ("never",), "tried": ("green",), "small": ("small",)}
+    probes = part.select(F.col("p_name").alias("command"), F.when(F.col("p_size") > 20, "rejected").otherwise("entered").alias("outcome"))
+    return X.missing_blocks(part.select(F.concat_ws("/", "p_brand", "p_type").alias("name")), probes, blocks)
 
 
 @_query(
-    """WITH RECURSIVE e AS (SELECT '' AS a, 'r' || r_regionkey AS b FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
-w AS (SELECT '' AS node, 0 AS depth UNION ALL SELECT e.b, depth + 1 FROM w JOIN e ON e.a = w.node WHERE depth < 4) SELECT depth, count(*) AS nodes FROM w GROUP BY depth"""
+    """WITH e AS (SELECT 'r' || r_regionkey AS command FROM region UNION ALL SELECT 'r' || n_regionkey || ' n' || n_nationkey FROM nation
+UNION ALL SELECT DISTINCT 'r' || n_regionkey || ' n' || n_nationkey || ' b' || c_custkey // 256 FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'r' || n_regionkey || ' n' || n_nationkey || ' b' || c_custkey // 256 || ' c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT command, len(string_split(command, ' ')) < 4 AS listed FROM e"""
 )
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes by depth of a walk over region, nation, customer and order."""
-    t = lambda n: _table(spark, sf_dir, n)
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = (
-        t("region").select(F.lit("").alias("a"), key("r", "r_regionkey").alias("b")).union(t("nation").select(key("r", "n_regionkey"), key("n", "n_nationkey")))
-        .union(t("customer").select(key("n", "c_nationkey"), key("c", "c_custkey"))).union(t("orders").select(key("c", "o_custkey"), key("o", "o_orderkey")))
-    )
-    level = spark.createDataFrame([("",)], "node string")
-    counts = []
-    for depth in range(5):  # the depth bound of the walk; a tree needs no visited set
-        counts.append(level.agg(F.count("*").alias("nodes")).select(F.lit(depth).alias("depth"), "nodes"))
-        level = level.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
-    return out
+    """A walk over region, nation, bucket and customer from recorded answers; customers stand at the
+    depth bound and are not asked."""
+    from .operators.crawl import Limits, walk
+
+    customer = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    r, n = F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("n"), "n_nationkey")
+    b, c = F.concat(F.lit("b"), F.floor(F.col("c_custkey") / 256)), F.concat(F.lit("c"), "c_custkey")
+    pairs = _table(spark, sf_dir, "region").select(F.lit("").alias("prefix"), F.concat(F.lit("r"), "r_regionkey").alias("token"))
+    pairs = pairs.union(_table(spark, sf_dir, "nation").select(r, n)).union(customer.select(F.concat_ws(" ", r, n), b)).union(customer.select(F.concat_ws(" ", r, n, b), c)).distinct()
+    line = F.concat(F.lit("  "), "token", F.lit("  seen"))
+    answers = pairs.groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("output"))
+    done = walk(answers, limits=Limits(max_depth=4, deduplicate=False))
+    return done.commands.join(done.enumerated.select(F.col("prefix").alias("command"), F.lit(True).alias("listed")), "command", "left").select("command", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 # -- manuals ------------------------------------------------------------------------------------
@@ -437,11 +458,17 @@ def card_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate(cards, ["source"], min_cards=20, min_share=0.4).select("source", "cards", "structured", "qualifies")
 
 
-@_query("WITH g AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 5) SELECT lang, min(source) AS profile, max(n) AS most FROM g GROUP BY lang")
+@_query("WITH d AS (SELECT p_partkey // 64 AS doc, count(*) AS n FROM part GROUP BY 1) SELECT doc, CASE WHEN doc % 3 = 0 THEN 'chapter' ELSE 'marked' END AS profile FROM d WHERE n >= 5 AND doc % 3 <> 2")
 def profile_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first qualifying profile of each language."""
-    counts = _table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).where("n >= 5")
-    return counts.groupBy("lang").agg(F.min("source").alias("profile"), F.max("n").alias("most"))
+    """The first profile whose cards suit a manual: some manuals head their cards one way, some
+    another, some in none that is known."""
+    from .operators.manuals import doc_lines, pick_profile
+
+    doc = F.floor(F.col("p_partkey") / 64)
+    head = F.when(doc % 3 == 0, "Chapter ").when(doc % 3 == 1, "### ").otherwise("= ")
+    text = F.concat(head, "p_name", F.lit("\n**Syntax**\n```\nset "), "p_name", F.lit("\n```"))
+    docs = _table(spark, sf_dir, "part").groupBy(doc.alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
+    return pick_profile(doc_lines(docs), {"chapter": r"^Chapter (.+)$", "marked": r"^### (.+)$"}, {"syntax": ["Syntax"], "parameters": ["Parameters"]}, min_cards=5).select("doc", "profile")
 
 
 # -- matching configurations --------------------------------------------------------------------
@@ -570,28 +597,28 @@ def terminal_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT 'c' || o_custkey AS prefix, 'o' || o_orderkey AS token, 'keyword' AS kind, o_orderpriority AS description FROM orders
-UNION ALL SELECT DISTINCT 'c' || o_custkey, '<cr>', 'cr', '' FROM orders UNION ALL SELECT DISTINCT 'c' || o_custkey, 'WORD', 'parameter', 'any name' FROM orders"""
+    """WITH o AS (SELECT 'c' || o_custkey || ' b' || o_orderkey // 4096 AS prefix, * FROM orders) SELECT prefix, 'o' || o_orderkey AS token, 'keyword' AS kind, o_orderpriority AS description FROM o
+UNION ALL SELECT DISTINCT prefix, '<cr>', 'cr', '' FROM o UNION ALL SELECT DISTINCT prefix, 'WORD', 'parameter', 'any name' FROM o"""
 )
 def help_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that list a customer's orders, between a header, an error, a pager and a prompt."""
     from .operators.help import parse_help
 
     line = F.concat(F.lit("  o"), "o_orderkey", F.lit("  "), "o_orderpriority")
-    answers = _table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), "o_custkey").alias("prefix")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    answers = _table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), "o_custkey", F.lit(" b"), F.floor(F.col("o_orderkey") / 4096)).alias("prefix")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     output = F.concat(F.lit("sw# "), "prefix", F.lit(" ?\nPossible completions:\n"), "body", F.lit("\n  WORD\tany name\n  WORD  again\n  <cr>\n --More-- \n% Incomplete command\nsw#"))
     return parse_help(answers.select("prefix", output.alias("output"))).select("prefix", "token", "kind", "description")
 
 
-_DUMPED = """c AS (SELECT n_name AS device, c_custkey, c_mktsegment, 3 * row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 2 AS i FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_DUMPED = """c AS (SELECT n_name || ' ' || c_custkey // 1024 AS device, c_custkey, c_mktsegment, 3 * row_number() OVER (PARTITION BY n_name, c_custkey // 1024 ORDER BY c_custkey) - 2 AS i FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def _dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nation's customers as an indented configuration."""
+    """A nation's customers as indented configurations of at most 1,024 each."""
     rows = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     block = F.struct("c_custkey", F.concat(F.lit("#\ninterface "), "c_custkey", F.lit("\n segment "), "c_mktsegment").alias("block"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["block"]), "\n")
-    return rows.groupBy(F.col("n_name").alias("device")).agg(F.concat(F.lit("sw# show run\n"), body, F.lit("\nend\nsw#")).alias("output")).withColumn("source_command", F.lit("show run"))
+    return rows.groupBy(F.concat_ws(" ", "n_name", F.floor(F.col("c_custkey") / 1024)).alias("device")).agg(F.concat(F.lit("sw# show run\n"), body, F.lit("\nend\nsw#")).alias("output")).withColumn("source_command", F.lit("show run"))
 
 
 @_query(f"WITH {_DUMPED} SELECT device, i AS number, 'interface ' || c_custkey AS path FROM c UNION ALL SELECT device, i + 1, 'interface ' || c_custkey || ' / segment ' || c_mktsegment FROM c")
@@ -644,7 +671,7 @@ def contents_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a size as the cards of one manual."""
+    """Manuals with a card for each of 64 parts."""
     from .operators.manuals import cards, doc_lines
 
     name = F.col("p_name")
@@ -653,11 +680,11 @@ def _manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n          of the scale\n```\n**Purpose**\nset "), name, F.lit(" - "), F.col("p_type"), F.lit("\n**Notes**\nnothing"),
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda x: x["text"]), "\n")
-    docs = _table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("doc")).agg(joined.alias("text"))
+    docs = _table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 64).alias("doc")).agg(joined.alias("text"))
     return cards(doc_lines(docs), r"^### (.+)$", {"syntax": ["Syntax"], "parameters": ["Parameters"], "purpose": ["Purpose"]})
 
 
-_CARDS = "c AS (SELECT CAST(p_size AS BIGINT) AS doc, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS card, * FROM part)"
+_CARDS = "c AS (SELECT p_partkey // 64 AS doc, row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY p_partkey) AS card, * FROM part)"
 
 
 @_query(
@@ -683,3 +710,133 @@ def purpose_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.manuals import purposes
 
     return purposes(_manuals(spark, sf_dir)).select("doc", F.col("card").cast("long").alias("card"), "description")
+
+
+@_query(f"WITH {_CARDS} SELECT doc, card, w AS token, CASE WHEN w = '<level>' THEN 'parameter' ELSE 'keyword' END AS kind, w AS written, CASE WHEN w = '<level>' THEN 'spelled' WHEN w = 'set' OR list_contains(string_split(p_name, ' '), w) THEN 'name' END AS reason FROM (SELECT doc, card, p_name, unnest(string_split('set ' || p_name || ' <level>', ' ')) AS w FROM c)")
+def card_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each word of a card's syntax is, and on what evidence."""
+    from .operators.manuals import marks, parameter_rows
+
+    parts = _manuals(spark, sf_dir)
+    told = marks(parts, parameter_rows(parts))
+    token = F.when(F.col("reason") == "spelled", F.concat(F.lit("<"), "token", F.lit(">"))).otherwise(F.col("token"))
+    return told.select("doc", F.col("card").cast("long").alias("card"), token.alias("token"), "kind", "written", "reason")
+
+
+@_query(
+    f"""WITH {_CARDS}, n AS (SELECT count(*) AS cards, CAST(sum(len(string_split(p_name, ' ')) + 1) AS BIGINT) AS names FROM c)
+SELECT * FROM (SELECT unnest(['cards', 'with forms', 'with parameters', 'with purpose']) AS measure, cards AS n, 100.0::DOUBLE AS percent FROM n)
+UNION ALL SELECT 'reason name', names, round(100 * names / (names + cards), 1) FROM n UNION ALL SELECT 'reason spelled', cards, round(100 * cards / (names + cards), 1) FROM n"""
+)
+def card_measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the manuals was read, and on what evidence their words were told apart."""
+    from .operators.manuals import marks, measurement, parameter_rows
+
+    parts = _manuals(spark, sf_dir)
+    return measurement(parts, marks(parts, parameter_rows(parts)))
+
+
+@_query("SELECT p_partkey AS doc, CAST(2 * i AS BIGINT) AS n, 'set ' || p_name || CASE i WHEN 0 THEN ' [ size ' || p_size || ' ]' ELSE ' | all' END AS line FROM part, (VALUES (0), (1)) t(i)")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a bracket or a bar leaves open, joined with what follows."""
+    from .operators.manuals import joined_wraps
+
+    text = F.array(F.concat(F.lit("set "), "p_name", F.lit(" [")), F.concat(F.lit("size "), "p_size", F.lit(" ]")), F.concat(F.lit("set "), "p_name", F.lit(" |")), F.lit("all"))
+    lines = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.posexplode(text).alias("n", "line"))
+    return joined_wraps(lines, ["doc"]).select("doc", F.col("n").cast("long").alias("n"), "line")
+
+
+@_query("SELECT p_partkey AS doc, 'set ' || p_name || CASE i WHEN 0 THEN ' <level>' ELSE ' { a | b }' END AS syntax FROM part, (VALUES (0), (1)) t(i)")
+def structured_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats under their headings in manuals with numbered sections."""
+    from .operators.manuals import doc_lines, structured_syntax
+
+    text = F.concat(F.lit("1.2 set "), "p_name", F.lit("\nCommand format\n- set "), "p_name", F.lit(" <level>\n- set "), "p_name", F.lit(" { a |\nb }\nother "), "p_type", F.lit("\nParameters\nset level\n"))
+    return structured_syntax(doc_lines(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), text.alias("text")))).select("doc", "syntax")
+
+
+@_query(
+    """WITH p AS (SELECT p_partkey // 64 AS doc, p_partkey, p_name, row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY p_partkey) - 1 AS page FROM part),
+l AS (SELECT doc, 2 * page + 1 AS turn, 3 * page AS n, 'flow ' || p_name AS text FROM p UNION ALL SELECT doc, 2 * page - 2, 3 * page + 1, 'placed ' || p_name FROM p)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY turn, n) AS place, text FROM l"""
+)
+def paged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of paged manuals in reading order, page numbers dropped."""
+    from .sources.documents import reading_order
+
+    doc = F.floor(F.col("p_partkey") / 64)
+    page = F.row_number().over(Window.partitionBy(doc).orderBy("p_partkey")) - 1
+    rows = F.array(F.struct(F.lit(False).alias("positioned"), F.concat(F.lit("flow "), "p_name").alias("text")), F.struct(F.lit(True).alias("positioned"), F.concat(F.lit("placed "), "p_name").alias("text")), F.struct(F.lit(False).alias("positioned"), F.col("page").cast("string").alias("text")))
+    told = _table(spark, sf_dir, "part").select(doc.alias("doc"), page.alias("page"), "p_name").select("doc", "page", F.posexplode(rows).alias("k", "r"))
+    ordered = reading_order(told.select("doc", (3 * F.col("page") + F.col("k")).alias("n"), "r.positioned", "r.text"), footer=r"^\d+$")
+    return ordered.select("doc", F.col("place").cast("long").alias("place"), "text")
+
+
+@_query(
+    """WITH v AS (SELECT c_mktsegment AS context, c_name AS command, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) AS place FROM customer)
+SELECT context, CAST(greatest(count(*) - 40, 0) AS BIGINT) AS skipped, min(command) AS first, max(CASE WHEN place <= 40 THEN command END) AS last FROM v GROUP BY context"""
+)
+def probe_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first commands to try of each context, and how many more there are."""
+    tried, left = C.probes_within(_table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("context"), F.col("c_name").alias("command")), ["show"], 40)
+    return tried.groupBy("context").agg(F.min("command").alias("first"), F.max("command").alias("last")).join(left, "context").select("context", "skipped", "first", "last")
+
+
+@_query(
+    """WITH m AS (SELECT n_nationkey, n_name, n_nationkey % 2 = 0 AS again FROM nation) SELECT count(*) AS contexts, CAST(sum(CASE WHEN again THEN 2 ELSE 1 END) AS BIGINT) AS commands, CAST(sum(CASE WHEN again THEN 20 ELSE 10 END) AS BIGINT) AS queries,
+bool_and(again OR n_nationkey <> 3) AS complete, (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) AS device_commands FROM m"""
+)
+def scoped_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a scan of some contexts was folded into a whole map."""
+    nation, customer = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    held = nation.select(F.col("n_name").alias("name"), F.lit(1).alias("commands"), F.lit(10).alias("queries"), (F.col("n_nationkey") != 3).alias("complete"))
+    new = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.lit(2).alias("commands"), F.lit(20).alias("queries"), F.lit(True).alias("complete"))
+    commands = customer.select(F.col("c_name").alias("command"), F.array(F.lit("documentation:m")).alias("sources"))
+    scanned = customer.where("c_custkey % 2 = 0").select(F.col("c_name").alias("command"), F.array(F.lit("cli")).alias("sources"))
+    return C.scoped_merge(commands, scanned, held, new)[2]
+
+
+@_query(
+    r"""SELECT p_partkey, '<p>' || replace(replace(p_name, ' ', ' & '), 'a', '<') || '</p>' AS raw, '&lt;p&gt;' || replace(replace(replace(replace(p_name, ' ', ' & '), 'a', '<'), '&', '&amp;'), '<', '&lt;') || '&lt;/p&gt;' AS html,
+p_partkey % 2 = 0 AS flag, p_partkey % 3 <> 0 AS safe, p_name AS form, p_name AS head FROM part"""
+)
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escaped text, option flags, fragments that can be typed, forms without remarks, block labels."""
+    from .sources.sinks import escaped
+
+    key = F.col("p_partkey")
+    raw = F.concat(F.lit("<p>"), F.replace(F.replace("p_name", F.lit(" "), F.lit(" & ")), F.lit("a"), F.lit("<")), F.lit("</p>"))
+    token = F.concat(F.when(key % 2 == 0, "-v").otherwise("-7"), F.lit("x"))
+    typed = F.concat(F.lit("show"), F.when(key % 3 == 0, "?").otherwise(" x"))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", raw.alias("raw"), escaped(raw).alias("html"), T.is_option_flag(token).alias("flag"), T.is_safe_fragment(typed).alias("safe"),
+        T.command_form(F.concat("p_name", F.lit(" — a remark"))).alias("form"), T.block_label(F.concat("p_brand", F.lit("/"), "p_name")).alias("head"),
+    )
+
+
+@_query("SELECT o_orderkey, 'rel ' || o_orderkey || chr(10) || 'MAC <mac>' AS output FROM orders")
+def firmware_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version answers without echo, prompt and identities."""
+    from .sources.documents import firmware
+
+    output = F.concat(F.lit("\nsw1# show version\nrel "), "o_orderkey", F.lit("\nMAC 00:11:22:33:44:55\n\nsw1#"))
+    return firmware(_table(spark, sf_dir, "orders").select("o_orderkey", F.lit("show version").alias("source_command"), output.alias("output"))).select("o_orderkey", "output")
+
+
+@_query(
+    "SELECT 'enter ' || lower(c_mktsegment) || ' b' || c_custkey // 256 || ' c' || c_custkey AS command FROM customer UNION ALL SELECT DISTINCT 'enter ' || lower(c_mktsegment) || ' b' || c_custkey // 256 FROM customer"
+)
+def context_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The help of every context that probes lead to, walked together: a context for each segment."""
+    from .operators.crawl import walk_contexts
+
+    customer = _table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("name"), "c_custkey")
+    segments = customer.select("name").distinct()
+    contexts = segments.select("name", F.array(F.concat(F.lit("enter "), "name")).alias("entry_path")).union(spark.createDataFrame([("root", [])], "name string, entry_path array<string>"))
+    probes = segments.select(F.lit("root").alias("context"), F.concat(F.lit("enter "), "name").alias("command"), F.lit("entered").alias("outcome"), F.col("name").alias("child"))
+    bucket = F.concat(F.lit("b"), F.floor(F.col("c_custkey") / 256))  # no answer grows with the table
+    pairs = customer.select("name", F.lit("").alias("prefix"), bucket.alias("token")).union(customer.select("name", bucket, F.concat(F.lit("c"), "c_custkey"))).distinct()
+    line = F.concat(F.lit("  "), "token", F.lit("  seen"))
+    answers = pairs.groupBy(F.col("name").alias("context"), "prefix").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("output"))
+    done, _ = walk_contexts(answers, contexts, probes)
+    return done.commands.select("command")
