@@ -828,7 +828,7 @@ def firmware_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The help of every context that probes lead to, walked together: a context for each segment."""
-    from .operators.crawl import walk_contexts
+    from .operators.crawl import Limits, walk_contexts
 
     customer = _table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("name"), "c_custkey")
     segments = customer.select("name").distinct()
@@ -838,5 +838,5 @@ def context_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = customer.select("name", F.lit("").alias("prefix"), bucket.alias("token")).union(customer.select("name", bucket, F.concat(F.lit("c"), "c_custkey"))).distinct()
     line = F.concat(F.lit("  "), "token", F.lit("  seen"))
     answers = pairs.groupBy(F.col("name").alias("context"), "prefix").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("output"))
-    done, _ = walk_contexts(answers, contexts, probes)
+    done, _ = walk_contexts(answers, contexts, probes, Limits(deduplicate=False))  # all roots look alike
     return done.commands.select("command")
