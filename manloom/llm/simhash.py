@@ -147,12 +147,16 @@ def _links(nodes: DataFrame, fps: list[str], told: list[str], radius: int, block
     columns = ["fp"] if told == fps else [told[0], "fp", *told[1:]]
     others = [c for c in columns if c != "fp"]
     keyed = nodes.select(*others, F.explode(F.array(*tables)).alias("k")).select("k.tab", "k.key", *[F.col("k.fp") if c == "fp" else F.col(c) for c in columns])
-    row = F.struct(*columns)
-    buckets = keep(keyed.groupBy("tab", "key").agg(F.count("*").alias("n"), F.min(row).alias("a"), F.max(row).alias("b")).where("n > 1"), "buckets")
-    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    if len(columns) > 2:
-        close = close & (F.bit_count(F.col(f"a.{columns[2]}").bitwiseXOR(F.col(f"b.{columns[2]}"))) <= guard_radius)
-    pairs = buckets.where("n = 2").where(close).select(F.col(f"a.{columns[0]}").alias("a"), F.col(f"b.{columns[0]}").alias("b")).where("a <> b")
+    node = columns[0]
+    buckets = keep(keyed.groupBy("tab", "key").agg(F.count("*").alias("n"), F.min(node).alias("a"), F.max(node).alias("b")).where("n > 1"), "buckets")
+    pairs = buckets.where("n = 2 AND a <> b").select("a", "b")
+    if len(columns) == 1:
+        pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    else:  # nodes don't tell their fingerprints
+        side = lambda end: nodes.select(F.col(node).alias(end), F.struct(*fps, *columns[2:]).alias(f"of_{end}"))
+        pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        differ = lambda c: F.bit_count(F.col(f"of_a.{c}").bitwiseXOR(F.col(f"of_b.{c}")))
+        pairs = pairs.where((F.least(*map(differ, fps)) <= radius) & (F.greatest(F.lit(0), *map(differ, columns[2:])) <= guard_radius)).select("a", "b")
     alone = F.lit(0).cast("long")
     small = keyed.join(buckets.where((F.col("n") > 2) & (F.col("n") <= block)).select("tab", "key"), ["tab", "key"]).select("tab", "key", alone.alias("i"), alone.alias("j"), alone.alias("own"), *columns)
     apart = F.array(*[F.array(*[F.lit(m) for m in parts]) for parts in _left_out(masks, radius + 1)])
