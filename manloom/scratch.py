@@ -38,16 +38,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    kept = spark.read.schema(df.schema).parquet(where)
+    kept.kept_at = where
+    return kept
 
 
-def drop(df: DataFrame) -> None:
-    """Removes the files of a table that ``keep`` wrote and that nothing will read again."""
-    spark, root = df.sparkSession, f"{shared_folder(df.sparkSession)}/manloom/".split(":", 1)[-1]
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if re.sub("/+", "/", root) in re.sub("/+", "/", folder):  # ours alone
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop(kept: DataFrame) -> None:
+    """Removes a table that ``keep`` wrote, when nothing reads it any more: a loop's last level."""
+    spark = kept.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
