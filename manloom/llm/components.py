@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, keep
 
 
 def _toward_minimum(edges: DataFrame, large: bool) -> DataFrame:
@@ -44,5 +44,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or seen[0] == 0:
             break
         mark = tuple(seen)
-        now = keep(_toward_minimum(_toward_minimum(now, True), False), "edges")
+        before, now = now, keep(_toward_minimum(_toward_minimum(now, True), False), "edges")
+        drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

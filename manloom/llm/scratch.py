@@ -1,5 +1,5 @@
 """Scratch tables, for the operators of this subpackage."""
 
-from ..scratch import keep, shared_folder
+from ..scratch import drop, keep, shared_folder
 
-__all__ = ["keep", "shared_folder"]
+__all__ = ["drop", "keep", "shared_folder"]

@@ -74,3 +74,16 @@ def test_chances_are_kept(spark):
     for s, n in total.items():
         rate = next(r.target / r.source_size for r in mixed(spark, rows) if r.source == s)
         assert abs(n / rounds / 20 - rate) < 0.12
+
+
+def test_many_sources_and_counted_words(spark):
+    rows = [(i, i % 400, 1 + (i * 7) % 23) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, s int, n int").selectExpr("doc_id", "concat('s', lpad(s, 4, '0')) AS source", "n AS words")
+    got = M.mix(docs, size_col="words").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    want = slow_targets({s: sum(r.size for r in part) for s, part in by.items()})
+    assert len(by) == 400 and sorted((r.doc_id, r.size) for r in got) == sorted((i, n) for i, _, n in rows)
+    for s, part in by.items():
+        assert abs(part[0].target - want[s]) < 1e-6 * want[s] and abs(sum(r.taken for r in part) - want[s]) <= max(r.size for r in part)
