@@ -20,7 +20,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ from .quality import learning_row
 from .scratch import keep
 
 _WORD = re.compile(r"\w+")
+_BEGIN = (5,)  # letters of the beginnings that are terms
 _BLOCK = 128
 _BATCH = 128
 _FLOOR = 0.02  # relevance of a term that says nothing about the label
@@ -39,8 +40,8 @@ _ENOUGH = 15.0  # likelihood ratio at which a term counts half of its log odds
 
 
 def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings of four and five letters marked as such."""
-    return [word, *("^" + word[:k] for k in (4, 5) if len(word) > k)]
+    """The word, and its beginning of five letters marked as such."""
+    return [word, *("^" + word[:k] for k in _BEGIN if len(word) > k)]
 
 
 def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -88,12 +89,17 @@ def _term_counts(examples: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _beginnings(words, size: int) -> list[str]:
+    return [w[:size] for w in words if len(w) > size]
+
+
 class Vocabulary:
-    """Places of the examples' terms."""
+    """Places of the examples' terms: of words, and of beginnings by their length."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.terms, self.place, self.known = terms, {t: i for i, t in enumerate(terms)}, {}
-        self.older: dict[str, list[int]] = {}
+        self.terms = terms
+        self.words = {t: i for i, t in enumerate(terms) if t[0] != "^"}
+        self.begun = {k: {t[1:]: i for i, t in enumerate(terms) if t[0] == "^" and len(t) == k + 1} for k in _BEGIN}
 
     def __getstate__(self):
         return self.terms
@@ -101,36 +107,15 @@ class Vocabulary:
     def __setstate__(self, terms):
         self.__init__(terms)
 
-    def places(self, word: str) -> list[int]:
-        """Places of the known terms of a word."""
-        found = self.known.get(word)
-        if found is None:
-            place = self.place.get
-            found = self.older.get(word)
-            if found is None:
-                found = [i for t in terms_of(word) if (i := place(t)) is not None]
-            if len(word) <= 64:
-                if len(self.known) > 200_000:  # what is asked for again moves over, the rest is let go
-                    self.older, self.known = self.known, {}
-                self.known[word] = found
-        return found
-
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places and counts of the known terms of a whole text."""
-        words = Counter(_WORD.findall(text.lower()))
-        found = list(map(self.places, words))
-        hits = np.fromiter(chain.from_iterable(found), np.int64)
-        if not len(hits):
-            return hits, hits
-        counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
-        order = np.argsort(hits, kind="stable")
-        hits = hits[order]
-        first = np.flatnonzero(np.concatenate([[True], hits[1:] != hits[:-1]]))
-        return hits[first], np.add.reduceat(counts[order], first)
-
-    def held(self, text: str) -> set[int]:
-        """Places of the known terms of a whole text."""
-        return set().union(*map(self.places, set(_WORD.findall(text.lower()))))
+        """Places and counts of the known terms of a whole text, by place."""
+        found = _WORD.findall(text.lower())
+        parts = [(self.words, Counter(found)), *((self.begun[k], Counter(_beginnings(found, k))) for k in _BEGIN)]
+        at = np.array([p for known, counts in parts for p in map(known.get, counts, repeat(-1))], np.int64)
+        tf = np.array([n for _, counts in parts for n in counts.values()], np.int64)
+        order = np.argsort(at, kind="stable")
+        order = order[np.searchsorted(at[order], 0) :]  # what no example holds stands first
+        return at[order], tf[order]
 
 
 def _held_by(docs: DataFrame, vocabulary) -> DataFrame:
@@ -138,13 +123,23 @@ def _held_by(docs: DataFrame, vocabulary) -> DataFrame:
 
     def each(batches):
         words = vocabulary.value
-        held = np.zeros(len(words.terms), np.int64)
+        tables = [words.words, *(words.begun[k] for k in _BEGIN)]
+        seen = [Counter() for _ in tables]
         for batch in batches:
             for text in batch.column(0):
-                at = words.held(text.as_py())
-                held[np.fromiter(at, np.int64, len(at))] += 1
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+                own = set(_WORD.findall(text.as_py().lower()))
+                seen[0].update(own)
+                for counts, k in zip(seen[1:], _BEGIN, strict=True):
+                    counts.update(set(_beginnings(own, k)))
+            if sum(map(len, seen)) > 500_000:
+                yield flushed(tables, seen)
+        yield flushed(tables, seen)
+
+    def flushed(tables, seen):
+        told = {at: n for table, counts in zip(tables, seen, strict=True) for term, n in counts.items() if (at := table.get(term)) is not None}
+        for counts in seen:
+            counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(told), pa.int64()), pa.array(list(told.values()), pa.int64())], ["at", "n"])
 
     return docs.select("text").mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
