@@ -51,11 +51,14 @@ def skeleton(text: Column) -> Column:
 
 def secrets_blanked(line: Column) -> Column:
     """A line cut after its first secret word that isn't its last word, indent kept."""
-    tokens = words(line)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: (i < F.size(tokens)) & F.lower(F.get(tokens, i - 1)).isin(*SECRET_WORDS))
-    first = F.get(hits, F.lit(0))
-    kept = F.concat(F.regexp_extract(line, r"^(\s*)", 1), F.array_join(F.slice(tokens, 1, first), " "), F.lit(" <redacted>"))
-    return F.when(first.isNotNull(), kept).otherwise(line)
+
+    def cut(tokens: Column) -> Column:
+        places = F.transform(tokens, lambda w, i: F.when((i < F.size(tokens) - 1) & F.lower(w).isin(*SECRET_WORDS), i + 1))
+        first = F.array_min(places)
+        kept = F.concat(F.regexp_extract(line, r"^(\s*)", 1), F.array_join(F.slice(tokens, 1, first), " "), F.lit(" <redacted>"))
+        return F.when(first.isNotNull(), kept).otherwise(line)
+
+    return F.transform(F.array(words(line)), cut)[0]  # the words are named once
 
 
 def edges_trimmed(output: Column, command: Column) -> Column:
