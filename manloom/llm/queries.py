@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_main, line_dedup, mixing, quality, secret_scan, simhash, topk, toxicity
+from . import bpe, exact_dedup, filter_audit, html_main, line_dedup, mixing, quality, secret_scan, simhash, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op2_topk": topk.OP2_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
