@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, filter_audit, html_main, line_dedup, mixing, quality, secret_scan, simhash, topk, toxicity
+from . import bpe, exact_dedup, filter_audit, html_main, line_dedup, mixing, packing, quality, secret_scan, simhash, topk, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_simhash": simhash.op9_simhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_packing": packing.op11_packing,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op2_topk": topk.OP2_SQL,
         "op12_filter_audit": filter_audit.OP12_SQL,
+        "op13_vector_codes": vector_codes.OP13_SQL,
     }
