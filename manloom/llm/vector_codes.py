@@ -23,7 +23,7 @@ from .scratch import keep
 from .topk import is_usable
 
 _BLOCK = 2048  # parts compared at once
-_SIDE = 3  # entries on either side of the norm that are compared before the interval is set anew
+_SIDE = 8  # entries on either side of the norm that are compared before the interval is set anew
 _FAR = np.iinfo(np.int64).max
 _MOST = 1 << 27  # components are held within this, so that 64 squared differences fit a long
 
@@ -34,31 +34,31 @@ def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.nda
     length = lambda v: np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
     norms = length(entries)
     order = np.argsort(norms, kind="stable")
-    norms, ordered, k = norms[order], entries[order], len(entries)
-    index, distance, compared = np.full(len(points), k, np.int64), np.full(len(points), _FAR, np.int64), 0
+    norms, columns, k = norms[order], np.ascontiguousarray(entries[order].T), len(entries)
+    index, distance, compared = np.empty(len(points), np.int64), np.empty(len(points), np.int64), 0
+    sides = np.concatenate([-1 - np.arange(_SIDE), np.arange(_SIDE)])
     for at in range(0, len(points), _BLOCK):
-        block, best, which = points[at : at + _BLOCK], distance[at : at + _BLOCK], index[at : at + _BLOCK]
-        own = length(block)
+        rows, block = np.arange(at, min(at + _BLOCK, len(points))), points[at : at + _BLOCK]
+        own, best, which = length(block), np.full(len(rows), _FAR), np.full(len(rows), k)
         left = np.searchsorted(norms, own)  # entries from left to right have been compared
-        right, low, high = left.copy(), np.zeros_like(left), np.full_like(left, k)
-        open_ = np.arange(len(block))
-        while len(open_):
-            around = np.concatenate([left[open_, None] - 1 - np.arange(_SIDE), right[open_, None] + np.arange(_SIDE)], axis=1)
-            row, column = np.nonzero((around >= low[open_, None]) & (around < high[open_, None]))
-            place = around[row, column]
-            compared += len(place)
-            found = ((block[open_[row]] - ordered[place]) ** 2).sum(axis=1)
-            least = best[open_]
-            np.minimum.at(least, row, found)
-            which[open_[least < best[open_]]] = k
-            best[open_] = least
-            tied = found == least[row]
-            np.minimum.at(which, open_[row[tied]], order[place[tied]])
-            left[open_], right[open_] = np.maximum(left[open_] - _SIDE, 0), np.minimum(right[open_] + _SIDE, k)
-            reach = np.sqrt(least.astype(np.float64))
-            reach += 1e-9 * (own[open_] + reach + 1)  # norms and roots are rounded
-            low[open_], high[open_] = np.searchsorted(norms, own[open_] - reach, "left"), np.searchsorted(norms, own[open_] + reach, "right")
-            open_ = open_[(left[open_] > low[open_]) | (right[open_] < high[open_])]
+        right, low, high = left, np.zeros_like(left), np.full_like(left, k)
+        while len(rows):
+            place = np.where(sides < 0, left[:, None], right[:, None]) + sides
+            within = (place >= low[:, None]) & (place < high[:, None])
+            place = np.where(within, place, 0)
+            compared += int(within.sum())
+            found = sum((x[:, None] - column[place]) ** 2 for x, column in zip(block.T, columns, strict=True))
+            found = np.where(within, found, _FAR)
+            least = np.minimum(best, found.min(axis=1))
+            tied = np.where(found == least[:, None], order[place], k).min(axis=1)
+            which, best = np.minimum(np.where(least < best, k, which), tied), least
+            left, right = np.maximum(left - _SIDE, 0), np.minimum(right + _SIDE, k)
+            reach = np.sqrt(best.astype(np.float64))
+            reach += 1e-9 * (own + reach + 1)  # norms and roots are rounded
+            low, high = np.searchsorted(norms, own - reach, "left"), np.searchsorted(norms, own + reach, "right")
+            more = (left > low) | (right < high)
+            index[rows[~more]], distance[rows[~more]] = which[~more], best[~more]
+            rows, block, own, best, which, left, right, low, high = (v[more] for v in (rows, block, own, best, which, left, right, low, high))
     return index, distance, compared
 
 
