@@ -703,6 +703,41 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return parameter_rows(_manuals(spark, sf_dir)).select("doc", F.col("card").cast("long").alias("card"), "name", "description")
 
+_DAMAGED = r"""
+WITH p AS (
+  SELECT p_partkey // 64 AS doc, p_partkey AS card, p_partkey % 8 AS v, p_size, split_part(p_name, ' ', 1) || 'x' AS a, split_part(p_name, ' ', 2) || 'y' AS b FROM part
+), r AS (
+  SELECT *, a || '-' || b AS name, CASE v
+    WHEN 0 THEN a || '-' || b || ' Size ' || p_size WHEN 1 THEN a || '- Size ' || p_size || ' ' || b || ' at most' WHEN 2 THEN a || ' Size ' || p_size || ' ' || b || ' at most'
+    WHEN 3 THEN a || '- Size ' || p_size || ' Switch' || b || ' at most' WHEN 4 THEN a || '-' || b || 'Size ' || p_size
+    WHEN 5 THEN upper(left(a, 1)) || substr(a, 2) || '-' || b || ' Size ' || p_size WHEN 6 THEN a || ' ' || b || ' Size ' || p_size ELSE a || ' Size ' || p_size END AS text
+  FROM p
+)
+SELECT doc, card, CASE v WHEN 7 THEN a ELSE name END AS name, text FROM r
+UNION ALL SELECT doc, card, 'level', 'level Integer of ' || p_size || ' steps' FROM r"""
+
+
+@_query(_DAMAGED)
+def damaged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of parts, each damaged in one of seven ways or out of reach of its card's syntax."""
+    from .operators.tables import parameter_rows
+
+    a, b = F.concat(F.split("p_name", " ")[0], F.lit("x")), F.concat(F.split("p_name", " ")[1], F.lit("y"))
+    told = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("doc"), F.col("p_partkey").alias("card"), (F.col("p_partkey") % 8).alias("v"), F.col("p_size").cast("string").alias("size"), a.alias("a"), b.alias("b"))
+    size, more = F.concat(F.lit("     Size "), "size"), F.lit("               at most")
+    row = lambda *parts: F.array(*parts)
+    turned = F.concat(F.upper(F.left("a", F.lit(1))), F.expr("substring(a, 2)"))
+    name = F.concat("a", F.lit("-"), "b")
+    damaged = (
+        F.when(F.col("v") == 0, row(F.concat(name, size))).when(F.col("v") == 1, row(F.concat("a", F.lit("-"), size), F.concat("b", more))).when(F.col("v") == 2, row(F.concat("a", size), F.concat("b", more)))
+        .when(F.col("v") == 3, row(F.concat("a", F.lit("-"), size), F.concat(F.lit("               Switch"), "b", F.lit(" at most")))).when(F.col("v") == 4, row(F.concat(name, F.trim(size))))
+        .when(F.col("v") == 5, row(F.concat(turned, F.lit("-"), "b", size))).when(F.col("v") == 6, row(F.concat("a", F.lit(" "), "b", size))).otherwise(row(F.concat("a", size)))
+    )
+    table = F.concat(row(F.lit("Parameter      Description")), damaged, row(F.lit("level          Integer of"), F.concat(F.lit("               "), "size", F.lit(" steps"))))
+    syntax = F.when(F.col("v") == 7, "show").otherwise(F.concat(F.lit("show "), name, F.lit(" level")))
+    lines = told.select("doc", "card", F.posexplode(F.concat(row(syntax), table)).alias("n", "line")).withColumn("part", F.when(F.col("n") == 0, "syntax").otherwise("parameters"))
+    return parameter_rows(lines).select("doc", "card", "name", "text")
+
 
 @_query(f"WITH {_CARDS} SELECT doc, card, p_type AS description FROM c")
 def purpose_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
