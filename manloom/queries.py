@@ -738,6 +738,37 @@ def damaged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = told.select("doc", "card", F.posexplode(F.concat(row(syntax), table)).alias("n", "line")).withColumn("part", F.when(F.col("n") == 0, "syntax").otherwise("parameters"))
     return parameter_rows(lines).select("doc", "card", "name", "text")
 
+_EVIDENCE = """
+WITH p AS (SELECT p_partkey // 64 AS doc, p_partkey AS card, split_part(p_name, ' ', 1) || 'x' AS a, CAST(p_size AS VARCHAR) AS s, p_size + 1 AS t FROM part),
+w(pos, token, kind, reason, form) AS (VALUES
+  (0, 'set', 'keyword', 'command-name', ''), (1, '', 'keyword', 'command-name', ''), (2, 'cost', 'keyword', 'named-only', ''), (3, 'low', 'keyword', 'alternative', ''), (4, 'high', 'keyword', 'untabled', ''),
+  (5, 'deadtime', 'keyword', 'named-then-valued', ''), (6, 'deadtime', 'keyword', 'alternative', ''), (7, 'never', 'keyword', 'untabled', ''), (8, 'if-no.sub-no', 'value', 'compound', '.sub-no'),
+  (9, 'port', 'keyword', 'named-then-valued', ''), (10, 'port', 'value', 'domain', 'name'), (11, 'tag', 'keyword', 'effect', ''), (12, 'mode', 'value', 'default', 'name'), (13, 'rate', 'value', 'domain', 'range'),
+  (14, 'span', 'value', 'domain', 'name'), (15, 'slot', 'value', 'domain', 'name'), (16, 'addr', 'value', 'domain', 'name'), (17, 'hop2', 'value', 'domain', 'range'))
+SELECT doc, card, pos, CASE pos WHEN 1 THEN a ELSE token END AS token, kind, reason,
+  CASE form WHEN 'name' THEN '<' || token || '>' WHEN 'range' THEN '<1-' || t || '>' WHEN '.sub-no' THEN '<1-' || t || '>.sub-no' ELSE CASE pos WHEN 1 THEN a ELSE token END END AS written
+FROM p, w"""
+
+
+@_query(_EVIDENCE)
+def card_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of parts whose words are told apart by every kind of evidence, in an English manual's words."""
+    from .operators.marking import Lexicon, marks
+    from .operators.profiles import profiles
+
+    told = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("doc"), F.col("p_partkey").alias("card"), F.concat(F.split("p_name", " ")[0], F.lit("x")).alias("a"), F.col("p_size").cast("string").alias("s"), (F.col("p_size") + 1).cast("string").alias("t"))
+    line = F.concat(F.lit("set "), "a", F.lit(" cost { low | high } deadtime { deadtime | never } if-no.sub-no port port [ tag ] mode rate span slot addr hop2"))
+    lines = told.select("doc", "card", F.concat(F.lit("set "), "a").alias("command"), F.lit(0).alias("n"), F.lit("syntax").alias("part"), line.alias("line"))
+    texts = {
+        "cost": F.lit("(cost)"), "low": F.lit("low Slow"), "deadtime": F.lit("deadtime Integer"), "if-no": F.concat(F.lit("if-no in the range 1 to "), "t"), "port": F.lit("port Number of it"), "tag": F.lit("tag Enables it"), "mode": F.concat(F.lit("mode As of "), "s"),
+        "rate": F.concat(F.lit("rate in the range of 1 to "), "t", F.lit(", that is <1-"), "t", F.lit(">")), "span": F.concat(F.lit("span <1-"), "t", F.lit("> or <0-"), "t", F.lit(">")), "slot": F.concat(F.lit("slot <1-"), "t", F.lit(">/<1-"), "t", F.lit(">")),
+        "addr": F.lit("addr IP address of <0-255>"), "hop": F.concat(F.lit("hop 1 ~ "), "t"),
+    }
+    rows = told.select("doc", "card", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("text")) for k, v in texts.items()])).alias("r")).select("doc", "card", "r.*")
+    english = profiles(spark).where("name = 'english'").first()  # one row
+    lexicon = Lexicon(english.domain, english.address, english.effect, tuple(english.ranges))
+    return marks(lines, rows, lexicon).select("doc", "card", "pos", "token", "kind", "reason", "written")
+
 
 @_query(f"WITH {_CARDS} SELECT doc, card, p_type AS description FROM c")
 def purpose_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
