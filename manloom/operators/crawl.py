@@ -1,8 +1,9 @@
 """Walking a help tree from recorded answers, level by level.
 
 The answers are a table; a level of the walk is one join of the frontier with it.  Nodes whose
-options look exactly like those of an earlier node are not walked again: their subtrees are copied
-afterwards, and a sample of the copies is held against the recorded answers.
+options look exactly like those of an earlier node of the same context are not walked again: their
+subtrees are copied afterwards.  Where answers are recorded below both, only equal ones make nodes
+alike; a sample of the copies is held against what is recorded below them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Limits:
     samples: dict[str, str] = field(default_factory=dict)
     denied: tuple[str, ...] = ()
     deduplicate: bool = True
+    prefer_recorded: bool = True
     max_copies: int = 1_000_000
     copy_passes: int = 8
     verify_samples: int = 20
@@ -58,13 +60,15 @@ class Limits:
 @dataclass
 class Walk:
     """``commands(command, description, executable, sources)``, ``children(command, child)``,
-    ``enumerated(prefix)``, ``derived(prefix, canonical)`` and the totals of a walk."""
+    ``enumerated(prefix)``, ``derived(prefix, canonical)`` and the totals of a walk, and
+    ``skipped(token, n)``, the placeholders that nothing could be typed for."""
 
     commands: DataFrame
     children: DataFrame
     enumerated: DataFrame
     derived: DataFrame
     totals: dict
+    skipped: DataFrame | None = None
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -95,106 +99,148 @@ def seed_nodes(spark, seeds: DataFrame | list[str], verify: DataFrame | list[str
     return nodes, told.where("size(blocked) > 0").select(F.col("blocked")[0].alias("token"))
 
 
-def walk(help_rows: DataFrame, seeds: DataFrame | list[str] = (), verify: DataFrame | list[str] = (), limits: Limits = Limits(), *, include_root: bool = True) -> Walk:
+def subtree_marks(shapes: DataFrame) -> DataFrame:
+    """``(prefix, deep)``: one mark for all that was recorded below a prefix: how many answers, and the
+    sum without carry of their relative paths' and shapes' hashes; prefixes with nothing below have
+    none.  The state of a prefix is three numbers, whatever stands below it."""
+    below = shapes.select("prefix", "signature", F.explode(prefixes(T.words(F.col("prefix")))).alias("p")).select("prefix", "signature", F.col("p.prefix").alias("above")).where("above <> prefix")
+    below = below.withColumn("rest", F.expr("substring(prefix, length(above) + 1)"))
+    marks = below.groupBy(F.col("above").alias("prefix")).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rest", "signature")).alias("x"), F.bit_xor(F.xxhash64("signature", "rest")).alias("y"))
+    return marks.select("prefix", F.concat_ws(":", "n", "x", "y").alias("deep"))
+
+
+def walk(help_rows: DataFrame, seeds: DataFrame | list[str] = (), verify: DataFrame | list[str] = (), limits: Limits = Limits(), *, include_root: bool = True, by_first_word: bool = False) -> Walk:
     """``help_rows(prefix, output)``: the answer to each query prefix; of several to one, the least.
 
     Ordinary branches go first, then seeds, then top-level negations.  A node at ``max_depth``
     words is not asked; denied words, option flags and placeholders without a sample are
     catalogued but not entered.  The walk is complete only if nothing was skipped, cut or found
     to differ.
+
+    A node that looks like an earlier one is not walked but gets a copy of what stands below that,
+    unless answers are recorded below both that differ (``limits.prefer_recorded``).  With
+    ``by_first_word`` only nodes of the same first word are alike, as those of one context are.
     """
     spark = help_rows.sparkSession
     answers = help_rows.select(T.one_spaced(F.col("prefix")).alias("prefix"), "output").groupBy("prefix").agg(F.min("output").alias("output"))
     options = keep(parse_help(answers, undescribed=limits.undescribed, error_words=limits.error_words), "help-options")
-    shapes = keep(signatures(options), "help-shapes")
+    shapes = signatures(options)
+    if limits.deduplicate:
+        shapes = keep(shapes, "help-shapes")
+        shapes = keep(shapes.join(subtree_marks(shapes), "prefix", "left"), "help-subtrees")
     planted, blocked = seed_nodes(spark, seeds, verify, limits)
     root = spark.createDataFrame([("", "", True, "0")] if include_root else [], _NODE)
-    phases = [root, planted]
-    none = keep(spark.createDataFrame([], _NODE), "none")
-    visited, late = [none], none  # a part a level, written once
-    canonical = [keep(spark.createDataFrame([], "signature string, canonical string"), "canonical")]
-    seen, children, enumerated, derived, skipped = [], [], [], [], [blocked]
-    queries = skipped_depth = skipped_denied = 0
-    pending = 0
-    phase = 0
-    frontier = phases[0]
-    while True:
-        keys = ["catalog_prefix", "query_prefix"]
-        fresh = frontier.groupBy(*keys).agg(F.min_by("expand", "ord").alias("expand"), F.min("ord").alias("ord")).join(_all(visited).select(*keys), keys, "left_anti")
-        fresh = keep(fresh.withColumn("depth", F.size(T.words(F.col("catalog_prefix")))), "frontier")
-        deep = fresh.where(F.col("depth") >= limits.max_depth).count()
-        skipped_depth += deep
-        todo = fresh.where(F.col("depth") < limits.max_depth)
-        n = todo.count()
-        if n == 0:
-            phase += 1
-            if phase == 1:
-                frontier = phases[1]
-            elif phase == 2:
-                frontier = late
-            else:
+    has_seeds = any(isinstance(p, DataFrame) or len(p) > 0 for p in (seeds, verify))
+    phases = ([root] if include_root else []) + ([planted] if has_seeds else [])
+    firsts = None  # the nodes that others are copied from
+    visited: list[tuple[int, int, DataFrame]] = []  # least and greatest depth, and the nodes
+    seen, children, enumerated, derived, skipped, refused = [], [], [], [], [blocked], []
+    queries = skipped_depth = pending = level = 0
+    keys = ["catalog_prefix", "query_prefix"]
+    while phases:
+        frontier, phases = phases[0], phases[1:]
+        while True:
+            fresh = frontier.groupBy(*keys).agg(F.min_by("expand", "ord").alias("expand"), F.min("ord").alias("ord")).withColumn("depth", F.size(T.words(F.col("catalog_prefix"))))
+            fresh, within = keep(fresh, "frontier"), F.col("depth") < limits.max_depth
+            sums = [F.min("depth").alias("least"), F.max("depth").alias("most"), F.count_if(~within).alias("deep"), F.count_if(within).alias("n")]
+            told = fresh.agg(*sums).first()
+            if told["least"] is None:
+                break
+            met = [v for low, high, v in visited if low <= told["most"] and told["least"] <= high]  # a node has the depth of its words
+            if met:
+                fresh = keep(fresh.join(_all(met).select(*keys), keys, "left_anti"), "frontier")
+                told = fresh.agg(*sums).first()
+            skipped_depth += told["deep"]
+            todo, n = fresh.where(within), told["n"]
+            if n == 0:
+                break
+            if queries + n > limits.max_queries:
+                room = limits.max_queries - queries
+                pending += n - room
+                todo = placed(todo, [F.col("ord"), F.col("catalog_prefix"), F.col("query_prefix")]).where(F.col("place") <= room).drop("place")
+                n = room
+            if n == 0:
+                break
+            queries += n
+            visited.append((told["least"], told["most"], todo))
+            asked = todo.withColumn("copied", F.lit(False))
+            if limits.deduplicate:
+                asked, firsts = _copied(todo, shapes, firsts, level, limits, by_first_word)
+                derived.append(asked.where("copied").select(F.col("catalog_prefix").alias("prefix"), "canonical", "query_prefix", "deep", "canonical_deep"))
+            level += 1
+            told = keep(asked.select(*keys, "expand", "ord", "copied").join(options.withColumnRenamed("prefix", "query_prefix"), "query_prefix"), "told")
+            below = F.trim(F.concat_ws(" ", "catalog_prefix", "token"))
+            parent = told.where("catalog_prefix <> ''").groupBy(F.col("catalog_prefix").alias("command")).agg(
+                F.max(F.when(F.col("kind") == "cr", F.col("description"))).alias("description"), F.bool_or(F.col("kind") == "cr").alias("executable")
+            )
+            open_nodes = told.where("expand AND NOT copied")
+            listed = open_nodes.where((F.col("kind") != "cr") & T.is_safe_fragment(F.col("token"))).withColumn("child", below)
+            seen += [parent.withColumn("ord", F.lit("~")), listed.select(F.col("child").alias("command"), "description", F.lit(False).alias("executable"), "ord")]
+            children.append(listed.where("catalog_prefix <> ''").select(F.col("catalog_prefix").alias("command"), "child").distinct())
+            enumerated.append(open_nodes.select(F.col("catalog_prefix").alias("prefix")).distinct())
+            is_denied = F.lower("token").isin(*[d.lower() for d in limits.denied]) if limits.denied else F.lit(False)
+            refused.append(listed.where(is_denied).select("token"))
+            typed = F.when(F.col("kind") != "parameter", F.col("token")).otherwise(F.when(F.lit(limits.explore_parameters), T.parameter_sample(F.col("token"), limits.samples)))
+            entered = listed.where(~is_denied & ~T.is_option_flag(F.col("token"))).withColumn("typed", F.when(T.is_safe_fragment(typed), typed))
+            skipped.append(entered.where("typed IS NULL").select("token"))
+            order = F.concat("ord", F.lit("."), F.lpad(F.col("pos").cast("string"), 6, "0"))
+            step = entered.where("typed IS NOT NULL").select(F.col("child").alias("catalog_prefix"), F.trim(F.concat_ws(" ", "query_prefix", "typed")).alias("query_prefix"), F.lit(True).alias("expand"), order.alias("ord"))
+            if include_root and level == 1:  # negations at the top wait for all the rest
+                mirror = F.col("catalog_prefix").isin(*T.NEGATIONS)
+                phases.append(step.where(mirror))
+                step = step.where(~mirror)
+            frontier = step
+            if pending:
                 break
-            continue
-        if queries + n > limits.max_queries:
-            room = limits.max_queries - queries
-            pending += n - room
-            todo = placed(todo, [F.col("ord"), F.col("catalog_prefix"), F.col("query_prefix")]).where(F.col("place") <= room).drop("place")
-            n = room
-        if n == 0:
-            break
-        queries += n
-        asked = todo.join(shapes.withColumnRenamed("prefix", "query_prefix"), "query_prefix", "left")
-        can_copy = F.lit(limits.deduplicate) & F.col("expand") & F.coalesce("expandable", F.lit(False))
-        first = F.first("catalog_prefix").over(Window.partitionBy("signature").orderBy("ord", "catalog_prefix"))
-        asked = asked.join(_all(canonical), "signature", "left").withColumn("canonical", F.when(can_copy, F.coalesce("canonical", F.when(F.col("signature").isNotNull(), first))))
-        asked = keep(asked.withColumn("copied", F.coalesce(F.col("canonical") != F.col("catalog_prefix"), F.lit(False))), "asked")
-        own = asked.where("canonical = catalog_prefix").groupBy("signature").agg(F.min("canonical").alias("canonical"))
-        canonical.append(keep(own.join(_all(canonical).select("signature"), "signature", "left_anti"), "canonical"))
-        derived.append(asked.where("copied").select(F.col("catalog_prefix").alias("prefix"), "canonical", "query_prefix", "signature"))
-        told = keep(asked.join(options.withColumnRenamed("prefix", "query_prefix"), "query_prefix"), "told")
-        below = F.trim(F.concat_ws(" ", "catalog_prefix", "token"))
-        parent = told.where("catalog_prefix <> ''").groupBy(F.col("catalog_prefix").alias("command")).agg(
-            F.max(F.when(F.col("kind") == "cr", F.col("description"))).alias("description"), F.bool_or(F.col("kind") == "cr").alias("executable")
-        )
-        open_nodes = told.where("expand AND NOT copied")
-        listed = open_nodes.where((F.col("kind") != "cr") & T.is_safe_fragment(F.col("token"))).withColumn("child", below)
-        seen += [parent.withColumn("ord", F.lit("~")), listed.select(F.col("child").alias("command"), "description", F.lit(False).alias("executable"), "ord")]
-        children.append(listed.where("catalog_prefix <> ''").select(F.col("catalog_prefix").alias("command"), "child").distinct())
-        enumerated.append(open_nodes.select(F.col("catalog_prefix").alias("prefix")).distinct())
-        is_denied = F.lower("token").isin(*[d.lower() for d in limits.denied]) if limits.denied else F.lit(False)
-        skipped_denied += listed.where(is_denied).count()
-        typed = F.when(F.col("kind") != "parameter", F.col("token")).otherwise(F.when(F.lit(limits.explore_parameters), T.parameter_sample(F.col("token"), limits.samples)))
-        entered = listed.where(~is_denied & ~T.is_option_flag(F.col("token"))).withColumn("typed", F.when(T.is_safe_fragment(typed), typed))
-        skipped.append(entered.where("typed IS NULL").select("token").distinct())
-        order = F.concat("ord", F.lit("."), F.lpad(F.col("pos").cast("string"), 6, "0"))
-        step = entered.where("typed IS NOT NULL").select(F.col("child").alias("catalog_prefix"), F.trim(F.concat_ws(" ", "query_prefix", "typed")).alias("query_prefix"), F.lit(True).alias("expand"), order.alias("ord"))
-        mirror = F.col("catalog_prefix").isin(*T.NEGATIONS)
-        if phase == 0 and include_root:
-            late = keep(late.unionByName(step.where(mirror)), "late")
-            step = step.where(~mirror)
-        visited.append(keep(todo.select("catalog_prefix", "query_prefix", "expand", "ord"), "visited"))
-        frontier = keep(step, "step")
         if pending:
             pending += frontier.count()
             break
     empty = spark.createDataFrame([], "command string, description string, executable boolean, ord string")
     entries = _all([empty, *seen])
     text = F.when(F.coalesce(F.trim("description"), F.lit("")) != "", F.struct("ord", F.trim("description").alias("d")))
-    commands = entries.groupBy("command").agg(F.coalesce(F.min(text)["d"], F.lit("")).alias("description"), F.bool_or("executable").alias("executable"))
-    commands = keep(commands, "walked")
-    copies_of = keep(_all([spark.createDataFrame([], "prefix string, canonical string, query_prefix string, signature string"), *derived]).groupBy("prefix").agg(F.min(F.struct("canonical", "query_prefix", "signature")).alias("v")).select("prefix", "v.*"), "derived")
-    commands, added, truncated = replicate(commands, copies_of, limits)
-    verified, mismatched = verify_copies(copies_of, shapes, limits)
-    skipped_tokens = sorted(r["token"] for r in _all(skipped).distinct().collect())  # distinct placeholders of a grammar
-    n_derived = copies_of.count()
+    commands = keep(entries.groupBy("command").agg(F.coalesce(F.min(text)["d"], F.lit("")).alias("description"), F.bool_or("executable").alias("executable")), "walked")
+    copies_of = spark.createDataFrame([], "prefix string, canonical string, query_prefix string, deep string, canonical_deep string")
+    added = verified = mismatched = n_derived = 0
+    truncated = False
+    if derived:
+        copies_of = keep(_all([copies_of, *derived]).groupBy("prefix").agg(F.min(F.struct("canonical", "query_prefix", "deep", "canonical_deep")).alias("v")).select("prefix", "v.*"), "derived")
+        n_derived = copies_of.count()
+        if n_derived:
+            commands, added, truncated = replicate(commands, copies_of, limits)
+            verified, mismatched = verify_copies(copies_of, limits)
+    skipped = keep(_all(skipped).groupBy("token").agg(F.count("*").alias("n")), "skipped")
+    n_skipped, n_refused = skipped.count(), _all(refused).count() if limits.denied and refused else 0
     totals = {
         "queries": queries + verified, "derived": n_derived, "copied": added, "copies_truncated": truncated, "verified": verified, "mismatched": mismatched,
-        "skipped_depth": skipped_depth, "skipped_denied": skipped_denied, "skipped_parameters": skipped_tokens, "pending": pending,
-        "complete": not (pending or skipped_depth or skipped_denied or skipped_tokens or mismatched or truncated),
+        "skipped_depth": skipped_depth, "skipped_denied": n_refused, "skipped_parameters": n_skipped, "pending": pending,
+        "complete": not (pending or skipped_depth or n_refused or n_skipped or mismatched or truncated),
     }
     kids = _all([spark.createDataFrame([], "command string, child string"), *children]).distinct()
     listed = _all([spark.createDataFrame([], "prefix string"), *enumerated]).distinct()
-    return Walk(commands.withColumn("sources", F.array(F.lit("cli"))), kids, listed, copies_of.select("prefix", "canonical"), totals)
+    return Walk(commands.withColumn("sources", F.array(F.lit("cli"))), kids, listed, copies_of.select("prefix", "canonical"), totals, skipped)
+
+
+def _copied(todo: DataFrame, shapes: DataFrame, firsts: DataFrame | None, level: int, limits: Limits, by_first_word: bool) -> tuple[DataFrame, DataFrame]:
+    """The nodes of a level with ``canonical`` and whether they are ``copied`` from it, and the table
+    of first nodes brought up to date.
+
+    A node's key is its shape, and its context's mark if contexts are kept apart.  A node with
+    answers recorded below it is alike a first node with the same below; one without any is alike
+    the first node of its shape that has some.
+    """
+    asked = todo.join(shapes.withColumnRenamed("prefix", "query_prefix"), "query_prefix", "left")
+    scope = F.regexp_extract("catalog_prefix", r"^(\S*)", 1) if by_first_word else F.lit("")
+    key = F.when(F.col("expand") & F.coalesce("expandable", F.lit(False)), F.concat_ws(" ", scope, "signature"))
+    asked = asked.withColumn("key", key).withColumn("below", F.coalesce("deep", F.lit("")) if limits.prefer_recorded else F.lit(""))
+    asked = keep(asked.select("catalog_prefix", "query_prefix", "expand", "ord", "depth", "key", "below", "deep"), "asked")
+    first = F.struct(F.lit(level).alias("level"), "ord", F.col("catalog_prefix").alias("canonical"), "deep")
+    own = asked.where("key IS NOT NULL").groupBy("key", "below").agg(F.min(first).alias("first"))
+    firsts = keep(own if firsts is None else firsts.unionByName(own).groupBy("key", "below").agg(F.min("first").alias("first")), "first-nodes")
+    bare = firsts.groupBy("key").agg(F.min_by("first", F.struct(F.col("below") == "", F.col("first"))).alias("first")).withColumn("below", F.lit(""))
+    found = firsts.where("below <> ''").unionByName(bare).select("key", "below", F.col("first.canonical").alias("canonical"), F.col("first.deep").alias("canonical_deep"))
+    apart = F.coalesce("key", F.concat(F.lit("\n"), "catalog_prefix"))  # nodes without a key lie spread out
+    asked = asked.withColumn("key", apart).join(found, ["key", "below"], "left")
+    return asked.withColumn("copied", F.coalesce(F.col("canonical") != F.col("catalog_prefix"), F.lit(False))), firsts
 
 
 def replicate(commands: DataFrame, copies_of: DataFrame, limits: Limits) -> tuple[DataFrame, int, bool]:
@@ -219,15 +265,16 @@ def replicate(commands: DataFrame, copies_of: DataFrame, limits: Limits) -> tupl
     return commands, added, truncated
 
 
-def verify_copies(copies_of: DataFrame, shapes: DataFrame, limits: Limits) -> tuple[int, int]:
-    """How many copied nodes were looked at, spread over all, and how many of them differ."""
+def verify_copies(copies_of: DataFrame, limits: Limits) -> tuple[int, int]:
+    """How many copied nodes were looked at, spread over all, and how many of them have answers
+    recorded below that aren't those below their canonical node."""
     n = copies_of.count()
     if not n or not limits.verify_samples:
         return 0, 0
     step = max(1, n // limits.verify_samples)
     spread = placed(copies_of, [F.col("prefix")]).where(((F.col("place") - 1) % step == 0) & (F.col("place") <= step * limits.verify_samples))
-    held = spread.join(shapes.select(F.col("prefix").alias("query_prefix"), F.col("signature").alias("now")), "query_prefix", "left")
-    r = held.agg(F.count("*").alias("n"), F.count_if(~F.col("now").eqNullSafe(F.col("signature"))).alias("bad")).first()
+    differs = F.col("deep").isNotNull() & ~F.col("deep").eqNullSafe(F.col("canonical_deep"))
+    r = spread.agg(F.count("*").alias("n"), F.count_if(differs).alias("bad")).first()
     return r["n"], r["bad"]
 
 
@@ -258,7 +305,7 @@ def walk_contexts(help_rows: DataFrame, contexts: DataFrame, probes: DataFrame,
     rows = help_rows.join(marked.select(F.col("name").alias("context"), "mark"), "context").select(F.trim(F.concat_ws(" ", "mark", "prefix")).alias("prefix"), "output")
     seeds = [r["mark"] for r in marked.select("mark").collect()]  # at most max_contexts
     depth = 3 if skim else limits.max_depth + 1  # the mark is one word
-    done = walk(rows, seeds, limits=Limits(**{**limits.__dict__, "max_depth": depth}), include_root=False)
+    done = walk(rows, seeds, limits=Limits(**{**limits.__dict__, "max_depth": depth}), include_root=False, by_first_word=True)
 
     def led(df: DataFrame, column: str) -> DataFrame:
         told = df.withColumn("mark", F.regexp_extract(column, r"^(@\d+)", 1)).join(marked.select("mark", "name", "lead"), "mark")
@@ -268,7 +315,7 @@ def walk_contexts(help_rows: DataFrame, contexts: DataFrame, probes: DataFrame,
     per = marked.select("name").join(commands.groupBy("name").agg(F.count("*").alias("commands")), "name", "left")
     per = per.select("name", F.coalesce("commands", F.lit(0)).alias("commands"), F.lit(bool(done.totals["complete"]) and not skim).alias("complete"))
     merged = commands.groupBy("command").agg(F.max("description").alias("description"), F.bool_or("executable").alias("executable"), F.min("sources").alias("sources"))
-    return Walk(merged, led(done.children, "command"), led(done.enumerated, "prefix").select("prefix").distinct(), done.derived, done.totals), per
+    return Walk(merged, led(done.children, "command"), led(done.enumerated, "prefix").select("prefix").distinct(), done.derived, done.totals, done.skipped), per
 
 
 def with_harvest(candidates: DataFrame, harvested: DataFrame, denied: list[str]) -> DataFrame:

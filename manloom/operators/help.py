@@ -30,18 +30,28 @@ def parse_help(responses: DataFrame, *, undescribed: bool = False, error_words:
     echo of the query and error lines are no options; with ``error_words`` an indented line that
     begins like an error is one.  Of a repeated token the first line counts.
     """
-    lines = lines_of(responses, T.terminal_cleaned(F.col("output")), "prefix")
-    bare, line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")), F.col("line")
-    indented = line.rlike(r"^\s")
     query = T.one_spaced(F.col("prefix"))
-    asked = F.trim(F.regexp_replace(bare, r"[?\s]+$", ""))
-    echoed = (query != "") & ((asked == query) | (F.endswith(asked, query) & F.rtrim(F.left(asked, F.length(asked) - F.length(query))).rlike(r"[#>$]$")))
-    refused = bare.rlike(r"^[%^]") | (bare.rlike(_ERROR) & ~(indented & F.lit(error_words)))
-    prompt = ~indented & bare.rlike(r"^(?!<)\S.*[>#]\s*$")
-    noise = (bare == "") | (bare == "?") | bare.rlike(_HEADER) | bare.rlike(_PAGER) | prompt | refused | echoed
-    lone = F.regexp_extract(line, _LONE, 1) if undescribed else F.lit("")
-    token = F.coalesce(*[F.when(t != "", t) for t in (F.regexp_extract(line, _OPTION, 1), F.regexp_extract(line, _ENTER, 1), lone)])
-    options = lines.where(~noise).withColumn("token", token).where("token IS NOT NULL").withColumn("description", F.regexp_extract(line, _OPTION, 2))
+    answers = responses.select("prefix", F.split(T.terminal_cleaned(F.col("output")), LINE_BREAK).alias("lines"), query.alias("query"))
+
+    def option(x: Column) -> Column:
+        """Token and description of an indented line; no token if it is none."""
+        line, bare = x["line"], x["bare"]
+        asked = F.trim(F.regexp_replace(bare, r"[?\s]+$", ""))
+        lead = lambda a: F.rtrim(F.left(a, F.length(a) - F.length("query")))
+        echoed = F.when(F.col("query") == "", False).otherwise(F.exists(F.array(asked), lambda a: (a == F.col("query")) | (F.endswith(a, F.col("query")) & lead(a).rlike(r"[#>$]$"))))
+        refused = bare.rlike(r"^[%^]") if error_words else bare.rlike(r"^[%^]") | bare.rlike(_ERROR)
+        noise = (bare == "") | (bare == "?") | bare.rlike(_HEADER) | bare.rlike(_PAGER) | refused | echoed
+        described = F.split(F.regexp_replace(line, _OPTION, "$1\x01$2"), "\x01")
+        alone = F.regexp_extract(line, _ENTER, 1)
+        if undescribed:
+            alone = F.coalesce(F.when(alone != "", alone), F.regexp_extract(line, _LONE, 1))
+        parts = F.transform(F.array(described), lambda d: F.when(F.size(d) > 1, F.struct(d[0].alias("token"), F.get(d, F.lit(1)).alias("description"))).otherwise(F.struct(alone.alias("token"), F.lit("").alias("description"))))[0]
+        return F.when(~noise, F.struct(x["pos"].alias("pos"), parts["token"].alias("token"), parts["description"].alias("description")))
+
+    # a line is looked at once, before it becomes a row; only indented ones can be options
+    told = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"^\s"))
+    bared = F.transform(told, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.trim(F.regexp_replace(x["line"], r"^\s+|\s+$", "")).alias("bare")))
+    options = answers.select("prefix", F.explode(F.filter(F.transform(bared, option), lambda o: o.isNotNull() & (o["token"] != ""))).alias("o")).select("prefix", "o.*")
     first = options.withColumn("_n", F.row_number().over(Window.partitionBy("prefix", "token").orderBy("pos"))).where("_n = 1")
     return first.select("prefix", "pos", "token", T.option_kind(F.col("token")).alias("kind"), "description")
 

@@ -894,7 +894,7 @@ def firmware_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The help of every context that probes lead to, walked together: a context for each segment."""
-    from .operators.crawl import Limits, walk_contexts
+    from .operators.crawl import walk_contexts
 
     customer = _table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("name"), "c_custkey")
     segments = customer.select("name").distinct()
@@ -904,5 +904,26 @@ def context_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = customer.select("name", F.lit("").alias("prefix"), bucket.alias("token")).union(customer.select("name", bucket, F.concat(F.lit("c"), "c_custkey"))).distinct()
     line = F.concat(F.lit("  "), "token", F.lit("  seen"))
     answers = pairs.groupBy(F.col("name").alias("context"), "prefix").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("output"))
-    done, _ = walk_contexts(answers, contexts, probes, Limits(deduplicate=False))  # all roots look alike
+    done, _ = walk_contexts(answers, contexts, probes)  # all roots look alike, no two of their subtrees do
     return done.commands.select("command")
+
+
+@_query(
+    """WITH c AS (SELECT c_nationkey AS n, c_custkey % 4 AS b, c_custkey AS c FROM customer),
+nat AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 5 = 0 AND n_nationkey IN (SELECT n FROM c) THEN n_nationkey ELSE 0 END AS source FROM nation)
+SELECT 'n' || n AS command, n = source AS walked FROM nat UNION ALL SELECT 'n' || n || ' b' || b, n = source FROM nat, range(4) r(b) UNION ALL SELECT 'n' || nat.n || ' b' || b || ' c' || c, nat.n = source FROM nat JOIN c ON c.n = source"""
+)
+def walk_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk over nations that all look alike: each fifth has answers of its own recorded below, all
+    different, the others none; these get copies."""
+    from .operators.crawl import walk
+
+    nation, customer = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    n = F.concat(F.lit("n"), "n_nationkey")
+    own = customer.where("c_nationkey % 5 = 0").select(F.concat(F.lit("n"), "c_nationkey", F.lit(" b"), F.col("c_custkey") % 4).alias("prefix"), F.concat(F.lit("c"), "c_custkey").alias("token"))
+    pairs = nation.select(F.lit("").alias("prefix"), n.alias("token")).union(nation.select(n, F.explode(F.array(*[F.lit(f"b{i}") for i in range(4)])))).union(own)
+    line = F.concat(F.lit("  "), "token", F.lit("  seen"))
+    done = walk(pairs.groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("output")))
+    copies = done.derived.select(F.col("prefix").alias("top"), F.lit(True).alias("copy"))
+    told = done.commands.select("command", F.split("command", " ")[0].alias("top")).join(copies, "top", "left")
+    return told.select("command", F.col("copy").isNull().alias("walked"))

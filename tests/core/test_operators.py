@@ -132,7 +132,7 @@ def test_walk_copies_like_subtrees(spark):
     assert set(got) == {"show", "port", "no", "reset", "show arp", "show mac", "show arp all", "show mac all", "port <1-9>", "port NAME", "no show"}
     assert rows(w.derived, "prefix", "canonical") == [("show mac", "show arp")]
     assert got["show mac all"].executable and got["show arp all"].description == "x" and got["show mac all"].description == "x" and not got["show"].executable
-    assert w.totals["skipped_denied"] == 1 and w.totals["skipped_parameters"] == ["NAME"] and not w.totals["complete"] and w.totals["mismatched"] == 0
+    assert w.totals["skipped_denied"] == 1 and w.totals["skipped_parameters"] == 1 and rows(w.skipped, "token", "n") == [("NAME", 1)] and not w.totals["complete"] and w.totals["mismatched"] == 0
     full = crawl.walk(df, limits=crawl.Limits(deduplicate=False, samples={"NAME": "1"}))
     assert set(r.command for r in full.commands.collect()) == set(got) and full.totals["complete"] is True
     cut = crawl.walk(df, limits=crawl.Limits(max_queries=3))
@@ -141,6 +141,29 @@ def test_walk_copies_like_subtrees(spark):
     assert shallow.totals["skipped_depth"] > 0 and "show arp" in {r.command for r in shallow.commands.collect()}
 
 
+def test_copies_stay_within_what_is_recorded(spark):
+    like = {"": "  x   1\n  y   2\n  z   3\n  w   4\n", "x": "  mode   m\n", "y": "  mode   m\n", "z": "  mode   m\n", "w": "  mode   m\n", "x mode": "  alpha   a\n", "y mode": "  beta   b\n", "w mode": "  alpha   a\n"}
+    df = spark.createDataFrame(list(like.items()), "prefix string, output string")
+    done = crawl.walk(df)
+    below = sorted(r.command for r in done.commands.collect() if r.command.count(" ") == 2)
+    assert below == ["w mode alpha", "x mode alpha", "y mode beta", "z mode alpha"] and rows(done.derived, "prefix", "canonical") == [("w", "x"), ("z", "x")]
+    assert done.totals["complete"] and done.totals["mismatched"] == 0 and done.totals["verified"] == 2
+    forced = crawl.walk(df, limits=crawl.Limits(prefer_recorded=False))
+    assert forced.totals["mismatched"] == 1 and not forced.totals["complete"] and "y mode beta" not in {r.command for r in forced.commands.collect()}
+    single = crawl.walk(df, limits=crawl.Limits(prefer_recorded=False, verify_samples=0))
+    assert single.totals["mismatched"] == 0 and single.totals["complete"]
+
+
+def test_copies_stay_within_their_context(spark):
+    contexts_ = spark.createDataFrame([("root", []), ("a", ["enter a"]), ("b", ["enter b"])], "name string, entry_path array<string>")
+    probes = spark.createDataFrame([("root", "enter a", "entered", "a"), ("root", "enter b", "entered", "b")], "context string, command string, outcome string, child string")
+    answers = spark.createDataFrame([("a", "", "  mode   m\n"), ("b", "", "  mode   m\n"), ("a", "mode", "  alpha   a\n"), ("b", "mode", "  beta   b\n")], "context string, prefix string, output string")
+    for limits in (crawl.Limits(), crawl.Limits(prefer_recorded=False)):
+        done, _ = crawl.walk_contexts(answers, contexts_, probes, limits)
+        assert rows(done.commands, "command") == [("enter a mode",), ("enter a mode alpha",), ("enter b mode",), ("enter b mode beta",)]
+        assert done.totals["complete"] and done.totals["derived"] == 0
+
+
 def test_limits_are_checked():
     import pytest
 
