@@ -74,24 +74,31 @@ def edges_trimmed(output: Column, command: Column) -> Column:
     return kept
 
 
-#: What names a secret, a labelled identity or a hardware address.
+#: Lines that carry a secret, labels of what identifies a device, hardware addresses.
+_SECRET_LINE = r"(?imdU)^\s*.*\b(?:password|secret|community|pre-shared|psk|snmp-server\s+(?:user|community)|key(?:-string)?|md5|hmac|authentication-key|shared-key|private-key|certificate)\b.*$"
+_IDENTITY = r"(?imdU)^([^:]*\b(?:serial|s/n|sn|system\s+id|chassis\s+id|host\s*name|hostname|device\s+name|mac\s+address|base\s+ethernet)\b[^:]*:)\s*\S.*$"
+_HARDWARE = r"(?U)\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b|\b(?:[0-9a-fA-F]{4}\.){2}[0-9a-fA-F]{4}\b"
+#: Fixed value: a prompt is a host, a mode in brackets and a level mark.
+_PROMPT = r"(?U)^[\w.-]+?(\([^)]*\))?([#>$])\s*$"
+
+
 def identity_redacted(text: Column) -> Column:
-    """Lines naming secrets, labelled identities and hardware addresses replaced by marks."""
-    text = F.regexp_replace(text, r"(?im)^.*(?:password|passwd|secret|community|private[ -]?key|token).*$", "<secret line removed>")
-    text = F.regexp_replace(text, r"(?im)^(\s*(?:serial(?: ?(?:number|no\.?))?|s/n|host ?name|sys ?name|esn|mac address|e-?mail)\s*[:=]\s*).+$", "$1<redacted>")
-    return F.regexp_replace(text, r"(?i)\b(?:[0-9a-f]{2}(?:[:-][0-9a-f]{2}){5}|[0-9a-f]{4}(?:[.-][0-9a-f]{4}){2})\b", "<mac>")
+    """Lines that carry a secret, what follows the label of an identity, and hardware addresses
+    replaced by marks."""
+    text = F.regexp_replace(text, _SECRET_LINE, "<redacted line>")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, _IDENTITY, "$1 <redacted>"), _HARDWARE, "<redacted>"))
 
 
 def fingerprint(prompt: Column) -> Column:
     """Mode in brackets with digits as stars, and the level mark, of a prompt line; null if none."""
-    mode, level = F.regexp_extract(prompt, r"^\S*?(\([^)]*\)|\[[^\]]*\])?\s*([>#\]])\s*$", 1), F.regexp_extract(prompt, r"([>#\]])\s*$", 1)
-    return F.when(prompt.rlike(r"^\S.*[>#\]]\s*$"), F.concat(folded(mode), level))
+    bare = F.trim(prompt)
+    return F.when(bare.rlike(_PROMPT), F.concat(folded(F.regexp_extract(bare, _PROMPT, 1)), F.regexp_extract(bare, _PROMPT, 2)))
 
 
 def fingerprint_of(output: Column) -> Column:
     """Fingerprint of the last prompt in an output; null if it holds none."""
-    prompts = F.filter(F.split(output, r"\r?\n"), lambda x: x.rlike(r"^[^\s<]\S*[>#\]]\s*$"))
-    return fingerprint(F.element_at(F.when(F.size(prompts) > 0, prompts), -1))
+    prompts = F.filter(F.split(F.regexp_replace(output, "\r", ""), "\n"), lambda x: F.trim(x).rlike(_PROMPT))
+    return fingerprint(F.try_element_at(prompts, F.lit(-1)))
 
 
 def context_key(fingerprint: Column, entry_path: Column) -> Column:
@@ -132,7 +139,19 @@ def is_safe_fragment(text: Column) -> Column:
     return text.rlike(r"^[\x20-\x3e\x40-\x7e]+$")
 
 
-def is_probe_allowed(command: Column, denied: list[str]) -> Column:
+#: Verbs that end a session, change what a device holds or leave its command line; and
+#: those that name a view which a session steps into and out of again.
+DENIED_PROBES = (
+    "reboot reload restart halt shutdown poweroff erase format delete clear write copy save restore upgrade update boot install flush "
+    "reset commit rollback request startup schedule backup activate deactivate apply revert zeroize zeroise renew refresh kill terminate disconnect free fixdisk mkdir rmdir rename move undelete patch load execute test "
+    "logout exit quit end disable ping traceroute tracert telnet ssh monitor debug terminal screen-length more language "
+    "diagshell diagnose produce shell bash sh start-shell system-shell vtysh python tclsh "
+    "line username user login authentication aaa service management sshd telnetd ftpd tftpd"
+).split()
+VIEW_VERBS = "configure config system-view interface vlan vrf router bridge-domain policy-map class-map class route-map address-family key-chain template peer-group line".split()
+
+
+def is_probe_allowed(command: Column, denied: list[str] = DENIED_PROBES) -> Column:
     """Neither empty, nor a negation, nor holding a denied word anywhere."""
     low = F.transform(words(command), lambda w: F.lower(w))
     return (F.size(low) > 0) & ~F.coalesce(F.get(low, F.lit(0)).isin(*NEGATIONS), F.lit(False)) & ~F.arrays_overlap(low, F.array(*[F.lit(d.lower()) for d in denied or ["\x00"]]))

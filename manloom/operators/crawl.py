@@ -123,7 +123,7 @@ def walk(help_rows: DataFrame, seeds: DataFrame | list[str] = (), verify: DataFr
     """
     spark = help_rows.sparkSession
     answers = help_rows.select(T.one_spaced(F.col("prefix")).alias("prefix"), "output").groupBy("prefix").agg(F.min("output").alias("output"))
-    options = keep(parse_help(answers, undescribed=limits.undescribed, error_words=limits.error_words), "help-options")
+    options = keep(parse_help(answers, undescribed=limits.undescribed, error_words=limits.error_words, spread=False), "help-options")
     shapes = signatures(options)
     if limits.deduplicate:
         shapes = keep(shapes, "help-shapes")

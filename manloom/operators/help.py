@@ -22,14 +22,19 @@ def lines_of(rows: DataFrame, column: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode(F.split(column, LINE_BREAK)).alias("pos", "line"))
 
 
-def parse_help(responses: DataFrame, *, undescribed: bool = False, error_words: bool = False) -> DataFrame:
+def parse_help(responses: DataFrame, *, undescribed: bool = False, error_words: bool = False, spread: bool = True) -> DataFrame:
     """``(prefix, output)`` -> ``(prefix, pos, token, kind, description)``.
 
     An option is an indented token, then two spaces or a tab and its description; an enter mark
     may stand alone, and so may any token if ``undescribed``.  Headers, pager lines, prompts, the
     echo of the query and error lines are no options; with ``error_words`` an indented line that
     begins like an error is one.  Of a repeated token the first line counts.
+
+    Answers are dealt by prefix before they are cut into lines, which is the dealing that first lines
+    and later sums by prefix need; without ``spread`` they are taken to lie so already.
     """
+    if spread:
+        responses = responses.select("prefix", "output").repartition("prefix")
     query = T.one_spaced(F.col("prefix"))
     answers = responses.select("prefix", F.split(T.terminal_cleaned(F.col("output")), LINE_BREAK).alias("lines"), query.alias("query"))
 

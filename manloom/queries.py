@@ -276,19 +276,28 @@ def gap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    rf"""WITH {_LINES} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, regexp_replace(regexp_replace(regexp_replace(line, '(?i)^.*(?:password|passwd|secret|community|private[ -]?key|token).*$', '<secret line removed>', 'g'), '(?i)^(\s*(?:serial(?: ?(?:number|no\.?))?|s/n|host ?name|sys ?name|esn|mac address|e-?mail)\s*[:=]\s*).+$', '\1<redacted>'), '(?i)\b(?:[0-9a-f]{{2}}(?:[:-][0-9a-f]{{2}}){{5}}|[0-9a-f]{{4}}(?:[.-][0-9a-f]{{4}}){{2}})\b', '<mac>', 'g') AS line
-FROM lines WHERE line <> ''"""
+    rf"""WITH {_LINES}, told AS (
+  SELECT doc_id, line_no, [' ', 'Chassis Serial Number : ', 'System ID: ', 'set psk ', 'snmp-server user bob ', 'tokenring ', 'Device name:', 'base 00:1a:2B:33:44:55 and 001a.2b33.4455 '][line_no % 8 + 1] || line AS line FROM lines WHERE line <> ''
+)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, trim(regexp_replace(regexp_replace(
+  CASE WHEN regexp_matches(line, '(?i)\b(?:password|secret|community|pre-shared|psk|snmp-server\s+(?:user|community)|key(?:-string)?|md5|hmac|authentication-key|shared-key|private-key|certificate)\b') THEN '<redacted line>' ELSE line END,
+  '(?i)^([^:]*\b(?:serial|s/n|sn|system\s+id|chassis\s+id|host\s*name|hostname|device\s+name|mac\s+address|base\s+ethernet)\b[^:]*:)\s*\S.*$', '\1 <redacted>'),
+  '\b(?:[0-9a-fA-F]{{2}}[:-]){{5}}[0-9a-fA-F]{{2}}\b|\b(?:[0-9a-fA-F]{{4}}\.){{2}}[0-9a-fA-F]{{4}}\b', '<redacted>', 'g')) AS line
+FROM told"""
 )
 def identity_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines, what may tell who or what redacted for a report."""
+    """All lines, each below one of eight labels or none, what may tell who or what redacted."""
+    labels = [" ", "Chassis Serial Number : ", "System ID: ", "set psk ", "snmp-server user bob ", "tokenring ", "Device name:", "base 00:1a:2B:33:44:55 and 001a.2b33.4455 "]
     lines = _lines(spark, sf_dir).where("line <> ''")
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.identity_redacted(F.col("line")).alias("line"))
+    labelled = F.concat(F.get(F.array(*[F.lit(x) for x in labels]), F.col("line_no") % 8), "line")
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.identity_redacted(labelled).alias("line"))
 
 
-@_query(rf"WITH {_PATHS} SELECT '(' || regexp_replace(path, '[0-9]+', '*', 'g') || ')#' AS shape, count(*) AS n, min(page_id) AS first_page FROM pages_at GROUP BY 1")
+@_query(rf"WITH {_PATHS} SELECT '(' || regexp_replace(path, '[0-9]+', '*', 'g') || ')' || ['#', '>', '$'][page_id % 3 + 1] AS shape, count(*) AS n, min(page_id) AS first_page FROM pages_at GROUP BY 1")
 def fingerprint_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by the fingerprint of a prompt that names their path, at the end of an answer."""
-    output = F.concat(F.lit("one line\nhost>\n\nsw("), "path", F.lit(")#"))
+    mark = F.get(F.array(F.lit("#"), F.lit(">"), F.lit("$")), (F.col("page_id") % 3).cast("int"))
+    output = F.concat(F.lit("one line\nhost>\nsw(x)]\n\nsw("), "path", F.lit(")"), mark)
     return _paths(spark, sf_dir).groupBy(T.fingerprint_of(output).alias("shape")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
@@ -880,7 +889,7 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("SELECT o_orderkey, 'rel ' || o_orderkey || chr(10) || 'MAC <mac>' AS output FROM orders")
+@_query("SELECT o_orderkey, 'rel ' || o_orderkey || chr(10) || 'MAC <redacted>' AS output FROM orders")
 def firmware_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version answers without echo, prompt and identities."""
     from .sources.documents import firmware

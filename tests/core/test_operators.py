@@ -66,6 +66,22 @@ sw#
 """
 
 
+def test_identities(spark):
+    cases = {
+        "Chassis Serial Number : FOC123X": "Chassis Serial Number : <redacted>", "System ID: 12": "System ID: <redacted>", "Device name: sw1": "Device name: <redacted>", "a psk abcdef": "<redacted line>", "key 7 1234": "<redacted line>",
+        "ospf authentication-key 1 md5 x": "<redacted line>", "snmp-server user bob": "<redacted line>", "tokenring vlan 5": "tokenring vlan 5", "up\n  secret x\nat 0011.2233.aabb": "up\n<redacted line>\nat <redacted>", "monkey business": "monkey business",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", T.identity_redacted(F.col("t")).alias("x")).collect()} == cases
+    prompts = {"sw(config-vlan-10)#": "(config-vlan-*)#", "user$ ": "$", " r-1.x> ": ">", "[sw]": None, "sw(x)]": None, "<sw>": None, "a b#": None, "": None}
+    df = spark.createDataFrame([(k,) for k in prompts], "t string")
+    assert {r.t: r.x for r in df.select("t", T.fingerprint(F.col("t")).alias("x")).collect()} == prompts
+    df = spark.createDataFrame([("sw#\r\nx\r\nsw(if-3)$\r\nend of it",), ("none",)], "t string")
+    assert [r.x for r in df.select(T.fingerprint_of(F.col("t")).alias("x")).collect()] == ["(if-*)$", None]
+    df = spark.createDataFrame([("interface 1",), ("x Reload now",), ("no shutdown",), ("line vty 0",)], "t string")
+    assert [r.x for r in df.select(T.is_probe_allowed(F.col("t")).alias("x")).collect()] == [True, False, False, False]
+
+
 def test_config(spark):
     dumps = spark.createDataFrame([("d", "show run", CONFIG), ("e", "", "banner x ~ never\nlost\n")], "device string, source_command string, output string")
     lines = config.config_lines(dumps)
