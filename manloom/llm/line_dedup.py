@@ -6,8 +6,9 @@ neighbours.  The holders of a rare anchor meet each other; those of a frequent o
 holder only, so a line that a third of all documents share gives one pair per document, not one per
 pair of them; a document meets the partners of all its anchors.  Each pair is aligned by patience diff over line
 hashes: lines unique on both sides, in longest increasing order, widened while neighbours agree, and
-again within every gap.  Blocks that moved or repeat are then found by their runs.  Aligned blocks of
-enough words are deleted from the later document; the first holder of a block never loses it.
+again within every gap.  What moved or repeats is aligned after that, anchored at its runs.  Aligned
+blocks of enough words are deleted from the later document, and nothing else is; the first holder of a
+block never loses it.
 """
 
 from __future__ import annotations
@@ -126,17 +127,27 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def aligned_lines(a: np.ndarray, b: np.ndarray, a_words: np.ndarray, b_words: np.ndarray, block_words: int) -> list[int]:
-    """Lines of ``b`` in blocks of at least ``block_words`` words that align with ``a``: first by
-    patience; then those in blocks that moved or repeat, wherever ``a`` holds them."""
+    """Lines of ``b`` in blocks of at least ``block_words`` words that align with ``a``.
+
+    Both whole texts are aligned first.  What moved or repeats is left over: a run that ``a`` holds
+    too anchors both sides there, and the two runs are aligned."""
+    left, right = a.tolist(), b.tolist()
     gone = np.zeros(len(b), bool)
-    for _, j, n in patience(a.tolist(), b.tolist()):
-        if int(b_words[j : j + n].sum()) >= block_words:
-            gone[j : j + n] = True
+
+    def align(at_a: int, end_a: int, at_b: int, end_b: int) -> None:
+        for _, j, n in patience(left[at_a:end_a], right[at_b:end_b]):
+            if int(b_words[at_b + j : at_b + j + n].sum()) >= block_words:
+                gone[at_b + j : at_b + j + n] = True
+
+    align(0, len(a), 0, len(b))
     if not gone.all():
+        start_a, _, held = runs(a, a_words, block_words)
+        place = dict(zip(held[::-1].tolist(), start_a[::-1].tolist(), strict=True))  # the first of equal runs
         start, end, found = runs(b, b_words, block_words)
-        shared = np.isin(found, runs(a, a_words, block_words)[2])
-        edges = np.bincount(start[shared], minlength=len(b) + 1) - np.bincount(end[shared], minlength=len(b) + 1)
-        gone |= edges.cumsum()[:-1] > 0
+        for k in np.flatnonzero(np.isin(found, held)):
+            if not gone[start[k] : end[k]].all():
+                p = place[int(found[k])]
+                align(p, p + int(end[k] - start[k]), int(start[k]), int(end[k]))
     return np.flatnonzero(gone).tolist()
 
 

@@ -164,3 +164,23 @@ def test_very_long_text(spark):
     many = [f"w{i} x{i} y{i}" for i in range(200_000)]
     got = run(spark, [(1, "\n".join(many)), (2, "\n".join([*many[:100_000], "z", *many[100_000:]])), (3, "a " * 500_000)])
     assert [len(r.removed) for r in got] == [0, 200_000, 0]
+
+
+def test_only_aligned_lines_go(monkeypatch):
+    rng = random.Random(7)
+    words = lambda v: np.full(len(v), 5, np.int32)
+    pairs = []
+    for _ in range(200):
+        a = np.array(rng.sample(range(40), 14))
+        b = np.concatenate([a[8:12], rng.sample(range(50, 90), 3), a[1:5], a[2:4]])  # a moved block and a repeated one
+        pairs.append((a, b))
+    for a, b in pairs:
+        assert L.aligned_lines(a, b, words(a), words(b), 8) == [*range(4), *range(7, 13)]
+    monkeypatch.setattr(L, "patience", lambda a, b: [])
+    assert all(L.aligned_lines(a, b, words(a), words(b), 8) == [] for a, b in pairs)
+
+
+def test_equal_run_hashes_of_different_lines_delete_nothing(monkeypatch):
+    monkeypatch.setattr(L, "runs", lambda h, w, least: (np.array([0]), np.array([2]), np.array([1])))
+    five = np.array([5, 5], np.int32)
+    assert L.aligned_lines(np.array([1, 2]), np.array([3, 4]), five, five, 8) == []
