@@ -2,8 +2,9 @@
 
 Each page scores its containers by the running text that they hold and names its best one by a
 generalised path of tags and classes.  Spark counts these votes per host.  A block whose name only
-hints at a side (``related-x9``, but ``search-history`` too) is judged by its host as well: it is
-one if it is mostly links or says the same on most pages.  Every page is then read again with the
+hints at a side (``related-x9``, but ``search-history`` too), or that stands beside the best container
+in a larger one, is judged by its host as well: it is one if it is mostly links or says the same on
+most pages.  Every page is then read again with the
 winning paths and the sides of its host; a page that has none of the paths falls back on its own
 best container.
 """
@@ -40,11 +41,12 @@ _MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubs
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _GROUP = {"p": "p", "li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 _SCOPE = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt",), "table": ("tr", "td"), "tr": ("td",), "select": ("option",), **{t: ("p",) for t in _CONTAINERS - {"td"}}, "td": ("p",), "th": ("p",)}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
 #: Words that name a side, and words that say nothing about what a block holds.
 _SIDE_WORDS = frozenset(
     "nav navbar navigation menu sidebar aside footer ad ads advert adverts advertisement advertising banner sponsor sponsors sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts "
-    "comment comments disqus respond reply replies form forms newsletter subscribe subscription signup login search share sharing social related recommended breadcrumb breadcrumbs popup modal overlay pagination pager skip toc masthead widget widgets".split()
+    "comment comments discussion discussions disqus respond reply replies form forms newsletter subscribe subscription signup login search share sharing social related recommended breadcrumb breadcrumbs popup modal overlay pagination pager skip toc masthead widget widgets".split()
 )
 _PLAIN_WORDS = frozenset("wrapper wrap container layout page box block area section item items list inner outer left right top bottom side bar column col row group panel holder slot unit text body site global primary secondary main the and for to of us links link posts post articles stories btn button icon icons".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -61,14 +63,19 @@ def _segment(tag: str, classes: list[str]) -> str:
     return ".".join([tag, *sorted({c for c in (re.sub(r"[\d>]+", "", x).strip("-_") for x in classes) if c})]).replace(">", "")
 
 
-def _side(tag: str, names: list[str], role: str, hidden: bool, in_article: bool) -> bool | None:
-    """Whether an element is a side by itself; None if its name hints at one but says more, too."""
+def _side(tag: str, classes: list[str], ids: list[str], role: str, hidden: bool, in_article: bool) -> bool | None:
+    """Whether an element is a side by itself; None if its name hints at one but says more, too.
+
+    A section's id within an article is made from its heading as a rule, so it only hints; a heading is
+    no side."""
     if tag in ("html", "body", "main"):
         return False
     if hidden or tag in _SIDE_TAGS or role in _ROLES:
         return True
-    told = [_words(n) for n in names]
-    words = {w for ws in told for w in ws}
+    if in_article and tag in _HEADINGS:
+        return False
+    told = [_words(n) for n in (classes if in_article and tag == "section" else classes + ids)]
+    words = {w for n in classes + ids for w in _words(n)}
     framed = bool(words & _FRAME_WORDS)
     if not in_article and tag != "article" and (tag == "header" or (any(ws and set(ws) <= {"header", *_PLAIN_WORDS} and "header" in ws for ws in told) and not framed)):
         return True
@@ -79,14 +86,14 @@ def _side(tag: str, names: list[str], role: str, hidden: bool, in_article: bool)
 
 
 class _Element:
-    __slots__ = ("doubt", "in_article", "key", "link", "node", "opened", "parent", "places", "run", "score", "segment", "side", "tag")
+    __slots__ = ("depth", "doubt", "in_article", "key", "link", "node", "opened", "parent", "places", "run", "score", "segment", "side", "tag")
 
     def __init__(self, tag, segment, parent, side, in_article, link, doubt):
         self.tag, self.segment, self.parent, self.side, self.in_article, self.link = tag, segment, parent, side, in_article, link
         self.run = parent.run + 1 if parent and parent.segment == segment else 1
         self.key = parent.key if self.run > _RUN else xxhash.xxh64_intdigest(segment, parent.key if parent else 0)  # of the whole path
         self.doubt = self if doubt else parent.doubt if parent else None  # nearest element that may be a side
-        self.score = 0.0
+        self.score, self.depth = 0.0, parent.depth + 1 if parent else 0
         self.places: tuple[tuple[int, _Element], ...] | None = None
         self.node = self if tag in _CONTAINERS or parent is None else parent.node  # nearest container
         self.opened: dict[str, int] = {}  # where an element stands open that a start tag may end
@@ -127,17 +134,17 @@ def _walk(page: str, sides: frozenset[int] = frozenset()):
         ends = [opened[g] for g in (("p",) if tag in _PARAGRAPH_ENDS else ()) + ((_GROUP[tag],) if tag in _GROUP else ()) if g in opened]
         if ends:
             cut(min(ends))
-        attrs, classes, names, role, hidden = m["attrs"] or m["attrs2"], [], [], "", False
+        attrs, classes, ids, role, hidden = m["attrs"] or m["attrs2"], [], [], "", False
         if attrs:
             for name, value in _ATTRIBUTE.findall(attrs):
                 name, value = name.lower(), html.unescape(value.strip("\"'"))
                 if name == "class":
                     classes = value.split()
-                if name in ("class", "id"):
-                    names += value.split()
+                if name == "id":
+                    ids = value.split()
                 role, hidden = value.lower() if name == "role" else role, hidden or name == "hidden"
         up = stack[-1]
-        own = _side(tag, names, role, hidden, up.in_article)
+        own = _side(tag, classes, ids, role, hidden, up.in_article)
         one = _Element(tag, _segment(tag, classes), up, up.side or bool(own), up.in_article or tag == "article", up.link or tag == "a", own is None)
         one.side = one.side or one.key in sides
         one.opened = up.opened
@@ -158,42 +165,93 @@ def _path(element: _Element) -> str:
     return ">".join(reversed(segments))
 
 
+class _Told:
+    """What is said directly in a container or block: a hash, characters, and those of them in links."""
+
+    __slots__ = ("hash", "links", "size")
+
+    def __init__(self) -> None:
+        self.hash, self.size, self.links = xxhash.xxh64(), 0, 0
+
+    def add(self, text: str, size: int, link: bool) -> None:
+        self.hash.update(text.strip().encode("utf-8", "surrogatepass"))
+        self.size += size
+        self.links += size if link else 0
+
+
+def _lifted(best: _Element, direct: dict[_Element, _Told]) -> tuple[_Element, list[_Element]]:
+    """The container around ``best``, short of the page's body, that says a tenth more in running text
+    than what is below it; and the containers that it adds, of which the host may find some sides."""
+    nodes: set[_Element] = set()
+    for node in direct:
+        while node is not None and node not in nodes:
+            nodes.add(node)
+            node = node.parent.node if node.parent is not None else None
+    order = sorted(nodes, key=lambda e: e.depth)
+    whole = {e: max(0, t.size - 2 * t.links) if (t := direct.get(e)) else 0 for e in order}
+    for e in reversed(order):
+        if e.parent is not None:
+            whole[e.parent.node] += whole[e]
+    root, at = best, best
+    while at.parent is not None and (at := at.parent.node).tag not in ("body", "html", ""):
+        if whole[at] * 10 >= whole[root] * 11:
+            root = at
+    if root is best:
+        return best, []
+    inside, added = {root: True, best: False}, []
+    for e in order:
+        if e.parent is not None and e not in inside:
+            inside[e] = inside.get(e.parent.node, False)
+            if inside[e] and e in direct:
+                added.append(e)
+    on_the_way = set()
+    while best is not root:
+        on_the_way.add(best)
+        best = best.parent.node
+    return root, [e for e in added if e not in on_the_way]
+
+
 def surveyed(page: str, sides: frozenset[int] = frozenset()) -> tuple[str | None, list[tuple[str, int, int, int]]]:
     """The page's best path, and ``(path, hash, characters, of them in links)`` of the text of each
     block that may be a side.
 
     The best is the container with the most running text, lifted to the article or main element
-    around it; None if no text stands outside of the sides."""
-    seen: dict[int, _Element] = {}
-    doubts: dict[int, list] = {}
+    around it, or else to the container that holds the rest of it; None if no text stands outside
+    of the sides."""
+    direct: dict[_Element, _Told] = {}
+    doubts: dict[_Element, _Told] = {}
+    scored: dict[_Element, None] = {}
     for element, text in _walk(page, sides):
         if text is None or element.side or not (size := len(text.strip())):
             continue
         worth = -size / 2 if element.link else size
         if (doubt := element.doubt) is not None:
-            told = doubts.setdefault(id(doubt), [doubt, xxhash.xxh64(), 0, 0])
-            told[1].update(text.strip().encode("utf-8", "surrogatepass"))
-            told[2] += size
-            told[3] += size if element.link else 0
+            doubts.setdefault(doubt, _Told()).add(text, size, element.link)
         node = element.node
+        direct.setdefault(node, _Told()).add(text, size, element.link)
         node.score += worth
-        seen[id(node)] = node
+        scored[node] = None
         if node.parent is not None:
             above = node.parent.node
             above.score += worth / 2
-            seen[id(above)] = above
-    found = [(_path(d), h.intdigest() - (1 << 63), n, links) for d, h, n, links in doubts.values()]
-    best = max(seen.values(), key=lambda e: e.score, default=None)
-    if best is None:
-        return None, found
-    for wanted in ("article", "main"):
-        at = best
-        while at is not None and at.tag != wanted:
-            at = at.parent
-        if at is not None:
-            best = at
-            break
-    return _path(best), found
+            scored[above] = None
+    best = max(scored, key=lambda e: e.score, default=None)
+    blocks = list(doubts.items())
+    if best is not None:
+        framed = next((at for wanted in ("article", "main") if (at := _around(best, wanted)) is not None), None)
+        if framed is not None:
+            best = framed
+        else:
+            best, added = _lifted(best, direct)
+            blocks += [(e, direct[e]) for e in added if e not in doubts]
+    found = [(_path(e), t.hash.intdigest() - (1 << 63), t.size, t.links) for e, t in blocks]
+    return (None if best is None else _path(best)), found
+
+
+def _around(element: _Element | None, tag: str) -> _Element | None:
+    while element is not None and element.tag != tag:
+        element = element.parent
+    return element
 
 
 def path_key(path: str) -> int:
@@ -212,7 +270,8 @@ def _places(element: _Element, wanted: dict[int, int]) -> tuple[tuple[int, _Elem
 
 def text_at(page: str, paths: list[str], sides: frozenset[int] = frozenset()) -> str | None:
     """The text at the first of ``paths`` that the page has text at: of all elements there, but of
-    several articles only that with the most running text, as the others lead elsewhere."""
+    several articles only those with a third of the running text of the fullest, as shorter ones
+    lead elsewhere."""
     wanted = {path_key(p): i for i, p in reversed(list(enumerate(paths)))}
     found: dict[int, dict[int, list]] = {}
     for element, text in _walk(page, sides):
@@ -234,7 +293,8 @@ def text_at(page: str, paths: list[str], sides: frozenset[int] = frozenset()) ->
     for place in sorted(found):
         parts = list(found[place].values())
         if parts[0][0].tag in ("article", "main"):
-            parts = [max(parts, key=lambda p: p[1])]
+            most = max(p[1] for p in parts)
+            parts = [p for p in parts if p[1] * 3 >= most]
         if text := " ".join(" ".join("".join(p[2]) for p in parts).split()):
             return text
     return None

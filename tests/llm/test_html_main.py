@@ -107,3 +107,26 @@ def test_pages_made_around_known_articles(spark):
             truth[i] = " ".join(blocks)
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == truth
+
+
+def test_articles_in_parts(spark):
+    """Known articles that are spread over containers, with ids made from headings and second parts."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do tempor".split()) for _ in range(n))
+    make = {
+        "siblings": lambda a, b: f'<div class=post><div class=intro><p>{a}</p></div><div class=details><p>{b}</p></div></div>',
+        "direct": lambda a, b: f'<div class=story>{a[:80].strip()}<div class=more><p>{b}</p></div></div>',
+        "ids": lambda a, b: f'<article><h2 id=search>Search</h2><section id=forms><p>{a}</p></section><section id=social><p>{b}</p></section></article>',
+        "two": lambda a, b: f'<main><article><p>{a}</p></article><article><p>{b}</p></article><article class=card><p>Read on</p></article></main>',
+        "comments": lambda a, b: f'<article><p>{a}</p><p>{b}</p></article><div class=discussion><p>{prose(90)}</p></div>',
+        "rail": lambda a, b: f'<div class=wrap><div class=text><p>{a}</p><p>{b}</p></div><div class=col2><p>About this site and those who write it, and where to find them all</p></div></div>',
+    }
+    want = {"direct": lambda a, b: f"{a[:80].strip()} {b}", "ids": lambda a, b: f"Search {a} {b}"}
+    rows, texts = [], {}
+    for k, (name, page) in enumerate(make.items()):
+        for i in range(12):
+            a, b = prose(60), prose(70)
+            rows.append((100 * k + i, f"http://{name}.example/{i}", f"<html><body><nav><a href=/>Home</a></nav>{page(a, b)}<footer>Foot</footer></body></html>"))
+            texts[100 * k + i] = want.get(name, lambda a, b: f"{a} {b}")(a, b)
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: v for k, v in got.items() if v != texts[k]} == {}
