@@ -137,7 +137,7 @@ def marks(card_lines: DataFrame, rows: DataFrame, lexicon: Lexicon | DataFrame)
 
     ``rows(doc, card, name, text)`` are the parameter tables; ``lexicon`` holds for all documents, or
     is a table ``(doc, domain, address, effect, ranges)``.  The first evidence counts: the command's
-    own name; a word right before itself; a row that says nothing; a word without a row, whose parts
+    own name; a word printed as a placeholder; a word right before itself; a row that says nothing; a word without a row, whose parts
     between dots may have some; a word that stands outside of brackets and within them; one of
     several alternatives; a stated domain; a described effect; and if there is none, a value.
     """
@@ -160,12 +160,12 @@ def marks(card_lines: DataFrame, rows: DataFrame, lexicon: Lexicon | DataFrame)
     bar_beside = (F.col("before") == "|") | (F.col("after") == "|")
     alone = F.col("before").isin("{", "[", "|") & F.col("after").isin("}", "]", "|") & F.col("choice")
     reason = (
-        F.when(F.col("pos") < F.col("own"), "command-name").when(F.col("following") == F.col("token"), "named-then-valued").when(F.col("description") == "", "named-only")
+        F.when(F.col("pos") < F.col("own"), "command-name").when((F.col("before") == "<") & (F.col("after") == ">"), "printed").when(F.col("following") == F.col("token"), "named-then-valued").when(F.col("description") == "", "named-only")
         .when(F.col("row").isNull() & F.col("compound").isNotNull(), "compound").when(F.col("row").isNull(), "untabled").when(F.array_contains("both", F.col("token")) & (F.col("depth") == 0), "named-then-valued")
         .when(bar_beside | alone, "alternative").when(F.rlike("description", F.col("domain")), "domain").when(F.rlike("description", F.col("effect")), "effect").otherwise("default")
     )
-    words = words.withColumn("reason", reason).withColumn("kind", F.when(F.col("reason").isin("compound", "domain", "default"), "value").otherwise("keyword"))
-    written = F.when(F.col("reason") == "compound", F.col("compound")).when(F.col("kind") == "value", placeholder(F.col("token"), F.col("description"), F.col("address"), F.col("ranges"))).otherwise(F.col("token"))
+    words = words.withColumn("reason", reason).withColumn("kind", F.when(F.col("reason").isin("printed", "compound", "domain", "default"), "value").otherwise("keyword"))
+    written = F.when(F.col("reason") == "compound", F.col("compound")).when((F.col("kind") == "value") & (F.col("reason") != "printed"), placeholder(F.col("token"), F.col("description"), F.col("address"), F.col("ranges"))).otherwise(F.col("token"))
     told = F.when(F.col("reason").isin("named-then-valued", "alternative", "domain", "effect", "default") & ~(F.col("following").eqNullSafe(F.col("token"))), F.col("description"))
     return words.select(*_KEYS, "n", "pos", "token", "kind", written.alias("written"), "reason", F.coalesce(told, F.lit("")).alias("description"))
 

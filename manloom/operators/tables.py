@@ -90,27 +90,27 @@ def _indent(line: Column) -> Column:
 
 
 def table_body(card_lines: DataFrame, header: str = _HEADER, tail: str | None = _HEADER_TAIL, *, headerless: bool = False) -> DataFrame:
-    """``(doc, card, i, line, indent, edge)``: the lines below a table's header, blank ones and the
+    """``(doc, card, i, line, indent, edge, headed)``: the lines below a table's header, blank ones and the
     broken off ends of its words left out.
 
     ``header`` has the indent and the second column's title as groups; ``edge`` is where that
-    column begins.  Tables without a header have no rows, unless ``headerless``: then the first two
+    column begins.  Where the lines come with columns ``parameter_header`` and ``header_tail``, these
+    patterns are taken instead.  Tables without a header have no rows, unless ``headerless``: then the first two
     columns of blanks that all of a card's lines share are its gutter.
     """
-    lines = card_lines.where("part = 'parameters'").select(*_KEYS, "n", "line")
+    own = {"parameter_header", "header_tail"} <= set(card_lines.columns)
+    patterns = [F.col("parameter_header").alias("h"), F.col("header_tail").alias("t")] if own else [F.lit(header).alias("h"), F.lit(tail or "(?!)").alias("t")]
+    lines = card_lines.where("part = 'parameters'").select(*_KEYS, "n", "line", *patterns)
     whole = Window.partitionBy(*_KEYS)
-    second = F.regexp_extract("line", header, 2)
-    indent = F.length(F.regexp_extract("line", header, 1))
-    edge = F.when(second != "", F.expr("locate(second, line, indent + 1)") - 1)
-    told = lines.withColumn("second", second).withColumn("indent", indent).withColumn("at", F.when(F.col("line").rlike(header), F.struct("n", "indent", edge.alias("edge"))))
+    group = lambda k: F.call_function("regexp_extract", F.col("line"), F.col("h"), F.lit(k))
+    edge = F.when(F.col("second") != "", F.expr("locate(second, line, indent + 1)") - 1)
+    told = lines.withColumn("second", group(2)).withColumn("indent", F.length(group(1))).withColumn("at", F.when(F.rlike("line", F.col("h")), F.struct("n", "indent", edge.alias("edge"))))
     told = told.withColumn("head", F.min("at").over(whole)).where(F.col("line").rlike(r"(?U)\S"))
-    body = told.where("n > head.n").select(*_KEYS, "n", "line", "head.indent", "head.edge")
-    if tail is not None:
-        up_to = Window.partitionBy(*_KEYS).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-        body = body.withColumn("begun", F.bool_or(~F.col("line").rlike(tail)).over(up_to)).where("begun").drop("begun")
+    up_to = Window.partitionBy(*_KEYS).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    body = told.where("n > head.n").withColumn("begun", F.bool_or(~F.rlike("line", F.col("t"))).over(up_to)).where("begun").select(*_KEYS, "n", "line", "head.indent", "head.edge", F.lit(True).alias("headed"))
     if headerless:
         bare = told.where("head IS NULL").select(*_KEYS, "n", "line")
-        body = body.unionByName(bare.join(gutters(bare), _KEYS))
+        body = body.unionByName(bare.join(gutters(bare), _KEYS).withColumn("headed", F.lit(False)))
     return body.withColumn("i", F.row_number().over(Window.partitionBy(*_KEYS).orderBy("n")) - 1).drop("n")
 
 
@@ -189,11 +189,11 @@ def row_starts(found: DataFrame) -> DataFrame:
 
 def starts_by_shape(body: DataFrame) -> DataFrame:
     """``(doc, card, i, name)`` where no syntax vouches for names: one plainly spelled word in the name
-    column with text to its right, the first time it occurs."""
+    column with text to its right, the first time it occurs.  Without a header there must be a gutter."""
     bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
     told = body.withColumn("name", F.regexp_extract(bare, r"^([^ ]+) (?U:\s*\S)", 1)).withColumn("at", _indent(F.col("line")))
     fits = (F.col("at") <= F.col("indent") + NAME_SLACK) & (F.col("edge").isNull() | (F.col("at") + F.length("name") <= F.col("edge")))
-    return told.where(fits & (F.length("name") >= LEAST) & F.col("name").rlike(_PLAIN_NAME)).groupBy(*_KEYS, "name").agg(F.min("i").alias("i")).select(*_KEYS, "i", "name")
+    return told.where(fits & (F.col("headed") | F.col("edge").isNotNull()) & (F.length("name") >= LEAST) & F.col("name").rlike(_PLAIN_NAME)).groupBy(*_KEYS, "name").agg(F.min("i").alias("i")).select(*_KEYS, "i", "name")
 
 
 def without_own_name(name: Column, text: Column) -> Column:

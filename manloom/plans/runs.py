@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from ..operators import catalog as C
 from ..operators import config as G
 from ..operators import crawl as W
 from ..operators import manuals as M
+from ..operators import marking as K
+from ..operators import profiles as P
+from ..operators import tables as B
+from ..scratch import keep
 from ..sources import documents as D
 
 
@@ -28,6 +34,15 @@ class CardProfile:
     min_cards: int = 20
     min_share: float = 0.9
 
+    def as_profile(self, name: str = "given") -> dict:
+        """The same as a profile that is tried first, with the words of an English manual."""
+        titles = lambda names: [t for n in names for t in dict.fromkeys((n, n.capitalize(), n.title()))]
+        english = json.loads((P.BUILT_IN / "english.json").read_text(encoding="utf-8"))
+        return english | {
+            "name": name, "rank": -1, "heading": self.heading, "syntax_sections": titles(self.syntax), "parameter_sections": titles(self.parameters), "purpose_sections": titles(self.purpose),
+            "min_cards": self.min_cards, "min_conforming": self.min_share,
+        }
+
 
 @dataclass
 class Run:
@@ -36,41 +51,54 @@ class Run:
     skipped: DataFrame | None = None
     coverage: DataFrame | None = None
     gaps: DataFrame | None = None
+    records: DataFrame | None = None
 
 
-def read_manuals(spark: SparkSession, root: str, profile: CardProfile = CardProfile(), preferred: str | None = None) -> Run:
+def read_manuals(spark: SparkSession, root: str, profile: CardProfile | None = None, preferred: str | None = None, *, profiles: str | Path = P.BUILT_IN) -> Run:
     """All commands that the manuals below ``root`` document.
 
-    A document regular enough is read card by card, its welded words repaired and its syntax
-    expanded; any other is read line by line.  Documents that gave nothing are listed with a reason.
+    Each document is tried with every profile of the folder ``profiles``, and with ``profile`` before
+    them if it is given.  The first that it is regular enough for reads it card by card: welded words
+    repaired, damaged tables read, its words told apart, its syntax expanded.  Any other document is
+    read by its formats or line by line.  Those that gave nothing are listed with a reason.
     """
+    told = P.profiles(spark, profiles)
+    if profile is not None:
+        told = told.unionByName(spark.createDataFrame([P.profile_row(profile.as_profile())], P.SCHEMA))
     files = D.scan_documents(spark, root)
+    paragraphs = keep(D.docx_paragraphs(files), "paragraphs")  # word files are unpacked once
+    ordered = D.reading_order(paragraphs.where("skipped IS NULL"), footer=r"^\s*\d+\s*$")
     texts = D.texts(files)
-    ordered = D.reading_order(D.docx_paragraphs(files).where("skipped IS NULL"), footer=r"^\s*\d+\s*$")
-    lines = M.doc_lines(texts.select("doc", "text")).unionByName(ordered.select("doc", F.col("place").alias("n"), F.col("text").alias("line")))
-    parts = M.cards(lines, profile.heading, {"syntax": list(profile.syntax), "parameters": list(profile.parameters), "purpose": list(profile.purpose)})
-    rows = M.parameter_rows(parts)
-    each = parts.groupBy("doc", "card").agg(F.bool_or(F.col("part") == "syntax").alias("structured"))
-    regular = M.card_gate(each, ["doc"], min_cards=profile.min_cards, min_share=profile.min_share).where("qualifies").select("doc")
-    read = parts.join(regular, "doc", "left_semi")
-    forms = M.joined_wraps(read.where("part = 'syntax'").select("doc", "card", "n", "line"), ["doc", "card"])
-    repaired = _written(_repaired(forms, read), read, rows)
-    told = M.purposes(read)
-    by_card = expand_syntax(repaired, F.col("line")).join(told, ["doc", "card"], "left").select("doc", (F.col("n") * 1000 + F.col("pos")).alias("n"), "command", F.coalesce("description", F.lit("")).alias("description"))
-    loose = lines.join(regular, "doc", "left_anti").join(texts.select("doc", (F.col("suffix") == "txt").alias("plain")), "doc")
-    formats = M.structured_syntax(loose.where("plain"))
+    lines = texts.select("doc", (F.col("suffix") == "txt").alias("plain"), F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "line"))
+    lines = keep(lines.unionByName(ordered.select("doc", F.lit(None).cast("boolean").alias("plain"), F.col("place").alias("n"), F.col("text").alias("line"))), "manual-lines")
+    read = keep(P.cards_by_profile(lines, told), "cards")
+    chosen = keep(P.picked(read, told), "chosen-profiles")
+    words = chosen.join(F.broadcast(told), "name")
+    parts = read.join(chosen, ["doc", "name"]).where("part <> 'heading'").select("doc", "card", "command", "n", "part", "line")
+    forms = M.joined_wraps(parts.where("part = 'syntax'").select("doc", "card", "n", "line"), ["doc", "card"]).withColumn("line", T.command_form(F.col("line"))).where("line IS NOT NULL")
+    heads = parts.groupBy("doc", "card").agg(F.min("command").alias("command"))
+    syntax = _repaired(forms, parts).join(heads, ["doc", "card"]).select("doc", "card", "command", "n", F.lit("syntax").alias("part"), "line")
+    whole = syntax.unionByName(parts.where("part = 'parameters'")).join(words.select("doc", "parameter_header", "header_tail"), "doc")
+    whole = keep(whole, "card-lines")
+    rows = keep(B.parameter_rows(whole, headerless=True), "parameter-rows")
+    marked = K.marked_lines(whole, K.marks(whole, rows, words))
+    purpose = M.purposes(parts)
+    by_card = expand_syntax(marked, F.col("marked")).join(purpose, ["doc", "card"], "left").select("doc", (F.col("n") * 1000 + F.col("pos")).cast("long").alias("n"), "command", F.coalesce("description", F.lit("")).alias("description"))
+    loose = lines.join(chosen, "doc", "left_anti").where("plain IS NOT NULL")
+    formats = keep(M.structured_syntax(loose.where("plain").select("doc", "n", "line")), "formats")
     by_format = expand_syntax(formats, F.col("syntax")).select("doc", (F.col("n") * 1000 + F.col("pos")).cast("long").alias("n"), "command", F.lit("").alias("description"))
     loose = loose.join(formats.select("doc").distinct(), "doc", "left_anti")  # read by its formats instead
     by_line = M.line_commands(loose).select("doc", F.col("n").cast("long").alias("n"), "command", "description")
     toc = M.contents_commands(loose).select("doc", F.col("n").cast("long").alias("n"), "command", F.lit("").alias("description"))
-    found = by_card.unionByName(by_format).unionByName(by_line).unionByName(toc)
-    language = F.when(F.col("description").rlike("[Ѐ-ӿ]"), "ru").otherwise("en")
-    spoken = C.described(found.select("command", "description", language.alias("language"), F.struct("doc", "n").alias("place")), preferred)
+    found = keep(by_card.unionByName(by_format).unionByName(by_line).unionByName(toc), "documented")
+    written = F.when(F.col("description").rlike("[Ѐ-ӿ]"), "ru").otherwise("en")
+    spoken = found.join(words.select("doc", F.nullif("language", F.lit("")).alias("language")), "doc", "left").select("command", "description", F.coalesce("language", written).alias("language"), F.struct("doc", "n").alias("place"))
+    spoken = C.described(spoken, preferred)
     entries = found.select("command", F.lit("").alias("description"), F.lit(True).alias("executable"), F.concat(F.lit("documentation:"), F.col("doc")).alias("source"), F.lit(0).alias("rank"))
     catalog = C.source_union(entries).drop("description").join(spoken.select("command", "description"), "command", "left").withColumn("description", F.coalesce("description", F.lit("")))
-    reasons = files.where("skipped IS NOT NULL").select(F.col("path").alias("doc"), "skipped").unionByName(D.docx_paragraphs(files).where("skipped IS NOT NULL").select("doc", "skipped"))
+    reasons = files.where("skipped IS NOT NULL").select(F.col("path").alias("doc"), "skipped").unionByName(paragraphs.where("skipped IS NOT NULL").select("doc", "skipped"))
     silent = files.where("skipped IS NULL").select(F.col("path").alias("doc")).join(found.select("doc").distinct(), "doc", "left_anti").join(reasons.select("doc"), "doc", "left_anti")
-    return Run(catalog, {"complete": True, "queries": 0}, reasons.unionByName(silent.withColumn("skipped", F.lit("no commands found"))))
+    return Run(catalog, {"complete": True, "queries": 0}, reasons.unionByName(silent.withColumn("skipped", F.lit("no commands found"))), records=K.card_records(whole, rows, K.marks(whole, rows, words)))
 
 
 def _repaired(forms: DataFrame, parts: DataFrame) -> DataFrame:
@@ -84,18 +112,6 @@ def _repaired(forms: DataFrame, parts: DataFrame) -> DataFrame:
     return done.groupBy("doc", "card", "n").agg(line.alias("line"))
 
 
-def _written(forms: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Syntax lines with the words that stand for a value written as placeholders; those that are
-    printed as one stay."""
-    heads = parts.groupBy("doc", "card").agg(F.min("command").alias("command"))
-    lines = forms.join(heads, ["doc", "card"]).withColumn("part", F.lit("syntax"))
-    marked = M.marks(lines, rows).select("doc", "card", "n", "pos", "written", "kind")
-    raw = lines.select("doc", "card", "n", F.posexplode(T.words(F.regexp_replace("line", r"([{}\[\]|])", " $1 "))).alias("pos", "raw"))
-    told = raw.join(marked, ["doc", "card", "n", "pos"], "left").withColumn("word", F.when((F.col("kind") == "parameter") & ~F.col("raw").rlike("^<"), F.col("written")).otherwise(F.col("raw")))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
-    return told.groupBy("doc", "card", "n").agg(line.alias("line"))
-
-
 def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals: DataFrame | None = None, verify: int = 0, dumps: DataFrame | None = None, contexts: DataFrame | None = None) -> Run:
     """A device's recorded help as a catalog, against the manuals if they are given.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -17,19 +18,23 @@ from ..functions import text as T
 SUFFIXES = ("md", "txt", "rst", "docx")
 MAX_TEXT = 5 << 20
 MAX_UNPACKED = 256 << 20
+MAX_PROLOG = 1 << 20
 
 
 def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     """``(path, suffix, length, content, skipped)`` of all files below ``root``.
 
     Suffixes are told apart without case.  ``skipped`` says why a file isn't read, else null.  Text
-    over 5 MiB isn't; sizes are checked by the reader, before any content is loaded.
+    over 5 MiB isn't, nor are word files that are larger packed than they may be unpacked; sizes are
+    checked by the reader, before any content is loaded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     known = files.withColumn("suffix", suffix).where(F.col("suffix").isin(*SUFFIXES))
-    small = known.where(f"length <= {MAX_TEXT} OR suffix = 'docx'").select("path", "suffix", "length", "content", F.lit(None).cast("string").alias("skipped"))
-    large = known.where(f"length > {MAX_TEXT} AND suffix <> 'docx'").select("path", "suffix", "length", F.lit(None).cast("binary").alias("content"), F.lit("larger than 5 MiB").alias("skipped"))
+    most = F.when(F.col("suffix") == "docx", MAX_UNPACKED).otherwise(MAX_TEXT)
+    small = known.where(F.col("length") <= most).select("path", "suffix", "length", "content", F.lit(None).cast("string").alias("skipped"))
+    why = F.when(F.col("suffix") == "docx", "larger than 256 MiB").otherwise("larger than 5 MiB")
+    large = known.where(F.col("length") > most).select("path", "suffix", "length", F.lit(None).cast("binary").alias("content"), why.alias("skipped"))
     return small.unionByName(large)
 
 
@@ -47,6 +52,20 @@ def _decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(each(content))
 
 
+def refuse_entities(xml) -> None:
+    """Reads up to the root element; what stands before it, comments apart, may declare no entities."""
+    head = b""
+    while len(head) < MAX_PROLOG and (more := xml.read(1 << 16)):
+        head += more
+        bare = re.sub(rb"<!--.*?(?:-->|\Z)", b"", head, flags=re.DOTALL)
+        root = re.search(rb"<[A-Za-z_]", bare)
+        if b"<!ENTITY" in (bare[: root.start()] if root else bare):
+            raise ValueError("declares entities")
+        if root:
+            return
+    raise ValueError("has no root element where one is looked for")
+
+
 def docx_paragraphs(documents: DataFrame) -> DataFrame:
     """``(doc, n, positioned, text, skipped)``: leaf paragraphs of word files in file order.
 
@@ -60,8 +79,7 @@ def docx_paragraphs(documents: DataFrame) -> DataFrame:
             if sum(i.file_size for i in box.infolist()) > MAX_UNPACKED:
                 raise ValueError("unpacks to more than 256 MiB")
             with box.open("word/document.xml") as f:
-                if b"<!ENTITY" in f.read(4096):
-                    raise ValueError("declares entities")
+                refuse_entities(f)
             open_, n = [], 0
             with box.open("word/document.xml") as f:
                 for event, e in ElementTree.iterparse(f, events=("start", "end")):

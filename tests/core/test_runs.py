@@ -83,7 +83,7 @@ def test_sources_and_reports(spark, tmp_path):
     answers = spark.createDataFrame([("d", 0, "a", "% bad\n"), ("d", 1, "b", "1\n2\n3\n4\n"), ("d", 2, "c", "1\n2\n3\n4\n5\n")], "device string, ord int, source_command string, output string")
     assert rows(D.first_capture(answers), "source_command") == [("b",)]
     fw = spark.createDataFrame([("Serial Number: ABC1\nMAC 00:11:22:33:44:55\nv 1\npassword x",)], "output string")
-    assert D.firmware(fw).first().output == "Serial Number: <redacted>\nMAC <mac>\nv 1\n<secret line removed>"
+    assert D.firmware(fw).first().output == "Serial Number: <redacted>\nMAC <redacted>\nv 1\n<redacted line>"
     checked = D.verified_answers(spark.createDataFrame([("c", "x\nsw(vlan-1)#"), ("c", "sw>")], "context string, output string"), spark.createDataFrame([("c", "(vlan-*)#")], "name string, fingerprint string"))
     assert sorted(r.verified for r in checked.collect()) == [False, True]
     blocks = spark.createDataFrame([("root/My vlan", ["vlan 1"], 2, False, ["vlan 1 a"], 3)], "name string, entry_path array<string>, commands int, complete boolean, listed array<string>, more int")
