@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..scratch import keep, placed
 from .catalog import prefixes
+from .contexts import probe_outcomes
 from .help import parse_help, signatures
 
 _NODE = "catalog_prefix string, query_prefix string, expand boolean, ord string"
@@ -278,6 +279,63 @@ def verify_copies(copies_of: DataFrame, limits: Limits) -> tuple[int, int]:
     return r["n"], r["bad"]
 
 
+@dataclass
+class Discovery:
+    """``contexts(name, fingerprint, entry_path, key, depth, place)`` in the order found,
+    ``probes(name, command, outcome)`` that were looked at, and how many were left out by the bound."""
+
+    contexts: DataFrame
+    probes: DataFrame
+    skipped: int
+
+
+def discovered(
+    recorded: DataFrame, root_fingerprint: str = "#", *, denied: list[str] = T.DENIED_PROBES, verbs: list[str] | None = T.VIEW_VERBS, focus: list[str] | None = None,
+    descend: bool = True, most_probes: int = 200, max_contexts: int = 64, max_depth: int = 16,
+) -> Discovery:
+    """The contexts that recorded probes lead to from the root, breadth first.
+
+    ``recorded(fingerprint, entry_path, ord, command, answer, after)`` are probes typed in contexts,
+    told apart by their prompt and the steps that led to them; ``after`` is the fingerprint of the
+    prompt that followed, null where the session was lost.  Contexts whose prompt and last step
+    differ in numbers only are one, that found first.  Tried are commands without denied words
+    whose first word is among ``verbs`` (None: any), at the root among ``focus`` if given, in
+    their order and at most ``most_probes`` a context.  Without ``descend`` what the root opens is
+    recorded but not entered.
+    """
+    spark = recorded.sparkSession
+    path = F.coalesce("entry_path", F.array().cast("array<string>"))
+    typed = recorded.select(T.context_key(F.col("fingerprint"), path).alias("key"), path.alias("at"), "fingerprint", "ord", "command", "answer", "after")
+    head = T.head_word(F.col("command"))
+    typed = typed.where(T.is_probe_allowed(F.col("command"), denied) & (head.isin(*verbs) if verbs is not None else F.lit(True)))
+    typed = typed.groupBy("key", "command").agg(F.min(F.struct("at", "ord", "fingerprint", "answer", "after")).alias("p")).select("key", "command", F.col("p.ord").alias("ord"), F.col("p.fingerprint").alias("before"), F.col("p.answer").alias("answer"), F.col("p.after").alias("after"))
+    typed = keep(probe_outcomes(typed), "probes-recorded")
+    root = spark.createDataFrame([("root", root_fingerprint, [], 0, 1)], "name string, fingerprint string, entry_path array<string>, depth int, place long")
+    found = level = keep(root.withColumn("key", T.context_key(F.col("fingerprint"), F.col("entry_path"))), "contexts-found")
+    seen, tried, skipped = 1, [], 0
+    for depth in range(1, max_depth + 1):
+        open_ = level.join(typed, "key")
+        if focus and depth == 1:
+            open_ = open_.where(head.isin(*[v.lower() for v in focus]))
+        ranked = keep(open_.withColumn("turn", F.row_number().over(Window.partitionBy("name", "key").orderBy("ord", "command"))), "probes-tried")
+        skipped += ranked.where(F.col("turn") > most_probes).count()
+        ranked = ranked.where(F.col("turn") <= most_probes)
+        tried.append(ranked.select("name", "command", "outcome"))
+        if not descend:
+            break
+        steps = F.concat("entry_path", F.array("command"))
+        child = ranked.where("outcome = 'entered'").select(F.concat("name", F.lit("/"), F.split("command", " ")[0]).alias("name"), F.col("after").alias("fingerprint"), steps.alias("entry_path"), F.lit(depth).alias("depth"), F.col("place").alias("up"), "turn")
+        child = child.withColumn("key", T.context_key(F.col("fingerprint"), F.col("entry_path"))).join(found.select("key"), "key", "left_anti")
+        first = child.groupBy("key").agg(F.min(F.struct("up", "turn", "name", "fingerprint", "entry_path", "depth")).alias("c")).select("key", "c.*")
+        level = placed(first, [F.col("up"), F.col("turn"), F.col("key")]).where(F.col("place") <= max_contexts - seen).withColumn("place", F.col("place") + seen)
+        level = keep(level.select("name", "fingerprint", "entry_path", "depth", "place", "key"), "contexts-level")
+        n = level.count()
+        if n == 0:
+            break
+        found, seen = keep(found.unionByName(level), "contexts-found"), seen + n
+    return Discovery(found, _all(tried), skipped)
+
+
 def reachable(contexts: DataFrame, probes: DataFrame, *, root: str = "root", max_contexts: int = 1000, max_depth: int = 16) -> DataFrame:
     """``(name, depth)``: contexts that probes lead to from the root, nearest first, up to a number.
 

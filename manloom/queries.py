@@ -936,3 +936,62 @@ def walk_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = done.derived.select(F.col("prefix").alias("top"), F.lit(True).alias("copy"))
     told = done.commands.select("command", F.split("command", " ")[0].alias("top")).join(copies, "top", "left")
     return told.select("command", F.col("copy").isNull().alias("walked"))
+
+
+@_query(
+    """WITH cmd AS (SELECT DISTINCT p_type || ' ' || p_name AS command FROM part), step AS (SELECT string_split(command, ' ')[1:i] AS path FROM cmd, LATERAL (SELECT unnest(generate_series(1, len(string_split(command, ' ')))) AS i))
+SELECT DISTINCT array_to_string(path, ' ') AS path, repeat('  ', len(path) - 1) || CASE WHEN regexp_matches(path[-1], '^[A-Za-z_][A-Za-z0-9_./-]*$') THEN path[-1] ELSE '"' || path[-1] || '"' END || ':' AS line FROM step"""
+)
+def nested_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part types and names as one nested mapping, a node a line."""
+    from .sources.sinks import tree_lines
+
+    catalog = _table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_name").alias("command"), F.array(F.lit("cli")).alias("sources"))
+    return tree_lines(catalog).select(F.array_join("path", " ").alias("path"), "line")
+
+
+@_query(
+    """WITH n AS (SELECT n_nationkey AS k, 'x' || chr(97 + CAST(n_nationkey AS INTEGER)) AS name FROM nation),
+v AS (SELECT k, c_custkey AS c FROM n JOIN customer ON c_nationkey = k WHERE k % 4 <> 3), first_v AS (SELECT k, c FROM v ORDER BY k, c LIMIT 1)
+SELECT 'root' AS name, '' AS entry, 0 AS depth, '#' AS fingerprint
+UNION ALL SELECT 'root/interface', 'interface ' || name, 1, '(if-' || name || ')#' FROM n WHERE k % 4 <> 3
+UNION ALL SELECT 'root/interface/vlan', 'interface ' || name || ' > vlan c' || c, 2, '(vlan-*)#' FROM first_v JOIN n USING (k)"""
+)
+def context_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts out of probes alone: nations open views of their own, each fourth refuses; customers below
+    open views that differ in their number, which are one."""
+    from .operators.crawl import discovered
+
+    name = F.concat(F.lit("x"), F.chr(F.col("n_nationkey") + 97))
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", name.alias("name"))
+    answer = F.when(F.col("n_nationkey") % 4 == 3, "% Invalid input").otherwise("")
+    mode = F.concat(F.lit("(if-"), "name", F.lit(")#"))
+    none = F.array().cast("array<string>")
+    tops = nation.select(F.lit("#").alias("fingerprint"), none.alias("entry_path"), F.col("n_nationkey").cast("long").alias("ord"), F.concat(F.lit("interface "), "name").alias("command"), answer.alias("answer"), mode.alias("after"))
+    risky = nation.select(F.lit("#"), none, F.col("n_nationkey").cast("long"), F.concat(F.lit("interface reload "), "name"), F.lit(""), F.lit("(x)#"))
+    below = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        mode, F.array(F.concat(F.lit("interface "), "name")), F.col("c_custkey").cast("long"), F.concat(F.lit("vlan c"), "c_custkey"), F.lit(""), F.lit("(vlan-*)#")
+    )
+    told = discovered(tops.union(risky).union(below), most_probes=1_000_000).contexts
+    return told.select("name", F.array_join("entry_path", " > ").alias("entry"), "depth", "fingerprint")
+
+
+@_query(
+    r"""WITH d AS (SELECT p_partkey // 64 AS doc, count(*) AS n FROM part GROUP BY 1)
+SELECT doc, CASE doc % 3 WHEN 0 THEN 'english' ELSE 'russian' END AS name FROM d WHERE doc % 3 <> 2 AND n >= 20"""
+)
+def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in profile that suits each manual of 64 parts: a third are headed one way, a third the
+    other, a third have no parameters part."""
+    from .operators.manuals import doc_lines
+    from .operators.profiles import cards_by_profile, picked, profiles
+
+    english = F.concat(F.lit("2.1."), "p_partkey", F.lit(" show "), "p_name", F.lit("\n**Command Format**\n```\nshow level\n```\n**Parameter Description**\n```\nParameter\nlevel 1 to 5\n```"))
+    russian = F.concat(F.lit("#### `show "), "p_name", F.lit("`\n**Синтаксис**\n```\nshow level\n```\n**Параметры**\n```\nнет\n```"))
+    bare = F.concat(F.lit("#### `show "), "p_name", F.lit("`\n**Синтаксис**\n```\nshow level\n```"))
+    doc = F.floor(F.col("p_partkey") / 64)
+    text = F.when(doc % 3 == 0, english).when(doc % 3 == 1, russian).otherwise(bare)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda x: x["text"]), "\n")
+    docs = _table(spark, sf_dir, "part").groupBy(doc.alias("doc")).agg(joined.alias("text"))
+    told = profiles(spark)
+    return picked(cards_by_profile(doc_lines(docs), told), told)

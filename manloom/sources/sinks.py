@@ -64,3 +64,34 @@ def read_catalog(spark, path: str, form: str = "json") -> DataFrame | None:
     except AnalysisException:
         return None
     return held if {"command", "description"} <= set(held.columns) else None
+
+
+def _yaml_key(text: Column) -> Column:
+    """A mapping key: as it stands where YAML reads that as a string, else in double quotes."""
+    plain = text.rlike(r"^[A-Za-z_][A-Za-z0-9_./-]*$") & ~F.lower(text).isin("y", "n", "yes", "no", "on", "off", "true", "false", "null")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(plain, text).otherwise(quoted)
+
+
+def tree_lines(catalog: DataFrame, mode: str = "audit") -> DataFrame:
+    """``(path, line)``: the commands' words as a nested YAML mapping, one node a line.
+
+    Sorted by path a node stands right before what is below it, so a tree of any size is written by
+    sorting: no node gathers its children.
+    """
+    wanted = C.documented(F.col("sources")) if mode == "docs" else C.on_device(F.col("sources"))
+    nodes = C.token_tree(catalog.where(wanted)).select(F.split("prefix", " ").alias("path"), "token")
+    return nodes.select("path", F.concat(F.repeat(F.lit("  "), F.size("path") - 1), _yaml_key(F.col("token")), F.lit(":")).alias("line"))
+
+
+def config_lines_yaml(matched: DataFrame) -> DataFrame:
+    """``(device, seq, line)``: configurations nested as their views are, in their own order; lines
+    that the catalog doesn't explain are remarked on in place."""
+    told = config_tree(matched)
+    remark = F.when(F.col("status") == "unmatched", "  # not in the catalog").otherwise("")
+    return told.select("device", "seq", F.concat(F.repeat(F.lit("  "), F.col("depth")), _yaml_key(F.col("label")), F.lit(":"), remark).alias("line"))
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+    """The lines as text files that give the whole when read by name."""
+    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)

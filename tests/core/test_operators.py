@@ -187,3 +187,49 @@ def test_limits_are_checked():
     for bad in ({"depth": 1}, {"max_depth": 0}, {"max_depth": "3"}, {"samples": {"A": "a?"}}, {"deduplicate": 1}):
         with pytest.raises(ValueError):
             crawl.Limits.checked(bad)
+
+
+def test_contexts_are_found_from_probes(spark):
+    row = lambda fp, path, k, command, answer="", after="same": (fp, path, k, command, answer, fp if after == "same" else after)
+    data = [
+        row("#", [], 0, "vlan 1", after="(vlan-*)#"), row("#", [], 1, "vlan 2", after="(vlan-*)#"), row("#", [], 2, "interface x", "% bad", "(if)#"), row("#", [], 3, "router a", after="(r)#"), row("#", [], 4, "reload", after="(x)#"),
+        row("#", [], 5, "show it", after="(show)#"), row("#", [], 6, "class c", after=None), row("(vlan-*)#", ["vlan 1"], 0, "class q", after="(c)#"), row("(r)#", ["router a"], 0, "vlan 7"), row("(far)#", ["far"], 0, "vlan 9", after="(vlan-*)#"),
+    ]
+    df = spark.createDataFrame(data, "fingerprint string, entry_path array<string>, ord int, command string, answer string, after string")
+    got = crawl.discovered(df)
+    assert [(r.place, r.name, r.entry_path) for r in got.contexts.orderBy("place").collect()] == [(1, "root", []), (2, "root/vlan", ["vlan 1"]), (3, "root/router", ["router a"]), (4, "root/vlan/class", ["vlan 1", "class q"])]
+    assert rows(got.probes, "command", "outcome") == [("class c", "reset"), ("class q", "entered"), ("interface x", "rejected"), ("router a", "entered"), ("vlan 1", "entered"), ("vlan 2", "entered"), ("vlan 7", "executed")]
+    assert rows(crawl.discovered(df, focus=["router"]).contexts, "name") == [("root",), ("root/router",)]
+    assert rows(crawl.discovered(df, max_contexts=2).contexts, "name") == [("root",), ("root/vlan",)] and crawl.discovered(df, descend=False).contexts.count() == 1
+    few = crawl.discovered(df, most_probes=1)
+    assert few.skipped == 4 and "root/show" in {r.name for r in crawl.discovered(df, verbs=None).contexts.collect()}
+
+
+def nested(lines):
+    """A mapping read back from lines that are indented by two blanks a level."""
+    tree, stack = {}, []
+    for line in lines:
+        body = line.split("  # ")[0].rstrip().removesuffix(":")
+        depth = (len(body) - len(body.lstrip(" "))) // 2
+        key = body.strip()
+        key = key[1:-1].replace('\\"', '"').replace("\\\\", "\\") if key[0] == '"' else key
+        stack[depth:] = [{}]
+        (stack[depth - 1] if depth else tree)[key] = stack[depth]
+    return tree
+
+
+def test_trees_are_written_and_read_back_equal(spark, tmp_path):
+    from manloom.sources import sinks
+
+    commands = ["show arp", "show arp <1-9>", 'set "x" \\y', "no", "set on"]
+    cat = spark.createDataFrame([(c, ["cli"]) for c in commands] + [("docs only", ["documentation:m"])], "command string, sources array<string>")
+    sinks.write_lines(sinks.tree_lines(cat), ["path"], str(tmp_path / "tree"))
+    want = {}
+    for c in commands:
+        at = want
+        for w in c.split():
+            at = at.setdefault(w, {})
+    assert nested(r.value for f in sorted((tmp_path / "tree").glob("part-*")) for r in spark.read.text(str(f)).collect()) == want
+    matched = spark.createDataFrame([("d", 0, ["vlan 1"], "vlan 1", 1, "matched"), ("d", 1, ["vlan 1", "name x"], "name x", 2, "unmatched"), ("d", 2, ["vlan 1", "name x"], "name x", 3, "matched"), ("d", 3, ["end"], "end", 4, "free-text")], "device string, seq int, path array<string>, text string, number int, status string")
+    got = [r.line for r in sinks.config_lines_yaml(matched).orderBy("seq").collect()]
+    assert got == ['"vlan 1":', '  "name x":  # not in the catalog', '  "name x (line 3)":', "end:"] and nested(got) == {"vlan 1": {"name x": {}, "name x (line 3)": {}}, "end": {}}
