@@ -32,25 +32,44 @@ def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    """Documents that the quality classifier accepts (score of 0.7 or more).
+
+    Null texts are scored as empty ones, very long ones whole; rows that repeat are kept or dropped
+    together; labels of ids without a document, and null ids, teach nothing.  Where the labels know
+    one class only, or are empty, nothing tells documents apart and all have the base rate: they
+    stay if that reaches 0.7.  An empty table stays empty.
+    """
     model = quality.sampled_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(model.score_of(quality.statistics_of(F.col("text"))) >= 0.7)
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each text."""
+    """The document with the smallest id of each text (white space counts as one blank, null as empty).
+
+    Null ids come last; of rows that repeat id and text one stays, the first by source, language and
+    length.  Very long texts are compared in parts.  An empty table stays empty.
+    """
     return _kept(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "mark"))
 
 
 def one_of_each_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies (five-word shingles).
 
-    Documents with a null id stay only where no document of their component has one, once per text."""
+    Documents with a null id stay only where no document of their component has one, once per text.
+    Null and empty texts are near copies of each other; texts of fewer than five words are one
+    shingle.  An empty table stays empty.
+    """
     return _kept(docs, simhash.near_copies(docs).where("doc_id <=> component_id").select("doc_id", "mark").distinct())
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
+    """As many copies of each document as the mix takes, by words of the whole text.
+
+    Documents without words (null texts too) weigh nothing and are taken as often as the whole part of
+    their source's share; a null source is a source, placed last; null ids are ids.  Rows alike in id,
+    source and text are copies of one document, told apart by language and length.  Ties are drawn by
+    hash, alike in every run.  An empty table stays empty.
+    """
     key = ["id", "source", "mark"]
     sized = keep(_marked(docs).select("id", F.col("own.source").cast("string").alias("source"), "mark", mixing.word_count(F.col("own.text")).alias("size")), "mix-words")
     taken = mixing.mix(sized, id_col="id", size_col="size").where("copies > 0").select("doc_id", "source", "size", "copy", "copies")
@@ -72,7 +91,11 @@ def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the text decoded from them."""
+    """Token counts and digests of the ids and of the text decoded from them: a row per row.
+
+    Null and empty texts have no tokens; very long texts are encoded whole; null ids and repeated
+    rows keep their rows; other columns end here.  An empty table stays empty.
+    """
     return bpe.digests(docs)
 
 

@@ -57,3 +57,13 @@ def test_other_columns_of_any_name(spark, tmp_path):
                 assert now.columns == docs.columns
                 assert all(r[n] == f"{n}{r.doc_id}" for r in now.collect() for n in names)
         assert (now.count() > 20) == (table is docs)
+
+
+def test_empty_and_one_sided_labels(spark, tmp_path):
+    texts, labels = corpus(60, seed=9)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, rows in (("none", []), ("good", [(i, 1, 0) for i, _, _ in labels]), ("bad", [(i, 0, 0) for i, _, _ in labels])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        kept = P.good_quality(spark, docs, str(tmp_path / name)).count()
+        assert kept in (0, docs.count())  # nothing tells them apart
+        assert name != "bad" or kept == 0
