@@ -16,6 +16,7 @@ from ..operators import config as G
 from ..operators import crawl as W
 from ..operators import manuals as M
 from ..operators import marking as K
+from ..operators import paged as Q
 from ..operators import profiles as P
 from ..operators import tables as B
 from ..scratch import keep
@@ -71,7 +72,9 @@ def read_manuals(spark: SparkSession, root: str, profile: CardProfile | None = N
     texts = D.texts(files)
     lines = texts.select("doc", (F.col("suffix") == "txt").alias("plain"), F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "line"))
     lines = keep(lines.unionByName(ordered.select("doc", F.lit(None).cast("boolean").alias("plain"), F.col("place").alias("n"), F.col("text").alias("line"))), "manual-lines")
-    read = keep(P.cards_by_profile(lines, told), "cards")
+    columns = ["doc", "name", "card", "command", "n", "part", "line", "had_syntax", "had_parameters"]
+    by_page = Q.paged_cards(paragraphs.where("skipped IS NULL"), told)
+    read = keep(P.cards_by_profile(lines, told).select(columns).unionByName(by_page.select(columns)), "cards")
     chosen = keep(P.picked(read, told), "chosen-profiles")
     words = chosen.join(F.broadcast(told), "name")
     parts = read.join(chosen, ["doc", "name"]).where("part <> 'heading'").select("doc", "card", "command", "n", "part", "line")

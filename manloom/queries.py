@@ -995,3 +995,27 @@ def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "part").groupBy(doc.alias("doc")).agg(joined.alias("text"))
     told = profiles(spark)
     return picked(cards_by_profile(doc_lines(docs), told), told)
+
+
+@_query(
+    """WITH RECURSIVE p AS (SELECT p_partkey // 64 AS doc, row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY p_partkey) - 1 AS k, p_name, p_type FROM part),
+l AS (SELECT doc, max(k) AS last FROM p GROUP BY doc),
+pg AS (SELECT doc, k AS a, p_type || ' ' || i AS text, row_number() OVER (PARTITION BY doc ORDER BY k, i) - 1 AS j FROM p, range(2) r(i) WHERE i < CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END),
+q(doc, j, e) AS (SELECT doc, j, a FROM pg WHERE j = 0 UNION ALL SELECT pg.doc, pg.j, greatest(pg.a, q.e + 1) FROM q JOIN pg ON pg.doc = q.doc AND pg.j = q.j + 1)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY x, y) AS INTEGER) AS place, text FROM (
+  SELECT doc, 2 * k + 3 AS x, 0 AS y, p_name AS text FROM p UNION ALL
+  SELECT doc, CASE WHEN e <= last THEN 2 * e ELSE 2 * last + 4 END, CASE WHEN e <= last THEN 0 ELSE j END, text FROM pg JOIN q USING (doc, j) JOIN l USING (doc))"""
+)
+def page_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paged manuals of parts, an interval a part: some carry two positioned pages, the next one none."""
+    from .operators.paged import page_order
+
+    doc = F.floor(F.col("p_partkey") / 64)
+    k = F.row_number().over(Window.partitionBy(doc).orderBy("p_partkey")) - 1
+    told = _table(spark, sf_dir, "part").select(doc.alias("doc"), k.alias("k"), "p_name", "p_type")
+    line = lambda at, positioned, text: F.struct((F.col("k") * 10 + at).alias("n"), F.lit(positioned).alias("positioned"), text.alias("text"))
+    page = lambda i: [line(2 * i, True, F.lit("Running header")), line(2 * i + 1, True, F.concat("p_type", F.lit(f" {i}")))]
+    ends = [line(8, False, F.col("p_name")), line(9, False, F.lit("page 7"))]
+    rows = F.when(F.col("k") % 3 == 0, F.array(*page(0), *page(1), *ends)).when(F.col("k") % 3 == 1, F.array(*ends)).otherwise(F.array(*page(0), *ends))
+    paragraphs = told.select("doc", F.explode(rows).alias("r")).select("doc", "r.*").withColumn("page_footer", F.lit(r"^page \d+$"))
+    return page_order(paragraphs).select("doc", "place", "text")
