@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import spread
 from .tables import TOKEN, tokens_in, without_own_name
 
 _KEYS = ["doc", "card"]
@@ -142,7 +143,7 @@ def marks(card_lines: DataFrame, rows: DataFrame, lexicon: Lexicon | DataFrame)
     several alternatives; a stated domain; a described effect; and if there is none, a value.
     """
     table = rows.groupBy(*_KEYS).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("table"))
-    lines = card_lines.where("part = 'syntax'").select(*_KEYS, "command", "n", "line").join(table, _KEYS, "left")
+    lines = spread(card_lines.where("part = 'syntax'").select(*_KEYS, "command", "n", "line"), *_KEYS).join(table, _KEYS, "left")
     if isinstance(lexicon, DataFrame):
         lines = lines.join(lexicon.select("doc", "domain", "address", "effect", "ranges"), "doc")
     else:

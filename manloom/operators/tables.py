@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..scratch import keep
+from ..scratch import keep, spread
 
 #: What a word of a syntax line is, how far right of the header a name may begin, how
 #: far below the first piece of a name its second may stand, the shortest piece that tells anything,
@@ -209,6 +209,7 @@ def parameter_rows(card_lines: DataFrame, header: str = _HEADER, tail: str | Non
     row too; ``description`` is that without the row's own name.  Cards whose syntax vouches for no
     row are read by shape.
     """
+    card_lines = spread(card_lines, *_KEYS)
     body = keep(table_body(card_lines, header, tail, headerless=headerless), "table-bodies")
     starts = keep(row_starts(candidates(body, keep(vocabulary(card_lines), "vocabularies"))), "table-rows")
     shaped = starts_by_shape(body).join(starts.select(*_KEYS).distinct(), _KEYS, "left_anti")

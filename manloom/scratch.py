@@ -50,6 +50,12 @@ def drop(kept: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deals rows by key over as many tasks as shuffles have, however few bytes they are: for rows that
+    take long to work on.  Joins, windows and groups by these keys need no dealing of their own then."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Adds the global row number (from 1) in ``order`` without one task for all rows: range
     partitions count by themselves and are shifted by the counts of those before them."""
