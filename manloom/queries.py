@@ -1019,3 +1019,36 @@ def page_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.when(F.col("k") % 3 == 0, F.array(*page(0), *page(1), *ends)).when(F.col("k") % 3 == 1, F.array(*ends)).otherwise(F.array(*page(0), *ends))
     paragraphs = told.select("doc", F.explode(rows).alias("r")).select("doc", "r.*").withColumn("page_footer", F.lit(r"^page \d+$"))
     return page_order(paragraphs).select("doc", "place", "text")
+
+
+@_query(
+    """WITH c AS (SELECT 'n' || c_nationkey || '-' || c_custkey // 256 AS session, * FROM customer), s AS (SELECT DISTINCT session FROM c)
+SELECT session, '(config)#' AS context, 'client c' || c_custkey AS said, lower(c_mktsegment) AS token, 'its segment' AS told FROM c
+UNION ALL SELECT session, '(config)#', 'client c' || c_custkey, '<cr>', '' FROM c
+UNION ALL SELECT session, '(config)#', 'client c' || c_custkey || ' ' || lower(c_mktsegment), '', CASE WHEN c_acctbal < 0 THEN 'rejected' ELSE 'executed' END FROM c
+UNION ALL SELECT session, '>', 'enable', '', 'entered' FROM s UNION ALL SELECT session, '#', 'configure', '', 'entered' FROM s UNION ALL SELECT session, '(config)#', 'exit', '', 'entered' FROM s"""
+)
+def recorded_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw recordings of a session for up to 256 customers of a nation, written as a terminal showed
+    them and read again: what was offered below each client, and what came of each command."""
+    from .operators.help import parse_help
+    from .scratch import written_text
+    from .sources.recordings import read_recording
+
+    customer = _table(spark, sf_dir, "customer").withColumn("session", F.concat(F.lit("n"), "c_nationkey", F.lit("-"), F.floor(F.col("c_custkey") / 256)))
+    host = F.concat(F.lit("sw"), F.split("session", "-")[0])
+    client = F.concat(F.lit("client c"), "c_custkey", F.lit(" "))
+    shown = [F.concat(host, F.lit("(config)# "), client, F.lit("?\r")), F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit("   its segment\r")), F.lit("  <cr>\r"), F.concat(host, F.lit("(config)# "), client, F.lit("xx\b\b"), F.lower("c_mktsegment"), F.lit("\r"))]
+    shown = F.concat(F.array(*shown), F.when(F.col("c_acctbal") < 0, F.array(F.lit("% Invalid input\r"))).otherwise(F.array().cast("array<string>")))
+    lead = F.array(F.lit("authorised use> only\r"), F.concat(host, F.lit("> enable\r")), F.concat(host, F.lit("# \x1b[1mconfigure\x1b[0m\r")))
+    ends = F.array(F.concat(host, F.lit("(config)# exit\r")), F.concat(host, F.lit("#")))
+    sessions = customer.select("session").distinct()
+    lines = customer.select("session", F.col("c_custkey").alias("of"), F.posexplode(shown).alias("i", "value"))
+    lines = lines.union(sessions.select("session", F.lit(-1).cast("long"), F.posexplode(lead))).union(sessions.select("session", F.lit(1 << 62), F.posexplode(ends)))
+    at = written_text(lines.repartition("session").sortWithinPartitions("session", "of", "i").select("session", "value"), "recordings", "session")
+    read = read_recording(spark, at)
+    session = F.regexp_extract("session", r"session=([^/]+)/", 1)
+    offered = parse_help(read.help_rows.select(F.concat_ws("\t", session, "context", "prefix").alias("prefix"), "output")).withColumn("of", F.split("prefix", "\t"))
+    offered = offered.select(F.col("of")[0].alias("session"), F.col("of")[1].alias("context"), F.col("of")[2].alias("said"), "token", F.col("description").alias("told"))
+    done = X.probe_outcomes(read.executed.withColumn("before", F.col("fingerprint")))
+    return offered.union(done.select(session.alias("session"), "fingerprint", "command", F.lit(""), "outcome"))

@@ -43,6 +43,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def written_text(lines: DataFrame, name: str, by: str) -> str:
+    """Writes the one text column of ``lines`` below the shared folder, a folder for each value of
+    ``by``, and gives the place.  Removed when the driver's JVM ends."""
+    spark = lines.sparkSession
+    where = f"{shared_folder(spark)}/manloom/{name}-{uuid.uuid4().hex}"
+    lines.write.partitionBy(by).text(where)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def drop(kept: DataFrame) -> None:
     """Removes a table that ``keep`` wrote, when nothing reads it any more: a loop's last level."""
     spark = kept.sparkSession
