@@ -1022,33 +1022,111 @@ def page_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH c AS (SELECT 'n' || c_nationkey || '-' || c_custkey // 256 AS session, * FROM customer), s AS (SELECT DISTINCT session FROM c)
-SELECT session, '(config)#' AS context, 'client c' || c_custkey AS said, lower(c_mktsegment) AS token, 'its segment' AS told FROM c
-UNION ALL SELECT session, '(config)#', 'client c' || c_custkey, '<cr>', '' FROM c
-UNION ALL SELECT session, '(config)#', 'client c' || c_custkey || ' ' || lower(c_mktsegment), '', CASE WHEN c_acctbal < 0 THEN 'rejected' ELSE 'executed' END FROM c
+    f"""WITH {_PATHS}, c AS (SELECT 'n' || page_id % 25 || '-' || page_id // 6400 AS session, * FROM pages_at), s AS (SELECT DISTINCT session FROM c)
+SELECT session, '(config)#' AS context, 'page p' || page_id AS said, scheme AS token, 'its scheme' AS told FROM c
+UNION ALL SELECT session, '(config)#', 'page p' || page_id, '<cr>', '' FROM c
+UNION ALL SELECT session, '(config)#', 'page p' || page_id || ' ' || scheme, '', CASE WHEN page_id % 7 = 0 THEN 'rejected' ELSE 'executed' END FROM c
 UNION ALL SELECT session, '>', 'enable', '', 'entered' FROM s UNION ALL SELECT session, '#', 'configure', '', 'entered' FROM s UNION ALL SELECT session, '(config)#', 'exit', '', 'entered' FROM s"""
 )
 def recorded_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw recordings of a session for up to 256 customers of a nation, written as a terminal showed
-    them and read again: what was offered below each client, and what came of each command."""
+    """Raw recordings of a session for up to 256 pages, written as a terminal showed them and read
+    again: what was offered below each page, and what came of each command."""
     from .operators.help import parse_help
-    from .scratch import written_text
+    from .scratch import spread, written_text
     from .sources.recordings import read_recording
 
-    customer = _table(spark, sf_dir, "customer").withColumn("session", F.concat(F.lit("n"), "c_nationkey", F.lit("-"), F.floor(F.col("c_custkey") / 256)))
+    of = F.col("page_id")
+    page = _paths(spark, sf_dir).withColumn("session", F.concat(F.lit("n"), of % 25, F.lit("-"), F.floor(of / 6400)))
     host = F.concat(F.lit("sw"), F.split("session", "-")[0])
-    client = F.concat(F.lit("client c"), "c_custkey", F.lit(" "))
-    shown = [F.concat(host, F.lit("(config)# "), client, F.lit("?\r")), F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit("   its segment\r")), F.lit("  <cr>\r"), F.concat(host, F.lit("(config)# "), client, F.lit("xx\b\b"), F.lower("c_mktsegment"), F.lit("\r"))]
-    shown = F.concat(F.array(*shown), F.when(F.col("c_acctbal") < 0, F.array(F.lit("% Invalid input\r"))).otherwise(F.array().cast("array<string>")))
+    typed = F.concat(host, F.lit("(config)# page p"), of)
+    shown = [F.concat(typed, F.lit(" ?\r")), F.concat(F.lit("  "), "scheme", F.lit("   its scheme\r")), F.lit("  <cr>\r"), F.concat(typed, F.lit(" xx\b\b"), "scheme", F.lit("\r"))]
+    shown = F.concat(F.array(*shown), F.when(of % 7 == 0, F.array(F.lit("% Invalid input\r"))).otherwise(F.array().cast("array<string>")))
     lead = F.array(F.lit("authorised use> only\r"), F.concat(host, F.lit("> enable\r")), F.concat(host, F.lit("# \x1b[1mconfigure\x1b[0m\r")))
     ends = F.array(F.concat(host, F.lit("(config)# exit\r")), F.concat(host, F.lit("#")))
-    sessions = customer.select("session").distinct()
-    lines = customer.select("session", F.col("c_custkey").alias("of"), F.posexplode(shown).alias("i", "value"))
+    sessions = page.select("session").distinct()
+    lines = page.select("session", of.alias("of"), F.posexplode(shown).alias("i", "value"))
     lines = lines.union(sessions.select("session", F.lit(-1).cast("long"), F.posexplode(lead))).union(sessions.select("session", F.lit(1 << 62), F.posexplode(ends)))
-    at = written_text(lines.repartition("session").sortWithinPartitions("session", "of", "i").select("session", "value"), "recordings", "session")
+    at = written_text(spread(lines, "session").sortWithinPartitions("session", "of", "i").select("session", "value"), "recordings", "session")
     read = read_recording(spark, at)
     session = F.regexp_extract("session", r"session=([^/]+)/", 1)
     offered = parse_help(read.help_rows.select(F.concat_ws("\t", session, "context", "prefix").alias("prefix"), "output")).withColumn("of", F.split("prefix", "\t"))
     offered = offered.select(F.col("of")[0].alias("session"), F.col("of")[1].alias("context"), F.col("of")[2].alias("said"), "token", F.col("description").alias("told"))
     done = X.probe_outcomes(read.executed.withColumn("before", F.col("fingerprint")))
     return offered.union(done.select(session.alias("session"), "fingerprint", "command", F.lit(""), "outcome"))
+
+
+def _page_part(section: int, title: str, heads: str, rows: str, *, empty: str | None = None, note: str | None = None, says: bool = False) -> str:
+    """SQL for a section of a report over ``rows(i, cells, says)``."""
+    some, none = f"(SELECT count(*) FROM {rows}) > 0", f"(SELECT count(*) FROM {rows}) = 0"
+    lead = """'<tr data-says="' || says || '"><td>'""" if says else "'<tr><td>'"
+    columns = "".join(f"<th>{h}</th>" for h in ["#", *heads.split(",")])
+    parts = [
+        f"SELECT {section} AS section, i AS place, {lead} || i || '</td><td>' || array_to_string(cells, '</td><td>') || '</td></tr>' AS html FROM {rows}",
+        f"SELECT {section}, -3, '<h2>{title} <span>' || (SELECT count(*) FROM {rows}) || '</span></h2>'" + ("" if empty is not None else f" WHERE {some}"),
+        f"SELECT {section}, -1, '<table><thead><tr>{columns}</tr></thead><tbody>' WHERE {some}",
+        f"SELECT {section}, {1 << 62}, '</tbody></table>' WHERE {some}",
+    ]
+    if note is not None:
+        parts.append(f"SELECT {section}, -2, '<p class=\"bad\">{note}</p>' WHERE {some}")
+    if empty is not None:
+        parts.append(f"SELECT {section}, 0, '<p>{empty}</p>' WHERE {none}")
+    return " UNION ALL ".join(parts)
+
+
+_SAFE = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+_PAGE_SQL = f"""WITH cat AS (
+  SELECT 'p' || page_id || ' ' || url AS command, CASE WHEN page_id // 4 % 3 = 0 THEN '' ELSE '<' || page_id % 10 || '> & ' || page_id % 9 END AS description, page_id % 4 IN (0, 2) AS dev, page_id % 4 > 0 AS man, page_id // 12 % 2 = 1 AS gone FROM pages
+), told AS (
+  SELECT command, {_SAFE.format("command")} AS c, CASE WHEN description = '' THEN '-' ELSE {_SAFE.format("description")} END AS d, lower({_SAFE.format("command || ' ' || description")}) AS says, gone FROM cat WHERE man AND NOT dev
+), missing AS (SELECT row_number() OVER (ORDER BY command) AS i, ['<code>' || c || '</code>', d] AS cells, says FROM told WHERE gone),
+unseen AS (SELECT row_number() OVER (ORDER BY command) AS i, ['<code>' || c || '</code>', d] AS cells, says FROM told WHERE NOT gone),
+vers AS (SELECT row_number() OVER (ORDER BY 'show version ' || r_name) AS i, ['<code>show version ' || r_name || '</code>', CASE WHEN r_regionkey = 0 THEN 'no answer: timed out' ELSE '<pre>rel &amp; ' || r_regionkey || '</pre>' END] AS cells FROM region),
+seg AS (SELECT lower(c_mktsegment) AS device, count(*) AS lines, count(*) FILTER (c_acctbal < 0) AS free, count(*) FILTER (c_acctbal >= 0 AND c_custkey % 3 = 0) AS un, count(*) FILTER (c_acctbal >= 0 AND c_custkey % 3 > 0) AS ok FROM customer GROUP BY 1),
+share AS (SELECT *, CAST(round(10000 * CASE WHEN un + ok > 0 THEN round_even(ok / (un + ok), 4) ELSE 1 END) AS BIGINT) AS x FROM seg),
+cover AS (SELECT row_number() OVER (ORDER BY device) AS i, [device, lines::VARCHAR, ok::VARCHAR, un::VARCHAR, x // 100 || '.' || lpad((x % 100)::VARCHAR, 2, '0') || '%'] AS cells FROM share),
+gap AS (SELECT row_number() OVER (ORDER BY device) AS i, [device, '<code>client &lt;value&gt;</code>', un::VARCHAR] AS cells FROM seg WHERE un > 0),
+ctx AS (SELECT row_number() OVER (ORDER BY n_name) AS i, ['<code>(n-*)#</code>', CASE WHEN n_regionkey = 0 THEN 'root' ELSE 'configure / nation ' || n_nationkey END, n_regionkey::VARCHAR,
+  CASE n_nationkey % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete: no sample for &lt;a&gt;, &lt;b&gt;, &lt;c&gt;, &lt;d&gt; and 1 more; too deep: ' || n_nationkey WHEN 2 THEN 'incomplete: copied branches that weren&#x27;t confirmed: ' || n_nationkey ELSE 'incomplete' END] AS cells FROM nation),
+ran AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, ['<code>ping ' || s_name || '</code>'] AS cells FROM supplier)
+SELECT 0 AS section, 2 AS place, '<p>on the device: <b>' || count(*) FILTER (dev) || '</b>, in manuals: <b>' || count(*) FILTER (man) || '</b>, queries: <b>7</b></p>' AS html FROM cat
+UNION ALL SELECT 2, 0, '<p class="bad">The walk is incomplete: parts of the device were not seen, so what follows is not exhaustive.</p>'
+UNION ALL SELECT 2, 1, '<input id="find" type="search" aria-label="Search commands and descriptions">' WHERE (SELECT count(*) FROM told) > 0
+UNION ALL """ + " UNION ALL ".join(
+    [
+        _page_part(1, "Firmware", "Command,Answer", "vers"),
+        _page_part(3, "Missing on the device", "Command,Description", "missing", empty="No commands.", says=True),
+        _page_part(4, "Not observed", "Command,Description", "unseen", note="The walk did not reach these branches; it can''t be said that the device lacks them.", says=True),
+        _page_part(5, "Configurations", "Device,Lines,Explained,Not in the catalog,Share", "cover", empty="No configuration."),
+        _page_part(6, "Configured but not in the catalog", "Device,Command,Lines", "gap", empty="Every configured line is explained."),
+        _page_part(7, "Contexts", "Prompt,Entered by,Commands,Walk", "ctx"),
+        _page_part(8, "Commands entered", "Command", "ran", empty="Nothing was entered; only help was asked for."),
+    ]
+)
+
+
+@_query(_PAGE_SQL)
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report: pages as commands, customers as configured lines, nations as contexts."""
+    from .sources.report import report_lines
+
+    page, nation, of = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "nation"), F.col("page_id")
+    command = F.concat(F.lit("p"), of, F.lit(" "), "url")
+    source = F.array(F.when(of % 4 != 0, "documentation:m"), F.when(of % 2 == 0, "cli"))
+    text = F.when(F.floor(of / 4) % 3 == 0, "").otherwise(F.concat(F.lit("<"), of % 10, F.lit("> & "), of % 9))
+    catalog = page.select(command.alias("command"), text.alias("description"), F.array_compact(source).alias("sources"))
+    catalog = C.reconciled(catalog, complete=False, absent=page.select(command.alias("command"), (F.floor(of / 12) % 2 == 1).alias("absent")))
+    status = F.when(F.col("c_acctbal") < 0, "free-text").when(F.col("c_custkey") % 3 == 0, "unmatched").otherwise("matched")
+    matched = _table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("device"), F.array(F.concat(F.lit("client c"), "c_custkey")).alias("path"), status.alias("status"))
+    version = _table(spark, sf_dir, "region").select(
+        F.concat(F.lit("show version "), "r_name").alias("command"), F.when(F.col("r_regionkey") > 0, F.concat(F.lit("rel & "), "r_regionkey")).alias("output"), F.lit("timed out").alias("error")
+    )
+    turn, key = F.col("n_nationkey") % 4, F.col("n_nationkey").cast("long")
+    none = F.array().cast("array<string>")
+    contexts = nation.select(
+        F.col("n_name").alias("name"), F.lit("(n-*)#").alias("fingerprint"), F.when(F.col("n_regionkey") == 0, none).otherwise(F.array(F.lit("configure"), F.concat(F.lit("nation "), "n_nationkey"))).alias("entry_path"),
+        F.col("n_regionkey").alias("commands"), (turn == 0).alias("complete"), F.when(turn == 1, F.array(*[F.lit(f"<{c}>") for c in "abcde"])).alias("skipped_parameters"),
+        F.when(turn == 1, key).alias("skipped_depth"), F.when(turn == 2, key).alias("mismatched"),
+    )
+    executed = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), F.concat(F.lit("ping "), "s_name").alias("command"))
+    lines = report_lines(catalog, complete=False, queries=7, firmware=version, coverage=G.coverage(matched), gaps=G.gaps(matched), contexts=contexts, executed=executed)
+    return lines.where("section BETWEEN 1 AND 8 OR (section = 0 AND place = 2)")  # the frame is fixed text
