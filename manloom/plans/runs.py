@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,8 +19,9 @@ from ..operators import marking as K
 from ..operators import paged as Q
 from ..operators import profiles as P
 from ..operators import tables as B
-from ..scratch import keep
+from ..scratch import keep, placed
 from ..sources import documents as D
+from ..sources import recordings as R
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,9 @@ class Run:
     coverage: DataFrame | None = None
     gaps: DataFrame | None = None
     records: DataFrame | None = None
+    contexts: DataFrame | None = None
+    executed: DataFrame | None = None
+    firmware: DataFrame | None = None
 
 
 def read_manuals(spark: SparkSession, root: str, profile: CardProfile | None = None, preferred: str | None = None, *, profiles: str | Path = P.BUILT_IN) -> Run:
@@ -126,6 +130,10 @@ def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals:
     if manuals is not None:
         asked = manuals.select("command").orderBy("command").limit(verify) if verify else manuals.select("command")
     walked = W.walk(help_rows, verify=asked, limits=limits)
+    return _held_against(walked, manuals, dumps, contexts)
+
+
+def _held_against(walked: W.Walk, manuals: DataFrame | None, dumps: DataFrame | None, contexts: DataFrame | None) -> Run:
     entries = walked.commands.select("command", "description", "executable", F.lit("cli").alias("source"), F.lit(1).alias("rank"))
     if manuals is not None:
         held = manuals.select("command", "description", F.lit(False).alias("executable"), F.explode("sources").alias("source"), F.lit(0).alias("rank"))
@@ -135,7 +143,7 @@ def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals:
     coverage = gaps = None
     if dumps is not None:
         device = catalog.where(C.on_device(F.col("sources"))).select("command", F.col("command").alias("place"))
-        views = G.view_prefixes(contexts if contexts is not None else help_rows.sparkSession.createDataFrame([], "name string, entry_path array<string>"))
+        views = G.view_prefixes(contexts if contexts is not None else dumps.sparkSession.createDataFrame([], "name string, entry_path array<string>"))
         matched = G.correlate(G.config_lines(dumps), device, views)
         coverage, gaps = G.coverage(matched), G.gaps(matched)
         totals["complete"] = totals["complete"] and gaps.isEmpty()
@@ -144,3 +152,40 @@ def read_device(help_rows: DataFrame, limits: W.Limits = W.Limits(), *, manuals:
     else:
         catalog = catalog.withColumn("status", F.lit("present"))
     return Run(catalog, totals, None, coverage, gaps)
+
+
+def read_recorded(
+    spark: SparkSession, root: str, limits: W.Limits = W.Limits(), *, manuals: DataFrame | None = None, config_commands: list[str] = ("show running-config",), version_commands: list[str] = ("show version",),
+    pattern: str | None = None, skim: bool = False,
+) -> Run:
+    """A device as raw recordings of its sessions show it, against the manuals if they are given.
+
+    Contexts are those that recorded commands lead to from the prompt that most sessions begin with
+    (ties: the first by text); their help is walked together.  Answers to ``config_commands`` are held
+    against the catalog, those to ``version_commands`` are kept with identities redacted.  Recordings
+    without any exchange are refused.
+    """
+    recording = R.read_recording(spark, root, pattern=pattern)
+    executed = keep(recording.executed, "executed")
+    asked = keep(recording.help_rows, "asked")
+    begun = recording.exchanges.groupBy("session").agg(F.min_by("fingerprint", "n").alias("fingerprint")).where("fingerprint IS NOT NULL")
+    first = begun.groupBy("fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fingerprint").first()
+    if first is None:
+        raise ValueError(f"no session is recorded below {root}")
+    leaves = F.lower(T.head_word(F.col("command"))).isin(*R.LEAVING)  # they lead back, into no new context
+    found = W.discovered(executed.where(~leaves).drop("session"), first["fingerprint"], verbs=None, denied=[])
+    again = F.row_number().over(Window.partitionBy("name").orderBy("place"))  # contexts are bounded in number
+    contexts = found.contexts.withColumn("name", F.when(again == 1, F.col("name")).otherwise(F.concat("name", F.lit("~"), F.col("place").cast("string"))))
+    contexts = keep(contexts, "contexts-named")
+    up = F.slice("entry_path", 1, F.greatest(F.size("entry_path") - 1, F.lit(0)))
+    child = contexts.where("depth > 0").select(up.alias("at"), F.element_at("entry_path", -1).alias("command"), F.col("name").alias("child"))
+    probes = child.join(contexts.select(F.col("entry_path").alias("at"), F.col("name").alias("context")), "at").select("context", "command", F.lit("entered").alias("outcome"), "child")
+    rows = asked.withColumn("key", T.context_key(F.col("fingerprint"), F.col("entry_path"))).join(contexts.select("key", F.col("name").alias("context")), "key").select("context", "prefix", "output")
+    walked, per = W.walk_contexts(rows, contexts, probes, limits, skim=skim)
+    dumps = recording.dumps(list(config_commands))
+    run = _held_against(walked, manuals, keep(dumps, "dumps"), contexts)
+    run.contexts = contexts.join(per, "name").select("name", "fingerprint", "entry_path", "commands", "complete")
+    run.executed = placed(executed.select("session", "ord", "command"), [F.col("session"), F.col("ord")], "n").select("n", "command")
+    versions = executed.where(F.col("command").isin(*version_commands)).select("session", F.col("command").alias("source_command"), F.col("answer").alias("output"))
+    run.firmware = D.firmware(versions).select(F.col("source_command").alias("command"), "output", F.lit(None).cast("string").alias("error")).distinct()
+    return run

@@ -1049,7 +1049,7 @@ def recorded_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = written_text(spread(lines, "session").sortWithinPartitions("session", "of", "i").select("session", "value"), "recordings", "session")
     read = read_recording(spark, at)
     session = F.regexp_extract("session", r"session=([^/]+)/", 1)
-    offered = parse_help(read.help_rows.select(F.concat_ws("\t", session, "context", "prefix").alias("prefix"), "output")).withColumn("of", F.split("prefix", "\t"))
+    offered = parse_help(read.help_rows.select(F.concat_ws("\t", session, "fingerprint", "prefix").alias("prefix"), "output")).withColumn("of", F.split("prefix", "\t"))
     offered = offered.select(F.col("of")[0].alias("session"), F.col("of")[1].alias("context"), F.col("of")[2].alias("said"), "token", F.col("description").alias("told"))
     done = X.probe_outcomes(read.executed.withColumn("before", F.col("fingerprint")))
     return offered.union(done.select(session.alias("session"), "fingerprint", "command", F.lit(""), "outcome"))

@@ -30,34 +30,36 @@ class Recording:
     exchanges: DataFrame
     counts: dict[str, int]
 
+    @property
+    def located(self) -> DataFrame:
+        """``exchanges`` with ``entry_path``: the command that last led to the prompt's mode in its session,
+        going back apart; none where the session began so."""
+        typed = T.one_spaced(F.col("typed"))
+        command = F.when(~F.col("typed").rlike(r"\?$") & (typed != "") & ~F.col("shown_again"), typed)
+        leaves = F.lower(T.head_word(typed)).isin(*LEAVING)
+        leads = command.isNotNull() & F.col("after").isNotNull() & ~F.col("after").eqNullSafe(F.col("fingerprint")) & ~leaves
+        own = self.exchanges.withColumn("command", command)
+        steps = own.where(leads).select("session", "n", F.col("after").alias("fingerprint"), F.col("command").alias("step"))
+        told = own.withColumn("real", F.lit(True)).unionByName(steps, allowMissingColumns=True)
+        before = Window.partitionBy("session", "fingerprint").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        told = told.withColumn("step", F.last("step", ignorenulls=True).over(before)).where("real")
+        path = F.when(F.col("step").isNull(), F.array().cast("array<string>")).otherwise(F.array("step"))
+        return told.withColumn("entry_path", path).drop("real", "step")
+
     @property
     def help_rows(self) -> DataFrame:
-        """``(session, context, prefix, output)``: answers to a question mark that stands by itself;
-        ``context`` is the fingerprint of the prompt it was typed at."""
-        asked = self.exchanges.where(F.col("typed").rlike(r"(?:^|\s)\?$"))
-        prefix = T.one_spaced(F.regexp_replace("typed", r"\?$", ""))
-        return asked.select("session", F.col("fingerprint").alias("context"), prefix.alias("prefix"), "output")
+        """``(session, fingerprint, entry_path, prefix, output)``: answers to a question mark that stands
+        by itself."""
+        asked = self.located.where(F.col("typed").rlike(r"(?:^|\s)\?$"))
+        return asked.select("session", "fingerprint", "entry_path", T.one_spaced(F.regexp_replace("typed", r"\?$", "")).alias("prefix"), "output")
 
     @property
     def executed(self) -> DataFrame:
         """``(session, ord, fingerprint, entry_path, command, answer, after)``: commands that were entered,
-        as ``crawl.discovered`` takes them.
-
-        ``entry_path`` is the command that last led to the prompt's mode, going back apart; a session
-        that ends within an answer has no ``after``.  A prompt line that only shows again what stood
-        before a question mark is no command.
-        """
-        typed = T.one_spaced(F.col("typed"))
-        done = self.exchanges.where(~F.col("typed").rlike(r"\?$") & (typed != "") & ~F.col("shown_again"))
-        leaves = F.lower(T.head_word(typed)).isin(*LEAVING)
-        led = F.col("after").isNotNull() & ~F.col("after").eqNullSafe(F.col("fingerprint")) & ~leaves
-        own = done.select("session", F.col("n").alias("ord"), "fingerprint", typed.alias("command"), F.col("output").alias("answer"), "after", led.alias("led"))
-        steps = own.where("led").select("session", "ord", F.col("after").alias("fingerprint"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("after"), F.col("command").alias("step"))
-        told = own.drop("led").withColumn("step", F.lit(None).cast("string")).unionByName(steps)
-        before = Window.partitionBy("session", "fingerprint").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-        told = told.withColumn("step", F.last("step", ignorenulls=True).over(before)).where("command IS NOT NULL")
-        path = F.when(F.col("step").isNull(), F.array().cast("array<string>")).otherwise(F.array("step"))
-        return told.select("session", "ord", "fingerprint", path.alias("entry_path"), "command", "answer", "after")
+        as ``crawl.discovered`` takes them.  A session that ends within an answer has no ``after``.  A
+        prompt line that only shows again what stood before a question mark is no command."""
+        done = self.located.where("command IS NOT NULL")
+        return done.select("session", F.col("n").alias("ord"), "fingerprint", "entry_path", "command", F.col("output").alias("answer"), "after")
 
     def dumps(self, commands: list[str]) -> DataFrame:
         """``(device, source_command, output)``: answers to the commands that show a configuration; of

@@ -46,7 +46,7 @@ def recording(request, spark, tmp_path):
 
 def test_exchanges_help_and_commands(recording):
     assert recording.counts == {"lines": 22, "prompts": 12, "before_prompt": 1}
-    help_rows = {(r.session, r.context, r.prefix): r.output for r in recording.help_rows.collect()}
+    help_rows = {(r.session, r.fingerprint, r.prefix): r.output for r in recording.help_rows.collect()}
     assert help_rows == {("lab/a.log", "#", ""): "  configure  Enter mode\n  show       Show things", ("lab/a.log", "#", "show"): "  vlan   VLANs\n  <cr>"}
     done = [(r.session, r.fingerprint, list(r.entry_path), r.command, r.after) for r in recording.executed.orderBy("session", "ord").collect()]
     assert done == [
