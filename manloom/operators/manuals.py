@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import spread
 
 #: Fence languages that hold no command line.
 CODE_LANGUAGES = "python py python3 ruby perl go rust c cpp java js javascript ts typescript yaml yml json toml ini xml html css diff patch sql make makefile dockerfile".split()
@@ -25,8 +26,11 @@ _TWO_COLUMNS = r"^\s*([a-z][^\t]*?)(?:\t+|\s{2,})(\S.*?)\s*$"
 
 
 def doc_lines(documents: DataFrame) -> DataFrame:
-    """``(doc, text)`` -> ``(doc, n, line)``."""
-    return documents.select("doc", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "line"))
+    """``(doc, text)`` -> ``(doc, n, line)``.
+
+    Documents are dealt over all tasks before they are cut: packed as they are, Spark takes many for
+    little work, and one task would sort the lines of all that it is given."""
+    return spread(documents.select("doc", "text"), "doc").select("doc", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "line"))
 
 
 def _up_to() -> Window:
@@ -110,16 +114,18 @@ def parameter_rows(card_lines: DataFrame) -> DataFrame:
     """Rows of fixed-width parameter tables: ``(doc, card, name, description)``.
 
     A row begins with a token that the card's syntax holds, placeholders taken bare; lines that
-    don't are the description going on."""
+    don't are the description going on.  What the syntax holds is told to every line of its card by a
+    window, so the lines need no join."""
     keys = ["doc", "card"]
-    bare = F.regexp_replace("token", r"[<>{}\[\]()|]", "")
-    known = card_lines.where("part = 'syntax'").select(*keys, F.explode(F.split("line", r"[\s|{}\[\]]+")).alias("token")).select(*keys, F.lower(bare).alias("name")).where("name <> ''").distinct().withColumn("known", F.lit(True))
-    body = card_lines.where("part = 'parameters'").withColumn("name", F.lower(F.regexp_replace(F.regexp_extract("line", r"^\s*(\S+)(?:\s{2,}|\t|\s*$)", 1), r"[<>]", "")))
+    bare = F.transform(F.split("line", r"[\s|{}\[\]]+"), lambda t: F.lower(F.regexp_replace(t, r"[<>{}\[\]()|]", "")))
+    told = card_lines.where("part IN ('syntax', 'parameters')").withColumn("known", F.collect_list(F.when(F.col("part") == "syntax", bare)).over(Window.partitionBy(*keys)))
+    body = told.where("part = 'parameters'").withColumn("name", F.lower(F.regexp_replace(F.regexp_extract("line", r"^\s*(\S+)(?:\s{2,}|\t|\s*$)", 1), r"[<>]", "")))
+    body = body.withColumn("known", F.coalesce((F.col("name") != "") & F.exists("known", lambda words: F.array_contains(words, F.col("name"))), F.lit(False)))
     over = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    told = body.join(known, [*keys, "name"], "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumn("row", F.sum(F.col("known").cast("int")).over(over)).where("row > 0")
+    rows = body.withColumn("row", F.sum(F.col("known").cast("int")).over(over)).where("row > 0")
     text = F.when(F.col("known"), F.regexp_extract("line", r"^\s*\S+\s*(.*?)\s*$", 1)).otherwise(F.trim("line"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"])
-    return told.groupBy(*keys, "row").agg(F.min_by("name", "n").alias("name"), T.one_spaced(F.array_join(parts, " ")).alias("description")).drop("row")
+    return rows.groupBy(*keys, "row").agg(F.min_by("name", "n").alias("name"), T.one_spaced(F.array_join(parts, " ")).alias("description")).drop("row")
 
 
 def purposes(card_lines: DataFrame) -> DataFrame:
@@ -144,10 +150,11 @@ def table_row_of(words: DataFrame, rows: DataFrame) -> DataFrame:
     low = F.lower("token")
     head = F.split(low, "/")[0]
     spellings = F.array(low, head, F.regexp_replace(low, "[.,;:]+$", ""), T.stem(low), T.stem(head))
-    asked = words.select("doc", "card", "token").distinct().select("doc", "card", "token", F.posexplode(spellings).alias("turn", "key"))
-    listed = rows.groupBy("doc", "card", F.col("name").alias("key")).agg(F.min("description").alias("description"))
-    found = asked.join(listed, ["doc", "card", "key"]).groupBy("doc", "card", "token").agg(F.min_by(F.struct("key", "description"), "turn").alias("_row"))
-    return words.join(found, ["doc", "card", "token"], "left").select("*", "_row.*").drop("_row")
+    listed = rows.where("name IS NOT NULL").groupBy("doc", "card", "name").agg(F.min("description").alias("description"))
+    tables = listed.groupBy("doc", "card").agg(F.map_from_entries(F.collect_list(F.struct("name", "description"))).alias("_table"))
+    # merged: by the size of the files that they come from, tables look small enough to broadcast
+    told = words.join(tables.hint("merge"), ["doc", "card"], "left").withColumn("key", F.get(F.filter(spellings, lambda k: F.map_contains_key("_table", k)), F.lit(0)))
+    return told.withColumn("description", F.col("_table")[F.col("key")]).drop("_table")
 
 
 def unmatched_rows(card_lines: DataFrame, rows: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def unmatched_rows(card_lines: DataFrame, rows: DataFrame) -> DataFrame:
     token = F.regexp_replace("raw", r"[<>{}\[\]|]", "")
     words = card_lines.where("part = 'syntax'").select("doc", "card", F.explode(T.words(F.regexp_replace("line", r"([{}\[\]|])", " $1 "))).alias("raw")).select("doc", "card", token.alias("token")).where("token <> ''")
     used = table_row_of(words, rows).where("key IS NOT NULL").select("doc", "card", F.col("key").alias("name"))
-    return rows.join(used.distinct(), ["doc", "card", "name"], "left_anti").select("doc", "card", "name", "description")
+    return rows.join(used.distinct().hint("merge"), ["doc", "card", "name"], "left_anti").select("doc", "card", "name", "description")
 
 
 def marks(card_lines: DataFrame, rows: DataFrame) -> DataFrame:

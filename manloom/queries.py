@@ -15,6 +15,7 @@ from .functions import text as T
 from .operators import catalog as C
 from .operators import config as G
 from .operators import contexts as X
+from .scratch import spread
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -689,7 +690,8 @@ def _manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n          of the scale\n```\n**Purpose**\nset "), name, F.lit(" - "), F.col("p_type"), F.lit("\n**Notes**\nnothing"),
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda x: x["text"]), "\n")
-    docs = _table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 64).alias("doc")).agg(joined.alias("text"))
+    # dealt by document first: a grouping's own dealing would be packed into few tasks
+    docs = spread(_table(spark, sf_dir, "part").select("*", F.floor(F.col("p_partkey") / 64).alias("doc")), "doc").groupBy("doc").agg(joined.alias("text"))
     return cards(doc_lines(docs), r"^### (.+)$", {"syntax": ["Syntax"], "parameters": ["Parameters"], "purpose": ["Purpose"]})
 
 

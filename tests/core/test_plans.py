@@ -29,3 +29,8 @@ def test_columns_are_pruned(spark):
 def test_filters_are_pushed(spark):
     df = queries._table(spark, str(SF), "documents").where("lang = 'de'").select("doc_id")
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["card_marks"])
+def test_tables_of_cards_are_not_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan(spark, name)
