@@ -31,6 +31,6 @@ def test_filters_are_pushed(spark):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["card_marks"])
+@pytest.mark.parametrize("name", ["card_marks", "card_measurement"])
 def test_tables_of_cards_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(spark, name)
