@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from manloom import queries
+from manloom.operators import manuals
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
@@ -34,3 +35,9 @@ def test_filters_are_pushed(spark):
 @pytest.mark.parametrize("name", ["card_marks", "card_measurement"])
 def test_tables_of_cards_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(spark, name)
+
+
+def test_lines_of_documents_are_dealt_over_all_tasks(spark):
+    assert "REPARTITION_BY_NUM" in plan(spark, "table_rows")
+    lines = manuals.doc_lines(spark.createDataFrame([(1, "a\nb")], "doc long, text string"))
+    assert "REPARTITION_BY_NUM" in lines._jdf.queryExecution().executedPlan().toString()
