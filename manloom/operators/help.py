@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import spread as dealt
 
 LINE_BREAK = r"[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_BLANKS = " \t\n\x0b\x0c\r"
 #: What a line of an answer may be.
 _ERROR = r"(?i)^(?:%|\^|error\b|invalid\b|unrecognized\b|unknown\b|ambiguous\b|incomplete\b|syntax\s+error\b|bad\s+command\b|command\s+not\s+found\b)"
 _HEADER = r"(?i)^(?:possible\s+completions|available\s+(?:commands|options)|commands|options)\s*:\s*$"
 _PAGER = r"(?i)--+\s*more\s*--+|press\s+(?:any\s+key|space)|\(\s*q\s*\)\s*uit"
+_NOISE = rf"^(?:\??$|[%^])|{_HEADER}|{_PAGER}"
 _OPTION = r"^\s+(\S+)(?:\s{2,}|\t+)(\S.*?)\s*$"
 _ENTER = r"(?i)^\s+(<cr>|<return>|<enter>|<\[enter\]>|\[enter\])\s*$"
 _LONE = r"^\s+([A-Za-z0-9<][\w.:/<>\[\]{}|-]*)\s*$"
@@ -34,29 +37,21 @@ def parse_help(responses: DataFrame, *, undescribed: bool = False, error_words:
     and later sums by prefix need; without ``spread`` they are taken to lie so already.
     """
     if spread:
-        responses = responses.select("prefix", "output").repartition("prefix")
-    query = T.one_spaced(F.col("prefix"))
-    answers = responses.select("prefix", F.split(T.terminal_cleaned(F.col("output")), LINE_BREAK).alias("lines"), query.alias("query"))
-
-    def option(x: Column) -> Column:
-        """Token and description of an indented line; no token if it is none."""
-        line, bare = x["line"], x["bare"]
-        asked = F.trim(F.regexp_replace(bare, r"[?\s]+$", ""))
-        lead = lambda a: F.rtrim(F.left(a, F.length(a) - F.length("query")))
-        echoed = F.when(F.col("query") == "", False).otherwise(F.exists(F.array(asked), lambda a: (a == F.col("query")) | (F.endswith(a, F.col("query")) & lead(a).rlike(r"[#>$]$"))))
-        refused = bare.rlike(r"^[%^]") if error_words else bare.rlike(r"^[%^]") | bare.rlike(_ERROR)
-        noise = (bare == "") | (bare == "?") | bare.rlike(_HEADER) | bare.rlike(_PAGER) | refused | echoed
-        described = F.split(F.regexp_replace(line, _OPTION, "$1\x01$2"), "\x01")
-        alone = F.regexp_extract(line, _ENTER, 1)
-        if undescribed:
-            alone = F.coalesce(F.when(alone != "", alone), F.regexp_extract(line, _LONE, 1))
-        parts = F.transform(F.array(described), lambda d: F.when(F.size(d) > 1, F.struct(d[0].alias("token"), F.get(d, F.lit(1)).alias("description"))).otherwise(F.struct(alone.alias("token"), F.lit("").alias("description"))))[0]
-        return F.when(~noise, F.struct(x["pos"].alias("pos"), parts["token"].alias("token"), parts["description"].alias("description")))
-
-    # a line is looked at once, before it becomes a row; only indented ones can be options
-    told = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(r"^\s"))
-    bared = F.transform(told, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.trim(F.regexp_replace(x["line"], r"^\s+|\s+$", "")).alias("bare")))
-    options = answers.select("prefix", F.explode(F.filter(F.transform(bared, option), lambda o: o.isNotNull() & (o["token"] != ""))).alias("o")).select("prefix", "o.*")
+        responses = dealt(responses.select("prefix", "output"), "prefix")
+    answers = responses.select("prefix", F.posexplode(F.split(T.terminal_cleaned(F.col("output")), LINE_BREAK)).alias("pos", "line"), T.one_spaced(F.col("prefix")).alias("query"))
+    # only indented lines can be options; as rows, each is looked at in generated code
+    told = answers.where(F.substring("line", 1, 1).isin(*_BLANKS)).withColumn("bare", F.btrim("line", F.lit(_BLANKS)))
+    bare, query = F.col("bare"), F.col("query")
+    asked = F.rtrim(bare, F.lit("?" + _BLANKS))
+    lead = F.rtrim(F.left(asked, F.length(asked) - F.length(query)))
+    echoed = (query != "") & F.contains(bare, query) & ((asked == query) | (F.endswith(asked, query) & lead.rlike(r"[#>$]$")))
+    noise = bare.rlike(_NOISE if error_words else f"{_NOISE}|{_ERROR}") | F.coalesce(echoed, F.lit(False))
+    alone = F.regexp_extract("line", _ENTER, 1)
+    if undescribed:
+        alone = F.coalesce(F.when(alone != "", alone), F.regexp_extract("line", _LONE, 1))
+    told = told.where(~noise).withColumn("described", F.regexp_extract("line", _OPTION, 1))
+    token = F.when(F.col("described") != "", F.col("described")).otherwise(alone)
+    options = told.select("prefix", "pos", token.alias("token"), F.when(F.col("described") != "", F.regexp_extract("line", _OPTION, 2)).otherwise("").alias("description")).where("token <> ''")
     first = options.withColumn("_n", F.row_number().over(Window.partitionBy("prefix", "token").orderBy("pos"))).where("_n = 1")
     return first.select("prefix", "pos", "token", T.option_kind(F.col("token")).alias("kind"), "description")
 

@@ -233,3 +233,9 @@ def test_trees_are_written_and_read_back_equal(spark, tmp_path):
     matched = spark.createDataFrame([("d", 0, ["vlan 1"], "vlan 1", 1, "matched"), ("d", 1, ["vlan 1", "name x"], "name x", 2, "unmatched"), ("d", 2, ["vlan 1", "name x"], "name x", 3, "matched"), ("d", 3, ["end"], "end", 4, "free-text")], "device string, seq int, path array<string>, text string, number int, status string")
     got = [r.line for r in sinks.config_lines_yaml(matched).orderBy("seq").collect()]
     assert got == ['"vlan 1":', '  "name x":  # not in the catalog', '  "name x (line 3)":', "end:"] and nested(got) == {"vlan 1": {"name x": {}, "name x (line 3)": {}}, "end": {}}
+
+
+def test_help_lines_are_dealt_and_control_characters_make_no_option(spark):
+    told = H.parse_help(spark.createDataFrame([("show", "  arp  ARP table\n  x\x01y\n")], "prefix string, output string"))
+    assert [r.token for r in told.collect()] == ["arp"]
+    assert "REPARTITION_BY_NUM" in told._jdf.queryExecution().executedPlan().toString()
