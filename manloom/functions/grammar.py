@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..scratch import spread
 from . import text as T
 
 _CLOSES = {"}": "{", "]": "["}
@@ -75,5 +76,6 @@ def alternatives(value: Column) -> Column:
 
 def expand_syntax(rows: DataFrame, syntax: Column) -> DataFrame:
     """Adds ``pos`` and ``command``: one row per concrete form that is a command without brackets."""
-    told = rows.select("*", F.posexplode(_expanded(syntax)).alias("pos", "form")).withColumn("command", T.normal_command(F.col("form")))
-    return told.where(F.col("command").isNotNull() & ~F.col("command").rlike(r"[{}\[\]]")).drop("form")
+    # rows are dealt over all tasks, as few bytes of them take long; a form is normalised once, before it is a row
+    told = spread(rows).select("*", F.posexplode(F.transform(_expanded(syntax), T.normal_command)).alias("pos", "command"))
+    return told.where(F.col("command").isNotNull() & ~F.col("command").rlike(r"[{}\[\]]"))

@@ -239,3 +239,9 @@ def test_help_lines_are_dealt_and_control_characters_make_no_option(spark):
     told = H.parse_help(spark.createDataFrame([("show", "  arp  ARP table\n  x\x01y\n")], "prefix string, output string"))
     assert [r.token for r in told.collect()] == ["arp"]
     assert "REPARTITION_BY_NUM" in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_syntax_rows_are_dealt_over_all_tasks(spark):
+    told = G.expand_syntax(spark.createDataFrame([("a [b | c]",)], "syntax string").coalesce(1), F.col("syntax"))
+    assert [(r.pos, r.command) for r in sorted(told.collect(), key=lambda r: r.pos)] == [(0, "a"), (1, "a b"), (2, "a c")]
+    assert "REPARTITION_BY_NUM" in told._jdf.queryExecution().executedPlan().toString()
