@@ -64,14 +64,15 @@ def secrets_blanked(line: Column) -> Column:
 def edges_trimmed(output: Column, command: Column) -> Column:
     """An answer without the blank lines and echoes of the command before it, and without the blank
     lines and prompts after it.  An echo is the command alone or after a prompt."""
-    lines = F.split(output, r"\r\n|\r|\n")
     lead = lambda x: F.rtrim(F.left(x, F.length(x) - F.length(command)))
     echo = lambda x: (F.trim(x) == command) | ((command != "") & F.endswith(F.trim(x), command) & lead(F.trim(x)).rlike(r"[#>$]$"))
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    first = F.array_min(F.filter(places, lambda i: ~((F.trim(F.get(lines, i)) == "") | echo(F.get(lines, i)))))
-    last = F.array_max(F.filter(places, lambda i: ~((F.trim(F.get(lines, i)) == "") | F.trim(F.get(lines, i)).rlike(r"^\S*[>#$]\s*$"))))
-    kept = F.when(first.isNull() | last.isNull() | (last < first), "").otherwise(F.array_join(F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(0))), "\n"))
-    return kept
+    def kept(lines: Column) -> Column:
+        first = F.array_min(F.transform(lines, lambda x, i: F.when(~((F.trim(x) == "") | echo(x)), i)))
+        last = F.array_max(F.transform(lines, lambda x, i: F.when(~((F.trim(x) == "") | F.trim(x).rlike(r"^\S*[>#$]\s*$")), i)))
+        between = lambda e: F.when(e["first"].isNull() | e["last"].isNull() | (e["last"] < e["first"]), "").otherwise(F.array_join(F.slice(lines, e["first"] + 1, F.greatest(e["last"] - e["first"] + 1, F.lit(0))), "\n"))
+        return F.transform(F.array(F.struct(first.alias("first"), last.alias("last"))), between)[0]
+
+    return F.transform(F.array(F.split(output, r"\r\n|\r|\n")), kept)[0]  # cleaned and split once, not for every line
 
 
 #: Lines that carry a secret, labels of what identifies a device, hardware addresses.
@@ -107,9 +108,11 @@ def context_key(fingerprint: Column, entry_path: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(fingerprint, F.lit("")), F.array_join(F.filter(words(folded(last)), lambda w: w != "*"), " "))
 
 
-def command_verdict(line: Column) -> Column:
-    """``ok``, or why a line is no command; the first reason that holds."""
-    c = one_spaced(F.regexp_replace(F.trim(F.coalesce(line, F.lit(""))), r"^`+|`+$", ""))
+def _bare_command(line: Column) -> Column:
+    return one_spaced(F.regexp_replace(F.trim(F.coalesce(line, F.lit(""))), r"^`+|`+$", ""))
+
+
+def _verdict(c: Column) -> Column:
     return (
         F.when(c == "", "empty").when(F.octet_length(c) > 512, "too long").when(~c.rlike(r"^[\x20-\x7e]*$"), "not printable ascii").when(c.contains("?"), "question")
         .when(c.rlike(r"[.,:;]$"), "sentence").when(c.rlike(r"^(?:sudo|ssh|telnet) "), "host tool").when(~c.rlike(r"^[a-z][a-z0-9-]*(?: [^ ]+)*$"), "not a command")
@@ -117,10 +120,14 @@ def command_verdict(line: Column) -> Column:
     )
 
 
+def command_verdict(line: Column) -> Column:
+    """``ok``, or why a line is no command; the first reason that holds."""
+    return F.transform(F.array(_bare_command(line)), _verdict)[0]  # the bare line is made once
+
+
 def normal_command(line: Column) -> Column:
     """The command a line holds, one-spaced; null where ``command_verdict`` isn't ok."""
-    bare = one_spaced(F.regexp_replace(F.trim(F.coalesce(line, F.lit(""))), r"^`+|`+$", ""))
-    return F.when(command_verdict(line) == "ok", bare)
+    return F.transform(F.array(_bare_command(line)), lambda c: F.when(_verdict(c) == "ok", c))[0]
 
 
 def command_form(line: Column) -> Column:
@@ -215,5 +222,5 @@ def _without_backspaces(line: Column) -> Column:
 
 def terminal_cleaned(output: Column) -> Column:
     """Without escape sequences, carriage returns and what backspaces took away."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(output, F.lit("")), _ANSI, ""), "\r", "")
+    plain = F.replace(F.regexp_replace(F.coalesce(output, F.lit("")), _ANSI, ""), F.lit("\r"), F.lit(""))
     return F.when(plain.contains("\b"), F.array_join(F.transform(F.split(plain, "\n"), _without_backspaces), "\n")).otherwise(plain)

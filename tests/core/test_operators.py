@@ -245,3 +245,10 @@ def test_syntax_rows_are_dealt_over_all_tasks(spark):
     told = G.expand_syntax(spark.createDataFrame([("a [b | c]",)], "syntax string").coalesce(1), F.col("syntax"))
     assert [(r.pos, r.command) for r in sorted(told.collect(), key=lambda r: r.pos)] == [(0, "a"), (1, "a b"), (2, "a c")]
     assert "REPARTITION_BY_NUM" in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_are_split_once(spark):
+    df = spark.createDataFrame([("\nsw1# show x\na\n\nb\nsw1#",)], "o string")
+    told = df.select(T.edges_trimmed(F.col("o"), F.lit("show x")).alias("o"))
+    assert told.first().o == "a\n\nb"
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
