@@ -225,8 +225,9 @@ def measurement(card_rows: DataFrame, marked: DataFrame) -> DataFrame:
     one = cards_.agg(F.count("*").alias("cards"), F.count_if("forms").alias("with forms"), F.count_if("tables").alias("with parameters"), F.count_if("purpose").alias("with purpose"))
     names = ["cards", "with forms", "with parameters", "with purpose"]
     told = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n"), F.round(100 * F.col(m) / F.col("cards"), 1).alias("percent")) for m in names])).alias("m")).select("m.*")
-    whole = marked.agg(F.count("*").alias("all"))
-    reasons = marked.groupBy("reason").agg(F.count("*").alias("n")).join(F.broadcast(whole)).select(F.concat(F.lit("reason "), F.col("reason")).alias("measure"), "n", F.round(100 * F.col("n") / F.col("all"), 1).alias("percent"))
+    # the few counts go into one row, so the words are told apart once and no row is broadcast
+    counts = marked.groupBy("reason").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.collect_list(F.struct("reason", "n")).alias("r"))
+    reasons = counts.select("all", F.explode("r").alias("r")).select(F.concat(F.lit("reason "), F.col("r.reason")).alias("measure"), "r.n", F.round(100 * F.col("r.n") / F.col("all"), 1).alias("percent"))
     return told.unionByName(reasons)
 
 

@@ -15,7 +15,7 @@ from .functions import text as T
 from .operators import catalog as C
 from .operators import config as G
 from .operators import contexts as X
-from .scratch import spread
+from .scratch import keep, spread
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -809,7 +809,7 @@ def card_measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the manuals was read, and on what evidence their words were told apart."""
     from .operators.manuals import marks, measurement, parameter_rows
 
-    parts = _manuals(spark, sf_dir)
+    parts = keep(_manuals(spark, sf_dir), "card-parts")  # read three times
     return measurement(parts, marks(parts, parameter_rows(parts)))
 
 

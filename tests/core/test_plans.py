@@ -37,6 +37,11 @@ def test_tables_of_cards_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(spark, name)
 
 
+def test_a_measurement_broadcasts_nothing_and_reads_the_manuals_once(spark):
+    text = plan(spark, "card_measurement")
+    assert "Broadcast" not in text and "/part.parquet" not in text
+
+
 def test_lines_of_documents_are_dealt_over_all_tasks(spark):
     assert "REPARTITION_BY_NUM" in plan(spark, "table_rows")
     lines = manuals.doc_lines(spark.createDataFrame([(1, "a\nb")], "doc long, text string"))
