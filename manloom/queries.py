@@ -775,7 +775,8 @@ def card_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rate": F.concat(F.lit("rate in the range of 1 to "), "t", F.lit(", that is <1-"), "t", F.lit(">")), "span": F.concat(F.lit("span <1-"), "t", F.lit("> or <0-"), "t", F.lit(">")), "slot": F.concat(F.lit("slot <1-"), "t", F.lit(">/<1-"), "t", F.lit(">")),
         "addr": F.lit("addr IP address of <0-255>"), "hop": F.concat(F.lit("hop 1 ~ "), "t"),
     }
-    rows = told.select("doc", "card", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("text")) for k, v in texts.items()])).alias("r")).select("doc", "card", "r.*")
+    # dealt first: else the few tasks that read the file would put the tables together
+    rows = spread(told, "doc", "card").select("doc", "card", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("text")) for k, v in texts.items()])).alias("r")).select("doc", "card", "r.*")
     english = profiles(spark).where("name = 'english'").first()  # one row
     lexicon = Lexicon(english.domain, english.address, english.effect, tuple(english.ranges))
     return marks(lines, rows, lexicon).select("doc", "card", "pos", "token", "kind", "reason", "written")

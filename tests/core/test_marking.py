@@ -78,6 +78,13 @@ def test_ranges(spark):
     assert {r.t: r.r for r in df.collect()} == cases
 
 
+def test_ranges_with_notations_by_row(spark):
+    never = "(x)(x)"
+    cases = [("1-9", [], None), ("1-9 <1-9>", [r"<(\d+)-(\d+)>"], "1-9"), ("1-9 or <2-9>", [r"<(\d+)-(\d+)>"], "2-9"), ("1-9 or <2-9>", [r"<(\d+)-(\d+)>", r"(\d+)-(\d+)"], None), ("1-9", [never] * K._IN_PLACE + [r"(\d+)-(\d+)"], "1-9")]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(cases)], "i int, t string, p array<string>")
+    assert {r.i: r.r for r in df.select("i", K.range_in(F.col("t"), F.col("p")).alias("r")).collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
 def test_profiles_are_chosen_per_document(spark, tmp_path):
     told = P.profiles(spark)
     assert [r.name for r in told.orderBy("rank").collect()] == ["russian", "english"]

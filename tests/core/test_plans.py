@@ -42,6 +42,13 @@ def test_a_measurement_broadcasts_nothing_and_reads_the_manuals_once(spark):
     assert "Broadcast" not in text and "/part.parquet" not in text
 
 
+def test_words_of_cards_are_cut_after_their_lines_are_dealt(spark):
+    df = queries.queries()["card_evidence"](spark, str(SF))
+    filters = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in x]
+    assert not any("transform(" in x for x in filters)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_documents_are_dealt_over_all_tasks(spark):
     assert "REPARTITION_BY_NUM" in plan(spark, "table_rows")
     lines = manuals.doc_lines(spark.createDataFrame([(1, "a\nb")], "doc long, text string"))
